@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -105,3 +106,10 @@ def latest(df: DataFrame, key: str, when: str, others: list[str]) -> DataFrame:
         df.select(key, when, *others).filter(F.col(key).isNotNull())
         .withColumn("_place", F.row_number().over(w)).filter(F.col("_place") == 1).drop("_place", when)
     )
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df once as Parquet beside the checkpoints and read it back: for a large table that several branches need."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
