@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.llm.distinctive import term_weights
+from gleanery.llm.frequency import frequencies, marks
+from gleanery.llm.mixing import Mix, mix_sources
 from gleanery.llm.neighbours import nearest_vectors
 from gleanery.llm.outranking import INDIFFERENCE, PREFERENCE, net_flow
+from gleanery.llm.splitting import split_oversized
 from gleanery.llm.topn import top_n_per_group
 from gleanery.operators.scale import latest
 
@@ -131,6 +135,150 @@ FROM (SELECT runid, qid, eid, max(score) AS score FROM rankings WHERE eid IS NOT
 QUALIFY place <= 5"""
 
 
+# 5: frequency of every term and value
+
+COMMON_SHARE = {"body": 0.2, "keywords": 0.05}
+
+
+def body_terms(spark: SparkSession, sf: str, max_n: int = 1) -> DataFrame:
+    records = latest(table(spark, sf, "docs"), "eid", "crawled_at", ["body_string"])
+    return frequencies(records, "body_string", "terms", max_n, common_share=COMMON_SHARE["body"])
+
+
+def keyword_values(spark: SparkSession, sf: str) -> DataFrame:
+    records = latest(table(spark, sf, "docs"), "eid", "crawled_at", ["keywords"])
+    return frequencies(records, "keywords", "values", common_share=COMMON_SHARE["keywords"])
+
+
+def _fields(body: DataFrame, keywords: DataFrame) -> DataFrame:
+    return body.withColumn("field_name", F.lit("body")).unionByName(keywords.withColumn("field_name", F.lit("keywords")))
+
+
+def p5_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences, records and marks of every term of the bodies and value of the keywords."""
+    return _fields(body_terms(spark, sf), keyword_values(spark, sf)).select("field_name", "term", "occurrences", "records", "rare", "common")
+
+
+def p5_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences and records of every run of up to three terms of the bodies that comes at least twice."""
+    return body_terms(spark, sf, 3).filter(F.col("occurrences") > 1).select("term", "n", "occurrences", "records")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms and values that are too rare or too common."""
+    return _fields(marks(body_terms(spark, sf)), marks(keyword_values(spark, sf))).select("field_name", "term", "mark")
+
+
+_DOCS = "SELECT * FROM docs WHERE eid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY eid ORDER BY crawled_at DESC, body_string, title_string, keywords) = 1"
+_P5 = f"""
+WITH records AS ({_DOCS}),
+found AS (
+  SELECT 'body' AS field_name, eid, lower(unnest(regexp_extract_all(body_string, '[\\p{{L}}\\p{{N}}]+'))) AS term FROM records
+  UNION ALL SELECT * FROM (
+    SELECT 'keywords', eid, lower(trim(unnest(string_split_regex(keywords, '[,;|]')), ' \t\r\n')) AS term FROM records WHERE keywords IS NOT NULL) WHERE term <> ''),
+sizes AS (SELECT field_name, count(DISTINCT eid) AS n FROM found GROUP BY ALL),
+counts AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT eid) AS records FROM found GROUP BY ALL),
+marked AS (
+  SELECT field_name, term, occurrences, records, records <= 1 AS rare,
+    records * 100 > n * CASE field_name WHEN 'body' THEN 20 ELSE 5 END AS common FROM counts JOIN sizes USING (field_name))"""
+P5_FREQUENCIES = _P5 + " SELECT * FROM marked"
+P5_FOUND = _P5 + " SELECT field_name, term, 'rare' AS mark FROM marked WHERE rare UNION ALL SELECT field_name, term, 'common' FROM marked WHERE common"
+P5_PHRASES = f"""
+WITH records AS (SELECT eid, list_transform(regexp_extract_all(body_string, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)) AS w FROM ({_DOCS}) WHERE body_string IS NOT NULL),
+starts AS (SELECT eid, w, unnest(range(1, len(w) + 1)) AS i FROM records),
+grams AS (SELECT eid, n, array_to_string(w[i : i + n - 1], ' ') AS term FROM starts, (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(w))
+SELECT term, n::INT AS n, count(*) AS occurrences, count(DISTINCT eid) AS records FROM grams GROUP BY term, n HAVING count(*) > 1"""
+
+# 6: splitting oversized fields
+
+LIMITS = {"body_string": (2000, 100), "title_string": (120, 20)}
+
+
+def pieces(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "docs")
+    # texts within the limit do not travel
+    slim = docs.select("eid", "crawled_at", *[F.when(F.length(c) > limit, F.col(c)).alias(c) for c, (limit, _) in LIMITS.items()])
+    return split_oversized(latest(slim, "eid", "crawled_at", list(LIMITS)), "eid", LIMITS)
+
+
+def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """All pieces of over-long bodies and titles."""
+    return pieces(spark, sf).select(F.col("id").alias("eid"), "field_name", "piece", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "cut_kind", "text")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Over-long fields and whether a cut within a stretch is forced."""
+    cut = F.when(F.col("forced"), "forced").otherwise("clean")
+    return pieces(spark, sf).select(F.col("id").alias("eid"), "field_name", cut.alias("cut")).distinct()
+
+
+P6_FOUND = f"""
+WITH long AS (
+  SELECT eid, 'body_string' AS field_name, 2000 AS most, body_string AS t FROM ({_DOCS}) WHERE length(body_string) > 2000
+  UNION ALL SELECT eid, 'title_string', 120, title_string FROM ({_DOCS}) WHERE length(title_string) > 120),
+stretches AS (
+  SELECT eid, field_name, most, unnest(string_split(replace(regexp_replace(regexp_replace(t, '([.!?;|])([ \t\r\n])', '\1' || chr(1) || '\2', 'g'), '\n', chr(10) || chr(1), 'g'), chr(1) || chr(1), chr(1)), chr(1))) AS s FROM long)
+SELECT eid, field_name, CASE WHEN max(length(s)) > max(most) THEN 'forced' ELSE 'clean' END AS cut FROM stretches GROUP BY eid, field_name"""
+
+# 7: distinctive terms
+
+
+def weights(spark: SparkSession, sf: str) -> DataFrame:
+    return term_weights(latest(table(spark, sf, "docs"), "eid", "crawled_at", ["title_string", "body_string"]), "eid", ["title_string", "body_string"])
+
+
+def p7_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """The weight of every term of every record."""
+    return weights(spark, sf).select(F.col("id").alias("eid"), "term", "tf", F.round("weight", 6).alias("weight"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms that come at least four times in a record and in at most three records."""
+    return weights(spark, sf).filter((F.col("tf") >= 4) & (F.col("df") <= 3) & (F.col("weight") >= 0)).select(F.col("id").alias("eid"), "term")
+
+
+_P7 = f"""
+WITH found AS (SELECT eid, lower(unnest(regexp_extract_all(concat_ws(chr(10), title_string, body_string), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM ({_DOCS})),
+tf AS (SELECT eid, term, count(*) AS tf FROM found GROUP BY ALL),
+lengths AS (SELECT eid, count(*) AS n FROM found GROUP BY eid),
+stats AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term)"""
+P7_WEIGHTS = (
+    _P7
+    + """ SELECT eid, term, tf, round(greatest(0.0, ln(tf * (SELECT sum(pow(n, 0.75)) FROM lengths) / (total * pow(n, 0.75)))), 6) AS weight
+FROM tf JOIN lengths USING (eid) JOIN stats USING (term)"""
+)
+P7_FOUND = _P7 + " SELECT eid, term FROM tf JOIN stats USING (term) WHERE tf >= 4 AND df <= 3"
+
+# 9: mixing sources
+
+
+def mix(spark: SparkSession, sf: str) -> Mix:
+    return mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), "doc_id", "text")
+
+
+def p9_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents drawn, with their copies and virtual finish times."""
+    return mix(spark, sf).drawn.select(F.col("id").alias("doc_id"), "source", "copy", F.col("size").alias("words"), F.round("finish", 3).alias("finish"))
+
+
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual shares of the sources."""
+    return mix(spark, sf).report.select("source", "target_share", "available", "drawn", F.round("actual_share", 6).alias("actual_share"), "repeats", "outcome")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of each source."""
+    return mix(spark, sf).report.select("source", "outcome").distinct()
+
+
+P9_FOUND = """
+WITH sizes AS (
+  SELECT lower(trim(source, ' \t\r\n')) AS k, sum(len(regexp_extract_all(text, '[^ \t\r\n]+'))) AS w FROM documents GROUP BY 1),
+goal AS (SELECT t.source, target_share, max_repeats, coalesce(w, 0) AS w FROM mix_targets t LEFT JOIN sizes ON k = lower(trim(t.source, ' \t\r\n')))
+SELECT source, CASE WHEN w >= target_share * total THEN 'cut' WHEN w * max_repeats >= target_share * total THEN 'repeated' ELSE 'short' END AS outcome
+FROM goal, (SELECT sum(w) AS total FROM goal)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and "_" in k and callable(f)}
 
@@ -142,4 +290,11 @@ def oracle_sql() -> dict[str, str]:
         "p2_net_flow": P2_NET_FLOW,
         "p3_found": f"SELECT runid, qid, eid FROM ({_P3})",
         "p3_top_pages": _P3,
+        "p5_found": P5_FOUND,
+        "p5_frequencies": P5_FREQUENCIES,
+        "p5_phrases": P5_PHRASES,
+        "p6_found": P6_FOUND,
+        "p7_found": P7_FOUND,
+        "p7_weights": P7_WEIGHTS,
+        "p9_found": P9_FOUND,
     }
