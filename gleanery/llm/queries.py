@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.distinctive import term_weights
 from gleanery.llm.frequency import frequencies, marks
+from gleanery.llm.language import label_languages
+from gleanery.llm.leakage import leaked_items
 from gleanery.llm.mixing import Mix, mix_sources
 from gleanery.llm.neighbours import nearest_vectors
 from gleanery.llm.outranking import INDIFFERENCE, PREFERENCE, net_flow
@@ -70,7 +72,7 @@ def p2_net_flow(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates among the best three by each of the five scores."""
-    best = flows(spark, sf)
+    best = flows(spark, sf).filter(F.col("rank") > 0)  # the check by places follows the whole ranking
     for i in range(len(CRITERIA)):
         best = best.filter(F.col(f"place_{i + 1}") <= 3)
     return best.select("qid", "eid")
@@ -249,6 +251,23 @@ FROM tf JOIN lengths USING (eid) JOIN stats USING (term)"""
 )
 P7_FOUND = _P7 + " SELECT eid, term FROM tf JOIN stats USING (term) WHERE tf >= 4 AND df <= 3"
 
+# 8: test passages in training text
+
+
+def leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+
+
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaked items with the number of documents that hold them and the largest part held."""
+    return leaks(spark, sf).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.max("share"), 6).alias("largest_share"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the items they hold."""
+    return leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
 # 9: mixing sources
 
 
@@ -279,6 +298,27 @@ SELECT source, CASE WHEN w >= target_share * total THEN 'cut' WHEN w * max_repea
 FROM goal, (SELECT sum(w) AS total FROM goal)"""
 
 
+# 10: languages
+
+LANGUAGES = ["de", "en", "es", "fr", "it", "nl", "pt"]
+LEAST_WORDS = 8
+
+
+def passages(spark: SparkSession, sf: str) -> DataFrame:
+    return label_languages(table(spark, sf, "documents"), "doc_id", "text", "lang", LANGUAGES, least_words=LEAST_WORDS)
+
+
+def p10_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every passage with its language and confidence."""
+    return passages(spark, sf)
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of documents that are mixed or whose label is missing or wrong."""
+    held = passages(spark, sf).filter((F.col("words") >= LEAST_WORDS) & (F.col("mixed") | (F.col("label_state") != "right")))
+    return held.select("doc_id", "lang").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and "_" in k and callable(f)}
 
