@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.llm.boilerplate import page_lines
 from gleanery.llm.distinctive import term_weights
 from gleanery.llm.frequency import frequencies, marks
 from gleanery.llm.language import label_languages
@@ -137,6 +138,25 @@ FROM (SELECT runid, qid, eid, max(score) AS score FROM rankings WHERE eid IS NOT
 QUALIFY place <= 5"""
 
 
+# 4: main content of pages
+
+
+def judged_lines(spark: SparkSession, sf: str) -> DataFrame:
+    pages = latest(table(spark, sf, "docs"), "eid", "crawled_at", ["raw_url", "title_string", "body_string"])
+    return page_lines(pages, "eid", "raw_url", "title_string", "body_string")
+
+
+def p4_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of lines and of content lines of each page."""
+    lines = judged_lines(spark, sf)
+    return lines.groupBy("eid").agg(F.count(F.lit(1)).alias("lines"), F.count_if("content").alias("content_lines"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that are not content."""
+    return judged_lines(spark, sf).filter(~F.col("content")).select("eid", "line_no")
+
+
 # 5: frequency of every term and value
 
 COMMON_SHARE = {"body": 0.2, "keywords": 0.05}
