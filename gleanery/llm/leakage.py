@@ -82,22 +82,42 @@ def hits(texts: list[str | None], items: Items) -> tuple[np.ndarray, np.ndarray,
     return words, starts, at, place[at]
 
 
-def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int]:
-    """(score, words met) of the best local alignment with affine gaps; a row of the matrix at a time."""
-    width = len(doc)
+def align(items: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, words met) of the best local alignment with affine gaps of each pair; one row of all pairs' matrices at a time."""
+    width, rows = max(map(len, docs)), max(map(len, items))
+    doc = np.full((len(docs), width), -1, np.int32)
+    item = np.full((len(items), rows), -2, np.int32)  # what pads one never meets what pads the other
+    for k, (i, d) in enumerate(zip(items, docs)):
+        item[k, : len(i)], doc[k, : len(d)] = i, d
     one = np.int64(1) << BITS
     along = np.arange(width, dtype=np.int64) * (GAP_DOC * one)
-    h = np.zeros(width + 1, np.int64)
-    f = np.full(width, -(np.int64(1) << 50))
-    best = np.int64(0)
-    for w in item:
-        diag = h[:-1] + np.where(doc == w, MATCH * one + 1, MISMATCH * one)
-        f = np.maximum(f, h[1:] - GAP_OPEN * one) - GAP_ITEM * one
-        row = np.maximum(np.maximum(diag, f), 0)
-        gap = np.maximum.accumulate(row + along) - along - GAP_OPEN * one
-        h[1:] = np.maximum(row, gap)
-        best = max(best, row.max())
-    return float(best >> BITS) / MATCH, int(best & (one - 1))
+    h = np.zeros((len(docs), width + 1), np.int64)
+    f = np.full((len(docs), width), -(np.int64(1) << 50))
+    best = np.zeros(len(docs), np.int64)
+    for r in range(rows):
+        row = np.where(doc == item[:, r : r + 1], MATCH * one + 1, MISMATCH * one)
+        row += h[:, :-1]
+        np.maximum(f, h[:, 1:] - GAP_OPEN * one, out=f)
+        f -= GAP_ITEM * one
+        np.maximum(row, f, out=row)
+        np.maximum(row, 0, out=row)
+        np.maximum(best, row.max(axis=1), out=best)
+        gap = np.maximum.accumulate(row + along, axis=1)
+        gap -= along + GAP_OPEN * one
+        np.maximum(row, gap, out=h[:, 1:])
+    return (best >> BITS) / MATCH, best & (one - 1)
+
+
+def align_all(items: list[np.ndarray], docs: list[np.ndarray], cells: int = 40_000) -> tuple[np.ndarray, np.ndarray]:
+    """align() over batches of pairs of like width."""
+    score, met = np.zeros(len(docs)), np.zeros(len(docs), np.int64)
+    order = sorted(range(len(docs)), key=lambda k: (len(docs[k]), len(items[k])))
+    while order:
+        widest = len(docs[order[-1]])
+        take = max(1, min(len(order), cells // max(1, widest)))
+        part, order = order[-take:], order[:-take]
+        score[part], met[part] = align([items[k] for k in part], [docs[k] for k in part])
+    return score, met
 
 
 def _frequency(items: Items):
@@ -132,18 +152,22 @@ def _aligned(items: Items, rare: np.ndarray, least_hits: int, least_share: float
                 pair, where, which = np.repeat(owner, times) * count + item, np.repeat(place, times), np.repeat(seed, times)
                 order = np.argsort(pair, kind="stable")
                 pair, where, which = pair[order], where[order], which[order]
-                rows: list[tuple] = []
                 cuts = np.flatnonzero(np.r_[True, np.diff(pair) != 0, True]) if len(pair) else np.zeros(0, int)
+                tried: list[tuple[int, int]] = []
+                spans: list[np.ndarray] = []
                 for a, b in zip(cuts, cuts[1:]):
                     d, i = divmod(int(pair[a]), count)
                     w = items.words[i]
-                    if len(np.unique(which[a:b])) < min(least_hits, max(1, len(w) // 2 - items.n)):
+                    if b - a < least_hits and b - a < max(1, len(w) // 2 - items.n):
                         continue
                     lo = max(starts[d], where[a] - len(w) - slack)
-                    hi = min(starts[d + 1] - items.n, where[b - 1] + len(w) + slack)
-                    score, met = align(w, words[lo:hi])
-                    if met >= least_share * len(w):
-                        rows.append((d, i, met / len(w), score))
+                    span = words[lo : min(starts[d + 1] - items.n, where[b - 1] + len(w) + slack)]
+                    # no alignment meets more words than the span has of the item's
+                    if np.isin(w, span).sum() >= least_share * len(w):
+                        tried.append((d, i))
+                        spans.append(span)
+                score, met = align_all([items.words[i] for _, i in tried], spans)
+                rows = [(d, i, m / len(items.words[i]), s) for (d, i), m, s in zip(tried, met, score) if m >= least_share * len(items.words[i])]
                 ds = np.array([r[0] for r in rows], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(ds)), pa.array([items.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.float64())],
