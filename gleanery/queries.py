@@ -374,7 +374,7 @@ def bm25_title_field(spark: SparkSession, sf: str) -> DataFrame:
     return one(spark, sf, "#SUM(compass.title meadow.title)", BM25(), 100)
 
 
-_QUERIES = "qs AS (SELECT qid, qstring FROM (SELECT *, row_number() OVER () AS at FROM queries) WHERE qid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY at DESC) = 1)"
+_QUERIES = "qs AS (SELECT qid, qstring FROM (SELECT *, row_number() OVER () AS seq FROM queries) WHERE qid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY seq DESC) = 1)"
 _PLAIN = f"""{_QUERIES}, plain AS (SELECT * FROM qs WHERE qstring IS NOT NULL AND NOT regexp_matches(qstring, '[#().]')),
 qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(regexp_extract_all(lower(qstring), {_TOKEN})) AS term FROM plain) WHERE term NOT IN ({_STOP}) GROUP BY qid, term),
 qw AS (SELECT qid, term, times / CASE WHEN max(times) OVER (PARTITION BY qid) > 1 AND count(*) OVER (PARTITION BY qid) > 1 THEN sum(times) OVER (PARTITION BY qid) WHEN max(times) OVER (PARTITION BY qid) > 1 THEN times ELSE 1 END AS weight FROM qt)"""
