@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import plain_query
 from gleanery.operators import answers, dense, feedback, ltr, passages
+from gleanery.operators.scale import checkpoint
 from gleanery.plans.compile import query_terms, rank_batch, rank_queries
 from gleanery.plans.models import BM25, model_of
 from gleanery.sources import files, sinks
@@ -167,4 +168,8 @@ def run(spark, parameters: dict, models: Models | None = None, index: Index | No
             output(batch, p)
         else:
             raise ValueError(f"unknown stage {key}")
+        if stage in ("ranker", "reranker"):  # a barrier: what follows reads the ranking several times
+            batch = replace(batch, rankings=checkpoint(batch.rankings))
+        elif stage == "rewriter":
+            batch = replace(batch, queries=checkpoint(batch.queries))
     return batch

@@ -178,16 +178,19 @@ def leaves(node) -> list[Term]:
 
 
 def flat_terms(node) -> list[tuple[str, str, float]] | None:
-    """(field, term, weight) with weights adding up to their share of the score, if the query is a sum of terms; else None."""
+    """(field, term, factor) of each term's part of the score, if the query is made of sums of terms, nested or not; else None."""
     if node is None:
         return []
-    if isinstance(node, Scored) and node.op == "SCORE" and isinstance(node.args[0], Term):
-        return [(node.args[0].field, node.args[0].term, 1.0)]
-    if isinstance(node, Scored) and node.op in ("SUM", "WSUM") and all(a.op == "SCORE" and isinstance(a.args[0], Term) for a in node.args):
-        weights = node.weights or (1.0,) * len(node.args)
-        total = sum(weights) if node.op == "WSUM" else 1.0
-        return [(a.args[0].field, a.args[0].term, w / total if total > 0 else 0.0) for a, w in zip(node.args, weights)]
-    return None
+    if node.op == "SCORE":
+        return [(node.args[0].field, node.args[0].term, 1.0)] if isinstance(node.args[0], Term) else None
+    if node.op not in ("SUM", "WSUM"):
+        return None
+    weights = node.weights or (1.0,) * len(node.args)
+    total = sum(weights) if node.op == "WSUM" else 1.0
+    parts = [flat_terms(a) for a in node.args]
+    if any(p is None for p in parts):
+        return None
+    return [(f, t, x * w / total if total > 0 else 0.0) for p, w in zip(parts, weights) for f, t, x in p]
 
 
 def bow(text: str) -> str:
