@@ -25,8 +25,9 @@ NUMBER = re.compile(r"\d+")
 SITE = re.compile(r"(?:[a-zA-Z][\w+.-]*://)?(?:www\.)?([^/:?#\s.]+)")
 TITLE_TAIL = re.compile(r"\s+(?:\||::|-|–|»|·)\s+")
 
-#: Kinds of paths of a line: the whole line, what precedes its first colon, one of its sentences, and the line as if it preceded a colon.
-WHOLE, PREFIX, SENTENCE, HEADING = 0, 1, 2, 3
+#: Kinds of paths of a line: the whole line, what precedes its first colon, one of its sentences, and the line as if it preceded a colon,
+#: and its first word likewise.
+WHOLE, PREFIX, SENTENCE, HEADING, FIRST = 0, 1, 2, 3, 4
 #: Least share of the pages of a path's sites, and of one site's pages, for furniture; items and sentences need more, being more alike by chance.
 SHARE, SITE_SHARE, STRICT_SHARE = 0.015, 0.03, 0.03
 LOOSE, STRICT = 1.2, 2.0
@@ -93,6 +94,8 @@ def lines_of(body: str, site: str, title: str) -> list[tuple[int, str, str, list
             paths += [(SENTENCE, f"s>{p}") for p in pieces]
         if form in ("word", "title") and len(m) < 60:
             paths.append((HEADING, f"p>{m}"))
+            if " " in m:
+                paths.append((FIRST, f"p>{m.split(' ', 1)[0]}"))
         out.append((no, form, m, paths))
     return out
 
@@ -110,8 +113,8 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen: set[str] = set()
                 for no, _, _, paths in lines_of(body, site, title):
                     for nth, (kind, path) in enumerate(paths):
-                        rows.append((eid, site, no, kind, nth, len(path), path[0] == "s", kind != HEADING and path not in seen, key_of(path)))
-                        if kind != HEADING:
+                        rows.append((eid, site, no, kind, nth, len(path), path[0] == "s", kind < HEADING and path not in seen, key_of(path)))
+                        if kind < HEADING:
                             seen.add(path)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
@@ -129,7 +132,7 @@ class Page:
             own = m.strip(" .") == "¤" or (m.startswith("¤") and len(m) < 2 + len(site) + 6)
             if own and self.title_at < 0:
                 self.title_at = i
-            whole, prefix = (no, 0) in marked, any(k == PREFIX and (no, n) in marked for n, (k, _) in enumerate(paths))
+            whole, prefix = (no, 0) in marked, any(k in (PREFIX, FIRST) and (no, n) in marked for n, (k, _) in enumerate(paths))
             pieces = [(len(p), (no, n) in marked) for n, (k, p) in enumerate(paths) if k == SENTENCE]
             covered = sum(x for x, hit in pieces if hit) / sum(x for x, _ in pieces) if pieces else 0.0
             self.head.append(any(k == HEADING and (no, n) in marked for n, (k, _) in enumerate(paths)))
@@ -188,7 +191,7 @@ def train(pages: list[Page], rounds: int = 2, least: int = 2) -> dict[str, float
         for f in seen[0].keys() | seen[1].keys():
             a, b = seen[1][f], seen[0][f]
             if a + b >= least:
-                weight = 1.2 if f[0] == "^" else 0.8 if f[1:2] == ":" else 0.6  # how a line begins tells most
+                weight = 1.2 if f[0] == "^" else 0.4 if f[:2] in ("b:", "t:") else 0.8 if f[:2] == "f:" else 0.6  # how a line begins tells most, where it stands least
                 odds[f] = weight * max(-4.0, min(4.0, math.log((a + 0.3) / size[1]) - math.log((b + 0.3) / size[0])))
     return odds or {}
 
