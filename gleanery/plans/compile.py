@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 import pandas as pd
@@ -93,6 +94,9 @@ def rank_query(text: str, index: Index, model, n: int = 1000, qid: str = "q") ->
     if isinstance(tree, (Term, Positions)):
         tree = Scored("SCORE", (tree,))
     check(tree, model)
+    flat = flat_terms(tree) if isinstance(model, BM25) else None
+    if flat:  # one scan for all terms
+        return rank_batch(index.docs.sparkSession.createDataFrame([(qid, *x) for x in flat], "qid string, field string, term string, weight double"), index, model, n, [(f, t) for f, t, _ in flat])
     found = scores(tree, index, model).select(F.lit(qid).alias("qid"), "eid", F.round("score", 9).alias("score"))
     return top_by_score(found, "qid", "eid", "score", n).select("qid", "rank", "eid", "score")
 
@@ -119,15 +123,19 @@ def query_terms(queries: DataFrame, index: Index, default_op: str = "#SUM") -> D
     return queries.filter(F.col("qstring").isNotNull()).select("qid", F.explode(flat("qstring")).alias("t")).select("qid", "t.*")
 
 
-def rank_batch(terms: DataFrame, index: Index, model: BM25, n: int = 1000) -> DataFrame:
+def rank_batch(terms: DataFrame, index: Index, model: BM25, n: int = 1000, listed: list[tuple[str, str]] | None = None) -> DataFrame:
     """(qid, rank, eid, score) of all flat queries in one plan.
 
     Query terms are matched with their statistics, then with the postings: broadcast up to BROADCAST_TERMS rows, by a
-    hot-cold join beyond. Each posting is scored once a query; a query's scores add up before its best n are taken.
+    hot-cold join beyond. Each posting is scored once a query; a query's scores add up before its best n are taken. The (field, term) pairs
+    may be `listed` where they are known and few; then they are filters of the scan.
     """
+    if listed:
+        wanted = F.col("field").isin(*{f for f, _ in listed}) & F.col("term").isin(*{t for _, t in listed})
+        index = replace(index, postings=index.postings.filter(wanted), term_stats=index.term_stats.filter(wanted))
     stats = index.field_stats.select("field", "num_docs", (F.col("sum_len") / F.col("doc_count")).alias("avg_len"))
     known = terms.join(index.term_stats, ["field", "term"]).join(F.broadcast(stats), "field")
-    count = terms.count()
+    count = len(listed) if listed else terms.count()
     slim = index.postings.select("field", "term", "eid", "tf", "len")
     if count <= BROADCAST_TERMS:
         met = slim.join(F.broadcast(known), ["field", "term"])

@@ -49,6 +49,11 @@ def index(spark: SparkSession, sf: str, *fields: str) -> Index:
     return build_index(docs(spark, sf), wanted, attributes=["raw_url", "title_string", "body_string", "spam_score", "page_rank"])
 
 
+def stored(spark: SparkSession, sf: str, *fields: str) -> Index:
+    """An index for plans that read its postings more than once."""
+    return index(spark, sf, *fields).stored()
+
+
 def query_set(spark: SparkSession, sf: str) -> DataFrame:
     """(qid, qstring): of a repeated qid the later row holds."""
     rows = table(spark, sf, "queries").select("qid", "qstring", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
@@ -105,7 +110,7 @@ def index_term_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(index_sql() + " SELECT field, num_docs, doc_count, sum_len, round(avg_len, 6) AS avg_len FROM fs")
 def index_field_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return inspection.list_stats(index(spark, sf)).withColumn("avg_len", F.round("avg_len", 6))
+    return inspection.list_stats(stored(spark, sf)).withColumn("avg_len", F.round("avg_len", 6))
 
 
 @query(index_sql() + " SELECT eid, field, len, poslen FROM lengths")
@@ -126,12 +131,12 @@ def list_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(index_sql("body") + " SELECT eid, tf, array_to_string(positions, ' ') AS positions, df, ctf FROM post JOIN ts USING (field, term) WHERE term = 'compass'")
 def list_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return inspection.list_postings(index(spark, sf, "body"), "compass", "body").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
+    return inspection.list_postings(stored(spark, sf, "body"), "compass", "body").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
 
 
 @query(index_sql("body") + " SELECT eid, tf, array_to_string(positions, ' ') AS positions, df, ctf FROM post JOIN ts USING (field, term) WHERE term = 'compass' ORDER BY eid LIMIT 5")
 def list_postings_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return inspection.list_postings(index(spark, sf, "body"), "compass", "body", 5).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
+    return inspection.list_postings(stored(spark, sf, "body"), "compass", "body", 5).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
 
 
 def _first_eid(spark: SparkSession, sf: str) -> str:
@@ -219,7 +224,7 @@ def short_span(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def one(spark: SparkSession, sf: str, q: str, model, n: int = 1000) -> DataFrame:
-    return _shown(rank_query(q, index(spark, sf, "body", "title"), model, n))
+    return _shown(rank_query(q, stored(spark, sf, "body", "title"), model, n))
 
 
 def _terms_sql(*terms: str, field: str = "body") -> str:
@@ -279,7 +284,7 @@ def syn_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _match(spark: SparkSession, sf: str, q: str) -> DataFrame:
-    return positions(get_query(q).args[0], index(spark, sf, "body"))
+    return positions(get_query(q).args[0], stored(spark, sf, "body"))
 
 
 @query(index_sql("body") + " SELECT DISTINCT a.eid FROM pos a JOIN pos b ON a.eid = b.eid AND a.term = 'compass' AND b.term = 'meadow' AND b.pos > a.pos AND b.pos - a.pos <= 8")
@@ -351,7 +356,7 @@ def _sum_sql(weights: dict[str, float], total: float, n: int, field: str = "body
 
 @query(_sum_sql({"compass": 1.0, "meadow": 1.0, "ranking": 1.0}, 1.0, 10))
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(rank_query("compass meadow ranking", index(spark, sf, "body"), BM25(), 10))
+    return _shown(rank_query("compass meadow ranking", stored(spark, sf, "body"), BM25(), 10))
 
 
 @query(_sum_sql({"compass": 1.0, "meadow": 1.0}, 1.0, 1000))
@@ -390,7 +395,7 @@ def plain_queries(spark: SparkSession, sf: str) -> DataFrame:
 )
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The best 100 pages of every plain query of the query set, in one plan."""
-    ix = index(spark, sf, "body")
+    ix = stored(spark, sf, "body")
     return _shown(rank_batch(query_terms(plain_queries(spark, sf), ix), ix, BM25(), 100))
 
 
@@ -398,7 +403,7 @@ def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_structured_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Three structured queries, each its own plan, with nested and positional operators."""
     texts = {"s1": "#WSUM(0.6 #NEAR/5(compass meadow) 0.4 #SUM(ranking catalogue))", "s2": "#SUM(#WINDOW/6(compass meadow ranking) #SYN(lighthouse falcon))", "s3": "the of and"}
-    return _shown(rank_queries(texts, index(spark, sf, "body"), BM25(), 50))
+    return _shown(rank_queries(texts, stored(spark, sf, "body"), BM25(), 50))
 
 
 # feedback
@@ -410,7 +415,7 @@ _BEST_TERMS = " SELECT qid, place::INT AS place, term, round(weight, 6) AS weigh
 
 
 def _expansion(spark: SparkSession, sf: str, algorithm: str) -> DataFrame:
-    found = feedback.expansion_terms(run_ranking(spark, sf), index(spark, sf, "body"), feedback.Feedback(algorithm))
+    found = feedback.expansion_terms(run_ranking(spark, sf), stored(spark, sf, "body"), feedback.Feedback(algorithm))
     return found.withColumn("weight", F.round("weight", 6))
 
 
@@ -431,7 +436,7 @@ def prf_rm3_terms(spark: SparkSession, sf: str) -> DataFrame:
 )
 def prf_expanded_rank(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best pages by the learned queries."""
-    ix = index(spark, sf, "body")
+    ix = stored(spark, sf, "body")
     terms = feedback.expansion_terms(run_ranking(spark, sf), ix, feedback.Feedback("rm3"))
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy("qid"))
     learned = terms.select("qid", F.lit("body").alias("field"), "term", share.alias("weight"))
@@ -442,7 +447,7 @@ def prf_expanded_rank(spark: SparkSession, sf: str) -> DataFrame:
 def prf_expanded_queries(spark: SparkSession, sf: str) -> DataFrame:
     """The query strings after feedback with half of the weight on the original."""
     how = feedback.Feedback("rm3", orig_weight=0.5)
-    terms = feedback.expansion_terms(run_ranking(spark, sf), index(spark, sf, "body"), how)
+    terms = feedback.expansion_terms(run_ranking(spark, sf), stored(spark, sf, "body"), how)
     return feedback.expanded_queries(terms, query_set(spark, sf), how)
 
 
@@ -452,7 +457,7 @@ _PAIRS = f"""{_PLAIN}, labels AS (SELECT qid, eid, max(greatest(0, try_cast(rel
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    ix = index(spark, sf, "body", "title", "url", "inlink")
+    ix = stored(spark, sf, "body", "title", "url", "inlink")
     asked = plain_queries(spark, sf)
     words = asked.select("qid", F.explode(ix.analyzer.terms(F.col("qstring"))).alias("term"))
     return ltr.extract(ltr.training_pairs(asked, table(spark, sf, "qrels"), ix), words, ix)
@@ -509,7 +514,7 @@ def ltr_train_join(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def ltr_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """A run's first ten pages in the order of a model trained on the judgements."""
-    ix = index(spark, sf, "body", "title", "url", "inlink")
+    ix = stored(spark, sf, "body", "title", "url", "inlink")
     how = ltr.Features()
     model = ltr.fit_pairwise(ltr.min_max(_features(spark, sf), how.ids), how.ids)
     run = run_ranking(spark, sf)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import Analyzer
+from gleanery.operators.scale import materialise
 
 TABLES = ("docs", "postings", "lengths", "term_stats", "field_stats")
 
@@ -37,6 +38,14 @@ class Index:
             else:
                 df.write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def stored(self) -> Index:
+        """The same index with its postings and lengths written once beside the checkpoints, terms sorted within files.
+
+        What several branches of a plan read is then analysed once, and a term's filter skips row groups.
+        """
+        postings = materialise(self.postings.sortWithinPartitions("field", "term"))
+        return derive_stats(self.docs, postings, materialise(self.lengths), self.analyzer)
+
     def persist(self) -> Index:
         for name in TABLES:
             getattr(self, name).persist()
@@ -62,11 +71,12 @@ def build_index(docs: DataFrame, fields: dict[str, str], id_col: str = "eid", at
     stored = src.select(F.col(id_col).alias("eid"), *[F.col(a) for a in attributes or []])
     texts = [F.struct(F.lit(f).alias("field"), analyzer.tokens(F.col(c)).alias("tokens")) for f, c in fields.items()]
     long = src.select(F.col(id_col).alias("eid"), F.explode(F.array(*texts)).alias("x")).select("eid", "x.field", "x.tokens").filter(F.col("tokens").isNotNull())
-    kept = F.filter(F.transform("tokens", lambda t, i: F.struct(analyzer.stem(t).alias("term"), i.alias("pos"), analyzer.kept(t).alias("kept"))), lambda x: x["kept"])
-    long = long.withColumn("kept", kept)
-    lengths = long.select("eid", "field", F.size("tokens").alias("len"), F.coalesce(F.array_max(F.transform("kept", lambda x: x["pos"])) + 1, F.lit(0)).alias("poslen"))
-    each = long.select("eid", "field", F.size("tokens").alias("len"), F.explode("kept").alias("k"))
-    postings = each.groupBy("field", F.col("k.term").alias("term"), "eid", "len").agg(F.sort_array(F.collect_list("k.pos")).alias("positions"))
+    # one row a token, so that stopwords and stems are compiled code, not lambdas over arrays
+    each = long.select("eid", "field", F.size("tokens").alias("len"), F.posexplode_outer("tokens").alias("pos", "token"))
+    kept = F.col("token").isNotNull() & analyzer.kept(F.col("token"))
+    lengths = each.groupBy("eid", "field", "len").agg(F.coalesce(F.max(F.when(kept, F.col("pos") + 1)), F.lit(0)).alias("poslen"))
+    each = each.filter(kept).select("field", analyzer.stem(F.col("token")).alias("term"), "eid", "len", "pos")
+    postings = each.groupBy("field", "term", "eid", "len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     postings = postings.select("field", "term", "eid", F.size("positions").alias("tf"), "len", "positions")
     return derive_stats(stored, postings, lengths, analyzer)
 
