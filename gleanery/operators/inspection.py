@@ -56,3 +56,11 @@ def list_metadata(index: Index, eid: str, names: list[str]) -> DataFrame:
     """(name, value) of the stored attributes of a document that have a value."""
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names])).alias("x")
     return index.docs.filter(F.col("eid") == eid).select(pairs).select("x.name", "x.value").filter(F.col("value").isNotNull())
+
+
+def to_iid(index: Index, eid: str) -> DataFrame:
+    return list_docids(index).filter(F.col("eid") == eid)
+
+
+def to_eid(index: Index, iid: int) -> DataFrame:
+    return list_docids(index).filter(F.col("iid") == iid)

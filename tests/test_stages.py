@@ -185,3 +185,18 @@ def test_timer():
     assert str(t).endswith(" secs")
     with pytest.raises(RuntimeError):
         t.stop()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gleanery.__main__ import main
+
+    ix = build_index(spark.createDataFrame([("a", "apple pie"), ("b", "pie")], "eid string, body string"), {"body": "body"})
+    ix.write(str(tmp_path / "ix"))
+    assert main(["inspect", str(tmp_path / "ix"), "terms", "body"]) == 0
+    assert main(["inspect", str(tmp_path / "ix"), "eid", "1"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["apple\t1\t1", "pie\t2\t2", "1\tb"]
+    p = {"indexPath": str(tmp_path / "ix"), "queryFilePath": write(tmp_path / "q.qry", "1: apple\n"), "task_1:ranker": {"type": "BM25"}, "task_2:output": {"type": "trec_eval", "outputPath": str(tmp_path / "o"), "outputLength": "5"}}
+    write(tmp_path / "x.param", json.dumps(p))
+    assert main(["run", str(tmp_path / "x.param")]) == 0
+    assert spark.read.text(str(tmp_path / "o")).first().value.startswith("1 Q0 a 1 ")
+    assert main([]) == 1
