@@ -1,4 +1,4 @@
-"""Test passages in a training corpus: rare n-gram seeds find candidates, Smith-Waterman alignment decides."""
+"""Test passages in a training corpus: n-gram seeds find candidates, Smith-Waterman alignment decides."""
 
 from __future__ import annotations
 
@@ -120,54 +120,50 @@ def align_all(items: list[np.ndarray], docs: list[np.ndarray], cells: int = 40_0
     return score, met
 
 
-def _frequency(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, texts = np.zeros(len(items.seeds), np.int64), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.column(1).slice(at, 2000).to_pylist()
-                _, starts, place, seed = hits(part, items)
-                owner = np.searchsorted(starts, place, side="right") - 1
-                seen += np.bincount(np.unique(owner * len(items.seeds) + seed) % max(1, len(items.seeds)), minlength=len(items.seeds))
-                texts += len(part)
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[texts, seen[some]])], names=["seed", "docs"])
-
-    return run
-
+def _aligned(items: Items, least_hits: int, least_share: float, slack: int, most: int = 2_000_000):
+    count = len(items.ids)
+    enough = np.array([max(1, min(least_hits, max(1, len(w) // 2 - items.n))) for w in items.words], np.int64)
+    owners_of = np.diff(items.owner_at)
+
+    def found(texts: list[str | None]) -> Iterator[tuple[int, int, float, float]]:
+        words, starts, place, seed = hits(texts, items)
+        owner = np.searchsorted(starts, place, side="right") - 1
+        # documents at a time whose seeds meet about `most` items, however common the seeds are
+        group = np.cumsum(owners_of[seed]) // most
+        group = group[np.searchsorted(owner, owner)] if len(owner) else group
+        edges = np.flatnonzero(np.r_[True, np.diff(group) != 0, True]) if len(group) else np.zeros(0, int)
+        for lo, hi in zip(edges, edges[1:]):
+            yield from among(words, starts, owner[lo:hi], place[lo:hi], seed[lo:hi])
+
+    def among(words: np.ndarray, starts: np.ndarray, owner: np.ndarray, place: np.ndarray, seed: np.ndarray) -> Iterator[tuple[int, int, float, float]]:
+        times = owners_of[seed]
+        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        item = items.owners[np.repeat(items.owner_at[seed], times) + inner]
+        pair, where = np.repeat(owner, times) * count + item, np.repeat(place, times)
+        order = np.argsort(pair, kind="stable")
+        pair, where = pair[order], where[order]
+        cuts = np.flatnonzero(np.r_[True, np.diff(pair) != 0, True]) if len(pair) else np.zeros(1, int)
+        a, b = cuts[:-1], cuts[1:]
+        keep = b - a >= enough[pair[a] % count]
+        tried: list[tuple[int, int]] = []
+        spans: list[np.ndarray] = []
+        for a, b in zip(a[keep], b[keep]):
+            d, i = divmod(int(pair[a]), count)
+            w = items.words[i]
+            lo = max(starts[d], where[a] - len(w) - slack)
+            span = words[lo : min(starts[d + 1] - items.n, where[b - 1] + len(w) + slack)]
+            # no alignment meets more words than the span has of the item's
+            if np.isin(w, span).sum() >= least_share * len(w):
+                tried.append((d, i))
+                spans.append(span)
+        score, met = align_all([items.words[i] for _, i in tried], spans)
+        yield from ((d, i, m / len(items.words[i]), s) for (d, i), m, s in zip(tried, met, score) if m >= least_share * len(items.words[i]))
 
-def _aligned(items: Items, rare: np.ndarray, least_hits: int, least_share: float, slack: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = len(items.ids)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                words, starts, place, seed = hits(part.column(1).to_pylist(), items)
-                keep = rare[seed]
-                place, seed = place[keep], seed[keep]
-                owner = np.searchsorted(starts, place, side="right") - 1
-                times = items.owner_at[seed + 1] - items.owner_at[seed]
-                inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                item = items.owners[np.repeat(items.owner_at[seed], times) + inner]
-                pair, where, which = np.repeat(owner, times) * count + item, np.repeat(place, times), np.repeat(seed, times)
-                order = np.argsort(pair, kind="stable")
-                pair, where, which = pair[order], where[order], which[order]
-                cuts = np.flatnonzero(np.r_[True, np.diff(pair) != 0, True]) if len(pair) else np.zeros(0, int)
-                tried: list[tuple[int, int]] = []
-                spans: list[np.ndarray] = []
-                for a, b in zip(cuts, cuts[1:]):
-                    d, i = divmod(int(pair[a]), count)
-                    w = items.words[i]
-                    if b - a < least_hits and b - a < max(1, len(w) // 2 - items.n):
-                        continue
-                    lo = max(starts[d], where[a] - len(w) - slack)
-                    span = words[lo : min(starts[d + 1] - items.n, where[b - 1] + len(w) + slack)]
-                    # no alignment meets more words than the span has of the item's
-                    if np.isin(w, span).sum() >= least_share * len(w):
-                        tried.append((d, i))
-                        spans.append(span)
-                score, met = align_all([items.words[i] for _, i in tried], spans)
-                rows = [(d, i, m / len(items.words[i]), s) for (d, i), m, s in zip(tried, met, score) if m >= least_share * len(items.words[i])]
+                rows = list(found(part.column(1).to_pylist()))
                 ds = np.array([r[0] for r in rows], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(ds)), pa.array([items.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.float64())],
@@ -179,17 +175,16 @@ def _aligned(items: Items, rare: np.ndarray, least_hits: int, least_share: float
 
 def leaked_items(
     corpus: DataFrame, doc_id: str, text: str, tests: DataFrame, item_id: str, item_text: str, n: int = 3,
-    least_share: float = 0.5, least_hits: int = 2, common_share: float = 0.005, slack: int = 40, block_words: int = 1_000_000,
+    least_share: float = 0.5, least_hits: int = 2, slack: int = 40, block_words: int = 1_000_000,
 ) -> DataFrame:
     """Documents that hold at least `least_share` of a test item's words, in one place and in order: (doc_id, item_id, share, score).
 
-    Case, punctuation and markup are set aside. Seeds are the items' runs of n words; their document counts are taken
-    over the whole corpus. A seed is too common if it is in more than `common_share` of the documents and in more than four times as many as the median
-    seed of each of its items, so an item copied very often keeps its own. Documents with at least `least_hits` rare seeds of an item
-    (fewer for very short items) are aligned with it by Smith-Waterman with affine gaps, in which altered words and a sentence put in between
-    cost little; share is the part of the item's words met by the best alignment, scanned from the first seed to the last and a margin.
+    Case, punctuation and markup are set aside. Seeds are the items' runs of n words, however common: documents with at least `least_hits` seeds
+    of an item (fewer for very short items) are aligned with it by Smith-Waterman with affine gaps, in which altered words and a sentence put in between
+    cost little, unless they lack too many of the item's words; share is the part of the item's words met by the best alignment, scanned from the first seed
+    to the last and a margin.
 
-    The corpus is read twice and never shuffled. The items travel to the tasks in blocks of about `block_words` words, so
+    The corpus is read once and never shuffled. The items travel to the tasks in blocks of about `block_words` words, so
     their number is not bounded: each further block reads the corpus again. Rows with a null id or text hold nothing; repeated ids give repeated rows. Ids are whole numbers.
     """
     spark = corpus.sparkSession
@@ -203,11 +198,5 @@ def leaked_items(
         items = Items.of([(r["item_id"], r["text"]) for r in mine.collect()], n)
         if not len(items.seeds):
             continue
-        counts = {r["seed"]: r["docs"] for r in docs.mapInArrow(_frequency(items), "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).collect()}
-        seen = np.array([counts.get(s, 0) for s in range(len(items.seeds))], np.int64)
-        of_pair = np.repeat(np.arange(len(items.seeds)), np.diff(items.owner_at))
-        typical = np.array([np.median(seen[of_pair[items.owners == i]]) if (items.owners == i).any() else 0 for i in range(len(items.ids))])
-        highest = np.maximum.reduceat(typical[items.owners], items.owner_at[:-1])
-        rare = (seen <= common_share * counts.get(-1, 0)) | (seen <= 4 * highest)
-        out = out.unionByName(docs.mapInArrow(_aligned(items, rare, least_hits, least_share, slack), out.schema))
+        out = out.unionByName(docs.mapInArrow(_aligned(items, least_hits, least_share, slack), out.schema))
     return out

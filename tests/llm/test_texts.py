@@ -155,6 +155,16 @@ def test_an_item_in_a_third_of_all_documents_keeps_its_seeds(spark):
     assert leakage.leaked_items(df, "doc_id", "text", items, "item_id", "text").count() == 100
 
 
+def test_half_copies_in_a_third_of_all_documents_are_found(spark):
+    one, two = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    edited = " ".join("zzz" if i % 8 == 7 else w for i, w in enumerate(two[:40]))
+    texts = {0: " ".join(one[:30]), 1: edited, 2: " ".join(one[:20])}
+    df = spark.createDataFrame([(i, f"head {i} {texts.get(i % 3)} tail") for i in range(300)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaked_items(df, "doc_id", "text", items, "item_id", "text").collect()}
+    assert got == {(i, i % 3 + 1) for i in range(300) if i % 3 < 2}
+
+
 def test_batched_alignment_equals_the_matrix():
     rng = np.random.default_rng(9)
     items = [rng.integers(1, 6, rng.integers(2, 12)) for _ in range(30)]
