@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.positional import synonym, together
-from gleanery.operators.scale import HEAVY_ROWS, hot_cold_join
+from gleanery.operators.positional import near_walk, synonym, together, window_walk
+from gleanery.operators.scale import HEAVY_ROWS, hot_cold_join, materialise
 from gleanery.operators.topn import top_by_score
 from gleanery.plans.models import BM25, RankedBoolean, UnrankedBoolean
 from gleanery.plans.query import Positions, QuerySyntaxError, Scored, Term, flat_terms, get_query
@@ -145,3 +145,55 @@ def rank_batch(terms: DataFrame, index: Index, model: BM25, n: int = 1000, liste
     score = F.col("weight") * bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("num_docs"), F.col("avg_len"), model.k1, model.b)
     found = met.groupBy("qid", "eid").agg(F.round(F.sum(score), 9).alias("score"))
     return top_by_score(found, "qid", "eid", "score", n).select("qid", "rank", "eid", "score")
+
+
+def rank_set(queries: DataFrame, index: Index, model: BM25, n: int = 1000) -> DataFrame:
+    """(qid, rank, eid, score) of every query of (qid, qstring), whatever its structure.
+
+    Sums of terms are one plan, single #NEAR and #WINDOW of terms another, #AND of terms a third; any other structure is a plan of its own.
+    #AND and #OR have no score in BM25: queries that are one are ranked by ranked Boolean. A text that can't be parsed raises.
+    """
+    analyzer = index.analyzer
+
+    @F.pandas_udf("struct<kind:string,distance:int,args:array<struct<field:string,term:string>>>")
+    def shape(texts: pd.Series) -> pd.DataFrame:
+        def one(t):
+            node = get_query(t, model.default_op, analyzer)
+            inner = node.args[0] if isinstance(node, Scored) and node.op == "SCORE" else node
+            if flat_terms(node) is not None:
+                return "FLAT", 0, []
+            if isinstance(inner, Positions) and inner.op in ("NEAR", "WINDOW") and all(isinstance(a, Term) for a in inner.args):
+                return inner.op, inner.distance, [{"field": a.field, "term": a.term} for a in inner.args]
+            if node.op == "AND" and all(isinstance(a, Scored) and a.op == "SCORE" and isinstance(a.args[0], Term) for a in node.args):
+                return "AND", 0, [{"field": f, "term": t} for f, t in dict.fromkeys((a.args[0].field, a.args[0].term) for a in node.args)]
+            return "OTHER", 0, []
+
+        return pd.DataFrame([one(t) for t in texts], columns=["kind", "distance", "args"])
+
+    @F.pandas_udf("int")
+    def matches(kind: pd.Series, distance: pd.Series, lists: pd.Series) -> pd.Series:
+        walk = {"NEAR": near_walk, "WINDOW": window_walk}
+        return pd.Series([len(walk[k]([list(y) for y in x], d)) for k, d, x in zip(kind, distance, lists)], dtype="int32")
+
+    shaped = materialise(queries.filter(F.col("qstring").isNotNull()).select("qid", "qstring", shape("qstring").alias("s")).select("qid", "qstring", "s.*"))
+    parts = [rank_batch(query_terms(shaped.filter("kind = 'FLAT'"), index, model.default_op), index, model, n)]
+    args = shaped.select("qid", "kind", "distance", F.size("args").alias("k"), F.posexplode("args").alias("i", "a")).select("qid", "kind", "distance", "k", "i", "a.*")
+    terms = args.filter("kind = 'AND'")
+    met = index.postings.select("field", "term", "eid", "tf").join(F.broadcast(terms), ["field", "term"])
+    found = met.groupBy("qid", "eid", "k").agg(F.min("tf").cast("double").alias("score"), F.count(F.lit(1)).alias("met")).filter("met = k")
+    parts.append(top_by_score(found.select("qid", "eid", "score"), "qid", "eid", "score", n))
+    # the positions of all arguments of a query in one page
+    met = index.postings.select("field", "term", "eid", "len", "positions").join(F.broadcast(args.filter("kind IN ('NEAR', 'WINDOW')")), ["field", "term"])
+    lists = F.sort_array(F.collect_list(F.struct("i", "field", "len", "positions")))
+    near = met.groupBy("qid", "eid", "kind", "distance", "k").agg(lists.alias("x")).filter(F.size("x") == F.col("k"))
+    near = near.select("qid", "eid", F.col("x")[0]["field"].alias("field"), F.col("x")[0]["len"].alias("len"), matches("kind", "distance", F.col("x.positions")).alias("tf")).filter("tf > 0")
+    near = materialise(near)
+    stats = index.field_stats.select("field", "num_docs", (F.col("sum_len") / F.col("doc_count")).alias("avg_len"))
+    near = near.join(near.groupBy("qid").agg(F.count(F.lit(1)).alias("df")), "qid").join(F.broadcast(stats), "field")
+    score = F.round(bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("num_docs"), F.col("avg_len"), model.k1, model.b), 9)
+    parts.append(top_by_score(near.select("qid", "eid", score.alias("score")), "qid", "eid", "score", n))
+    for r in shaped.filter("kind = 'OTHER'").collect():
+        node = get_query(r["qstring"], model.default_op, analyzer)
+        own = RankedBoolean() if isinstance(node, Scored) and node.op in ("AND", "OR") else model
+        parts.append(rank_query(r["qstring"], index, own, n, r["qid"]))
+    return reduce(DataFrame.unionByName, [p.select("qid", "rank", "eid", "score") for p in parts])

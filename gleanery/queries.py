@@ -15,7 +15,7 @@ from gleanery.functions import text as T
 from gleanery.operators import answers, dense, feedback, inspection, ltr, passages
 from gleanery.operators.scale import latest
 from gleanery.operators.topn import top_by_score
-from gleanery.plans.compile import positions, query_terms, rank_batch, rank_queries, rank_query
+from gleanery.plans.compile import positions, query_terms, rank_batch, rank_queries, rank_query, rank_set
 from gleanery.plans.models import BM25, RankedBoolean, UnrankedBoolean
 from gleanery.plans.query import get_query
 from gleanery.sources import files, sinks
@@ -386,9 +386,15 @@ qw AS (SELECT qid, term, times / CASE WHEN max(times) OVER (PARTITION BY qid) >
 
 
 def plain_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The queries that the SQL can express; what runs over them has a `_query_set` form over all of them."""
     return query_set(spark, sf).filter(F.col("qstring").isNotNull() & ~F.col("qstring").rlike(r"[#().]"))
 
 
+def bare_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every query with a text, as plain words."""
+    return query_set(spark, sf).filter(F.col("qstring").isNotNull()).select("qid", T.plain_query(F.col("qstring")).alias("qstring"))
+
+
 @query(
     index_sql("body") + f", {_PLAIN} "
     + _top_sql(f"SELECT qid, eid, sum(weight * {_bm25_sql()}) AS score FROM qw JOIN post USING (term) JOIN ts USING (field, term) JOIN fs USING (field) GROUP BY qid, eid", 100)
@@ -399,6 +405,12 @@ def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(rank_batch(query_terms(plain_queries(spark, sf), ix), ix, BM25(), 100))
 
 
+@query()
+def bm25_query_set(spark: SparkSession, sf: str) -> DataFrame:
+    """The best 100 pages of every query of the query set, whatever its structure."""
+    return _shown(rank_set(query_set(spark, sf), stored(spark, sf), BM25(), 100))
+
+
 @query()
 def bm25_structured_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Three structured queries, each its own plan, with nested and positional operators."""
@@ -456,9 +468,9 @@ def prf_expanded_queries(spark: SparkSession, sf: str) -> DataFrame:
 _PAIRS = f"""{_PLAIN}, labels AS (SELECT qid, eid, max(greatest(0, try_cast(rel AS INT)))::INT AS label FROM qrels WHERE try_cast(rel AS INT) IS NOT NULL AND eid IN (SELECT eid FROM recs) AND qid IN (SELECT qid FROM plain) GROUP BY qid, eid)"""
 
 
-def _features(spark: SparkSession, sf: str) -> DataFrame:
+def _features(spark: SparkSession, sf: str, choose: Callable = plain_queries) -> DataFrame:
     ix = stored(spark, sf, "body", "title", "url", "inlink")
-    asked = plain_queries(spark, sf)
+    asked = choose(spark, sf)
     words = asked.select("qid", F.explode(ix.analyzer.terms(F.col("qstring"))).alias("term"))
     return ltr.extract(ltr.training_pairs(asked, table(spark, sf, "qrels"), ix), words, ix)
 
@@ -511,21 +523,38 @@ def ltr_train_join(spark: SparkSession, sf: str) -> DataFrame:
     return ltr.training_pairs(plain_queries(spark, sf), table(spark, sf, "qrels"), index(spark, sf, "title"))
 
 
+@query()
+def ltr_features_query_set(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 features of every judged page of any query."""
+    return _rounded(_features(spark, sf, bare_queries))
+
+
+@query()
+def ltr_minmax_query_set(spark: SparkSession, sf: str) -> DataFrame:
+    scaled = ltr.min_max(_rounded(_features(spark, sf, bare_queries)), [1, 4, 7, 17])
+    return scaled.select("qid", "eid", "label", *[F.round(f"f{i}", 4).alias(f"f{i}") for i in (1, 4, 7, 17)])
+
+
+@query()
+def ltr_train_join_query_set(spark: SparkSession, sf: str) -> DataFrame:
+    return ltr.training_pairs(bare_queries(spark, sf), table(spark, sf, "qrels"), index(spark, sf, "title"))
+
+
 @query()
 def ltr_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """A run's first ten pages in the order of a model trained on the judgements."""
     ix = stored(spark, sf, "body", "title", "url", "inlink")
     how = ltr.Features()
-    model = ltr.fit_pairwise(ltr.min_max(_features(spark, sf), how.ids), how.ids)
+    model = ltr.fit_pairwise(ltr.min_max(_features(spark, sf, bare_queries), how.ids), how.ids)
     run = run_ranking(spark, sf)
-    words = plain_queries(spark, sf).select("qid", F.explode(ix.analyzer.terms(F.col("qstring"))).alias("term"))
+    words = bare_queries(spark, sf).select("qid", F.explode(ix.analyzer.terms(F.col("qstring"))).alias("term"))
     feats = ltr.min_max(ltr.extract(run.filter(F.col("rank") <= 10).select("qid", "eid"), words, ix, how), how.ids)
     return _shown(ltr.rerank(run, feats, model, 10))
 
 
 @query()
 def ltr_feature_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return ltr.feature_lines(_rounded(_features(spark, sf)), ltr.Features().ids)
+    return ltr.feature_lines(_rounded(_features(spark, sf, bare_queries)), ltr.Features().ids)
 
 
 # passages
@@ -552,8 +581,8 @@ head AS (SELECT qid, eid, rank FROM run SEMI JOIN pq USING (qid) WHERE rank <= 1
 scored AS (SELECT qid, eid, rank, psg_no, text, CASE WHEN len(q) > 0 THEN len(list_intersect(q, regexp_extract_all(lower(text), {_TOKEN}))) / len(q) ELSE 0.0 END AS score FROM head JOIN psg USING (eid) JOIN pq USING (qid))"""
 
 
-def _head(spark: SparkSession, sf: str, aggregation: str) -> tuple[DataFrame, DataFrame]:
-    asked, a = plain_queries(spark, sf), T.Analyzer()
+def _head(spark: SparkSession, sf: str, aggregation: str, choose: Callable = plain_queries) -> tuple[DataFrame, DataFrame]:
+    asked, a = choose(spark, sf), T.Analyzer()
     run = run_ranking(spark, sf).join(asked.select("qid"), "qid", "left_semi")
     return run, passages.score_head(run, asked, _passages(spark, sf), lambda q, t: passages.overlap_score(q, t, a), 10, aggregation)
 
@@ -582,10 +611,30 @@ def top_passage(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.passage_lines(_head(spark, sf, "maxp")[1])
 
 
+@query()
+def rerank_firstp_query_set(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores_only(_head(spark, sf, "firstp", bare_queries)[1])
+
+
+@query()
+def rerank_avgp_query_set(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores_only(_head(spark, sf, "avgp", bare_queries)[1])
+
+
+@query()
+def rerank_maxp_query_set(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores_only(_head(spark, sf, "maxp", bare_queries)[1])
+
+
+@query()
+def top_passage_query_set(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.passage_lines(_head(spark, sf, "maxp", bare_queries)[1])
+
+
 @query()
 def rerank_merge(spark: SparkSession, sf: str) -> DataFrame:
     """A run with its first ten pages re-ranked by their best passage."""
-    run, head = _head(spark, sf, "maxp")
+    run, head = _head(spark, sf, "maxp", bare_queries)
     return _shown(passages.merge_head(run, head, 10))
 
 
@@ -603,8 +652,8 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(dense.dense_topk(asked, table(spark, sf, "vectors"), 10, 64))
 
 
-def _best(spark: SparkSession, sf: str) -> DataFrame:
-    asked, a = plain_queries(spark, sf), T.Analyzer()
+def _best(spark: SparkSession, sf: str, choose: Callable = plain_queries) -> DataFrame:
+    asked, a = choose(spark, sf), T.Analyzer()
     pairs = run_ranking(spark, sf).filter(F.col("rank") <= 3).select("qid", "eid", "rank").join(_passages(spark, sf), "eid").join(asked, "qid")
     return answers.best_passages(pairs.withColumn("score", passages.overlap_score(F.col("qstring"), F.col("text"), a)))
 
@@ -622,15 +671,25 @@ def rag_context(spark: SparkSession, sf: str) -> DataFrame:
     return answers.contexts(_best(spark, sf))
 
 
+@query()
+def rag_best_passage_query_set(spark: SparkSession, sf: str) -> DataFrame:
+    return _best(spark, sf, bare_queries)
+
+
+@query()
+def rag_context_query_set(spark: SparkSession, sf: str) -> DataFrame:
+    return answers.contexts(_best(spark, sf, bare_queries))
+
+
 @query()
 def rag_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    return answers.answers(plain_queries(spark, sf), answers.contexts(_best(spark, sf)), 2).select("qid", "prompt")
+    return answers.answers(bare_queries(spark, sf), answers.contexts(_best(spark, sf, bare_queries)), 2).select("qid", "prompt")
 
 
 @query()
 def rag_fallback_answer(spark: SparkSession, sf: str) -> DataFrame:
     """Answers without a model: taken from the passages."""
-    return answers.answers(plain_queries(spark, sf), answers.contexts(_best(spark, sf))).select("qid", "answer")
+    return answers.answers(bare_queries(spark, sf), answers.contexts(_best(spark, sf, bare_queries))).select("qid", "answer")
 
 
 # files
