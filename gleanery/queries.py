@@ -567,24 +567,35 @@ psg AS (
   UNION ALL SELECT eid, 0, t FROM n WHERE k = 0 AND t <> '')"""
 
 
-def _passages(spark: SparkSession, sf: str) -> DataFrame:
-    return passages.passages(docs(spark, sf), "eid", "body_string", "title_string", 60, 30, 5, 6)
+def _passages(spark: SparkSession, sf: str, count: int | None = 5) -> DataFrame:
+    return passages.passages(docs(spark, sf), "eid", "body_string", "title_string", 60, 30, count, 6)
 
 
 @query(f"WITH {_RECS}, {_PSG} SELECT eid, psg_no::INT AS psg_no, text FROM psg")
 def passage_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five windows of each body; passage_windows_whole has all."""
     return _passages(spark, sf)
 
 
+#: The passages of whole bodies.
+_PSG_WHOLE = _PSG.replace("ceil(len(w) / 30), 5)", "ceil(len(w) / 30))")
+
+
+@query(f"WITH {_RECS}, {_PSG_WHOLE} SELECT eid, psg_no::INT AS psg_no, text FROM psg")
+def passage_windows_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _passages(spark, sf, None)
+
+
 _SCORED = f"""{_PSG}, {_QUERIES}, {_RUN20}, pq AS (SELECT qid, list_distinct(list_filter(regexp_extract_all(lower(qstring), {_TOKEN}), lambda x: x NOT IN ({_STOP}))) AS q FROM qs WHERE qstring IS NOT NULL AND NOT regexp_matches(qstring, '[#().]')),
 head AS (SELECT qid, eid, rank FROM run SEMI JOIN pq USING (qid) WHERE rank <= 10),
 scored AS (SELECT qid, eid, rank, psg_no, text, CASE WHEN len(q) > 0 THEN len(list_intersect(q, regexp_extract_all(lower(text), {_TOKEN}))) / len(q) ELSE 0.0 END AS score FROM head JOIN psg USING (eid) JOIN pq USING (qid))"""
 
 
 def _head(spark: SparkSession, sf: str, aggregation: str, choose: Callable = plain_queries) -> tuple[DataFrame, DataFrame]:
+    """Over plain queries the passages are those of the SQL, else whole bodies."""
     asked, a = choose(spark, sf), T.Analyzer()
     run = run_ranking(spark, sf).join(asked.select("qid"), "qid", "left_semi")
-    return run, passages.score_head(run, asked, _passages(spark, sf), lambda q, t: passages.overlap_score(q, t, a), 10, aggregation)
+    return run, passages.score_head(run, asked, _passages(spark, sf, 5 if choose is plain_queries else None), lambda q, t: passages.overlap_score(q, t, a), 10, aggregation)
 
 
 def _scores_only(head: DataFrame) -> DataFrame:
@@ -654,7 +665,7 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def _best(spark: SparkSession, sf: str, choose: Callable = plain_queries) -> DataFrame:
     asked, a = choose(spark, sf), T.Analyzer()
-    pairs = run_ranking(spark, sf).filter(F.col("rank") <= 3).select("qid", "eid", "rank").join(_passages(spark, sf), "eid").join(asked, "qid")
+    pairs = run_ranking(spark, sf).filter(F.col("rank") <= 3).select("qid", "eid", "rank").join(_passages(spark, sf, 5 if choose is plain_queries else None), "eid").join(asked, "qid")
     return answers.best_passages(pairs.withColumn("score", passages.overlap_score(F.col("qstring"), F.col("text"), a)))
 
 

@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 
 from gleanery import queries as core
@@ -31,3 +32,25 @@ def test_prompts_and_rankings_for_structured_queries(spark):
     ranked = {r.qid for r in core.bm25_query_set(spark, SF).select("qid").distinct().collect()}
     plain = {r.qid for r in core.plain_queries(spark, SF).collect()}
     assert ranked <= texts and ranked - plain
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_passages_reach_the_end_of_each_body(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW docs AS SELECT * FROM '{SF}/docs.parquet'")
+    want = con.execute(core.oracle_sql()["passage_windows_whole"]).fetchall()
+    got = [tuple(r) for r in core.queries()["passage_windows_whole"](spark, SF).select("eid", "psg_no", "text").collect()]
+    assert sorted(got) == sorted(want) and max(r[1] for r in got) > 4
+
+
+def test_the_head_is_scored_by_words_beyond_the_fifth_window(spark, tmp_path):
+    body = " ".join(["filler"] * 400 + ["compass", "meadow"])
+    tables = {
+        "docs": spark.createDataFrame([("e1", 1, body, "t", "u", "", "", 1.0, 1.0)], "eid string, crawled_at long, body_string string, title_string string, raw_url string, keywords string, inlink string, spam_score double, page_rank double"),
+        "queries": spark.createDataFrame([("q1", "#SUM(compass meadow)")], "qid string, qstring string"),
+        "rankings": spark.createDataFrame([("bm25", "q1", "e1", 1, 2.0)], "runid string, qid string, eid string, rank int, score double"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [r.score for r in core.rerank_maxp_query_set(spark, str(tmp_path)).collect()] == [1.0]
+    assert "compass meadow" in core.rag_context_query_set(spark, str(tmp_path)).first().context
