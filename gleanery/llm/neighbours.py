@@ -92,18 +92,36 @@ def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values))
 
 
-def _compare(dim: int, k: int, k_extra: int, chunk: int = 1024):
-    """Rows come sorted by (tab, bucket, block, role): the members of a bucket (role 0), which ask as well, then those that only ask (role 1)."""
+def _compare(dim: int, k: int, chunk: int = 1024):
+    """Rows come sorted by (tab, bucket, block, role): the members of a bucket (role 0), which ask as well, then those that only ask (role 1).
+
+    Whoever asks gets its k best members, and each member the k best of those that only asked.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vecs, member_ids, members = None, [], [], None, None
+        askers, near = None, None  # of each member: the k best that asked it, and their cosines
+
+        def mirror(i: np.ndarray, s: np.ndarray) -> None:
+            nonlocal askers, near
+            m = min(k, len(i))
+            pick = np.argpartition(s.T, len(i) - m, axis=1)[:, len(i) - m :]
+            who, cos = i[pick], np.take_along_axis(s.T, pick, axis=1)
+            if askers is not None:
+                who, cos = np.concatenate([askers, who], axis=1), np.concatenate([near, cos], axis=1)
+                if who.shape[1] > k:
+                    pick = np.argpartition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k :]
+                    who, cos = np.take_along_axis(who, pick, axis=1), np.take_along_axis(cos, pick, axis=1)
+            askers, near = who, cos
 
         def asked(qid: np.ndarray, q: np.ndarray, own: bool) -> Iterator[pa.RecordBatch]:
-            m = min(k if own else k_extra, len(member_ids))
+            m = min(k, len(member_ids))
             for at in range(0, len(qid), chunk):
                 i, s = qid[at : at + chunk], q[at : at + chunk] @ members.T
                 if own:
                     s[np.arange(len(i)), at + np.arange(len(i))] = -2
+                else:
+                    mirror(i, s)
                 pick = np.argpartition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m :] if m < s.shape[1] else np.tile(np.arange(m), (len(i), 1))
                 score = np.take_along_axis(s, pick, axis=1)
                 keep = score > -1.5
@@ -118,6 +136,12 @@ def _compare(dim: int, k: int, k_extra: int, chunk: int = 1024):
                 if len(member_ids) > 1:
                     yield from asked(member_ids, members, True)
 
+        def answered() -> Iterator[pa.RecordBatch]:
+            nonlocal askers, near
+            if askers is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(member_ids), _lists(np.full(len(member_ids), askers.shape[1]), askers.ravel()), _lists(np.full(len(member_ids), askers.shape[1]), near.ravel())], names=["cls", "others", "cos"])
+            askers, near = None, None
+
         for batch in batches:
             tab, bucket, block, role, cls = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(5))
             v = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.float32).reshape(-1, dim)
@@ -127,6 +151,7 @@ def _compare(dim: int, k: int, k_extra: int, chunk: int = 1024):
                     continue
                 if (tab[a], bucket[a], block[a]) != key:
                     yield from close()
+                    yield from answered()
                     key, ids, vecs, member_ids, members = (tab[a], bucket[a], block[a]), [], [], None, None
                 if role[a] == 0:
                     ids.append(cls[a:b])
@@ -136,6 +161,7 @@ def _compare(dim: int, k: int, k_extra: int, chunk: int = 1024):
                     if len(member_ids):
                         yield from asked(cls[a:b], v[a:b], False)
         yield from close()
+        yield from answered()
 
     return run
 
@@ -192,7 +218,7 @@ def _units(dim: int):
 
 def nearest_vectors(
     df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 10,
-    tables: int = 6, extra_probes: int = 5, target_bucket: int = 512, largest_block: int = 4096, k_extra: int = 4,
+    tables: int = 6, extra_probes: int = 5, target_bucket: int = 512, largest_block: int = 4096,
 ) -> DataFrame:
     """The k vectors most similar (by cosine) to each vector: (id, place, other_id, cosine).
 
@@ -204,8 +230,8 @@ def nearest_vectors(
     Each of `tables` tables rotates the vectors by signed Hadamard transforms and puts each in the bucket of its nearest
     signed axes; the number of buckets follows the number of vectors, so that about `target_bucket` share one. A vector is
     compared exactly with all members of its own bucket and of the `extra_probes` next likely ones. Buckets over
-    `largest_block` members are cut into blocks which every prober visits, so none is ever skipped. From a bucket that is not
-    its own a vector takes its best `k_extra` partners, from its own and from blocks all k.
+    `largest_block` members are cut into blocks which every prober visits, so none is ever skipped. From each
+    bucket a vector takes its best k partners, and each member the best k of those that asked there, so a pair counts for both sides.
     """
     spark = df.sparkSession
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -231,7 +257,7 @@ def nearest_vectors(
     else:
         entries = entries.withColumn("block", F.lit(0))
     entries = entries.select("tab", "bucket", "block", "role", "cls", "vec").repartition("tab", "bucket", "block").sortWithinPartitions("tab", "bucket", "block", "role")
-    found = entries.mapInArrow(_compare(dim, k, k if large else min(k, k_extra)), "cls long, others array<long>, cos array<float>")
+    found = entries.mapInArrow(_compare(dim, k), "cls long, others array<long>, cos array<float>")
     # a pair may be met in several tables; the best k classes of each class stay
     pairs = found.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merge(k), "cls long, other long, cos double")
     # back from classes to ids: the copies of a class, then its neighbours' copies

@@ -55,6 +55,21 @@ def test_recall_against_brute_force(spark, largest_block):
         assert abs(r.cosine - unit[ids.index(r.id)] @ unit[ids.index(r.other_id)]) < 1e-5
 
 
+def test_a_group_in_another_bucket_is_found_whole_and_from_both_sides(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 16))
+    x = (centres[:, None, :] + 0.25 * rng.normal(size=(60, 11, 16))).reshape(-1, 16)
+    rows = [(i, v.tolist(), "x", 1, 0.0) for i, v in enumerate(x)]
+    got = nearest_vectors(frame(spark, rows), "vec_id", "v", 16, 10, tables=1, extra_probes=4, target_bucket=40).collect()
+    lists = {i: {} for i in range(len(x))}
+    for r in got:
+        lists[r.id][r.other_id] = r.cosine
+    # who is in a list, and nearer than the other's last, has the other in its own
+    assert not [(a, b) for a, near in lists.items() for b, cos in near.items() if a not in lists[b] and (len(lists[b]) < 10 or cos > min(lists[b].values()) + 1e-6)]
+    want = brute(list(range(len(x))), x.astype(np.float32).astype(float), 10)
+    assert sum(r.other_id in want[r.id] for r in got) / (10 * len(x)) > 0.99
+
+
 def test_copies_bad_vectors_and_ties(spark):
     one, two = [1.0, 0.0, 0.0, 0.0], [0.9, 0.1, 0.0, 0.0]
     bad = [(90, None), (91, [0.0] * 4), (92, [1.0]), (93, [NAN, 1, 1, 1]), (94, [float("inf"), 1, 1, 1]), (None, one), (95, [None, 1.0, 1.0, 1.0])]
