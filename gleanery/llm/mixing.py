@@ -86,12 +86,16 @@ def mix_sources(
     docs = documents.select(F.col(id_col).alias("id"), name(F.col(source_col)).alias("key"), (words(F.col(text_col)) if size is None else size.cast("long")).alias("size"))
     docs = docs.join(listed, "key").withColumn("h", F.xxhash64("id", F.lit(seed)))
     docs = materialise(docs)
-    totals = {r["key"]: (r["n"], r["s"]) for r in docs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).collect()}
+    sums = docs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.max("size").alias("most")).collect()
+    totals = {r["key"]: (r["n"], r["s"]) for r in sums}
     count, whole = sum(n for n, _ in totals.values()), sum(s for _, s in totals.values())
     goal = whole if budget is None else budget
     wanted = {k: (r["target_share"], totals.get(k, (0, 0))[1], r["max_repeats"]) for k, r in known.items()}
     until = horizon([(share, have * times) for share, have, times in wanted.values()], goal)
-    plan = [(k, share, have, min(times, int(share * until / have) + 1) if have else min(times, 1)) for k, (share, have, times) in wanted.items() if share > 0 and times > 0]
+    # each queue is behind the fluid one by less than its largest document: all that is drawn ends before these are made up
+    lag = sum(r["most"] or 0 for r in sums)
+    end = max(until, horizon([(share, have * times) for share, have, times in wanted.values()], goal + lag + 1))
+    plan = [(k, share, have, min(times, int(share * end / have) + 1) if have else min(times, 1)) for k, (share, have, times) in wanted.items() if share > 0 and times > 0]
     plan_df = F.broadcast(spark.createDataFrame(plan, "key string, share double, have long, copies int"))
 
     bits = max(1, (count // bin_rows).bit_length())
@@ -105,7 +109,7 @@ def mix_sources(
 
     slots = max(2, 2 * (count // bin_rows + 1))
     wide = max(until, 1e-9)
-    queued = queued.filter(F.col("finish") <= 1.05 * wide + 1).withColumn("slot", F.least(F.floor(F.col("finish") / wide * slots), F.lit(slots + slots // 10 + 1)))
+    queued = queued.filter(F.col("finish") <= 1.001 * end + 1).withColumn("slot", F.least(F.floor(F.col("finish") / wide * slots), F.lit(100 * slots)))
     order = Window.partitionBy("slot").orderBy("finish", "key", "id", "copy").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("one").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     base = queued.groupBy("slot").agg(F.sum("size").alias("b")).withColumn("one", F.lit(1)).select("slot", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("base"))

@@ -216,6 +216,14 @@ def test_shares(spark, bin_rows):
     assert sorted(r.finish for r in drawn)[-1] <= horizon([(0.5, 3003), (0.2, 1200), (0.2, 60)], whole) * 1.01
 
 
+def test_a_very_long_text_leaves_no_budget_unfilled(spark):
+    docs = corpus(spark, {"long": [400], "short": [1] * 100})
+    targets = spark.createDataFrame([("long", 0.5, 1), ("short", 0.5, 6)], "source string, target_share double, max_repeats int")
+    drawn = mix_sources(docs, targets, "doc_id", "text", budget=300).drawn.collect()
+    # the long text ends at 800 and does not fit; 300 words of the other, which end at 600, do
+    assert {r.source for r in drawn} == {"short"} and sum(r.size for r in drawn) == 300
+
+
 def test_mixing_without_rows(spark):
     docs = corpus(spark, {"a": [3]})
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
