@@ -729,6 +729,20 @@ def te2csv_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.evaluation_table(rows.withColumn("metric", F.lit("rows")), ["bm25", "dense", "ltr"])
 
 
+RUNS = ("bm25", "dense", "ltr", "rankedboolean")
+
+
+@query(
+    "WITH m AS (SELECT runid, qid, count(*)::VARCHAR AS value FROM rankings WHERE qid IS NOT NULL GROUP BY runid, qid) SELECT 'rows' AS metric, qid, "
+    + ", ".join(f"max(CASE WHEN runid = '{r}' THEN value END) AS {r}" for r in RUNS)
+    + " FROM m GROUP BY qid"
+)
+def te2csv_pivot_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of all four runs; the SQL of te2csv_pivot has three."""
+    rows = table(spark, sf, "rankings").filter("qid IS NOT NULL").groupBy(F.col("runid").alias("file"), "qid").agg(F.count(F.lit(1)).cast("string").alias("value"))
+    return sinks.evaluation_table(rows.withColumn("metric", F.lit("rows")), list(RUNS))
+
+
 @query("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank, eid)::INT AS rank, eid FROM (SELECT DISTINCT qid, rank, eid FROM rankings WHERE runid = 'dense' AND rank IS NOT NULL AND eid IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank, eid) <= 50")
 def run_file_rank(spark: SparkSession, sf: str) -> DataFrame:
     """A run in the order of its own ranks, the first 50 of a query."""

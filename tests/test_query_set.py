@@ -54,3 +54,15 @@ def test_the_head_is_scored_by_words_beyond_the_fifth_window(spark, tmp_path):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
     assert [r.score for r in core.rerank_maxp_query_set(spark, str(tmp_path)).collect()] == [1.0]
     assert "compass meadow" in core.rag_context_query_set(spark, str(tmp_path)).first().context
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_the_pivot_has_every_run(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW rankings AS SELECT * FROM '{SF}/rankings.parquet'")
+    res = con.execute(core.oracle_sql()["te2csv_pivot_runs"])
+    cols = [d[0] for d in res.description]
+    got = core.queries()["te2csv_pivot_runs"](spark, SF).select(*cols).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(res.fetchall(), key=repr)
+    runs = {r for (r,) in con.execute("SELECT DISTINCT runid FROM rankings WHERE qid IS NOT NULL AND runid IS NOT NULL").fetchall()}
+    assert runs <= set(cols)
