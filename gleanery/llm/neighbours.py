@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators.scale import hot_cold_join
+from gleanery.operators.scale import hot_cold_join, materialise
 
 #: Directions that agree to so many decimals in every coordinate count as copies of each other.
 COPY_DECIMALS = 5
+#: Seconds that one more copy of a vector and one more comparison cost; only their ratio matters for the choice of a plan.
+COPY_COST, PAIR_COST = 3e-6, 2.5e-9
+MOST_TABLES, MOST_PROBES = 16, 32
+#: At most so many buckets are ever cut into blocks: the sizes from which they are follow from it.
+MOST_LARGE = 100_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -53,115 +59,288 @@ def hash_widths(rows: int, dim: int, target: int) -> list[int]:
     return out or [1]
 
 
+_ROTATIONS: dict[tuple[int, int, int], np.ndarray] = {}
+
+
+def _rotation(seed: int, dim: int, axes: int) -> np.ndarray:
+    """The matrix of rotate(), for batches large enough that one product is cheaper than its steps."""
+    key = (seed, dim, axes)
+    if key not in _ROTATIONS:
+        _ROTATIONS[key] = np.ascontiguousarray(rotate(np.eye(dim, dtype=np.float32), seed)[:, :axes])
+    return _ROTATIONS[key]
+
+
 def probes(x: np.ndarray, table: int, widths: list[int], extra: int) -> np.ndarray:
-    """Bucket codes of each row: its own first, then the `extra` next best (the rows' code where there are fewer)."""
+    """Bucket codes of each row: its own first, then the `extra` next best (as many as there are)."""
     codes = np.zeros((len(x), 1), np.int64)
     loss = np.zeros((len(x), 1), np.float32)
     for level, axes in enumerate(widths):
-        y = rotate(x, 1009 * table + level)[:, :axes]
+        y = x @ _rotation(1009 * table + level, x.shape[1], axes)
         both = np.concatenate([y, -y], axis=1)
-        best = np.argsort(-both, axis=1)[:, : extra + 1]
+        if extra:
+            m = min(extra + 1, both.shape[1])
+            best = np.argpartition(-both, m - 1, axis=1)[:, :m] if m < both.shape[1] else np.tile(np.arange(m), (len(x), 1))
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(both, best, axis=1), axis=1), axis=1)
+        else:
+            best = both.argmax(axis=1)[:, None]
         gap = both.max(axis=1, keepdims=True) - np.take_along_axis(both, best, axis=1)
-        total = (loss[:, :, None] + (gap**2)[:, None, :]).reshape(len(x), -1)
-        joint = (codes[:, :, None] * (2 * axes) + best[:, None, :]).reshape(len(x), -1)
+        total = (loss[:, :, None] + (gap**2)[:, None, :]).reshape(len(x), codes.shape[1] * best.shape[1])
+        joint = (codes[:, :, None] * (2 * axes) + best[:, None, :]).reshape(total.shape)
         order = np.argsort(total, axis=1, kind="stable")[:, : extra + 1]
         codes, loss = np.take_along_axis(joint, order, axis=1), np.take_along_axis(total, order, axis=1)
     return codes
 
 
-def _entries(dim: int, tables: int, widths: list[int], extra: int):
+@dataclass(frozen=True)
+class Plan:
+    """Tables, probes besides the own bucket, axes a level, and the share of true neighbours it found in the sample."""
+
+    tables: int
+    extra: int
+    widths: tuple[int, ...]
+    recall: float
+
+    @property
+    def buckets(self) -> int:
+        return math.prod(2 * a for a in self.widths)
+
+
+def choose(x: np.ndarray, near: np.ndarray, asker: np.ndarray, rows: int, recall: float) -> Plan:
+    """The cheapest plan that finds `recall` of the sample's true neighbours.
+
+    x: sampled unit vectors; near[i]: a true neighbour of x[asker[i]]. A pair is met if one's own bucket is among the other's probes in any table, so the
+    codes of the sample and of its neighbours tell the recall of every plan without running it. Two buckets, both probed, compare all with
+    all: there is always a plan.
+    """
+    plans: list[tuple[float, Plan]] = []
+    buckets = 2
+    while buckets == 2 or rows / buckets >= 32:
+        widths = tuple(hash_widths(rows, x.shape[1], max(1, rows / buckets)))
+        count = math.prod(2 * a for a in widths)
+        steps = sorted({min(count, 1 << e) for e in range(MOST_PROBES.bit_length())})
+        met = {p: np.zeros(len(near), bool) for p in steps}
+        open_steps = list(steps)
+        for table in range(MOST_TABLES):
+            mine, theirs = probes(x, table, list(widths), steps[-1] - 1)[asker], probes(near, table, list(widths), steps[-1] - 1)
+            for p in list(open_steps):
+                met[p] |= (theirs[:, :1] == mine[:, :p]).any(axis=1) | (mine[:, :1] == theirs[:, :p]).any(axis=1)
+                found = float(met[p].mean()) if len(near) else 1.0
+                cost = (table + 1) * p * (COPY_COST + PAIR_COST * rows / count)
+                if found >= recall:
+                    plans.append((cost, Plan(table + 1, p - 1, widths, found)))
+                    open_steps.remove(p)
+            least = min((c for c, _ in plans), default=math.inf)
+            if not open_steps or (table + 2) * open_steps[0] * (COPY_COST + PAIR_COST * rows / count) > least:
+                break
+        buckets *= 4
+    return min(plans, key=lambda c: c[0])[1]
+
+
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    """The float32 rows of a binary column without nulls."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
+
+
+def _sampled(sample: np.ndarray, names: np.ndarray, dim: int, k: int):
+    """The k best of the sampled vectors' partners in each batch: (asker, cls, cos, u)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
-                for t in range(tables):
-                    codes = probes(x, t, widths, extra)
-                    for p in range(codes.shape[1]):
-                        n = len(x)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, t, np.int32)), pa.array(codes[:, p]), pa.array(np.full(n, min(p, 1), np.int32)), batch.column(0), raw],
-                            names=["tab", "bucket", "role", "cls", "vec"],
-                        )
+        for batch in batches:
+            x, cls = _vectors(batch.column(1), dim), batch.column(0).to_numpy()
+            s = sample @ x.T
+            s[names[:, None] == cls[None, :]] = -2
+            m = min(k, len(x))
+            pick = np.argpartition(-s, m - 1, axis=1)[:, :m].ravel()
+            asker = np.repeat(np.arange(len(sample)), m)
+            yield pa.RecordBatch.from_arrays([pa.array(asker.astype(np.int32)), pa.array(cls[pick]), pa.array(s[asker, pick]), batch.column(1).take(pa.array(pick))], names=["asker", "cls", "cos", "u"])
 
     return run
 
 
-def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values))
+def plan_for(classes: DataFrame, rows: int, dim: int, k: int, recall: float, sample: int) -> Plan:
+    """Fit the plan on `sample` vectors picked by a hash: their true neighbours among all vectors come from one distributed scan."""
+    if rows < 2:
+        return Plan(1, 1, (1,), 1.0)
+    picked = classes.select("cls", "u").orderBy(F.xxhash64("cls"), "cls").limit(sample).collect()
+    x = np.frombuffer(b"".join(r["u"] for r in picked), np.float32).reshape(-1, dim)
+    names = np.array([r["cls"] for r in picked], np.int64)
+    w = Window.partitionBy("asker").orderBy(F.desc("cos"), "cls")
+    found = classes.select("cls", "u").mapInArrow(_sampled(x, names, dim, k), "asker int, cls long, cos float, u binary")
+    true = found.withColumn("n", F.row_number().over(w)).filter((F.col("n") <= k) & (F.col("cos") > -1.5)).select("asker", "u").collect()  # sample * k rows
+    near = np.frombuffer(b"".join(r["u"] for r in true), np.float32).reshape(-1, dim)
+    return choose(x, near, np.array([r["asker"] for r in true], np.int64), rows, recall)
+
+
+def _own(dim: int, plan: Plan):
+    """(bucket, n): sizes of the buckets, summed within a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _vectors(batch.column(0), dim)
+            own = np.concatenate([t * plan.buckets + probes(x, t, list(plan.widths), 0)[:, 0] for t in range(plan.tables)])
+            bucket, n = np.unique(own, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], names=["bucket", "n"])
+
+    return run
 
-def _compare(dim: int, k: int, chunk: int = 1024):
-    """Rows come sorted by (tab, bucket, block, role): the members of a bucket (role 0), which ask as well, then those that only ask (role 1).
 
-    Whoever asks gets its k best members, and each member the k best of those that only asked.
+def _mixed(a: np.ndarray) -> np.ndarray:
+    """A well-mixed non-negative number of each."""
+    z = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z ^= z >> np.uint64(29)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((z ^ (z >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
+
+
+#: What a vector does in a cell: it is compared with all that ask and with its fellows, or it asks, or it is compared with those that ask only.
+MEMBER, ASKS, LISTED = 0, 1, 2
+
+
+def _cells(own: np.ndarray, bucket: np.ndarray, row: np.ndarray, cls: np.ndarray, large: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell * 4 + role) for each bucket a vector visits.
+
+    A bucket of b blocks is a square of b * b cells: member block i is in the cells (i, 0..b-1), whoever asks is in one column j.
     """
+    b = np.ones(len(bucket), np.int64)
+    if len(large):
+        at = np.minimum(np.searchsorted(large, bucket), len(large) - 1)
+        hit = large[at] == bucket
+        b[hit] = blocks[at[hit]]
+    many = b > 1
+    out_row, out_code = [row[~many]], [(bucket[~many] << 26) | np.where(own[~many], MEMBER, ASKS)]
+    for r, g, n, mine, h in zip(row[many], bucket[many], b[many], own[many], _mixed(cls[row[many]])):
+        i, j = h % n, (h // n) % n
+        every = np.arange(n)
+        if mine:
+            cells = [(i << 14 | every << 2) | np.where(every == 0, MEMBER, LISTED), (every[every != i] << 14 | j << 2) | ASKS]
+        else:
+            cells = [(every << 14 | j << 2) | ASKS]
+        code = np.concatenate(cells) | (g << 26)
+        out_row.append(np.full(len(code), r))
+        out_code.append(code)
+    return np.concatenate(out_row), np.concatenate(out_code)
+
+
+def _sent(dim: int, plan: Plan, large: np.ndarray, blocks: np.ndarray, parts: int):
+    """(part, cls, u, codes): each vector once for each task that holds one of its buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4000):
+                batch = whole.slice(start, 4000)
+                x, cls = _vectors(batch.column(1), dim), batch.column(0).to_numpy()
+                codes = np.concatenate([t * plan.buckets + probes(x, t, list(plan.widths), plan.extra) for t in range(plan.tables)], axis=1)
+                per = codes.shape[1] // plan.tables
+                own = np.tile(np.arange(codes.shape[1]) % per == 0, (len(x), 1))
+                row, code = _cells(own.ravel(), codes.ravel(), np.repeat(np.arange(len(x)), codes.shape[1]), cls, large, blocks)
+                part = _mixed(code >> 2) % parts
+                order = np.lexsort((part, row))
+                row, code, part = row[order], code[order], part[order]
+                first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(part) != 0)])
+                at = pa.array(row[first])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(code))
+                yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), lists], names=["part", "cls", "u", "codes"])
+
+    return run
+
+
+class Best:
+    """The k best partners so far of each of a task's vectors; pairs are kept in a buffer and merged in bulk."""
+
+    def __init__(self, count: int, k: int, cls: np.ndarray):
+        self.k, self.cls = k, cls
+        self.other = np.full((count, k), -1, np.int32)
+        self.cos = np.full((count, k), -2, np.float32)
+        self.floor = np.full(count, -2, np.float32)  # no partner below it can be among the k best
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def meet(self, rows: np.ndarray, others: np.ndarray, s: np.ndarray) -> None:
+        """s: cosines of rows against others, -2 where a vector meets itself."""
+        k, m = self.k, s.shape[1]
+        new = np.flatnonzero(self.floor[rows] == -2)
+        if len(new) and m > k:
+            self.floor[rows[new]] = np.partition(s[new], m - k, axis=1)[:, m - k]
+        i, j = np.nonzero(s >= np.maximum(self.floor[rows], -1.5)[:, None])
+        self.held.append((rows[i], others[j], s[i, j]))
+        self.size += len(i)
+        if self.size > 400_000:
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.size:
+            return
+        row, other, cos = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.size = [], 0
+        known = np.unique(row)
+        old = self.other[known] >= 0
+        row = np.concatenate([row, np.repeat(known, old.sum(axis=1))])
+        other, cos = np.concatenate([other, self.other[known][old]]), np.concatenate([cos, self.cos[known][old]])
+        order = np.argsort(row.astype(np.int64) * len(self.cls) + other, kind="stable")
+        row, other, cos = row[order], other[order], cos[order]
+        once = np.r_[True, (np.diff(row) != 0) | (np.diff(other) != 0)]
+        row, other, cos = row[once], other[once], cos[once]
+        order = np.lexsort((self.cls[other], -cos, row))
+        row, other, cos = row[order], other[order], cos[order]
+        start = np.flatnonzero(np.r_[True, np.diff(row) != 0])
+        nth = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+        keep = nth < self.k
+        self.other[known], self.cos[known] = -1, -2
+        self.other[row[keep], nth[keep]], self.cos[row[keep], nth[keep]] = other[keep], cos[keep]
+        self.floor[known] = np.maximum(self.floor[known], self.cos[known, -1])
+
+
+def _compare(dim: int, k: int, chunk: int = 2048):
+    """Rows of one part after the other: (part, cls, u, codes) to (cls, others, cos), the k best each vector met in the part."""
+
+    def answers(cls: np.ndarray, x: np.ndarray, row: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+        best = Best(len(cls), k, cls)
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        cell = code >> 2
+        edges = np.flatnonzero(np.r_[True, np.diff(cell) != 0, True]) if len(cell) else np.zeros(0, int)
+        for a, b in zip(edges, edges[1:]):
+            role, r = code[a:b] & 3, row[a:b]
+            members, asks = r[role != ASKS], r[role == ASKS]
+            if not len(members):
+                continue
+            own = role[0] == MEMBER
+            known = x[members]
+            for at in range(0, len(members) if own and len(members) > 1 else 0, chunk):
+                mine = members[at : at + chunk]
+                s = known[at : at + chunk] @ known.T
+                s[np.arange(len(mine)), at + np.arange(len(mine))] = -2
+                best.meet(mine, members, s)
+            for at in range(0, len(asks), chunk):
+                mine = asks[at : at + chunk]
+                s = x[mine] @ known.T
+                best.meet(mine, members, s)
+                best.meet(members, mine, np.ascontiguousarray(s.T))
+        best.merge()
+        found = best.other >= 0
+        n = found.sum(axis=1)
+        some = np.flatnonzero(n)
+        ends = pa.array(np.r_[0, np.cumsum(n[some])].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.ListArray.from_arrays(ends, pa.array(cls[best.other[found]])), pa.ListArray.from_arrays(ends, pa.array(best.cos[found]))], names=["cls", "others", "cos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, vecs, member_ids, members = None, [], [], None, None
-        askers, near = None, None  # of each member: the k best that asked it, and their cosines
-
-        def mirror(i: np.ndarray, s: np.ndarray) -> None:
-            nonlocal askers, near
-            m = min(k, len(i))
-            pick = np.argpartition(s.T, len(i) - m, axis=1)[:, len(i) - m :]
-            who, cos = i[pick], np.take_along_axis(s.T, pick, axis=1)
-            if askers is not None:
-                who, cos = np.concatenate([askers, who], axis=1), np.concatenate([near, cos], axis=1)
-                if who.shape[1] > k:
-                    pick = np.argpartition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k :]
-                    who, cos = np.take_along_axis(who, pick, axis=1), np.take_along_axis(cos, pick, axis=1)
-            askers, near = who, cos
-
-        def asked(qid: np.ndarray, q: np.ndarray, own: bool) -> Iterator[pa.RecordBatch]:
-            m = min(k, len(member_ids))
-            for at in range(0, len(qid), chunk):
-                i, s = qid[at : at + chunk], q[at : at + chunk] @ members.T
-                if own:
-                    s[np.arange(len(i)), at + np.arange(len(i))] = -2
-                else:
-                    mirror(i, s)
-                pick = np.argpartition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m :] if m < s.shape[1] else np.tile(np.arange(m), (len(i), 1))
-                score = np.take_along_axis(s, pick, axis=1)
-                keep = score > -1.5
-                n = keep.sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(i), _lists(n, member_ids[pick][keep]), _lists(n, score[keep])], names=["cls", "others", "cos"])
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal members, member_ids
-            if members is None:
-                member_ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-                members = np.concatenate(vecs) if vecs else np.zeros((0, dim), np.float32)
-                if len(member_ids) > 1:
-                    yield from asked(member_ids, members, True)
-
-        def answered() -> Iterator[pa.RecordBatch]:
-            nonlocal askers, near
-            if askers is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(member_ids), _lists(np.full(len(member_ids), askers.shape[1]), askers.ravel()), _lists(np.full(len(member_ids), askers.shape[1]), near.ravel())], names=["cls", "others", "cos"])
-            askers, near = None, None
+        held: dict[int, list] = {}
+
+        def close(part: int) -> Iterator[pa.RecordBatch]:
+            cls, x, n, code = (np.concatenate(c) for c in zip(*held.pop(part)))
+            yield from answers(cls, x, np.repeat(np.arange(len(cls)), n), code)
 
         for batch in batches:
-            tab, bucket, block, role, cls = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(5))
-            v = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.float32).reshape(-1, dim)
-            new = np.flatnonzero((np.diff(tab) != 0) | (np.diff(bucket) != 0) | (np.diff(block) != 0) | (np.diff(role) != 0)) + 1
-            for a, b in zip(np.r_[0, new], np.r_[new, len(tab)]):
-                if b <= a:
-                    continue
-                if (tab[a], bucket[a], block[a]) != key:
-                    yield from close()
-                    yield from answered()
-                    key, ids, vecs, member_ids, members = (tab[a], bucket[a], block[a]), [], [], None, None
-                if role[a] == 0:
-                    ids.append(cls[a:b])
-                    vecs.append(v[a:b])
-                else:
-                    yield from close()
-                    if len(member_ids):
-                        yield from asked(cls[a:b], v[a:b], False)
-        yield from close()
-        yield from answered()
+            parts = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, np.diff(parts) != 0, True])
+            for a, b in zip(cuts, cuts[1:]):
+                rows = batch.slice(a, b - a)
+                for other in [p for p in held if p != parts[a]]:  # parts come sorted
+                    yield from close(other)
+                codes = rows.column(3)
+                held.setdefault(int(parts[a]), []).append((rows.column(1).to_numpy(), _vectors(rows.column(2), dim), codes.value_lengths().to_numpy(), codes.flatten().to_numpy()))
+        for part in list(held):
+            yield from close(part)
 
     return run
 
@@ -195,8 +374,8 @@ def _merge(k: int):
     return run
 
 
-def _units(dim: int):
-    """(id, values) to (id, unit vector, its direction to COPY_DECIMALS places as a digest), for valid vectors only."""
+def _units(dim: int, arrays: bool):
+    """(id, values) to (id, unit vector as bytes, its direction to COPY_DECIMALS places as a digest), for valid vectors only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,15 +389,26 @@ def _units(dim: int):
             x /= np.sqrt((x * x).sum(axis=1))[:, None]
             grid = np.rint(x * 10**COPY_DECIMALS).astype(np.int32)
             digest = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in grid]
-            unit = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.astype(np.float32).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), unit, pa.array(digest, pa.binary())], names=["id", "u", "dir"])
+            x = x.astype(np.float32)
+            out = [batch.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(digest, pa.binary())]
+            if arrays:
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel())))
+            yield pa.RecordBatch.from_arrays(out, names=["id", "u", "dir", "v"][: len(out)])
 
     return run
 
 
+def nearest_units(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, arrays: bool = True) -> DataFrame:
+    """(id, u, dir[, v]): the unit vectors that take part in a search, as bytes and as arrays, and their directions' digests; one for each id."""
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    wanted = ["u", "dir", *(["v"] if arrays else [])]
+    unit = src.mapInArrow(_units(dim, arrays), "id long, u binary, dir binary" + (", v array<float>" if arrays else ""))
+    return unit.groupBy("id").agg(F.min(F.struct(*wanted)).alias("x")).select("id", *[f"x.{c}" for c in wanted])
+
+
 def nearest_vectors(
     df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 10,
-    tables: int = 6, extra_probes: int = 5, target_bucket: int = 512, largest_block: int = 4096,
+    recall: float = 0.97, sample: int = 200, largest_block: int = 16_384, task_vectors: int = 250_000, plan: Plan | None = None,
 ) -> DataFrame:
     """The k vectors most similar (by cosine) to each vector: (id, place, other_id, cosine).
 
@@ -227,39 +417,32 @@ def nearest_vectors(
     them is hashed, and its copies join the lists of all that have it near, at cosine 1 among themselves, so any
     number of copies costs one search. An empty table gives an empty result; other columns are left alone.
 
-    Each of `tables` tables rotates the vectors by signed Hadamard transforms and puts each in the bucket of its nearest
-    signed axes; the number of buckets follows the number of vectors, so that about `target_bucket` share one. A vector is
-    compared exactly with all members of its own bucket and of the `extra_probes` next likely ones. Buckets over
-    `largest_block` members are cut into blocks which every prober visits, so none is ever skipped. From each
-    bucket a vector takes its best k partners, and each member the best k of those that asked there, so a pair counts for both sides.
+    Each table rotates the vectors by signed Hadamard transforms and puts each in the bucket of its nearest signed axes. A vector is
+    compared exactly with all members of its own bucket and of the next likely ones, and each member with all that asked it, so a pair counts for both sides.
+    Numbers of tables, probes and buckets are chosen at every size (or given as `plan`): the true neighbours of `sample` vectors are found by
+    one scan of all, and of the plans that meet at least `recall` of them the cheapest is taken. In a small table that is a comparison of all with all.
+
+    A vector travels once to each task that holds one of its buckets, however many of its buckets are there. Buckets over `largest_block` members are cut into
+    squares of blocks, so that a task holds about `task_vectors` vectors however large a bucket is, and none is ever skipped.
     """
     spark = df.sparkSession
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    unit = src.mapInArrow(_units(dim), "id long, u array<float>, dir binary")
-    # a class of copies: its least id, its first k + 1 ids (enough for any list of k), its size
-    w = Window.partitionBy("dir").orderBy("id")
-    unit = unit.groupBy("id").agg(F.min(F.struct("u", "dir")).alias("x")).select("id", "x.u", "x.dir")
-    first = unit.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k + 1)
-    classes = first.groupBy("dir").agg(F.min("id").alias("cls"), F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("u", "id").alias("u"))
+    unit = materialise(nearest_units(df, id_col, vector_col, dim, False))
+    # a class of copies: its least id, its first k + 1 ids (enough for any list of k), its vector
+    first = unit.withColumn("nth", F.row_number().over(Window.partitionBy("dir").orderBy("id"))).filter(F.col("nth") <= k + 1)
+    classes = materialise(first.groupBy("dir").agg(F.min("id").alias("cls"), F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("u", "id").alias("u")))
     rows = classes.count()
-    widths = hash_widths(rows, dim, target_bucket)
-    entries = classes.select("cls", "u").mapInArrow(_entries(dim, tables, widths, extra_probes), "tab int, bucket long, role int, cls long, vec binary")
-    sizes = classes.select("cls", "u").mapInArrow(_entries(dim, tables, widths, 0), "tab int, bucket long, role int, cls long, vec binary")
-    # buckets over the limit: at most tables * rows / largest_block of them
-    large = sizes.groupBy("tab", "bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > largest_block).select("tab", "bucket", F.ceil(F.col("n") / largest_block).cast("int").alias("blocks")).collect()
-    if large:
-        cut = F.broadcast(spark.createDataFrame(large, "tab int, bucket long, blocks int"))
-        entries = entries.join(cut, ["tab", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-        # a member asks in the other blocks too
-        entries = entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        entries = entries.withColumn("role", F.when((F.col("role") == 0) & (F.col("block") == mine), 0).otherwise(1))
-    else:
-        entries = entries.withColumn("block", F.lit(0))
-    entries = entries.select("tab", "bucket", "block", "role", "cls", "vec").repartition("tab", "bucket", "block").sortWithinPartitions("tab", "bucket", "block", "role")
-    found = entries.mapInArrow(_compare(dim, k), "cls long, others array<long>, cos array<float>")
-    # a pair may be met in several tables; the best k classes of each class stay
-    pairs = found.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merge(k), "cls long, other long, cos double")
+    plan = plan or plan_for(classes, rows, dim, k, recall, sample)
+    limit = max(largest_block, rows * plan.tables // MOST_LARGE)
+    sizes = classes.select("u").mapInArrow(_own(dim, plan), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    cut = sizes.filter(F.col("n") > limit).orderBy("bucket").collect()  # at most MOST_LARGE rows
+    large = np.array([r["bucket"] for r in cut], np.int64)
+    blocks = np.array([min(4096, -(-r["n"] // limit)) for r in cut], np.int64)
+    visits = rows * plan.tables * (plan.extra + 1) + int((2 * limit * blocks * blocks).sum())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), visits // task_vectors + 1)
+    sent = classes.select("cls", "u").mapInArrow(_sent(dim, plan, large, blocks, parts), "part int, cls long, u binary, codes array<long>")
+    met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_compare(dim, k), "cls long, others array<long>, cos array<float>")
+    # a pair may be met in several tasks; the best k classes of each class stay
+    pairs = met.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merge(k), "cls long, other long, cos double")
     # back from classes to ids: the copies of a class, then its neighbours' copies
     members = classes.select("cls", "ids")
     many = members.filter(F.size("ids") > 1).select(F.col("cls").alias("other"), F.col("ids").alias("others"))

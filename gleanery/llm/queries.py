@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.boilerplate import page_lines
@@ -13,10 +13,11 @@ from gleanery.llm.frequency import frequencies, marks
 from gleanery.llm.language import label_languages
 from gleanery.llm.leakage import leaked_items
 from gleanery.llm.mixing import Mix, mix_sources
-from gleanery.llm.neighbours import nearest_vectors
+from gleanery.llm.neighbours import nearest_units, nearest_vectors
 from gleanery.llm.outranking import INDIFFERENCE, PREFERENCE, net_flow
 from gleanery.llm.splitting import split_oversized
 from gleanery.llm.topn import top_n_per_group
+from gleanery.operators.dense import dense_topk
 from gleanery.operators.scale import latest
 
 RUNS = ["bm25", "rankedboolean", "dense", "ltr"]
@@ -54,6 +55,25 @@ WITH good AS (
 SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM good a JOIN good b ON a.vec_id < b.vec_id
 WHERE list_cosine_similarity(a.v, b.v) >= 0.92"""
 
+
+def p1_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """For every vector whose id is divisible by 100: how many of its true ten nearest, found by comparing it with all vectors, the operator has."""
+    good = nearest_units(table(spark, sf, "query_vectors"), "vec_id", "query_vector").select(F.col("id"), "v")
+    asked = good.filter(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), F.col("v").alias("query_vector"))
+    true = dense_topk(asked, good.select(F.col("id").alias("eid"), F.col("v").alias("embedding")), 11, 64).filter(F.col("qid") != F.col("eid"))
+    true = true.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "eid"))).filter(F.col("n") <= 10)
+    last = true.groupBy(F.col("qid").cast("long").alias("id")).agg(F.min("score").alias("last"), F.count(F.lit(1)).alias("neighbours"))
+    near = neighbours(spark, sf).filter(F.col("id") % 100 == 0)
+    found = last.join(near, "id", "left").groupBy(F.col("id").alias("vec_id"), "neighbours").agg(F.count_if(F.col("cosine") >= F.col("last") - 1e-6).alias("found"))
+    return found.select("vec_id", "neighbours", "found")
+
+
+P1_RECALL = """
+WITH good AS (
+  SELECT vec_id FROM query_vectors WHERE len(query_vector) = 64 AND len(list_filter(query_vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    AND len(list_filter(query_vector, lambda x: x <> 0)) > 0)
+SELECT vec_id, least(10, (SELECT count(*) FROM good) - 1) AS neighbours, least(10, (SELECT count(*) FROM good) - 1) AS found FROM good WHERE vec_id % 100 = 0"""
+
 # 2: one ranking from several scores
 
 
@@ -346,6 +366,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND,
+        "p1_recall": P1_RECALL,
         "p2_found": P2_FOUND,
         "p2_net_flow": P2_NET_FLOW,
         "p3_found": f"SELECT runid, qid, eid FROM ({_P3})",

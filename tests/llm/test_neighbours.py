@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from gleanery.llm.neighbours import hadamard, hash_widths, nearest_vectors, probes, rotate
+from gleanery.llm.neighbours import Plan, choose, hadamard, hash_widths, nearest_vectors, probes, rotate
 
 NAN = float("nan")
 
@@ -44,7 +44,7 @@ def test_recall_against_brute_force(spark, largest_block):
     x = np.concatenate([base, base[:40] + 0.05 * rng.normal(size=(40, 16)), rng.normal(size=(300, 16))]) * rng.uniform(0.1, 50, size=(400, 1))
     ids = list(range(0, 4000, 10))
     rows = [(i, v.tolist(), "x", 1, 0.0) for i, v in zip(ids, x)]
-    got = nearest_vectors(frame(spark, rows).repartition(3), "vec_id", "v", 16, 5, target_bucket=64, largest_block=largest_block).collect()
+    got = nearest_vectors(frame(spark, rows).repartition(3), "vec_id", "v", 16, 5, plan=Plan(6, 5, tuple(hash_widths(400, 16, 64)), 0.0), largest_block=largest_block).collect()
     want = brute(ids, x.astype(np.float32).astype(float), 5)
     hits = sum(r.other_id in want[r.id] for r in got)
     assert len(got) == 5 * 400 and hits / len(got) > 0.95
@@ -60,7 +60,7 @@ def test_a_group_in_another_bucket_is_found_whole_and_from_both_sides(spark):
     centres = rng.normal(size=(60, 16))
     x = (centres[:, None, :] + 0.25 * rng.normal(size=(60, 11, 16))).reshape(-1, 16)
     rows = [(i, v.tolist(), "x", 1, 0.0) for i, v in enumerate(x)]
-    got = nearest_vectors(frame(spark, rows), "vec_id", "v", 16, 10, tables=1, extra_probes=4, target_bucket=40).collect()
+    got = nearest_vectors(frame(spark, rows), "vec_id", "v", 16, 10, plan=Plan(1, 4, tuple(hash_widths(660, 16, 40)), 0.0)).collect()
     lists = {i: {} for i in range(len(x))}
     for r in got:
         lists[r.id][r.other_id] = r.cosine
@@ -90,3 +90,30 @@ def test_empty_and_single(spark):
 def test_a_repeated_id_counts_once(spark):
     rows = [(1, [1.0, 0, 0, 0], "x", 1, 0.0)] * 3 + [(2, [0, 1.0, 0, 0], "x", 1, 0.0)]
     assert {(r.id, r.other_id) for r in nearest_vectors(frame(spark, rows), "vec_id", "v", 4).collect()} == {(1, 2), (2, 1)}
+
+
+def test_the_plan_follows_the_number_of_rows_and_meets_the_recall():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = x[:100] @ x.T
+    s[np.arange(100), np.arange(100)] = -2
+    near = np.argsort(-s, axis=1)[:, :10]
+    small, large = (choose(x[:100], x[near.ravel()], np.repeat(np.arange(100), 10), rows, 0.95) for rows in (50, 50_000_000))
+    assert small.recall == 1.0 and small.buckets == small.extra + 1
+    assert large.buckets > 32 and large.recall >= 0.95
+    met = np.zeros((100, 10), bool)
+    for t in range(large.tables):
+        mine, theirs = probes(x[:100], t, list(large.widths), large.extra), probes(x[near.ravel()], t, list(large.widths), large.extra)
+        met |= (theirs[:, 0].reshape(100, 10, 1) == mine[:, None, :]).any(axis=2) | (theirs.reshape(100, 10, -1) == mine[:, None, :1]).any(axis=2)
+    assert met.mean() == pytest.approx(large.recall)
+
+
+@pytest.mark.parametrize("largest_block", [50, 10_000])
+def test_one_bucket_with_most_vectors_is_compared_whole(spark, largest_block):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.eye(16)[0] + 0.05 * rng.normal(size=(300, 16)), rng.normal(size=(60, 16))])
+    rows = [(i, v.tolist(), "x", 1, 0.0) for i, v in enumerate(x)]
+    got = nearest_vectors(frame(spark, rows), "vec_id", "v", 16, 5, plan=Plan(1, 31, (16,), 1.0), largest_block=largest_block, task_vectors=500).collect()
+    want = brute(list(range(len(x))), x.astype(np.float32).astype(float), 5)
+    assert len(got) == 5 * len(x) and sum(r.other_id in want[r.id] for r in got) / len(got) > 0.999
