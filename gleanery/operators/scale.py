@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -10,13 +11,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: More rows than this make a group heavy; no more than MOST_HEAVY groups are ever treated so.
+#: Rows from which a key is hot in a join; the MOST_HEAVY hottest are met by broadcast, any further one holds less than a MOST_HEAVY-th of all rows.
 HEAVY_ROWS = 250_000
 MOST_HEAVY = 10_000
+#: A group is heavy from a SHARE-th of a task's fair share of all rows on, but not below LEAST_HEAVY rows.
+SHARE, LEAST_HEAVY = 4, 10_000
+#: Tables written by materialise() and not yet released: (session, path).
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir, or set on the context; a temporary one only where neither is and all runs in one process (tests).
+
+    On a cluster a folder has to be named: a machine's own is no place for what other machines read.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
@@ -25,6 +33,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not current.isDefined():
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "gleanery-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -35,24 +45,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def heavy_keys(df: DataFrame, keys: list[str], limit: int = HEAVY_ROWS, most: int = MOST_HEAVY) -> DataFrame | None:
-    """The groups of more than `limit` rows with their exact counts (`rows_in_group`), heaviest first; None if there are none.
+def heavy_limit(rows: int, spark: SparkSession) -> int:
+    """Rows from which a group is heavy: a part of a task's fair share. So no more than SHARE * (number of tasks) groups can be."""
+    return max(LEAST_HEAVY, rows // (SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
 
-    At most `most` groups come back, so the result may be broadcast; a group left out has at most |df| / most rows.
+def heavy_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
+    """The groups of more than `limit` rows with their exact counts (`rows_in_group`); None if there are none.
+
+    At most |df| / limit groups come back; with heavy_limit() that is a multiple of the number of tasks, so the result may be broadcast.
     """
-    found = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_in_group")).filter(F.col("rows_in_group") > limit)
-        .orderBy(F.desc("rows_in_group"), *keys).limit(most)
-    )
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_in_group")).filter(F.col("rows_in_group") > limit)
     rows = found.collect()
     return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on all keys."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def split_by(df: DataFrame, heavy: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows of heavy groups with rows_in_group, all other rows); heavy comes from heavy_keys and is bounded."""
     small = F.broadcast(heavy.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "rows_in_group"))
@@ -111,5 +118,20 @@ def latest(df: DataFrame, key: str, when: str, others: list[str]) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """Write df once as Parquet beside the checkpoints and read it back: for a large table that several branches need."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete the tables of materialise(), for when results are written; DataFrames that still read them fail from then on."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 the session has ended; its folder goes with the shared folder's cleaning
+            return
+
+
+atexit.register(release)
