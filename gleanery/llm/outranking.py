@@ -5,32 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators.scale import HEAVY_ROWS, heavy_keys, numbered, split_by
+from gleanery.operators.scale import heavy_keys, heavy_limit, numbered, split_by
 
 #: Differences in percentile up to the first do not count; from the second on they count in full.
 INDIFFERENCE, PREFERENCE = 0.02, 0.25
 
 
-def net_of(x: Column, below: list[tuple[Column, Column]], n: Column, total: Column, q: float, p: float) -> Column:
-    """Net flow of percentile x among n; below: (count, sum) of the percentiles up to x-p, x-q, x+q, x+p."""
+def net_of(x: Column, below: list[tuple[Column, Column]], n: Column, q: float, p: float) -> tuple[Column, Column]:
+    """(net flow of percentile x among n, summed strengths of others over it); below: (count, sum) of the percentiles up to x-p, x-q, x+q, x+p."""
     (c1, s1), (c2, s2), (c3, s3), (c4, s4) = below
     plus = c1 + ((c2 - c1) * (x - q) - (s2 - s1)) / (p - q)
     minus = (n - c4) + ((s4 - s3) - (c4 - c3) * (x + q)) / (p - q)
-    return F.when(n > 1, (plus - minus) / (n - 1)).otherwise(F.lit(0.0))
+    return F.when(n > 1, (plus - minus) / (n - 1)).otherwise(F.lit(0.0)).alias("flow"), minus.alias("minus")
 
 
 def _light(items: DataFrame, q: float, p: float) -> DataFrame:
-    """(g, c, item, place, pct, flow) of groups that fit a window."""
+    """(g, c, item, place, pct, flow, minus) of groups that fit a window: one sort by value gives the count up to each item, and with it place and percentile."""
     key = Window.partitionBy("g", "c")
     fine = key.orderBy(F.asc("value"), F.desc("item"))
     items = items.withColumn("n", F.count(F.lit(1)).over(key)).withColumn("nth", F.row_number().over(fine))
-    up = key.orderBy("value")
-    items = items.select("g", "c", "item", "n", (F.col("n") - F.col("nth") + 1).alias("place"), ((F.rank().over(up) - 1 + F.count(F.lit(1)).over(up.rangeBetween(Window.unboundedPreceding, 0))) / (2.0 * F.col("n"))).alias("pct"))
+    tie = Window.partitionBy("g", "c", "value")
+    pct = (F.min("nth").over(tie) - 1 + F.max("nth").over(tie)) / (2.0 * F.col("n"))
+    items = items.select("g", "c", "item", "n", (F.col("n") - F.col("nth") + 1).alias("place"), pct.alias("pct"))
     over = lambda d: f"over (partition by g, c order by pct range between unbounded preceding and {abs(d)!r}D {'preceding' if d < 0 else 'following'})"
     cols = [F.expr(f"coalesce({v} {over(d)}, 0)").alias(f"b{i}{j}") for i, d in enumerate((-p, -q, q, p)) for j, v in enumerate(("count(1)", "sum(pct)"))]
     items = items.select("*", *cols)
     pairs = [(F.col(f"b{i}0"), F.col(f"b{i}1")) for i in range(4)]
-    return items.select("g", "c", "item", "place", "pct", net_of(F.col("pct"), pairs, F.col("n"), F.lit(0.0), q, p).alias("flow"))
+    return items.select("g", "c", "item", "place", "pct", *net_of(F.col("pct"), pairs, F.col("n"), q, p))
 
 
 def _hot(items: DataFrame, q: float, p: float, heavy_rows: int) -> DataFrame:
@@ -59,30 +60,30 @@ def _hot(items: DataFrame, q: float, p: float, heavy_rows: int) -> DataFrame:
     same = lambda a, b: F.col(f"{a}g").eqNullSafe(F.col(f"{b}g")) & (F.col(f"{a}c") == F.col(f"{b}c")) & (F.col(f"{a}value") == F.col(f"{b}value"))
     wide = wide.withColumnsRenamed({"g": "xg", "c": "xc", "value": "xvalue"})
     pairs = [(F.col(f"b{i}0"), F.col(f"b{i}1")) for i in range(4)]
-    flows = blocks.join(wide, same("", "x")).select(F.col("g").alias("yg"), F.col("c").alias("yc"), F.col("value").alias("yvalue"), "n", "pct", "cnt", net_of(F.col("pct"), pairs, F.col("n"), F.lit(0.0), q, p).alias("flow"))
+    flows = blocks.join(wide, same("", "x")).select(F.col("g").alias("yg"), F.col("c").alias("yc"), F.col("value").alias("yvalue"), "n", "pct", "cnt", *net_of(F.col("pct"), pairs, F.col("n"), q, p))
     # a score shared by very many is one row here: such rows (at most 1000) are broadcast, the rest meet by shuffle
     big = F.broadcast(flows.filter(F.col("cnt") > heavy_rows // 10).orderBy(F.desc("cnt"), "yc", "yvalue").limit(1000))
     place = (F.col("n") - F.col("nth") + 1).alias("place")
     keys = [F.col("g").eqNullSafe(F.col("zg")) & (F.col("c") == F.col("zc")) & (F.col("value") == F.col("zvalue"))][0]
     named = big.select(F.col("yg").alias("zg"), F.col("yc").alias("zc"), F.col("yvalue").alias("zvalue"))
     rest = flows.join(named, F.col("yg").eqNullSafe(F.col("zg")) & (F.col("yc") == F.col("zc")) & (F.col("yvalue") == F.col("zvalue")), "left_anti")
-    common = numbers.join(big, same("", "y")).select("g", "c", "item", place, "pct", "flow")
-    return common.unionByName(numbers.join(named, keys, "left_anti").join(rest, same("", "y")).select("g", "c", "item", place, "pct", "flow"))
+    common = numbers.join(big, same("", "y")).select("g", "c", "item", place, "pct", "flow", "minus")
+    return common.unionByName(numbers.join(named, keys, "left_anti").join(rest, same("", "y")).select("g", "c", "item", place, "pct", "flow", "minus"))
 
 
 def net_flow(
     df: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None,
-    indifference: float = INDIFFERENCE, preference: float = PREFERENCE, heavy_rows: int = HEAVY_ROWS,
+    indifference: float = INDIFFERENCE, preference: float = PREFERENCE, heavy_rows: int | None = None,
 ) -> DataFrame:
-    """Rank the items of each group by weighted net flow: (group, item, net, rank, place_1.., flow_1..).
+    """Rank the items of each group by weighted net flow: (group, item, net, rank, place_1.., flow_1.., minus_1..).
 
     `df` holds one row an item and group, with a column for each score, higher being better. Within a group each score becomes
     a percentile (ties share the middle one). Item a is preferred to b by a score with strength 0 up to a difference of
     `indifference`, 1 from `preference` on, linear between; flow = mean strength over others minus mean strength of others over
     it. The net is the weighted mean of the flows; a null or NaN score gives flow 0 and takes no part in that score's percentiles.
-    place_i is the rank by score i alone (ties by item), null without a score. The last rank orders by (net, item).
+    place_i is the rank by score i alone (ties by item), minus_i the summed strength of all others over the item by score i; both are null without a score. The last rank orders by (net, item).
     Rows with a null item are dropped, a null group is a group. All sums are exact prefix sums over sorted
-    percentiles; no pair is ever formed. Groups of over `heavy_rows` rows are sorted by range over all tasks.
+    percentiles; no pair is ever formed. Groups of over `heavy_rows` rows (by default a part of a task's fair share of all rows) are sorted by range over all tasks.
     """
     if not 0 <= indifference < preference:
         raise ValueError("0 <= indifference < preference is needed")
@@ -91,15 +92,16 @@ def net_flow(
     src = src.filter(F.col("item").isNotNull())
     long = src.select("g", "item", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"s{i}").alias("value")) for i in range(len(scores))])).alias("x")).select("g", F.col("x.c").alias("c"), "item", F.col("x.value").alias("value"))
     long = long.filter(F.col("value").isNotNull())
+    heavy_rows = heavy_rows or heavy_limit(src.count(), df.sparkSession)
     heavy = heavy_keys(src, ["g"], heavy_rows)
     if heavy is None:
         flows = _light(long, indifference, preference)
     else:
         hot, cold = split_by(long, heavy, ["g"])
         flows = _light(cold, indifference, preference).unionByName(_hot(hot, indifference, preference, heavy_rows))
-    every = src.select("g", "item", F.lit(-1).alias("c"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("double").alias("pct"), F.lit(0.0).alias("flow"))
+    every = src.select("g", "item", F.lit(-1).alias("c"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("double").alias("pct"), F.lit(0.0).alias("flow"), F.lit(None).cast("double").alias("minus"))
     pick = lambda i, v: F.max(F.when(F.col("c") == i, F.col(v)))
-    wide = flows.unionByName(every).groupBy("g", "item").agg(*[pick(i, "place").alias(f"place_{i + 1}") for i in range(len(scores))], *[pick(i, "flow").alias(f"flow_{i + 1}") for i in range(len(scores))])
+    wide = flows.unionByName(every).groupBy("g", "item").agg(*[pick(i, v).alias(f"{v}_{i + 1}") for v in ("place", "flow", "minus") for i in range(len(scores))])
     net = sum((F.coalesce(F.col(f"flow_{i + 1}"), F.lit(0.0)) * w for i, w in enumerate(weights)), F.lit(0.0)) / float(sum(weights))
     wide = wide.withColumn("net", F.round(net, 9) + 0.0)
     best = [F.desc("net"), F.asc("item")]

@@ -18,7 +18,7 @@ from gleanery.llm.outranking import INDIFFERENCE, PREFERENCE, net_flow
 from gleanery.llm.splitting import split_oversized
 from gleanery.llm.topn import top_n_per_group
 from gleanery.operators.dense import dense_topk
-from gleanery.operators.scale import latest
+from gleanery.operators.scale import heavy_limit, hot_cold_join, latest, materialise
 
 RUNS = ["bm25", "rankedboolean", "dense", "ltr"]
 CRITERIA = [*RUNS, "page_rank"]
@@ -82,8 +82,11 @@ def flows(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "rankings").select("qid", "eid", "runid", F.col("score").cast("double").alias("score")).filter(F.col("eid").isNotNull())
     good = F.when(F.col("score").isNotNull() & ~F.isnan("score"), F.col("score"))
     wide = rows.groupBy("qid", "eid").agg(*[F.max(F.when(F.col("runid") == r, good)).alias(r) for r in RUNS])
+    wide = materialise(wide)
+    # every candidate once with the number of its rows, so that one of very many queries is met where its rows lie
     pages = latest(table(spark, sf, "docs"), "eid", "crawled_at", ["page_rank"])
-    return net_flow(wide.join(pages, "eid", "left"), "qid", "eid", CRITERIA)
+    known = wide.groupBy("eid").agg(F.count(F.lit(1)).alias("asked")).join(pages, "eid", "left")
+    return net_flow(materialise(hot_cold_join(wide, known, "eid", "asked", heavy_limit(wide.count(), spark))), "qid", "eid", CRITERIA)
 
 
 def p2_net_flow(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,10 +95,13 @@ def p2_net_flow(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates among the best three by each of the five scores."""
-    best = flows(spark, sf).filter(F.col("rank") > 0)  # the check by places follows the whole ranking
-    for i in range(len(CRITERIA)):
-        best = best.filter(F.col(f"place_{i + 1}") <= 3)
+    """Candidates among the best three by each of the five scores.
+
+    Others are preferred to such a candidate with a strength of at most two in all by any score, and few candidates come so far; their places decide.
+    """
+    best = flows(spark, sf)
+    for i in range(1, len(CRITERIA) + 1):
+        best = best.filter((F.col(f"minus_{i}") <= 2 + 1e-6) & (F.col(f"place_{i}") <= 3))
     return best.select("qid", "eid")
 
 
