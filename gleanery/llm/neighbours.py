@@ -18,8 +18,10 @@ from gleanery.operators.scale import hot_cold_join, materialise
 #: Directions that agree to so many decimals in every coordinate count as copies of each other.
 COPY_DECIMALS = 5
 #: Seconds that one more copy of a vector and one more comparison cost; only their ratio matters for the choice of a plan.
-COPY_COST, PAIR_COST = 3e-6, 2.5e-9
-MOST_TABLES, MOST_PROBES = 16, 32
+COPY_COST, PAIR_COST = 4e-6, 2e-9
+MOST_TABLES, MOST_PROBES = 32, 16
+#: Most vectors a bucket on average.
+FULL = 4096
 #: At most so many buckets are ever cut into blocks: the sizes from which they are follow from it.
 MOST_LARGE = 100_000
 
@@ -109,12 +111,15 @@ def choose(x: np.ndarray, near: np.ndarray, asker: np.ndarray, rows: int, recall
     """The cheapest plan that finds `recall` of the sample's true neighbours.
 
     x: sampled unit vectors; near[i]: a true neighbour of x[asker[i]]. A pair is met if one's own bucket is among the other's probes in any table, so the
-    codes of the sample and of its neighbours tell the recall of every plan without running it. Two buckets, both probed, compare all with
-    all: there is always a plan.
+    codes of the sample and of its neighbours tell the recall of every plan without running it. Buckets hold FULL vectors at most on average, so that the
+    work does not grow with the square of the rows; if no plan finds enough, the one that finds most is taken.
     """
     plans: list[tuple[float, Plan]] = []
+    most = Plan(1, 0, (1,), -1.0)
     buckets = 2
-    while buckets == 2 or rows / buckets >= 32:
+    while rows / buckets > FULL:
+        buckets *= 2
+    while rows / buckets >= 64 or buckets == 2:
         widths = tuple(hash_widths(rows, x.shape[1], max(1, rows / buckets)))
         count = math.prod(2 * a for a in widths)
         steps = sorted({min(count, 1 << e) for e in range(MOST_PROBES.bit_length())})
@@ -126,14 +131,16 @@ def choose(x: np.ndarray, near: np.ndarray, asker: np.ndarray, rows: int, recall
                 met[p] |= (theirs[:, :1] == mine[:, :p]).any(axis=1) | (mine[:, :1] == theirs[:, :p]).any(axis=1)
                 found = float(met[p].mean()) if len(near) else 1.0
                 cost = (table + 1) * p * (COPY_COST + PAIR_COST * rows / count)
+                if found > most.recall:
+                    most = Plan(table + 1, p - 1, widths, found)
                 if found >= recall:
                     plans.append((cost, Plan(table + 1, p - 1, widths, found)))
                     open_steps.remove(p)
             least = min((c for c, _ in plans), default=math.inf)
             if not open_steps or (table + 2) * open_steps[0] * (COPY_COST + PAIR_COST * rows / count) > least:
                 break
-        buckets *= 4
-    return min(plans, key=lambda c: c[0])[1]
+        buckets *= 2
+    return min(plans, key=lambda c: c[0])[1] if plans else most
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -199,7 +206,8 @@ MEMBER, ASKS, LISTED = 0, 1, 2
 def _cells(own: np.ndarray, bucket: np.ndarray, row: np.ndarray, cls: np.ndarray, large: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell * 4 + role) for each bucket a vector visits.
 
-    A bucket of b blocks is a square of b * b cells: member block i is in the cells (i, 0..b-1), whoever asks is in one column j.
+    A bucket of b blocks is a square of b * b cells: member block i is in the cells (i, 0..b-1), whoever asks is in one column j. A member of
+    block i asks only the blocks after it, as those before have it among those that ask.
     """
     b = np.ones(len(bucket), np.int64)
     if len(large):
@@ -208,16 +216,14 @@ def _cells(own: np.ndarray, bucket: np.ndarray, row: np.ndarray, cls: np.ndarray
         b[hit] = blocks[at[hit]]
     many = b > 1
     out_row, out_code = [row[~many]], [(bucket[~many] << 26) | np.where(own[~many], MEMBER, ASKS)]
-    for r, g, n, mine, h in zip(row[many], bucket[many], b[many], own[many], _mixed(cls[row[many]])):
-        i, j = h % n, (h // n) % n
-        every = np.arange(n)
-        if mine:
-            cells = [(i << 14 | every << 2) | np.where(every == 0, MEMBER, LISTED), (every[every != i] << 14 | j << 2) | ASKS]
-        else:
-            cells = [(every << 14 | j << 2) | ASKS]
-        code = np.concatenate(cells) | (g << 26)
-        out_row.append(np.full(len(code), r))
-        out_code.append(code)
+    if many.any():
+        n = b[many]
+        h = _mixed(cls[row[many]])
+        t = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        r, g, mine, i, j = (np.repeat(v, n) for v in (row[many], bucket[many] << 26, own[many], h % n, (h // n) % n))
+        asks = ~mine | (t > i)
+        out_row += [r[mine], r[asks]]
+        out_code += [(g | i << 14 | t << 2 | np.where(t == 0, MEMBER, LISTED))[mine], (g | t << 14 | j << 2 | ASKS)[asks]]
     return np.concatenate(out_row), np.concatenate(out_code)
 
 
@@ -255,15 +261,24 @@ class Best:
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def meet(self, rows: np.ndarray, others: np.ndarray, s: np.ndarray) -> None:
-        """s: cosines of rows against others, -2 where a vector meets itself."""
-        k, m = self.k, s.shape[1]
+    def meet(self, rows: np.ndarray, others: np.ndarray, s: np.ndarray, both: bool) -> None:
+        """s: cosines of rows against others, -2 where a vector meets itself; with `both` the others learn of the rows too."""
+        k, (n, m) = self.k, s.shape
         new = np.flatnonzero(self.floor[rows] == -2)
         if len(new) and m > k:
             self.floor[rows[new]] = np.partition(s[new], m - k, axis=1)[:, m - k]
-        i, j = np.nonzero(s >= np.maximum(self.floor[rows], -1.5)[:, None])
-        self.held.append((rows[i], others[j], s[i, j]))
-        self.size += len(i)
+        i, j = np.divmod(np.flatnonzero(s >= np.maximum(self.floor[rows], -1.5)[:, None]), m)
+        self.hold(rows[i], others[j], s[i, j])
+        if both:
+            new = np.flatnonzero(self.floor[others] == -2)
+            if len(new) and n > k:
+                self.floor[others[new]] = np.partition(np.ascontiguousarray(s[:, new].T), n - k, axis=1)[:, n - k]
+            i, j = np.divmod(np.flatnonzero(s >= np.maximum(self.floor[others], -1.5)[None, :]), m)
+            self.hold(others[j], rows[i], s[i, j])
+
+    def hold(self, rows: np.ndarray, others: np.ndarray, cos: np.ndarray) -> None:
+        self.held.append((rows, others, cos))
+        self.size += len(rows)
         if self.size > 400_000:
             self.merge()
 
@@ -310,12 +325,10 @@ def _compare(dim: int, k: int, chunk: int = 2048):
                 mine = members[at : at + chunk]
                 s = known[at : at + chunk] @ known.T
                 s[np.arange(len(mine)), at + np.arange(len(mine))] = -2
-                best.meet(mine, members, s)
+                best.meet(mine, members, s, False)
             for at in range(0, len(asks), chunk):
                 mine = asks[at : at + chunk]
-                s = x[mine] @ known.T
-                best.meet(mine, members, s)
-                best.meet(members, mine, np.ascontiguousarray(s.T))
+                best.meet(mine, members, x[mine] @ known.T, True)
         best.merge()
         found = best.other >= 0
         n = found.sum(axis=1)
@@ -408,7 +421,7 @@ def nearest_units(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, ar
 
 def nearest_vectors(
     df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 10,
-    recall: float = 0.97, sample: int = 200, largest_block: int = 16_384, task_vectors: int = 250_000, plan: Plan | None = None,
+    recall: float = 0.97, sample: int = 200, largest_block: int | None = None, task_vectors: int = 250_000, plan: Plan | None = None,
 ) -> DataFrame:
     """The k vectors most similar (by cosine) to each vector: (id, place, other_id, cosine).
 
@@ -422,8 +435,9 @@ def nearest_vectors(
     Numbers of tables, probes and buckets are chosen at every size (or given as `plan`): the true neighbours of `sample` vectors are found by
     one scan of all, and of the plans that meet at least `recall` of them the cheapest is taken. In a small table that is a comparison of all with all.
 
-    A vector travels once to each task that holds one of its buckets, however many of its buckets are there. Buckets over `largest_block` members are cut into
-    squares of blocks, so that a task holds about `task_vectors` vectors however large a bucket is, and none is ever skipped.
+    A vector travels once to each task that holds one of its buckets, however many of its buckets are there. Buckets over `largest_block` members (by default a
+    part of a task's share, between 1,000 and 16,384) are cut into squares of blocks, so that a task holds about `task_vectors` vectors however large a
+    bucket is, and none is ever skipped.
     """
     spark = df.sparkSession
     unit = materialise(nearest_units(df, id_col, vector_col, dim, False))
@@ -432,13 +446,15 @@ def nearest_vectors(
     classes = materialise(first.groupBy("dir").agg(F.min("id").alias("cls"), F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("u", "id").alias("u")))
     rows = classes.count()
     plan = plan or plan_for(classes, rows, dim, k, recall, sample)
-    limit = max(largest_block, rows * plan.tables // MOST_LARGE)
+    shuffle_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(largest_block or min(16_384, max(1000, rows * plan.tables // (8 * shuffle_parts))), rows * plan.tables // MOST_LARGE)
     sizes = classes.select("u").mapInArrow(_own(dim, plan), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     cut = sizes.filter(F.col("n") > limit).orderBy("bucket").collect()  # at most MOST_LARGE rows
     large = np.array([r["bucket"] for r in cut], np.int64)
     blocks = np.array([min(4096, -(-r["n"] // limit)) for r in cut], np.int64)
-    visits = rows * plan.tables * (plan.extra + 1) + int((2 * limit * blocks * blocks).sum())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), visits // task_vectors + 1)
+    visits = rows * plan.tables * (plan.extra + 1)
+    visits += sum(2 * limit * int(b) * min(int(b), shuffle_parts) for b in blocks)
+    parts = max(shuffle_parts, visits // task_vectors + 1)
     sent = classes.select("cls", "u").mapInArrow(_sent(dim, plan, large, blocks, parts), "part int, cls long, u binary, codes array<long>")
     met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_compare(dim, k), "cls long, others array<long>, cos array<float>")
     # a pair may be met in several tasks; the best k classes of each class stay
