@@ -26,51 +26,101 @@ def values_of(text: str) -> list[str]:
     return [v for x in SEPARATORS.split(text) if (v := x.strip(WHITESPACE).lower())]
 
 
-def interval_counts(tokens: np.ndarray, record: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 1..max_n: (n, a start of each distinct n-gram, its occurrences, its records).
+def suffix_array(tokens: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, longest common prefix of each with the one before), by prefix doubling; left: tokens from each place to its record's end.
 
-    The suffixes are sorted by their first max_n tokens and then by record. Suffixes that share n tokens with the one before
-    form an interval, which is an n-gram; within it, sorted by record, each neighbour of the same record is one occurrence too many.
+    A suffix ends with its record; one that is the start of another comes before it, equal ones stay in the order of their places. Each round sorts only those
+    that still tie by the ranks of what follows, and keeps its ranks: two suffixes that tie there agree so far, which gives the common prefixes by halving.
+    """
+    size = len(tokens)
+    order = np.argsort(tokens, kind="stable")
+    start = np.r_[True, tokens[order][1:] != tokens[order][:-1]]
+    rank = np.empty(size, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(start, np.arange(size), 0))
+    levels, reach = [rank.astype(np.int32)], 1
+    while True:
+        # ties of suffixes that go on beyond what is compared
+        end = np.r_[start[1:], True]
+        place = np.flatnonzero(~(start & end))
+        tied = order[place]
+        after = left[tied] > reach
+        if not after.any():
+            break
+        follow = np.zeros(len(tied), np.int64)
+        follow[after] = rank[tied[after] + reach] + 1
+        key = rank[tied] * (size + 1) + follow
+        sort = np.argsort(key, kind="stable")
+        tied, key = tied[sort], key[sort]
+        order[place] = tied
+        first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        start[place] |= first
+        rank = rank.copy()
+        rank[tied] = np.maximum.accumulate(np.where(first, place, 0))
+        levels.append(rank.astype(np.int32))
+        reach *= 2
+    a, b, lcp = order[:-1].copy(), order[1:].copy(), np.zeros(size, np.int64)
+    open_ = np.arange(size - 1)
+    for k in range(len(levels) - 1, -1, -1):
+        same = levels[k][a] == levels[k][b]
+        step = np.minimum(1 << k, left[a[same]])
+        lcp[open_[same] + 1] += step
+        a[same] += step
+        b[same] += step
+        # whoever has come to the end of its record is done
+        done = np.zeros(len(a), bool)
+        done[same] = (left[a[same] - step] == step) | (left[b[same] - step] == step)
+        a, b, open_ = a[~done], b[~done], open_[~done]
+    return order, lcp
+
+
+def least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of values[lo + 1 .. hi] for each pair, lo < hi, from minima over stretches of powers of two."""
+    out = np.zeros(len(lo), values.dtype)
+    width = hi - lo
+    table, span = values, 1
+    while len(lo) and span <= width.max():
+        here = (width >= span) & (width < 2 * span)
+        out[here] = np.minimum(table[lo[here] + 1], table[hi[here] - span + 1])
+        if 2 * span <= len(values):
+            table = np.minimum(table[:-span], table[span:])
+        span *= 2
+    return out
+
+
+def interval_counts(tokens: np.ndarray, record: np.ndarray, max_n: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For n = 1..max_n (None: as long as there are any): (n, a start of each distinct n-gram, its occurrences, its records).
+
+    Suffixes next to each other in the suffix array that share n tokens form an interval, which is an n-gram, and its width is the number of occurrences. Neighbours of one
+    record in the array whose common prefix is the least between them, and at least n, are one occurrence too many for the number of records.
     """
     size = len(tokens)
     if not size:
         return
-    shifted = [tokens]
-    left = np.ones(size, np.int64)  # tokens from here to the end of the record, up to max_n
-    for d in range(1, max_n):
-        inside = np.zeros(size, bool)
-        inside[:-d] = record[d:] == record[:-d]
-        col = np.full(size, -1, tokens.dtype)
-        col[:-d] = np.where(inside[:-d], tokens[d:], -1)
-        shifted.append(col)
-        left += inside
-    order = np.lexsort((record, *reversed(shifted))) if max_n > 1 else np.argsort(tokens, kind="stable")
-    shared = np.zeros(size, np.int64)  # longest common prefix with the suffix before
-    still = np.ones(size - 1, bool)
-    for col in shifted:
-        c = col[order]
-        still &= (c[1:] == c[:-1]) & (c[1:] >= 0)
-        shared[1:] += still
-    for n in range(1, max_n + 1):
-        usable = left[order] >= n
-        at, rec = order[usable], record[order][usable]
-        if not len(at):
+    last = np.flatnonzero(np.r_[record[1:] != record[:-1], True])
+    left = np.repeat(last, np.diff(np.r_[-1, last])) - np.arange(size) + 1
+    order, lcp = suffix_array(tokens, left)
+    of = record[order]
+    by_record = np.argsort(of, kind="stable")
+    again = of[by_record[1:]] == of[by_record[:-1]]
+    lo, hi = by_record[:-1][again], by_record[1:][again]
+    shared = least_between(lcp, lo, hi)
+    n = 1
+    while max_n is None or n <= max_n:
+        usable = np.flatnonzero(left[order] >= n)
+        if not len(usable):
             return
-        new = shared[usable] < n
+        new = lcp[usable] < n
         new[0] = True
-        # a suffix that ends before n tokens stands before the longer ones of its interval, so none is torn
-        interval = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
-        count = np.diff(np.r_[starts, len(at)])
-        if n < max_n:
-            again = np.lexsort((rec, interval))
-            rec, interval = rec[again], interval[again]
-        twice = (interval[1:] == interval[:-1]) & (rec[1:] == rec[:-1])
-        records = count - np.bincount(interval[1:][twice], minlength=len(starts))
-        yield n, at[starts], count, records
+        count = np.diff(np.r_[starts, len(usable)])
+        hi, shared = hi[shared >= n], shared[shared >= n]
+        interval = np.zeros(size, np.int64)
+        interval[usable] = np.cumsum(new) - 1
+        yield n, order[usable[starts]], count, count - np.bincount(interval[hi], minlength=len(starts))
+        n += 1
 
 
-def _blocks(split: str, max_n: int, block: int):
+def _blocks(split: str, max_n: int | None, block: int):
     cut = terms_of if split == "terms" else values_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,17 +156,17 @@ def _blocks(split: str, max_n: int, block: int):
 
 
 def frequencies(
-    records: DataFrame, text_col: str, split: str = "terms", max_n: int = 1,
+    records: DataFrame, text_col: str, split: str = "terms", max_n: int | None = 1,
     rare_records: int = 1, common_share: float = 0.2, block: int = 500_000,
 ) -> DataFrame:
     """How often every term occurs and in how many records: (term, n, occurrences, records, rare, common).
 
     Each row of `records` is one record. split="terms": maximal runs of letters or digits; "values": pieces
-    between `,` `;` `|`, trimmed; both lower-cased, empty ones dropped. With max_n > 1 all n-grams of up to so many
-    neighbouring terms count, n telling their length. rare: in at most `rare_records` records; common: in more than `common_share` of the
+    between `,` `;` `|`, trimmed; both lower-cased, empty ones dropped. All n-grams of up to max_n
+    neighbouring terms count, or of any number with None, n telling their length. rare: in at most `rare_records` records; common: in more than `common_share` of the
     records with any term. Null and empty texts hold no term; an empty table gives an empty result.
 
-    Records are taken in blocks of about `block` tokens; each block's suffix array gives exact counts of its n-grams, and as no record
+    Records are taken in blocks of about `block` tokens; each block's suffix array (of whole suffixes, whatever max_n is) gives exact counts of its n-grams, and as no record
     spans two blocks, the sums over blocks are exact too. So each term leaves a block once, however frequent it is.
     """
     counted = records.select(F.col(text_col).cast("string").alias("t")).filter(F.length("t") > 0)

@@ -49,13 +49,13 @@ class Model:
     def row(self, word: str) -> np.ndarray:
         states, low = self.states, word.lower()
         out = np.full(len(states), -self.cap, np.float32)
+        if OTHER_SCRIPT.search(word):  # scripts first: a word of another script leaves only that script's language
+            out[[i for i, s in enumerate(states) if s in FOREIGN and FOREIGN[s].search(word)]] = self.cap
+            return out
         known = self.words.get(low)
         if known is not None:
             out[: len(self.languages)] = self.table[known]
             return out
-        if OTHER_SCRIPT.search(word):  # a word of another script leaves only that script's language
-            out[[i for i, s in enumerate(states) if s in FOREIGN and FOREIGN[s].search(word)]] = self.cap
-            return out
         if word[0].isupper() or len(low) < 3:
             out[:] = 0
             return out
@@ -102,8 +102,8 @@ def _table(counts: dict[str, Counter], languages: list[str], cap: float, least:
 
 
 def train(rows: list[tuple[str, str]], languages: list[str], cap: float = 2.0) -> Model:
-    """Fit on (language, text). Texts whose words speak against their label are left out in a second round."""
-    texts = [(lang, Counter(w.lower() for w in words_of(t))) for lang, t in rows]
+    """Fit on (language, text), on the words of no other script. Texts whose words speak against their label are left out in a second round."""
+    texts = [(lang, Counter(w.lower() for w in words_of(t) if not OTHER_SCRIPT.search(w))) for lang, t in rows]
     kept = texts
     for _ in range(2):
         counts: dict[str, Counter] = defaultdict(Counter)
@@ -239,7 +239,7 @@ def _label(model: Model, penalty: float, least: int):
 
 
 def label_languages(
-    df: DataFrame, id_col: str, text_col: str, label_col: str, languages: list[str], sample_per_language: int = 1000,
+    df: DataFrame, id_col: str, text_col: str, label_col: str, languages: list[str], sample_per_language: int = 1000, sample_chars: int = 5_000_000,
     penalty: float = 6.0, least_words: int = 8,
 ) -> DataFrame:
     """Language of each passage of each document, with a confidence and a judgement of the document's label.
@@ -249,14 +249,15 @@ def label_languages(
     languages. A label counts by its first two letters; unknown codes are missing. Documents without a word (null and empty
     texts too) give no row; rows are independent, so repeated documents give repeated rows. With no labelled row at all only scripts tell languages apart.
 
-    The words' scores are fitted on at most `sample_per_language` labelled documents of each language, picked by a hash of the whole collection; the
-    sample's text is all that reaches the driver. Words in another script than Latin leave its language only. Labelling needs no shuffle.
+    The words' scores are fitted on at most `sample_per_language` labelled documents and `sample_chars` characters of each language, picked by a hash of the
+    whole collection; the sample's text is all that reaches the driver. Words in another script than Latin leave its language only. Labelling needs no shuffle.
     """
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
     code = F.lower(F.substring(F.trim("label"), 1, 2))
     pick = Window.partitionBy("code").orderBy("h", "doc_id")
     sample = src.withColumn("code", code).filter(F.col("code").isin(languages) & F.col("doc_id").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("doc_id"))
-    chosen = sample.select("code", "h", "doc_id").withColumn("n", F.row_number().over(pick)).filter(F.col("n") <= sample_per_language)
+    chosen = sample.select("code", "h", "doc_id", F.length("text").alias("c")).filter(F.col("c") <= sample_chars).withColumn("n", F.row_number().over(pick)).filter(F.col("n") <= sample_per_language)
+    chosen = chosen.withColumn("upto", F.sum("c").over(pick.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") <= sample_chars)
     rows = sample.join(F.broadcast(chosen.select("code", "h", "doc_id")), ["code", "h", "doc_id"]).select("code", "text").collect()
     model = train(sorted((r["code"], r["text"]) for r in rows), languages)
     return src.filter(F.col("doc_id").isNotNull()).mapInArrow(_label(model, penalty, least_words), SEGMENTS)

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import base64
+import os
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators.scale import materialise
+from gleanery.operators.scale import checkpoint, materialise
 
 #: The most target rows; each source is a row of the driver's plan.
 MOST_TARGETS = 10_000
@@ -23,21 +29,37 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\r\n]+")), F.lit(0)).cast("long")
 
 
-def tokens(path: str, pattern: str):
-    """Column function that counts a text's tokens with a rank file of a public tokenizer (path and pattern are the caller's)."""
+def tokens(path: str, pattern: str, most_bytes: int = 64_000_000):
+    """Column function that counts a text's tokens with a rank file of a public tokenizer (path and pattern are the caller's).
+
+    The file is read here and travels with the function, so executors need no such path; it is refused over `most_bytes`. A task builds its tokenizer once.
+    """
+    if os.path.getsize(path) > most_bytes:
+        raise ValueError(f"{path} has more than {most_bytes} bytes")
+    with open(path, "rb") as file:
+        packed = zlib.compress(file.read())
 
     @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, zlib.decompress(packed).splitlines())}
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return texts.map(lambda t: len(own.encode_ordinary(t)) if t else 0)
+        for texts in parts:
+            yield pd.Series([len(t) for t in own.encode_ordinary_batch([t or "" for t in texts], num_threads=1)], dtype="int64")
 
     return count
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the running sum of `size` within the task, and the task's number."""
+    part, upto = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        run = np.cumsum(batch.column("size").to_numpy()) + upto
+        upto = int(run[-1]) if len(run) else upto
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(run), pa.array(np.full(len(run), part, np.int32))], names=[*batch.schema.names, "run", "part"])
+
+
 @dataclass
 class Mix:
     """drawn: (id, source, copy, size, finish), in parts sorted by finish; report: a row for each target."""
@@ -73,8 +95,8 @@ def mix_sources(
     target_share * W, `repeated` if max_repeats rounds do, else `short`. A source without documents is short. Empty documents have size 0 and may be drawn.
     A null share or repeat counts as 0; target rows without a source give a row with nothing drawn.
 
-    Prefix sums are taken in bins of equal ranges of the hash and of the virtual time, so a source that holds most rows is
-    spread like any other.
+    A source's prefix sums are taken in bins of equal ranges of the hash, those of the queue after a sort by ranges of the virtual time, so a source that holds most
+    rows is spread like any other. No document is left out by an estimate: what ends later than all that can be drawn has been shown to.
     """
     spark = documents.sparkSession
     name = lambda c: F.lower(F.btrim(c, F.lit(WHITESPACE)))
@@ -95,8 +117,9 @@ def mix_sources(
     # each queue is behind the fluid one by less than its largest document: all that is drawn ends before these are made up
     lag = sum(r["most"] or 0 for r in sums)
     end = max(until, horizon([(share, have * times) for share, have, times in wanted.values()], goal + lag + 1))
-    plan = [(k, share, have, min(times, int(share * end / have) + 1) if have else min(times, 1)) for k, (share, have, times) in wanted.items() if share > 0 and times > 0]
-    plan_df = F.broadcast(spark.createDataFrame(plan, "key string, share double, have long, copies int"))
+    # rounds are queued until that time and until W is due; at least one, so that each source shows when its first would end
+    plan = [(k, share, have, max(1, min(times, int(share * max(end, whole) / have) + 1)), times) for k, (share, have, times) in wanted.items() if share > 0 and have > 0]
+    plan_df = F.broadcast(spark.createDataFrame(plan, "key string, share double, have long, copies int, times int"))
 
     bits = max(1, (count // bin_rows).bit_length())
     docs = docs.withColumn("bin", F.shiftrightunsigned("h", 64 - bits))
@@ -105,24 +128,26 @@ def mix_sources(
     starts = docs.groupBy("key", "bin").agg(F.sum("size").alias("b")).select("key", "bin", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("start"))
     queued = docs.withColumn("upto", F.sum("size").over(inside)).join(starts, ["key", "bin"]).withColumn("upto", F.col("upto") + F.col("start"))
     queued = queued.join(plan_df, "key").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    queued = queued.select("id", "key", "size", "copy", ((F.col("copy") * F.col("have") + F.col("upto")) / F.col("share")).alias("finish"))
+    queued = materialise(queued.select("id", "key", "size", "copy", "times", "share", ((F.col("copy") * F.col("have") + F.col("upto")) / F.col("share")).alias("finish")))
+
+    ends = {r["key"]: r for r in queued.groupBy("key").agg(F.max(F.when(F.col("copy") == 0, F.col("finish") * F.col("share"))).alias("first"), F.max(F.when(F.col("copy") < F.col("times"), F.col("finish") * F.col("share"))).alias("last")).collect()}  # a row a target
 
-    slots = max(2, 2 * (count // bin_rows + 1))
-    wide = max(until, 1e-9)
-    queued = queued.filter(F.col("finish") <= 1.001 * end + 1).withColumn("slot", F.least(F.floor(F.col("finish") / wide * slots), F.lit(100 * slots)))
-    order = Window.partitionBy("slot").orderBy("finish", "key", "id", "copy").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("one").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    base = queued.groupBy("slot").agg(F.sum("size").alias("b")).withColumn("one", F.lit(1)).select("slot", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("base"))
-    drawn = queued.withColumn("run", F.sum("size").over(order)).join(base, "slot").filter(F.col("run") + F.col("base") <= goal)
-    drawn = drawn.select("id", F.col("key").alias("source"), "copy", "size", "finish")
+    sent = queued.filter((F.col("finish") <= 1.001 * end + 1) & (F.col("copy") < F.col("times"))).select("id", F.col("key").alias("source"), "copy", "size", "finish")
+    order = ["finish", "source", "id", "copy"]
+    sent = checkpoint(sent.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_running, f"id {dict(sent.dtypes)['id']}, source string, copy int, size long, finish double, run long, part int"))
+    earlier = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    base = sent.groupBy("part").agg(F.max("run").alias("b")).select("part", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("base"))
+    drawn = sent.join(F.broadcast(base), "part").filter(F.col("run") + F.col("base") <= goal).select("id", "source", "copy", "size", "finish")
 
     got = {r["source"]: r for r in drawn.groupBy("source").agg(F.sum("size").alias("s"), F.max("copy").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
-    sent = sum(r["s"] for r in got.values())
+    total = sum(r["s"] for r in got.values())
     report = []
     for r in rows:
         have, mine = totals.get(r["key"], (0, 0))[1], got.get(r["key"])
-        due = r["target_share"] * whole
-        outcome = "cut" if have >= due else "repeated" if have * r["max_repeats"] >= due else "short"
-        report.append((r["source"], r["target_share"], r["max_repeats"], have, mine["s"] if mine else 0, (mine["s"] / sent if sent else 0.0) if mine else 0.0, mine["c"] + 1 if mine else 0, outcome))
+        # the queue's own times: a round lasts until the virtual time W if its last document ends there or later
+        due, queue = r["target_share"] * whole * (1 - 1e-12), ends.get(r["key"])
+        first, last = (queue["first"] or 0, queue["last"] or 0) if queue else (0, 0)
+        outcome = "cut" if first >= due else "repeated" if last >= due else "short"
+        report.append((r["source"], r["target_share"], r["max_repeats"], have, mine["s"] if mine else 0, (mine["s"] / total if total else 0.0) if mine else 0.0, mine["c"] + 1 if mine else 0, outcome))
     shape = "source string, target_share double, max_repeats int, available long, drawn long, actual_share double, repeats int, outcome string"
     return Mix(drawn, spark.createDataFrame(report, shape))

@@ -456,7 +456,7 @@ def nearest_vectors(
     visits += sum(2 * limit * int(b) * min(int(b), shuffle_parts) for b in blocks)
     parts = max(shuffle_parts, visits // task_vectors + 1)
     sent = classes.select("cls", "u").mapInArrow(_sent(dim, plan, large, blocks, parts), "part int, cls long, u binary, codes array<long>")
-    met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_compare(dim, k), "cls long, others array<long>, cos array<float>")
+    met = sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_compare(dim, k), "cls long, others array<long>, cos array<float>")
     # a pair may be met in several tasks; the best k classes of each class stay
     pairs = met.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merge(k), "cls long, other long, cos double")
     # back from classes to ids: the copies of a class, then its neighbours' copies

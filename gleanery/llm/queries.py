@@ -281,8 +281,14 @@ def p7_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms that come at least four times in a record and in at most three records."""
-    return weights(spark, sf).filter((F.col("tf") >= 4) & (F.col("df") <= 3) & (F.col("weight") >= 0)).select(F.col("id").alias("eid"), "term")
+    """Terms that come at least four times in a record and in at most three records.
+
+    Such a term comes no more often in all than tf and two longest records, so its weight has a lower bound that grows with the collection. Only what
+    weighs so much is looked at; its counts, of which the weight was made, decide.
+    """
+    longest = F.col("longest").cast("double")
+    least = F.log(4 * F.col("whole") / ((4 + 2 * longest) * F.pow(longest, F.lit(0.75))))
+    return weights(spark, sf).filter((F.col("weight") >= least - 1e-9) & (F.col("tf") >= 4) & (F.col("df") <= 3)).select(F.col("id").alias("eid"), "term")
 
 
 _P7 = f"""

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm import boilerplate, language, leakage
 from gleanery.llm.distinctive import term_weights
@@ -29,6 +30,20 @@ def test_suffix_intervals_equal_counting(max_n):
         assert got == {g: (all_[g], per[g]) for g in all_}
 
 
+def test_intervals_of_any_length_and_repeated_records():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        size = rng.integers(1, 60)
+        tokens_, record = rng.integers(0, rng.integers(1, 4), size), np.sort(rng.integers(0, rng.integers(1, 8), size))
+        longest = 0
+        for n, at, count, records in interval_counts(tokens_, record, None):
+            grams = [(tuple(tokens_[i : i + n]), record[i]) for i in range(size - n + 1) if record[i] == record[i + n - 1]]
+            all_, per = Counter(g for g, _ in grams), Counter(g for g, _ in set(grams))
+            assert {tuple(tokens_[i : i + n]): (c, r) for i, c, r in zip(at, count, records)} == {g: (all_[g], per[g]) for g in all_}
+            longest = n
+        assert longest == max(Counter(record.tolist()).values())
+
+
 @pytest.mark.parametrize("block", [1, 50, 10**6])
 def test_frequencies(spark, block):
     rng = random.Random(7)
@@ -224,6 +239,37 @@ def test_a_very_long_text_leaves_no_budget_unfilled(spark):
     assert {r.source for r in drawn} == {"short"} and sum(r.size for r in drawn) == 300
 
 
+@pytest.mark.parametrize("budget", [100, 37, 400, 5000])
+def test_drawn_documents_equal_a_sequential_queue(spark, budget):
+    sizes = {"long": [100] * 5, "short": [1] * 300, "few": [7, 0, 3]}
+    docs = corpus(spark, sizes)
+    targets = spark.createDataFrame([("long", 0.5, 1), ("short", 0.4, 2), ("few", 0.1, 3)], "source string, target_share double, max_repeats int")
+    got = {(r.id, r.copy): r for r in mix_sources(docs, targets, "doc_id", "text", budget=budget).drawn.collect()}
+    size, source = {r.doc_id: len(r.text.split()) for r in docs.collect()}, {r.doc_id: r.source for r in docs.collect()}
+    order = {k: [r.doc_id for r in docs.filter(docs.source == k).selectExpr("doc_id", "xxhash64(doc_id, 0) h").orderBy(F.col("h") < 0, "h").collect()] for k in sizes}
+    queue = []
+    for k, share, times in (("long", 0.5, 1), ("short", 0.4, 2), ("few", 0.1, 3)):
+        upto = 0
+        for copy in range(times):
+            for d in order[k]:
+                upto += size[d]
+                queue.append((upto / share, k, d, copy))
+    run, want = 0, set()
+    for _, _, d, copy in sorted(queue):
+        run += size[d]
+        if run > budget:
+            break
+        want.add((d, copy))
+    assert set(got) == want and all(got[d, c].source == source[d] for d, c in want)
+
+
+def test_the_queue_fills_a_tight_budget(spark):
+    docs = corpus(spark, {"long": [100] * 5, "short": [1] * 300})
+    targets = spark.createDataFrame([("long", 0.5, 1), ("short", 0.5, 1)], "source string, target_share double, max_repeats int")
+    # the hundredth word and the first long text end at the same time; the long one comes first and does not fit
+    assert sum(r.size for r in mix_sources(docs, targets, "doc_id", "text", budget=100).drawn.collect()) == 99
+
+
 def test_mixing_without_rows(spark):
     docs = corpus(spark, {"a": [3]})
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
@@ -234,7 +280,6 @@ def test_mixing_without_rows(spark):
 
 def test_sizes_in_tokens(spark):
     import public_tokenizers as P
-    from pyspark.sql import functions as F
 
     docs = corpus(spark, {"a": [3, 4], "b": [5]})
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
@@ -278,6 +323,20 @@ def test_languages(spark):
     assert language.label_languages(df.limit(0), "doc_id", "text", "lang", ["de", "en"]).count() == 0
 
 
+def test_scripts_come_before_the_vocabulary():
+    rng = random.Random(13)
+    cyrillic = "мост река дом старый".split()
+    rows = [("en", sentence(rng, EN, 20) + " " + sentence(rng, cyrillic, 6)) for _ in range(20)] + [("de", sentence(rng, DE, 20)) for _ in range(20)]
+    model = language.train(rows, ["de", "en"])
+    assert not set(model.words) & set(cyrillic)
+    for w in cyrillic:
+        row = dict(zip(model.states, model.row(w)))
+        assert row["ru"] > 0 and max(row["en"], row["de"]) < 0
+    words = language.words_of(sentence(rng, EN, 12) + " " + sentence(rng, cyrillic, 12))
+    path = language.viterbi(model.scores(words), np.array([0, 24]), 6.0)
+    assert [model.states[s] for s in path] == ["en"] * 12 + ["ru"] * 12
+
+
 def test_viterbi_equals_trying_all_paths():
     import itertools
 
