@@ -227,8 +227,11 @@ def _cells(own: np.ndarray, bucket: np.ndarray, row: np.ndarray, cls: np.ndarray
     return np.concatenate(out_row), np.concatenate(out_code)
 
 
-def _sent(dim: int, plan: Plan, large: np.ndarray, blocks: np.ndarray, parts: int):
-    """(part, cls, u, codes): each vector once for each task that holds one of its buckets."""
+def _sent(dim: int, k: int, plan: Plan, large: np.ndarray, blocks: np.ndarray, parts: int):
+    """(part, cls, u, codes, floor, others, cos): each vector once for each task that holds one of its buckets.
+
+    Its k best among its neighbours in the input are candidates as well, listed in its first row; the least of them is the floor under which no other needs to be kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -245,7 +248,18 @@ def _sent(dim: int, plan: Plan, large: np.ndarray, blocks: np.ndarray, parts: in
                 first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(part) != 0)])
                 at = pa.array(row[first])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(code))
-                yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), lists], names=["part", "cls", "u", "codes"])
+                m, s = min(k, len(x) - 1), x @ x.T
+                np.fill_diagonal(s, -2)
+                best = np.argpartition(s, len(x) - max(1, m), axis=1)[:, len(x) - m :] if m else np.zeros((len(x), 0), np.int64)
+                cos = np.take_along_axis(s, best, axis=1)
+                floor = cos.min(axis=1) if m == k else np.full(len(x), -2, np.float32)
+                told = np.r_[True, np.diff(row[first]) != 0]
+                ends = pa.array(np.r_[0, np.cumsum(np.where(told, m, 0))].astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[first].astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), lists, pa.array(floor[row[first]]),
+                     pa.ListArray.from_arrays(ends, pa.array(cls[best].ravel())), pa.ListArray.from_arrays(ends, pa.array(cos.ravel()))],
+                    names=["part", "cls", "u", "codes", "floor", "others", "cos"],
+                )
 
     return run
 
@@ -253,11 +267,12 @@ def _sent(dim: int, plan: Plan, large: np.ndarray, blocks: np.ndarray, parts: in
 class Best:
     """The k best partners so far of each of a task's vectors; pairs are kept in a buffer and merged in bulk."""
 
-    def __init__(self, count: int, k: int, cls: np.ndarray):
+    def __init__(self, floor: np.ndarray, k: int, cls: np.ndarray):
+        count = len(cls)
         self.k, self.cls = k, cls
         self.other = np.full((count, k), -1, np.int32)
         self.cos = np.full((count, k), -2, np.float32)
-        self.floor = np.full(count, -2, np.float32)  # no partner below it can be among the k best
+        self.floor = floor.copy()  # no partner below it can be among the k best
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
@@ -302,14 +317,14 @@ class Best:
         keep = nth < self.k
         self.other[known], self.cos[known] = -1, -2
         self.other[row[keep], nth[keep]], self.cos[row[keep], nth[keep]] = other[keep], cos[keep]
-        self.floor[known] = np.maximum(self.floor[known], self.cos[known, -1])
+        self.floor[known] = np.maximum(self.floor[known], self.cos[known, -1])  # -2 where there are fewer than k
 
 
 def _compare(dim: int, k: int, chunk: int = 2048):
-    """Rows of one part after the other: (part, cls, u, codes) to (cls, others, cos), the k best each vector met in the part."""
+    """Rows of one part after the other: (part, cls, u, codes, floor, ..) to (cls, others, cos), the k best each vector met in the part."""
 
-    def answers(cls: np.ndarray, x: np.ndarray, row: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
-        best = Best(len(cls), k, cls)
+    def answers(cls: np.ndarray, x: np.ndarray, floor: np.ndarray, row: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+        best = Best(floor, k, cls)
         order = np.argsort(code, kind="stable")
         row, code = row[order], code[order]
         cell = code >> 2
@@ -340,18 +355,20 @@ def _compare(dim: int, k: int, chunk: int = 2048):
         held: dict[int, list] = {}
 
         def close(part: int) -> Iterator[pa.RecordBatch]:
-            cls, x, n, code = (np.concatenate(c) for c in zip(*held.pop(part)))
-            yield from answers(cls, x, np.repeat(np.arange(len(cls)), n), code)
+            cls, x, floor, n, code = (np.concatenate(c) for c in zip(*held.pop(part)))
+            yield from answers(cls, x, floor, np.repeat(np.arange(len(cls)), n), code)
 
         for batch in batches:
             parts = batch.column(0).to_numpy()
+            told = batch.filter(pc.greater(pc.list_value_length(batch.column(5)), 0))
+            yield pa.RecordBatch.from_arrays([told.column(1), told.column(5), told.column(6)], names=["cls", "others", "cos"])
             cuts = np.flatnonzero(np.r_[True, np.diff(parts) != 0, True])
             for a, b in zip(cuts, cuts[1:]):
                 rows = batch.slice(a, b - a)
                 for other in [p for p in held if p != parts[a]]:  # parts come sorted
                     yield from close(other)
                 codes = rows.column(3)
-                held.setdefault(int(parts[a]), []).append((rows.column(1).to_numpy(), _vectors(rows.column(2), dim), codes.value_lengths().to_numpy(), codes.flatten().to_numpy()))
+                held.setdefault(int(parts[a]), []).append((rows.column(1).to_numpy(), _vectors(rows.column(2), dim), rows.column(4).to_numpy(), codes.value_lengths().to_numpy(), codes.flatten().to_numpy()))
         for part in list(held):
             yield from close(part)
 
@@ -455,7 +472,7 @@ def nearest_vectors(
     visits = rows * plan.tables * (plan.extra + 1)
     visits += sum(2 * limit * int(b) * min(int(b), shuffle_parts) for b in blocks)
     parts = max(shuffle_parts, visits // task_vectors + 1)
-    sent = classes.select("cls", "u").mapInArrow(_sent(dim, plan, large, blocks, parts), "part int, cls long, u binary, codes array<long>")
+    sent = classes.select("cls", "u").mapInArrow(_sent(dim, k, plan, large, blocks, parts), "part int, cls long, u binary, codes array<long>, floor float, others array<long>, cos array<float>")
     met = sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_compare(dim, k), "cls long, others array<long>, cos array<float>")
     # a pair may be met in several tasks; the best k classes of each class stay
     pairs = met.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merge(k), "cls long, other long, cos double")
