@@ -1,18 +1,18 @@
-"""Main content of pages: path ratios over the lines of plain-text pages, smoothed, fused and thresholded."""
+"""Main content of pages by tag-path ratios, over the lines of plain-text pages."""
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.scale import hot_cold_join, materialise
+from gleanery.operators.scale import heavy_limit, hot_cold_join, materialise
 
 #: What parts the items of a row of links.
 PARTS = re.compile(r"\s*[|/·•>»›]\s*|\s+[-–—]\s+|\t+|\s{2,}|::")
@@ -22,17 +22,24 @@ SENTENCE_END = re.compile(r"[.!?…][\"'»”)\]]*(?:\s*[\[(][^\])]*[\])])?$")
 SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+")
 WORD = re.compile(r"[^\W\d_]+|\d+|[§¤]")
 NUMBER = re.compile(r"\d+")
+PUNCTUATION = re.compile(r"[.,;:!?]")
 SITE = re.compile(r"(?:[a-zA-Z][\w+.-]*://)?(?:www\.)?([^/:?#\s.]+)")
 TITLE_TAIL = re.compile(r"\s+(?:\||::|-|–|»|·)\s+")
 
-#: Kinds of paths of a line: the whole line, what precedes its first colon, one of its sentences, and the line as if it preceded a colon,
+FORMS = ("query", "row", "item", "word", "label", "named", "title", "sentence", "short")
+QUERY, ROW, ITEM, ONE_WORD, LABEL, NAMED, TITLE, SENTENCE_FORM, SHORT = range(9)
+#: Forms of a line that may be a link, a heading or a notice, but no running text.
+LINKS = (ONE_WORD, LABEL, NAMED, TITLE)
+
+#: Kinds of leaf paths: the whole line, what precedes its first colon, one of its sentences, how a piece without an end begins, and the line as if it preceded a colon,
 #: and its first word likewise.
-WHOLE, PREFIX, SENTENCE, HEADING, FIRST = 0, 1, 2, 3, 4
-#: Least share of the pages of a path's sites, and of one site's pages, for furniture; items and sentences need more, being more alike by chance.
-SHARE, SITE_SHARE, STRICT_SHARE = 0.015, 0.03, 0.03
+WHOLE, PREFIX, SENTENCE, START, HEADING, FIRST = range(6)
+#: Between these shares of the pages lies the emptiest part of the distribution of paths, which parts furniture from content; and the same for nodes' ratios.
+SHARES, STRICT_SHARES, RATIOS = (0.01, 0.04), (0.02, 0.05), (0.88, 0.98)
+#: Margin for chance, in root counts: items and sentences are more alike by chance than other lines.
 LOOSE, STRICT = 1.2, 2.0
-#: Log odds from which the words of a line call it furniture.
-ODDS = 3.0
+#: Least lines of a node whose ratio counts.
+NODE_LINES = 20
 
 
 def site_of(url: str | None) -> str:
@@ -44,217 +51,353 @@ def title_of(title: str | None) -> str:
     return TITLE_TAIL.split(" ".join((title or "").lower().split()))[0]
 
 
-def form_of(line: str) -> str:
+def form_of(line: str) -> int:
     """query, row, item, word, label (`X: Y`), named (`X: y`), title, sentence or short."""
-    if line.startswith("#"):
-        return "query"
-    n = len(WORD.findall(line))
-    ends = bool(SENTENCE_END.search(line))
-    if not ends and len([x for x in PARTS.split(line) if x]) >= 3:
-        return "row"
-    if not ends:
-        if BULLET.match(line) or line[0].islower():
-            return "item"
-        if n <= 2:
-            return "word"
-        if ": " in line:
-            return "label" if line.split(": ", 1)[1][:1].isupper() else "named"
-        return "title"
-    return "sentence" if n >= 6 else "short"
-
-
-def masked(line: str, site: str, title: str) -> str:
-    """The line in lower case, with signs for the page's title, its site's name and numbers."""
-    s = " ".join(line.lower().split())
-    if len(title) > 3:
-        s = s.replace(title, "¤")
-    if len(site) > 3:
-        s = s.replace(site, "§")
-    return NUMBER.sub("0", s)
+    if line[0] == "#":
+        return QUERY
+    if SENTENCE_END.search(line):
+        return SENTENCE_FORM if len(WORD.findall(line)) >= 6 else SHORT
+    if len([x for x in PARTS.split(line) if x]) >= 3:
+        return ROW
+    if BULLET.match(line) or line[0].islower():
+        return ITEM
+    if len(WORD.findall(line)) <= 2:
+        return ONE_WORD
+    if ": " in line:
+        return LABEL if line.split(": ", 1)[1][:1].isupper() else NAMED
+    return TITLE
 
 
 def key_of(path: str) -> int:
-    return int.from_bytes(blake2b(path.encode(), digest_size=8).digest(), "big", signed=True)
-
-
-def lines_of(body: str, site: str, title: str) -> list[tuple[int, str, str, list[tuple[int, str]]]]:
-    """(line number, form, masked line, [(kind, path)]) of the lines that are not blank; a path's root is its kind of form."""
-    out = []
-    for no, raw in enumerate(body.split("\n")):
-        line = raw.strip()
-        if not line:
-            continue
-        form, m = form_of(line), masked(line, site, title)
-        strict = "s" if form in ("item", "sentence") else "l"
-        paths = [(WHOLE, f"{strict}>{m}")]
-        if ": " in m and form != "sentence":
-            paths.append((PREFIX, f"p>{m.split(': ', 1)[0]}"))
+    return xxhash.xxh3_64_intdigest(path)
+
+
+def masked(low: str, digits: bool, site: str, title: str) -> str:
+    """The line in lower case, with signs for the page's title, its site's name and numbers."""
+    if len(title) > 3 and title in low:
+        low = low.replace(title, "¤")
+    if len(site) > 3 and site in low:
+        low = low.replace(site, "§")
+    return NUMBER.sub("0", low) if digits else low
+
+
+def leaf_paths(m: str, form: int) -> list[tuple[int, str]]:
+    """[(kind, path)] of a masked line; a path's root is its class of form: strict (s), loose (l) or prefixes (p, n)."""
+    paths = [(WHOLE, f"{'s' if form in (ITEM, SENTENCE_FORM) else 'l'}>{m}")]
+    if form != SENTENCE_FORM and ": " in m:
+        paths.append((PREFIX, f"p>{m.split(': ', 1)[0]}"))
+    if ". " in m or "! " in m or "? " in m:
         pieces = SENTENCE_GAP.split(m)
         if len(pieces) > 1:
             paths += [(SENTENCE, f"s>{p}") for p in pieces]
-        if form in ("word", "title") and len(m) < 60:
-            paths.append((HEADING, f"p>{m}"))
-            if " " in m:
-                paths.append((FIRST, f"p>{m.split(' ', 1)[0]}"))
-        out.append((no, form, m, paths))
-    return out
+            if form not in (SENTENCE_FORM, SHORT, ITEM):  # a piece without an end: buttons may follow its words in any order
+                begin = pieces[-1].split()[:4]
+                if len(begin) == 4:
+                    paths.append((START, f"n>{' '.join(begin)}"))
+    if form in (ONE_WORD, TITLE):
+        paths.append((HEADING, f"p>{m}"))
+        if " " in m:
+            paths.append((FIRST, f"p>{m.split(' ', 1)[0]}"))
+    return paths
+
+
+def node_paths(m: str, form: int) -> list[str]:
+    """The inner nodes above a link-like line, from the root: its form, then its first word, then its first two, and its first and last."""
+    words = WORD.findall(m)
+    if not words:
+        return []
+    return [f"{FORMS[form]}>{words[0]}", f"{FORMS[form]}>{words[0]}>{words[1] if len(words) > 1 else ''}", f"{FORMS[form]}>{words[0]}>..>{words[-1]}"]
+
+
+PAGE_SCHEMA = (
+    "eid string, site long, line_no array<int>, form array<tinyint>, own array<tinyint>, weight array<int>, node array<long>,"
+    " at array<int>, kind array<tinyint>, chars array<int>, fresh array<boolean>, path array<long>"
+)
+_LISTS = [pa.int32(), pa.int8(), pa.int8(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.bool_(), pa.int64()]
+#: A mark of punctuation tells as much of running text as so many letters.
+MARK = 10
+#: Nodes a line has at most; 0 stands for none.
+NODES = 3
+
+
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page as the paths of its lines: the text is read and matched once."""
+    known: dict[str, tuple] = {}
+    keys: dict[str, int] = {}
+
+    def key(path: str) -> int:
+        k = keys.get(path)
+        if k is None:
+            if len(keys) > 200_000:  # content never ends
+                keys.clear()
+            k = keys[path] = _signed(key_of(path))
+        return k
+
+    def shape(line: str) -> tuple:
+        s = known.get(line)
+        if s is None:
+            if len(known) > 100_000:
+                known.clear()
+            low = " ".join(line.lower().split())
+            s = known[line] = (form_of(line), low, NUMBER.search(low) is not None, len(low) + MARK * len(PUNCTUATION.findall(low)))
+        return s
 
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            eids, sites, out, ends, path_ends = [], [], [[] for _ in _LISTS], [0], [0]
+            numbers, forms, owns, weights, nodes, ats, kinds, chars, fresh, paths = out
+            for eid, url, title, body in zip(*(c.to_pylist() for c in batch.slice(start, 1000).columns)):
+                site, title, seen, n = site_of(url), title_of(title), set(), 0
+                for no, raw in enumerate(body.split("\n")):
+                    line = raw.strip()
+                    if not line:
+                        continue
+                    form, low, digits, weight = shape(line)
+                    m = masked(low, digits, site, title)
+                    numbers.append(no)
+                    forms.append(form)
+                    owns.append(2 if m.strip(" .") == "¤" else 1 if m[0] == "¤" and len(m) < 8 + len(site) else 0)  # the page's own title, or it with the site's name
+                    weights.append(weight)
+                    for kind, path in leaf_paths(m, form):
+                        k = key(path)
+                        ats.append(n)
+                        kinds.append(kind)
+                        chars.append(len(path))
+                        fresh.append(kind < HEADING and k not in seen)
+                        paths.append(k)
+                        if kind < HEADING:
+                            seen.add(k)
+                    inner = [key(p) for p in node_paths(m, form)] if form in LINKS else []
+                    nodes += inner + [0] * (NODES - len(inner))
+                    n += 1
+                eids.append(eid)
+                sites.append(_signed(key_of(site)))
+                ends.append(len(numbers))
+                path_ends.append(len(ats))
+            cols = [pa.array(eids, pa.string()), pa.array(sites, pa.int64())]
+            for i, (values, kind) in enumerate(zip(out, _LISTS)):
+                offsets = np.array(ends) * (NODES if i == 4 else 1) if i < 5 else np.array(path_ends)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind)))
+            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in PAGE_SCHEMA.split(", ")])
+
+
+def within(path: np.ndarray, site: np.ndarray) -> np.ndarray:
+    """The key of a path below its site."""
+    with np.errstate(over="ignore"):
+        z = path.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ site.astype(np.uint64)
+        z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (z ^ (z >> np.uint64(29))).astype(np.int64)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, site, strict, k): pages of a site that have a path, each path once a page, summed within a batch."""
+    for batch in batches:
+        lists = batch.column("path").value_lengths().to_numpy()
+        site = np.repeat(batch.column("site").to_numpy(), lists)
+        fresh = batch.column("fresh").flatten().to_numpy(zero_copy_only=False)
+        path, kind = batch.column("path").flatten().to_numpy()[fresh], batch.column("kind").flatten().to_numpy()[fresh]
+        at = batch.column("at").flatten().to_numpy()[fresh]
+        form = batch.column("form").flatten().to_numpy()
+        first = np.repeat(np.r_[0, np.cumsum(batch.column("form").value_lengths().to_numpy())][:-1], lists)[fresh]
+        strict = (kind == SENTENCE) | ((kind == WHOLE) & np.isin(form[first + at], (ITEM, SENTENCE_FORM)))
+        pair = within(path, site[fresh])
+        _, one, k = np.unique(pair, return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(path[one]), pa.array(site[fresh][one]), pa.array(strict[one]), pa.array(k)], names=["path", "site", "strict", "k"])
+
+
+class Pages:
+    """A batch of parsed pages as flat arrays, with the verdict of the leaf paths: 1 furniture, 0 not.
+
+    `found` holds the keys of furniture paths, or is None where each page brings its own in the column `found`.
+    """
 
-LINE_SCHEMA = "eid string, site string, line_no int, kind int, nth int, chars int, strict boolean, first boolean, path long"
+    def __init__(self, batch: pa.RecordBatch, found: np.ndarray | None):
+        flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
+        self.size = batch.column("form").value_lengths().to_numpy()
+        self.ends = np.r_[0, np.cumsum(self.size)]
+        self.form, self.own, self.weight, self.node = flat("form"), flat("own"), flat("weight"), flat("node").reshape(-1, NODES)
+        many = batch.column("at").value_lengths().to_numpy()
+        line = flat("at") + np.repeat(self.ends[:-1], many)
+        kind, chars, path = flat("kind"), flat("chars").astype(np.float64), flat("path")
+        page = np.repeat(np.arange(len(many)), many)
+        if found is None:
+            own = batch.column("found")
+            found = np.unique(within(own.flatten().to_numpy(), np.repeat(np.arange(len(many)), own.value_lengths().fill_null(0).to_numpy())))
+            hits = lambda keys, of: _among(within(keys, of), found)
+        else:
+            hits = lambda keys, of: _among(keys, found)
+        hit = hits(path, page) | hits(within(path, batch.column("site").to_numpy()[page]), page)
+        self.known = np.isin(self.form, LINKS) & (self.own < 2) & hits(self.node.ravel(), np.repeat(np.arange(len(many)), self.size * NODES)).reshape(-1, NODES).any(axis=1)
+        begun = np.flatnonzero((kind == START) & hit)
+        hit[begun - 1] = True  # the piece of which it is the start
+        n = len(self.form)
+        count = lambda on: np.bincount(line[on], minlength=n) > 0
+        piece = kind == SENTENCE
+        covered = np.bincount(line[piece & hit], chars[piece & hit], n) >= 0.5 * np.maximum(1, np.bincount(line[piece], chars[piece], n))
+        self.head = count((kind == HEADING) & hit)
+        verdict = (self.form == ROW) | count(hit & np.isin(kind, (WHOLE, PREFIX, FIRST, START))) | covered | self.head
+        self.verdict = np.where((self.own > 0) | (self.form == QUERY), 0, verdict).astype(np.int8)
+
+    def judged(self) -> np.ndarray:
+        """Leaves and inner nodes fused: what the paths of whole lines leave open, the ratios of the nodes above decide."""
+        return self.smoothed(np.maximum(self.smoothed(self.verdict), self.known))
+
+    def smoothed(self, verdict: np.ndarray) -> np.ndarray:
+        """The verdict of each line from those around it."""
+        out, link = verdict.tolist(), np.isin(self.form, LINKS).tolist()
+        form, own, head = self.form.tolist(), self.own.tolist(), self.head.tolist()
+        text = np.isin(self.form, (SENTENCE_FORM, ITEM, QUERY, SHORT)).tolist()
+        for a, b in zip(self.ends.tolist(), self.ends.tolist()[1:]):
+            # titles under a heading of a list of links belong to it
+            listed = False
+            for i in range(a, b):
+                if head[i]:
+                    listed = True
+                elif listed and link[i] and own[i] < 2:
+                    out[i] = 1
+                else:
+                    listed = False
+            body = [i for i in range(a, b) if not out[i] and text[i]]
+            # what stands before the page's own title is furniture, unless running text does
+            title = next((i for i in range(a, b) if own[i]), a)
+            if not body or body[0] > title:
+                out[a:title] = [1] * (title - a)
+            # so are links after the last text from the first furniture on
+            seen = False
+            for i in range(body[-1] + 1 if body else b, b):
+                if out[i]:
+                    seen = True
+                elif seen and link[i] and own[i] < 2:
+                    out[i] = 1
+        return np.array(out, np.int8)
+
+
+def _among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ones found."""
+    if not len(found):
+        return np.zeros(len(keys), bool)
+    return found[np.minimum(np.searchsorted(found, keys), len(found) - 1)] == keys
+
+
+
+
+def _nodes(found: np.ndarray | None):
+    """(node, furniture, all, lines): text of the link-like lines under each inner node, with punctuation as text, and what of it the leaves call furniture."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = Pages(batch, found)
+            verdict = pages.smoothed(pages.verdict)
+            on = np.isin(pages.form, LINKS) & (pages.own < 2)
+            node, weight, bad = pages.node[on].ravel(), np.repeat(pages.weight[on], NODES), np.repeat(verdict[on], NODES)
+            key, inverse, lines = np.unique(node, return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(np.bincount(inverse, weight * bad, len(key))), pa.array(np.bincount(inverse, weight, len(key))), pa.array(lines)],
+                names=["node", "furniture", "whole", "lines"],
+            )
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in LINE_SCHEMA.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64()]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            rows = []
-            for eid, site, title, body in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns)):
-                seen: set[str] = set()
-                for no, _, _, paths in lines_of(body, site, title):
-                    for nth, (kind, path) in enumerate(paths):
-                        rows.append((eid, site, no, kind, nth, len(path), path[0] == "s", kind < HEADING and path not in seen, key_of(path)))
-                        if kind < HEADING:
-                            seen.add(path)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
-
-
-class Page:
-    """Lines of a page with the first judgement by paths: 1 furniture, 0 not."""
-
-    def __init__(self, site: str, title: str, body: str, flags: list | None):
-        self.lines = lines_of(body, site, title)
-        marked = {(f["line_no"], f["nth"]) for f in flags or ()}
-        self.head: list[bool] = []
-        self.verdict: list[int] = []
-        self.title_at = -1
-        for i, (no, form, m, paths) in enumerate(self.lines):
-            own = m.strip(" .") == "¤" or (m.startswith("¤") and len(m) < 2 + len(site) + 6)
-            if own and self.title_at < 0:
-                self.title_at = i
-            whole, prefix = (no, 0) in marked, any(k in (PREFIX, FIRST) and (no, n) in marked for n, (k, _) in enumerate(paths))
-            pieces = [(len(p), (no, n) in marked) for n, (k, p) in enumerate(paths) if k == SENTENCE]
-            covered = sum(x for x, hit in pieces if hit) / sum(x for x, _ in pieces) if pieces else 0.0
-            self.head.append(any(k == HEADING and (no, n) in marked for n, (k, _) in enumerate(paths)))
-            if own or form == "query":
-                self.verdict.append(0)
-            else:
-                self.verdict.append(int(form == "row" or whole or prefix or covered >= 0.5 or self.head[-1]))
-        self.own = [m.strip(" .") == "¤" for _, _, m, _ in self.lines]
-
-    def features(self, i: int) -> list[str]:
-        _, form, m, _ = self.lines[i]
-        words = WORD.findall(m)
-        marks = ["^", *words, "$"]
-        return [f"f:{form}", f"b:{min(6, len(self.lines) - 1 - i)}", f"t:{min(5, i)}", *words, *(f"{a} {b}" for a, b in zip(marks, marks[1:]))]
-
-    def judged(self, odds: dict[str, float] | None) -> list[int]:
-        """Fuse the paths' verdict with the words' odds, smoothed by the place among the other lines."""
-        out = list(self.verdict)
-        if odds is not None:
-            for i, v in enumerate(out):
-                if not v and self.lines[i][1] != "query" and not self.own[i]:
-                    out[i] = int(sum(odds.get(f, 0.0) for f in self.features(i)) > ODDS)
-        # titles under a heading of a list of links belong to it
-        listed = False
-        for i, (_, form, _, _) in enumerate(self.lines):
-            if self.head[i]:
-                listed = True
-            elif listed and form in ("title", "named", "label", "word") and not self.own[i]:
-                out[i] = 1
-            else:
-                listed = False
-        # what stands before the page's own title, and links after its last sentence or item, is furniture
-        body = [i for i, (_, form, _, _) in enumerate(self.lines) if not out[i] and form in ("sentence", "item", "query", "short")]
-        if 0 < self.title_at <= 12:
-            out[: self.title_at] = [1] * self.title_at
-        after, seen = max(body, default=len(out)), False
-        for i in range(after + 1, len(out)):
-            if out[i]:
-                seen = True
-            elif seen and not self.own[i] and self.lines[i][1] in ("title", "named", "label", "word"):
-                out[i] = 1
-        return out
-
-
-def train(pages: list[Page], rounds: int = 2, least: int = 2) -> dict[str, float]:
-    """Log odds of words, word pairs, forms and places: furniture against content, from the pages' own verdicts."""
-    odds: dict[str, float] | None = None
-    for _ in range(rounds):
-        seen = (Counter(), Counter())
-        size = [1, 1]
-        for page in pages:
-            for i, v in enumerate(page.judged(odds)):
-                seen[v].update(set(page.features(i)))
-                size[v] += 1
-        odds = {}
-        for f in seen[0].keys() | seen[1].keys():
-            a, b = seen[1][f], seen[0][f]
-            if a + b >= least:
-                weight = 1.2 if f[0] == "^" else 0.4 if f[:2] in ("b:", "t:") else 0.8 if f[:2] == "f:" else 0.6  # how a line begins tells most, where it stands least
-                odds[f] = weight * max(-4.0, min(4.0, math.log((a + 0.3) / size[1]) - math.log((b + 0.3) / size[0])))
-    return odds or {}
-
-
-def _judge(odds: dict[str, float]):
+    return run
+
+
+def _judge(found: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                ids, numbers, verdicts = [], [], []
-                for eid, site, title, body, flags in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns)):
-                    page = Page(site, title, body, flags)
-                    for (no, _, _, _), v in zip(page.lines, page.judged(odds)):
-                        ids.append(eid)
-                        numbers.append(no)
-                        verdicts.append(not v)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(numbers, pa.int32()), pa.array(verdicts, pa.bool_())], names=["eid", "line_no", "content"])
+            pages = Pages(batch, found)
+            eid = batch.column("eid").take(pa.array(np.repeat(np.arange(batch.num_rows), pages.size)))
+            yield pa.RecordBatch.from_arrays([eid, batch.column("line_no").flatten(), pa.array(pages.judged() == 0)], names=["eid", "line_no", "content"])
 
     return run
 
 
-def page_lines(df: DataFrame, id_col: str, url_col: str, title_col: str, body_col: str, sample_pages: int = 3000, broadcast_rows: int = 500_000) -> DataFrame:
+def valley(values: DataFrame, value: str, weight: str, lo: float, hi: float, steps: int = 8) -> float:
+    """The middle of the emptiest of `steps` equal parts between lo and hi, by the summed weights of the values there and in the parts beside it."""
+    step = (hi - lo) / steps
+    at = F.floor((F.col(value) - lo) / step).cast("int")
+    rows = values.select(at.alias("at"), F.col(weight).alias("w")).filter((F.col("at") >= -1) & (F.col("at") <= steps)).groupBy("at").agg(F.sum("w").alias("w")).collect()
+    had = {r["at"]: float(r["w"]) for r in rows}
+    filled = [had.get(i - 1, 0.0) / 2 + had.get(i, 0.0) + had.get(i + 1, 0.0) / 2 for i in range(steps)]
+    # of equally empty parts those in the middle
+    least = [i for i, w in enumerate(filled) if w == min(filled)]
+    return lo + (least[len(least) // 2] + 0.5) * step
+
+
+def furniture_paths(pages: DataFrame) -> DataFrame:
+    """(key, rows): the leaf paths that more pages share than content does, in the whole collection or below one site."""
+    per = pages.select("site", "form", "at", "kind", "fresh", "path").mapInArrow(_counts, "path long, site long, strict boolean, k long")
+    per = materialise(per.groupBy("path", "site").agg(F.first("strict").alias("strict"), F.sum("k").alias("k")))
+    # few sites may own most paths, so these are met where they lie
+    sizes = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages")).join(per.groupBy("site").agg(F.count(F.lit(1)).alias("paths")), "site")
+    per = hot_cold_join(per, sizes, "site", "paths", heavy_limit(per.count(), pages.sparkSession))
+    margin = F.when(F.col("strict"), STRICT).otherwise(LOOSE)
+    ratio = lambda n: F.log10((F.col(n) - margin * F.sqrt(n)) / F.col("pages")).alias("ratio")
+    whole = per.groupBy("path", "strict").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("sites"), F.sum("pages").alias("pages"))
+    whole = materialise(whole.filter((F.col("n") >= 3) & (F.col("sites") >= 2)).select("path", "strict", "n", ratio("n")))
+    local = materialise(per.filter(F.col("k") >= 3).select("path", "site", "strict", F.col("k").alias("n"), ratio("k")))
+    gap = lambda rows, between: valley(rows, "ratio", "n", *(math.log10(x) for x in between))
+    apart = {False: gap(whole.filter(~F.col("strict")), SHARES), True: gap(whole.filter("strict"), STRICT_SHARES)}
+    # one site's lists of links have no gap of their own; its sentences have
+    below = gap(local.filter("strict"), STRICT_SHARES)
+    whole = whole.filter(F.col("ratio") >= F.when(F.col("strict"), apart[True]).otherwise(apart[False]))
+    local = local.filter(F.col("ratio") >= below).select(F.col("path"), "site", "n")
+    keyed = local.mapInArrow(_within, "key long, rows long")
+    return materialise(whole.select(F.col("path").alias("key"), F.col("n").alias("rows")).unionByName(keyed).groupBy("key").agg(F.max("rows").alias("rows")))
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(within(b.column(0).to_numpy(), b.column(1).to_numpy())), b.column(2)], names=["key", "rows"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(eid, key): the distinct paths and nodes of each page, paths also below their site."""
+    for batch in batches:
+        lists = batch.column("path").value_lengths().to_numpy()
+        path, page = batch.column("path").flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists)
+        node = batch.column("node")
+        key = np.concatenate([path, within(path, batch.column("site").to_numpy()[page]), node.flatten().to_numpy()])
+        page = np.concatenate([page, page, np.repeat(np.arange(batch.num_rows), node.value_lengths().to_numpy())])
+        _, one = np.unique(within(key, page), return_index=True)
+        yield pa.RecordBatch.from_arrays([batch.column("eid").take(pa.array(page[one])), pa.array(key[one])], names=["eid", "key"])
+
+
+def _with_found(pages: DataFrame, found: DataFrame, broadcast_rows: int) -> tuple[DataFrame, np.ndarray | None]:
+    """(pages, keys): the keys themselves where they are few enough to travel with the function (8 bytes each), else each page with its own."""
+    if found.count() <= broadcast_rows:
+        return pages, np.sort(np.array([r["key"] for r in found.select("key").distinct().collect()], np.int64))
+    hit = hot_cold_join(pages.select("eid", "site", "node", "path").mapInArrow(_keys, "eid string, key long"), found, "key", "rows")
+    return pages.join(hit.groupBy("eid").agg(F.collect_list("key").alias("found")), "eid", "left"), None
+
+
+def page_lines(df: DataFrame, id_col: str, url_col: str, title_col: str, body_col: str, broadcast_rows: int = 500_000) -> DataFrame:
     """Which of a page's lines are its own content: (eid, line_no, content), a row for each non-blank line.
 
     Line numbers count from 0 after splitting at LF. Pages without id or text give no row; each row of df is a page of its
     own id. Null urls count as one site without a name, null titles as none.
 
-    Plain text has no tags, so the root-to-leaf path of a line is: its form (row of links, item, sentence, ..), then its text with the site's
-    name, the page's title and numbers masked; parts before a colon and single sentences are paths too. For each path the
-    collection gives the number of pages and of sites that have it; its ratio is that number, less a margin for chance, to the pages of these sites, and the
-    same within each site. Paths over the thresholds are furniture, weighted by text length where a line has several. From the verdicts of at most `sample_pages` pages
-    (picked by a hash) log odds of words, forms and places are learnt, which are fused with the ratios; then lines are smoothed by their neighbours.
+    Plain text has no tags, so the root-to-leaf path of a line is: its form (row of links, item, sentence, ..), then its words, ending in the whole text with the
+    site's name, the page's title and numbers masked; parts before a colon and single sentences are leaves too. Over the whole collection:
+
+    * The ratio of a leaf is the number of pages that have it, less a margin for chance, to the pages of the sites that have it, and the same below each site. The
+      emptiest part of the distribution of these ratios parts furniture from content. A line of several sentences is furniture if most of its text is.
+    * The ratio of an inner node is that part of the text under it, in letters and punctuation, which its leaves and their surroundings call furniture; it
+      decides the lines that leaves leave open, again from the emptiest part of the distribution on.
+    * The verdicts are smoothed along the page: links under the heading of a list of links, before the page's own title, and after its last text.
+
+    All pages count for all of this. Keys of furniture paths go to the tasks up to `broadcast_rows`, beyond that they meet the pages' paths by a join.
     """
     slim = df.select(F.col(id_col).cast("string").alias("eid"), F.col(url_col).alias("url"), F.col(title_col).alias("title"), F.col(body_col).alias("body"))
     slim = slim.filter(F.col("eid").isNotNull() & (F.length("body") > 0))
-    pages = materialise(slim.mapInArrow(_named, "eid string, site string, title string, body string"))
-    lines = materialise(pages.mapInArrow(_paths, LINE_SCHEMA))
-    sizes = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    per = lines.filter("first").groupBy("path", "site", "strict").agg(F.count(F.lit(1)).alias("k"))
-    per = per.join(sizes, "site")
-    bound = lambda n, strict: n - F.when(strict, STRICT).otherwise(LOOSE) * F.sqrt(n)
-    whole = per.groupBy("path", "strict").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("sites"), F.sum("pages").alias("pages"))
-    whole = whole.filter((F.col("n") >= 3) & (F.col("sites") >= 2) & (bound(F.col("n"), F.col("strict")) >= F.when(F.col("strict"), STRICT_SHARE).otherwise(SHARE) * F.col("pages")))
-    local = per.filter((F.col("k") >= 3) & (bound(F.col("k"), F.col("strict")) >= SITE_SHARE * F.col("pages")))
-    found = materialise(
-        whole.select(F.col("path").alias("key"), F.col("n").alias("rows"))
-        .unionByName(local.select(F.xxhash64("path", "site").alias("key"), F.col("k").alias("rows")))
-        .groupBy("key").agg(F.max("rows").alias("rows"))
-    )
-    keyed = lines.select("eid", "line_no", "nth", F.explode(F.array("path", F.xxhash64("path", "site"))).alias("key"))
-    if found.count() <= broadcast_rows:  # 16 bytes each
-        hit = keyed.join(F.broadcast(found.select("key")), "key")
-    else:
-        hit = hot_cold_join(keyed, found, "key", "rows")
-    flags = hit.groupBy("eid").agg(F.collect_set(F.struct("line_no", "nth")).alias("flags"))
-    flagged = pages.join(flags, "eid", "left")
-    # the flags of the sample alone: its pages are few
-    some = pages.select("eid").orderBy(F.xxhash64("eid"), "eid").limit(sample_pages)
-    rows = flagged.join(F.broadcast(some), "eid").collect()
-    odds = train([Page(r["site"], r["title"], r["body"], r["flags"]) for r in sorted(rows, key=lambda r: r["eid"])])
-    return flagged.select("eid", "site", "title", "body", "flags").mapInArrow(_judge(odds), "eid string, line_no int, content boolean")
-
-
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        urls, titles = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([site_of(u) for u in urls], pa.string()), pa.array([title_of(t) for t in titles], pa.string()), batch.column(3)], names=["eid", "site", "title", "body"])
+    pages = materialise(slim.mapInArrow(_parse, PAGE_SCHEMA))
+    leaves = furniture_paths(pages)
+    own, keys = _with_found(pages, leaves, broadcast_rows)
+    nodes = own.mapInArrow(_nodes(keys), "node long, furniture double, whole double, lines long").filter(F.col("node") != 0).groupBy("node")
+    nodes = nodes.agg((F.sum("furniture") / F.sum("whole")).alias("ratio"), F.sum("whole").alias("text"), F.sum("lines").alias("rows")).filter(F.col("rows") >= NODE_LINES)
+    nodes = materialise(nodes)
+    least = valley(nodes, "ratio", "text", *RATIOS)
+    found = materialise(leaves.unionByName(nodes.filter(F.col("ratio") >= least).select(F.col("node").alias("key"), "rows")))
+    own, keys = _with_found(pages, found, broadcast_rows)
+    return own.mapInArrow(_judge(keys), "eid string, line_no int, content boolean")

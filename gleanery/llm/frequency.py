@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.scale import materialise
+
 #: A term is a maximal run of letters or digits.
 TERM = re.compile(r"[^\W_]+")
 #: Values are separated by one of these and trimmed of WHITESPACE.
@@ -171,7 +173,7 @@ def frequencies(
     """
     counted = records.select(F.col(text_col).cast("string").alias("t")).filter(F.length("t") > 0)
     part = counted.mapInArrow(_blocks(split, max_n, block), "term string, n int, occurrences long, records long")
-    summed = part.groupBy("term", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    summed = materialise(part.groupBy("term", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")))
     total = F.broadcast(summed.filter(F.col("n") == 0).select(F.lit(True).alias("any"), F.col("records").alias("all_records")))  # one row
     out = summed.filter(F.col("n") > 0).withColumn("any", F.lit(True)).join(total, "any")
     millionths = round(common_share * 1_000_000)
