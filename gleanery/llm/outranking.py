@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators.scale import heavy_keys, heavy_limit, numbered, split_by
+from gleanery.operators.scale import heavy_keys, heavy_limit, materialise, numbered, split_by
 
 #: Differences in percentile up to the first do not count; from the second on they count in full.
 INDIFFERENCE, PREFERENCE = 0.02, 0.25
@@ -60,7 +60,9 @@ def _hot(items: DataFrame, q: float, p: float, heavy_rows: int) -> DataFrame:
     same = lambda a, b: F.col(f"{a}g").eqNullSafe(F.col(f"{b}g")) & (F.col(f"{a}c") == F.col(f"{b}c")) & (F.col(f"{a}value") == F.col(f"{b}value"))
     wide = wide.withColumnsRenamed({"g": "xg", "c": "xc", "value": "xvalue"})
     pairs = [(F.col(f"b{i}0"), F.col(f"b{i}1")) for i in range(4)]
+    # a row for each distinct score, read three times below
     flows = blocks.join(wide, same("", "x")).select(F.col("g").alias("yg"), F.col("c").alias("yc"), F.col("value").alias("yvalue"), "n", "pct", "cnt", *net_of(F.col("pct"), pairs, F.col("n"), q, p))
+    flows = materialise(flows)
     # a score shared by very many is one row here: such rows (at most 1000) are broadcast, the rest meet by shuffle
     big = F.broadcast(flows.filter(F.col("cnt") > heavy_rows // 10).orderBy(F.desc("cnt"), "yc", "yvalue").limit(1000))
     place = (F.col("n") - F.col("nth") + 1).alias("place")
@@ -73,14 +75,14 @@ def _hot(items: DataFrame, q: float, p: float, heavy_rows: int) -> DataFrame:
 
 def net_flow(
     df: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None,
-    indifference: float = INDIFFERENCE, preference: float = PREFERENCE, heavy_rows: int | None = None,
+    indifference: float = INDIFFERENCE, preference: float = PREFERENCE, heavy_rows: int | None = None, ranked: bool = True,
 ) -> DataFrame:
     """Rank the items of each group by weighted net flow: (group, item, net, rank, place_1.., flow_1.., minus_1..).
 
     `df` holds one row an item and group, with a column for each score, higher being better. Within a group each score becomes
     a percentile (ties share the middle one). Item a is preferred to b by a score with strength 0 up to a difference of
     `indifference`, 1 from `preference` on, linear between; flow = mean strength over others minus mean strength of others over
-    it. The net is the weighted mean of the flows; a null or NaN score gives flow 0 and takes no part in that score's percentiles.
+    it. Without `ranked` the last column, rank, is left out. The net is the weighted mean of the flows; a null or NaN score gives flow 0 and takes no part in that score's percentiles.
     place_i is the rank by score i alone (ties by item), minus_i the summed strength of all others over the item by score i; both are null without a score. The last rank orders by (net, item).
     Rows with a null item are dropped, a null group is a group. All sums are exact prefix sums over sorted
     percentiles; no pair is ever formed. Groups of over `heavy_rows` rows (by default a part of a task's fair share of all rows) are sorted by range over all tasks.
@@ -90,25 +92,25 @@ def net_flow(
     weights = weights or [1.0] * len(scores)
     src = df.select(F.col(group).alias("g"), F.col(item).alias("item"), *[F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double")).alias(f"s{i}") for i, s in enumerate(scores)])
     src = src.filter(F.col("item").isNotNull())
-    long = src.select("g", "item", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"s{i}").alias("value")) for i in range(len(scores))])).alias("x")).select("g", F.col("x.c").alias("c"), "item", F.col("x.value").alias("value"))
-    long = long.filter(F.col("value").isNotNull())
+
+    def wide(rows: DataFrame, method) -> DataFrame:
+        """One row an item: its places, flows and net."""
+        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"s{i}").alias("value")) for i in range(len(scores))])).alias("x")
+        long = rows.select("g", "item", *(["rows_in_group"] if "rows_in_group" in rows.columns else []), pairs).select("*", "x.c", "x.value").drop("x").filter(F.col("value").isNotNull())
+        every = rows.select("g", "item", F.lit(-1).alias("c"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("double").alias("pct"), F.lit(0.0).alias("flow"), F.lit(None).cast("double").alias("minus"))
+        pick = lambda i, v: F.max(F.when(F.col("c") == i, F.col(v)))
+        out = method(long).unionByName(every).groupBy("g", "item").agg(*[pick(i, v).alias(f"{v}_{i + 1}") for v in ("place", "flow", "minus") for i in range(len(scores))])
+        net = sum((F.coalesce(F.col(f"flow_{i + 1}"), F.lit(0.0)) * w for i, w in enumerate(weights)), F.lit(0.0)) / float(sum(weights))
+        return out.withColumn("net", F.round(net, 9) + 0.0)
+
     heavy_rows = heavy_rows or heavy_limit(src.count(), df.sparkSession)
     heavy = heavy_keys(src, ["g"], heavy_rows)
-    if heavy is None:
-        flows = _light(long, indifference, preference)
-    else:
-        hot, cold = split_by(long, heavy, ["g"])
-        flows = _light(cold, indifference, preference).unionByName(_hot(hot, indifference, preference, heavy_rows))
-    every = src.select("g", "item", F.lit(-1).alias("c"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("double").alias("pct"), F.lit(0.0).alias("flow"), F.lit(None).cast("double").alias("minus"))
-    pick = lambda i, v: F.max(F.when(F.col("c") == i, F.col(v)))
-    wide = flows.unionByName(every).groupBy("g", "item").agg(*[pick(i, v).alias(f"{v}_{i + 1}") for v in ("place", "flow", "minus") for i in range(len(scores))])
-    net = sum((F.coalesce(F.col(f"flow_{i + 1}"), F.lit(0.0)) * w for i, w in enumerate(weights)), F.lit(0.0)) / float(sum(weights))
-    wide = wide.withColumn("net", F.round(net, 9) + 0.0)
     best = [F.desc("net"), F.asc("item")]
-    rank = lambda d: d.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*best)).cast("long"))
-    if heavy is None:
-        out = rank(wide)
-    else:
-        hot, cold = split_by(wide, heavy, ["g"])
-        out = rank(cold).unionByName(numbered(hot.drop("rows_in_group"), ["g"], best, "rank").select(*wide.columns, "rank"))
+    hot, cold = split_by(src, heavy, ["g"]) if heavy is not None else (None, src)
+    out = wide(cold, lambda long: _light(long, indifference, preference))
+    if ranked:
+        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*best)).cast("long"))
+    if hot is not None:
+        big = wide(hot, lambda long: _hot(long, indifference, preference, heavy_rows))
+        out = out.unionByName(numbered(big, ["g"], best, "rank").select(*out.columns) if ranked else big)
     return out.withColumnsRenamed({"g": group, "item": item})

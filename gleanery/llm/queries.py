@@ -18,7 +18,7 @@ from gleanery.llm.outranking import INDIFFERENCE, PREFERENCE, net_flow
 from gleanery.llm.splitting import split_oversized
 from gleanery.llm.topn import top_n_per_group
 from gleanery.operators.dense import dense_topk
-from gleanery.operators.scale import heavy_limit, hot_cold_join, latest, materialise
+from gleanery.operators.scale import heavy_keys, heavy_limit, latest, materialise, split_by
 
 RUNS = ["bm25", "rankedboolean", "dense", "ltr"]
 CRITERIA = [*RUNS, "page_rank"]
@@ -77,16 +77,20 @@ SELECT vec_id, least(10, (SELECT count(*) FROM good) - 1) AS neighbours, least(1
 # 2: one ranking from several scores
 
 
-def flows(spark: SparkSession, sf: str) -> DataFrame:
+def flows(spark: SparkSession, sf: str, ranked: bool = True) -> DataFrame:
     """Net flow of each qid's candidates over the four runs' scores and page_rank."""
     rows = table(spark, sf, "rankings").select("qid", "eid", "runid", F.col("score").cast("double").alias("score")).filter(F.col("eid").isNotNull())
     good = F.when(F.col("score").isNotNull() & ~F.isnan("score"), F.col("score"))
-    wide = rows.groupBy("qid", "eid").agg(*[F.max(F.when(F.col("runid") == r, good)).alias(r) for r in RUNS])
-    wide = materialise(wide)
-    # every candidate once with the number of its rows, so that one of very many queries is met where its rows lie
+    wide = materialise(rows.groupBy("qid", "eid").agg(*[F.max(F.when(F.col("runid") == r, good)).alias(r) for r in RUNS]))
     pages = latest(table(spark, sf, "docs"), "eid", "crawled_at", ["page_rank"])
-    known = wide.groupBy("eid").agg(F.count(F.lit(1)).alias("asked")).join(pages, "eid", "left")
-    return net_flow(materialise(hot_cold_join(wide, known, "eid", "asked", heavy_limit(wide.count(), spark))), "qid", "eid", CRITERIA)
+    # a page that is a candidate of very many queries is met where its rows lie
+    heavy = heavy_keys(wide, ["eid"], heavy_limit(wide.count(), spark))
+    if heavy is None:
+        met = wide.join(pages, "eid", "left")
+    else:
+        hot, cold = split_by(wide, heavy, ["eid"])
+        met = hot.drop("rows_in_group").join(F.broadcast(pages.join(F.broadcast(heavy.select("eid")), "eid")), "eid", "left").unionByName(cold.join(pages, "eid", "left"))
+    return net_flow(materialise(met), "qid", "eid", CRITERIA, ranked=ranked)
 
 
 def p2_net_flow(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +103,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
     Others are preferred to such a candidate with a strength of at most two in all by any score, and few candidates come so far; their places decide.
     """
-    best = flows(spark, sf)
+    best = flows(spark, sf, ranked=False)
     for i in range(1, len(CRITERIA) + 1):
         best = best.filter((F.col(f"minus_{i}") <= 2 + 1e-6) & (F.col(f"place_{i}") <= 3))
     return best.select("qid", "eid")
