@@ -110,7 +110,7 @@ def safe_double(text: Column) -> Column:
 
 def escape_response(text: Column) -> Column:
     """White space collapsed, backslash and double quote escaped."""
-    return F.regexp_replace(F.regexp_replace(collapse_whitespace(text), r"\\", r"\\\\\\\\"), '"', r'\\\\"')
+    return F.regexp_replace(F.regexp_replace(collapse_whitespace(text), r"\\", r"\\\\"), '"', r'\\"')
 
 
 def postprocess_answer(text: Column) -> Column:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.scale import materialise
 from gleanery.operators.topn import top_by_score
 
 
@@ -39,10 +40,15 @@ def _search(ids: list, matrix: np.ndarray, k: int):
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
                 eid = np.array(batch.column(0).to_pylist(), object)
                 s = np.round(matrix @ x.T, 9)
-                # all that tie with the k-th stay; the window afterwards decides
+                # of those that tie with the k-th the lower ids stay
                 m = min(k, s.shape[1])
                 floor = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
                 q, d = np.nonzero(s >= floor[:, None])
+                place = np.argsort(np.argsort(eid, kind="stable"), kind="stable")
+                order = np.lexsort((place[d], -s[q, d], q))
+                q, d = q[order], d[order]
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                q, d = q[nth < m], d[nth < m]
                 yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.string()), pa.array(eid[d], pa.string()), pa.array(s[q, d])], names=["qid", "eid", "score"])
 
     return run
@@ -57,6 +63,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, dim: int, block:
     good = lambda c: (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     asked = queries.filter(good("query_vector")).select(F.col("qid").cast("string").alias("qid"), "query_vector").groupBy("qid").agg(F.min("query_vector").alias("v"))
     known = vectors.filter(F.col("eid").isNotNull() & good("embedding")).select(F.col("eid").cast("string").alias("eid"), "embedding")
+    asked = materialise(asked)
     blocks = max(1, -(-asked.count() // block))
     parts = []
     for b in range(blocks):

@@ -64,15 +64,19 @@ def _small(top: DataFrame, most: int = 1_000_000) -> bool:
     return top.limit(most + 1).count() <= most
 
 
-def expanded_queries(terms: DataFrame, queries: DataFrame, p: Feedback, default_op: str = "#SUM") -> DataFrame:
-    """(qid, qstring, original_qstring): learned queries in ascending weight; queries without terms stay as they are."""
+def learned_queries(terms: DataFrame, p: Feedback) -> DataFrame:
+    """(qid, learned): the terms of each query as a query of their own, in ascending weight."""
     suffix = "" if p.field_out == "body" else f".{p.field_out}"
     piece = F.concat(F.format_string("%.12f ", F.col("x.weight")) if p.algorithm == "rm3" else F.lit(""), F.col("x.term"), F.lit(suffix))
     pieces = terms.select("qid", F.struct("weight", F.col("place").alias("place"), "term").alias("x")).withColumn("piece", piece)
     learned = pieces.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("x.place"), F.col("piece")))), lambda s: s["piece"]).alias("pieces"))
     op = "#WSUM" if p.algorithm == "rm3" else "#SUM"
-    learned = learned.select("qid", F.concat(F.lit(f"{op}( "), F.array_join("pieces", " "), F.lit(" )")).alias("learned"))
-    out = queries.select("qid", "qstring").join(learned, "qid", "left")
+    return learned.select("qid", F.concat(F.lit(f"{op}( "), F.array_join("pieces", " "), F.lit(" )")).alias("learned"))
+
+
+def expanded_queries(terms: DataFrame, queries: DataFrame, p: Feedback, default_op: str = "#SUM") -> DataFrame:
+    """(qid, qstring, original_qstring): learned queries, with a weight on the original if there is one; queries without terms stay as they are."""
+    out = queries.select("qid", "qstring").join(learned_queries(terms, p), "qid", "left")
     mixed = F.concat(F.lit(f"#WSUM( {p.orig_weight:g} {default_op}("), "qstring", F.lit(f") {1 - p.orig_weight:g} "), "learned", F.lit(" )"))
     new = mixed if p.orig_weight > 0 else F.col("learned")
     return out.select("qid", F.coalesce(new, "qstring").alias("qstring"), F.col("qstring").alias("original_qstring"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -50,7 +51,8 @@ def extract(pairs: DataFrame, terms: DataFrame, index: Index, p: Features = Feat
     total = asked.groupBy("qid").agg(F.sum("times").alias("tokens"), F.count(F.lit(1)).alias("stems"))
     fields = pairs.select("qid", "eid").distinct().join(index.lengths.filter((F.col("poslen") > 0) & F.col("field").isin(*FIELD_FEATURES)), "eid").join(F.broadcast(stats), "field").join(total, "qid", "left")
     # every query term with every field of the pair: a bounded product, as a query has few terms
-    wanted = fields.join(asked, "qid").join(index.term_stats.select("field", "term", "df", "ctf"), ["field", "term"], "left")
+    # every page with the field, also for a query without terms, has values: its counts are 0
+    wanted = fields.join(asked, "qid", "left").withColumns({"times": F.coalesce("times", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0)), "stems": F.coalesce("stems", F.lit(0))}).join(index.term_stats.select("field", "term", "df", "ctf"), ["field", "term"], "left")
     hits = index.postings.select("field", "term", "eid", "tf")
     full = wanted.join(hits, ["field", "term", "eid"], "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
     avg = F.col("sum_len") / F.col("doc_count")
@@ -64,10 +66,10 @@ def extract(pairs: DataFrame, terms: DataFrame, index: Index, p: Features = Feat
         F.sum(hit).cast("double").alias("overlap"),
         (F.sum(F.col("tf") * F.col("times")) / F.max("poslen")).alias("density"),
         F.max(F.when(F.col("tf") > 0, idf).otherwise(0.0)).alias("max_idf"),
-        (F.sum(hit) / F.max("stems")).alias("coverage"),
+        F.when(F.max("stems") > 0, F.sum(hit) / F.max("stems")).otherwise(0.0).alias("coverage"),
         F.sum(F.when(F.col("tf") > 0, F.col("tf") * F.col("times") * idf).otherwise(0.0)).alias("tfidf"),
     )
-    likelihood = F.when((F.col("overlap") > 0) & (F.col("least") > 0), F.exp(F.col("logs") / F.col("tokens"))).otherwise(0.0)
+    likelihood = F.when((F.col("overlap") > 0) & (F.col("least") > 0), F.exp(F.col("logs") / F.col("tokens"))).otherwise(0.0)  # overlap needs a term
     g = g.withColumn("ql", likelihood)
     pick = lambda f, v: F.max(F.when(F.col("field") == f, F.col(v)))
     cols = []
@@ -109,30 +111,47 @@ class LinearRanker:
     ids: tuple[int, ...]
     weights: tuple[float, ...]
 
+    def to_json(self) -> str:
+        return json.dumps({"ids": self.ids, "weights": self.weights})
+
+    @classmethod
+    def from_json(cls, text: str) -> LinearRanker:
+        read = json.loads(text)
+        return cls(tuple(read["ids"]), tuple(read["weights"]))
+
     def score(self) -> Column:
         return sum((F.coalesce(F.col(f"f{i}"), F.lit(0.0)) * w for i, w in zip(self.ids, self.weights)), F.lit(0.0))
 
 
 def _matrix(features: DataFrame, ids: list[int], most_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = features.select("qid", "label", *[F.coalesce(f"f{i}", F.lit(0.0)).alias(f"f{i}") for i in ids]).orderBy(F.xxhash64("qid"), "qid", "eid").limit(most_rows).toPandas()
+    """Judged rows of whole queries in the order of a hash, as many as make at most `most_rows` rows."""
+    sizes = features.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most_rows)
+    upto = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64("qid"), "qid").rowsBetween(Window.unboundedPreceding, 0))  # a row a query
+    some = sizes.withColumn("upto", upto).filter(F.col("upto") <= most_rows).select("qid")
+    rows = features.join(some, "qid", "left_semi").select("qid", "eid", "label", *[F.coalesce(f"f{i}", F.lit(0.0)).alias(f"f{i}") for i in ids]).orderBy("qid", "eid").toPandas()
     return rows["qid"].to_numpy(), rows["label"].to_numpy(float), rows[[f"f{i}" for i in ids]].to_numpy(float)
 
 
+def _lost_pairs(s: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sum of (better - worse) features over the pairs of a query that are ordered by less than 1, from sorted scores; no pair is formed."""
+    out = np.zeros(x.shape[1])
+    for label in np.unique(y)[1:]:
+        hi, lo = np.flatnonzero(y == label), np.flatnonzero(y < label)
+        above = len(lo) - np.searchsorted(np.sort(s[lo]), s[hi] - 1, side="right")  # worse ones that come too near to each better one
+        below = np.searchsorted(np.sort(s[hi]), s[lo] + 1, side="left")
+        out += above @ x[hi] - below @ x[lo]
+    return out
+
+
 def fit_pairwise(features: DataFrame, ids: list[int], c: float = 0.001, steps: int = 300, most_rows: int = 100_000) -> LinearRanker:
     """Hinge loss over pairs of differently judged documents of a query, at most `most_rows` judged rows of whole queries picked by a hash."""
     qid, y, x = _matrix(features, ids, most_rows)
-    diffs = []
-    for q in np.unique(qid):
-        m = np.flatnonzero(qid == q)
-        for lab in np.unique(y[m])[1:]:
-            hi, lo = m[y[m] == lab], m[y[m] < lab]
-            diffs.append((x[hi][:, None, :] - x[lo][None, :, :]).reshape(-1, x.shape[1]))
+    groups = [m for q in np.unique(qid) if len(np.unique(y[m := np.flatnonzero(qid == q)])) > 1]
+    pairs = sum(int((y[m] == lab).sum()) * int((y[m] < lab).sum()) for m in groups for lab in np.unique(y[m])[1:])
     w = np.zeros(len(ids))
-    if diffs:
-        d = np.concatenate(diffs)
-        for t in range(steps):
-            lost = d @ w < 1
-            w -= (0.5 / (1 + 0.05 * t)) * (c * w - d[lost].sum(axis=0) / len(d))
+    for t in range(steps if pairs else 0):
+        s = x @ w
+        w -= (0.5 / (1 + 0.05 * t)) * (c * w - sum((_lost_pairs(s[m], y[m], x[m]) for m in groups), np.zeros(len(ids))) / pairs)
     return LinearRanker(tuple(ids), tuple(map(float, w)))
 
 
@@ -163,11 +182,17 @@ def fit_coordinate_ascent(features: DataFrame, ids: list[int], rounds: int = 3,
 
 
 def rerank(rankings: DataFrame, features: DataFrame, model: LinearRanker, depth: int) -> DataFrame:
-    """(qid, rank, eid, score): head by model score, ties by the old rank, then unscored head documents, then the tail."""
+    """(qid, rank, eid, score): head by model score, ties by the old rank, then unscored head documents, then the tail.
+
+    What follows the scored head keeps its order; its scores are lowered by as much as brings the first of them 0.1 below the head's last, or not at all if it is.
+    """
     scored = features.select("qid", "eid", F.round(model.score(), 9).alias("new"))
     head = rankings.filter(F.col("rank") <= depth).join(scored, ["qid", "eid"], "left")
     tail = rankings.filter(F.col("rank") > depth).withColumn("new", F.lit(None).cast("double"))
     part = F.when(F.col("rank") > depth, 2).when(F.col("new").isNull(), 1).otherwise(0)
     both = head.unionByName(tail.select(*head.columns)).withColumn("part", part)
     w = Window.partitionBy("qid").orderBy("part", F.desc_nulls_last("new"), "rank")
-    return both.select("qid", F.row_number().over(w).alias("new_rank"), "eid", F.coalesce("new", "score").alias("score")).withColumnRenamed("new_rank", "rank")
+    low = both.groupBy("qid").agg(F.min("new").alias("low"), F.max(F.when(F.col("new").isNull(), F.col("score"))).alias("high"))
+    shift = F.greatest(F.lit(0.0), F.coalesce(F.col("high") + 0.1 - F.col("low"), F.lit(0.0)))
+    out = both.withColumn("new_rank", F.row_number().over(w)).join(low, "qid")
+    return out.select("qid", F.col("new_rank").alias("rank"), "eid", F.coalesce("new", F.col("score") - shift).alias("score"))

@@ -2,81 +2,98 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def near_walk(lists: list[list[int]], n: int) -> list[int]:
     """Positions of the last list where each list's element follows its predecessor's within n; every element serves once."""
-    at, out, k = [0] * len(lists), [], len(lists)
-    while all(at[i] < len(lists[i]) for i in range(k)):
-        for i in range(1, k):
-            gap = lists[i][at[i]] - lists[i - 1][at[i - 1]]
-            if gap <= 0:
-                at[i] += 1
-                break
-            if gap > n:
-                at[i - 1] += 1
-                break
-        else:
-            out.append(lists[-1][at[-1]])
-            at = [a + 1 for a in at]
-    return out
+    return walk("NEAR", n, [lists])[0]
 
 
 def window_walk(lists: list[list[int]], n: int) -> list[int]:
     """Largest positions of groups, one element of each list, that span fewer than n; every element serves once."""
-    at, out = [0] * len(lists), []
-    while all(a < len(x) for a, x in zip(at, lists)):
-        here = [x[a] for a, x in zip(at, lists)]
-        if max(here) - min(here) < n:
-            out.append(max(here))
-            at = [a + 1 for a in at]
+    return walk("WINDOW", n, [lists])[0]
+
+
+def walk(kind: str, n: int, documents: list[list[list[int]]]) -> list[list[int]]:
+    """matches() for lists of position lists, all of one number."""
+    sizes = np.array([[len(x) for x in d] for d in documents], np.int64)
+    ends = np.cumsum(sizes).reshape(sizes.shape)
+    flat = np.array([p for d in documents for x in d for p in x], np.int64)
+    doc, at = matches(kind, np.full(len(documents), n), flat, ends - sizes, ends)
+    return [at[doc == i].tolist() for i in range(len(documents))]
+
+
+def matches(kind: str, n: np.ndarray, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, position) of every match; starts and ends say where each document's k lists lie in `flat`.
+
+    All documents step together: each step moves one pointer of each document that is not done, or records its match and moves all, so the
+    number of steps is that of the positions in the longest document.
+    """
+    at, k = starts.copy(), starts.shape[1]
+    live = np.flatnonzero((at < ends).all(axis=1))
+    docs, found = [], []
+    while len(live):
+        here = flat[at[live]]
+        if kind == "NEAR":
+            gap = np.diff(here, axis=1)
+            wrong = (gap <= 0) | (gap > n[live, None])
+            bad = wrong.any(axis=1)
+            first = wrong.argmax(axis=1) if k > 1 else np.zeros(len(live), np.int64)
+            # a follower that does not come after its predecessor moves on, else the predecessor that is too far behind
+            move = first + (gap[np.arange(len(live)), first] <= 0) if k > 1 else first
+            last = here[:, -1]
         else:
-            at[here.index(min(here))] += 1
-    return out
-
-
-def proximity(kind: str, n: int):
-    """Arrow UDF of position arrays for any number of arguments."""
-    walk = near_walk if kind == "NEAR" else window_walk
-
-    @F.pandas_udf("array<int>")
-    def match(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: walk([list(y) for y in x], n))
-
-    return match
-
-
-def near_pair(a: Column, b: Column, n: int) -> Column:
-    """near_walk for two arguments as a fold in the JVM: events by position, pending firsts in a queue."""
-    events = F.array_sort(F.concat(F.transform(b, lambda p: F.struct(p.alias("p"), F.lit(0).alias("t"))), F.transform(a, lambda p: F.struct(p.alias("p"), F.lit(1).alias("t")))))
-    none = F.array().cast("array<int>")
-
-    def step(s: Column, e: Column) -> Column:
-        live = F.filter(s["q"], lambda x: e["p"] - x <= n)
-        second = F.when(F.size(live) > 0, F.struct(F.slice(live, 2, F.greatest(F.size(live), F.lit(1))).alias("q"), F.concat(s["o"], F.array(e["p"])).alias("o"))).otherwise(F.struct(live.alias("q"), s["o"].alias("o")))
-        return F.when(e["t"] == 1, F.struct(F.concat(s["q"], F.array(e["p"])).alias("q"), s["o"].alias("o"))).otherwise(second)
-
-    return F.aggregate(events, F.struct(none.alias("q"), none.alias("o")), step, lambda s: s["o"])
-
-
-def window_pair(a: Column, b: Column, n: int) -> Column:
-    """window_walk for two arguments as a fold: the pending elements are all of one side."""
-    side = lambda x, t: F.transform(x, lambda p: F.struct(p.alias("p"), F.lit(t).alias("t")))
-    events = F.array_sort(F.concat(side(a, 0), side(b, 1)))
-    none = F.array().cast("array<int>")
-    make = lambda t, q, o: F.struct(t.alias("t"), q.alias("q"), o.alias("o"))
-
-    def step(s: Column, e: Column) -> Column:
-        live = F.filter(s["q"], lambda x: e["p"] - x < n)
-        wait = make(e["t"], F.concat(s["q"], F.array(e["p"])), s["o"])
-        met = make(s["t"], F.slice(live, 2, F.greatest(F.size(live), F.lit(1))), F.concat(s["o"], F.array(e["p"])))
-        alone = make(e["t"], F.array(e["p"]), s["o"])
-        return F.when((F.size(s["q"]) == 0) | (s["t"] == e["t"]), wait).when(F.size(live) > 0, met).otherwise(alone)
-
-    return F.aggregate(events, make(F.lit(0), none, none), step, lambda s: s["o"])
+            last = here.max(axis=1)
+            bad = last - here.min(axis=1) >= n[live]
+            move = here.argmin(axis=1)
+        met = live[~bad]
+        docs.append(met)
+        found.append(last[~bad])
+        at[met] += 1
+        at[live[bad], move[bad]] += 1
+        live = live[(at[live] < ends[live]).all(axis=1)]
+    if not docs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc, position = np.concatenate(docs), np.concatenate(found)
+    order = np.argsort(doc, kind="stable")
+    return doc[order], position[order]
+
+
+def proximity(kind: Column, distance: Column, lists: Column) -> Column:
+    """Matches of the position lists of each row by NEAR or WINDOW within its distance; any number of lists. Rows of another kind have none."""
+    return F.arrow_udf(_proximity, "array<int>")(kind, distance, lists)
+
+
+def _proximity(kind: pa.Array, distance: pa.Array, lists: pa.Array) -> pa.Array:
+    kinds, far = np.array(kind.to_pylist(), object), distance.to_numpy(zero_copy_only=False).astype(np.int64)
+    k = lists.value_lengths().to_numpy(zero_copy_only=False)
+    inner = lists.flatten()
+    size = inner.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    end = np.cumsum(size)
+    flat = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(k) - k
+    docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for name in ("NEAR", "WINDOW"):
+        for count in np.unique(k):
+            rows = np.flatnonzero((kinds == name) & (k == count))
+            if len(rows) and count:
+                which = first[rows][:, None] + np.arange(count)
+                doc, position = matches(name, far[rows], flat, end[which] - size[which], end[which])
+                docs.append(rows[doc])
+                found.append(position)
+    doc, position = np.concatenate(docs), np.concatenate(found)
+    order = np.argsort(doc, kind="stable")
+    ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(k)))]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(position[order].astype(np.int32)))
+
+
+def merged(lists: Column) -> Column:
+    """Sorted distinct positions of several lists."""
+    return F.array_sort(F.array_distinct(F.flatten(lists)))
 
 
 def synonym(parts: list[DataFrame]) -> DataFrame:
@@ -84,7 +101,7 @@ def synonym(parts: list[DataFrame]) -> DataFrame:
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    return union.groupBy("eid", "len").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+    return union.groupBy("eid", "len").agg(merged(F.collect_list("positions")).alias("positions"))
 
 
 def together(kind: str, parts: list[DataFrame], n: int) -> DataFrame:
@@ -92,9 +109,5 @@ def together(kind: str, parts: list[DataFrame], n: int) -> DataFrame:
     joined = parts[0].select("eid", "len", F.col("positions").alias("p0"))
     for i, p in enumerate(parts[1:], 1):
         joined = joined.join(p.select("eid", F.col("positions").alias(f"p{i}")), "eid")
-    cols = [F.col(f"p{i}") for i in range(len(parts))]
-    if len(parts) == 2:
-        found = (near_pair if kind == "NEAR" else window_pair)(*cols, n)
-    else:
-        found = proximity(kind, n)(F.array(*cols))
+    found = proximity(F.lit(kind), F.lit(n), F.array(*[F.col(f"p{i}") for i in range(len(parts))]))
     return joined.select("eid", "len", found.alias("positions")).filter(F.size("positions") > 0)

@@ -9,15 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.positional import near_walk, synonym, together, window_walk
+from gleanery.functions.text import Analyzer
+from gleanery.operators.positional import merged, proximity, synonym, together
 from gleanery.operators.scale import HEAVY_ROWS, hot_cold_join, materialise
 from gleanery.operators.topn import top_by_score
 from gleanery.plans.models import BM25, RankedBoolean, UnrankedBoolean
-from gleanery.plans.query import Positions, QuerySyntaxError, Scored, Term, flat_terms, get_query
+from gleanery.plans.query import Positions, QuerySyntaxError, Scored, Term, flat_terms, get_query, leaves, parse
 from gleanery.sources.index import Index
 
 #: Most rows of a batch's distinct query terms that are broadcast; beyond it they meet the postings by shuffle.
 BROADCAST_TERMS = 500_000
+#: Most nodes of a batch whose terms are listed as a filter of the postings' scan.
+LISTED_TERMS = 200
 
 
 def bm25(tf: Column, length: Column, df: Column, num_docs: Column, avg_len: Column, k1: float, b: float) -> Column:
@@ -101,26 +104,40 @@ def rank_query(text: str, index: Index, model, n: int = 1000, qid: str = "q") ->
     return top_by_score(found, "qid", "eid", "score", n).select("qid", "rank", "eid", "score")
 
 
-def rank_queries(texts: dict[str, str], index: Index, model, n: int = 1000) -> DataFrame:
-    """Several structured queries, each its own plan, in one result."""
-    return reduce(DataFrame.unionByName, [rank_query(t, index, model, n, q) for q, t in texts.items()])
+def _parsed(text: str, qid: str, default_op: str, analyzer: Analyzer):
+    """The simplified tree of a query; what is wrong with it is said with its qid."""
+    try:
+        return get_query(text, default_op, analyzer)
+    except QuerySyntaxError as e:
+        raise QuerySyntaxError(f"{e} in query {qid}") from None
 
 
 def query_terms(queries: DataFrame, index: Index, default_op: str = "#SUM") -> DataFrame:
-    """(qid, field, term, weight) of the flat queries of (qid, qstring): plain words, #SUM and #WSUM of terms; others give no row."""
-    analyzer = index.analyzer
+    """(qid, field, term, weight) of the flat queries of (qid, qstring): plain words, #SUM and #WSUM of terms; others give no row, malformed ones raise."""
 
     @F.pandas_udf("array<struct<field:string,term:string,weight:double>>")
-    def flat(texts: pd.Series) -> pd.Series:
-        def one(t):
+    def flat(qids: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("field", "term", "weight"), x)) for x in flat_terms(_parsed(t, q, default_op, analyzer)) or []] for q, t in zip(qids, texts)], dtype=object)
+
+    analyzer = index.analyzer
+    return queries.filter(F.col("qstring").isNotNull()).select("qid", F.explode(flat("qid", "qstring")).alias("t")).select("qid", "t.*")
+
+
+def query_leaves(queries: DataFrame, index: Index, default_op: str = "#SUM") -> DataFrame:
+    """(qid, field, term): a row for every term of every query of (qid, qstring) as often as the query has it, whatever the structure."""
+
+    @F.pandas_udf("array<struct<field:string,term:string>>")
+    def found(qids: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(q, t):
             try:
-                return [dict(zip(("field", "term", "weight"), x)) for x in flat_terms(get_query(t, default_op, analyzer)) or []]
-            except (QuerySyntaxError, TypeError, AttributeError):
-                return []
+                return [{"field": x.field, "term": x.term} for x in leaves(parse(f"{default_op}({t})", analyzer))]
+            except QuerySyntaxError as e:
+                raise QuerySyntaxError(f"{e} in query {q}") from None
 
-        return texts.map(one)
+        return pd.Series([one(q, t) for q, t in zip(qids, texts)], dtype=object)
 
-    return queries.filter(F.col("qstring").isNotNull()).select("qid", F.explode(flat("qstring")).alias("t")).select("qid", "t.*")
+    analyzer = index.analyzer
+    return queries.filter(F.col("qstring").isNotNull()).select("qid", F.explode(found("qid", "qstring")).alias("t")).select("qid", "t.*")
 
 
 def rank_batch(terms: DataFrame, index: Index, model: BM25, n: int = 1000, listed: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -147,53 +164,101 @@ def rank_batch(terms: DataFrame, index: Index, model: BM25, n: int = 1000, liste
     return top_by_score(found, "qid", "eid", "score", n).select("qid", "rank", "eid", "score")
 
 
-def rank_set(queries: DataFrame, index: Index, model: BM25, n: int = 1000) -> DataFrame:
-    """(qid, rank, eid, score) of every query of (qid, qstring), whatever its structure.
-
-    Sums of terms are one plan, single #NEAR and #WINDOW of terms another, #AND of terms a third; any other structure is a plan of its own.
-    #AND and #OR have no score in BM25: queries that are one are ranked by ranked Boolean. A text that can't be parsed raises.
+#: A node of a query's tree as a row: its place, the place and height of the node above, its number among that one's arguments, and what it is.
+NODE = "id:int,up:int,up_height:int,arg:int,height:int,op:string,distance:int,args:int,weight:double,field:string,term:string,model:string"
+POSITIONAL = ("TERM", "SYN", "NEAR", "WINDOW")
+
+
+def tree_rows(tree, model: str) -> list[dict]:
+    """The nodes of a tree. Heights count from the terms within positional operators and again from #SCORE within scored ones; the root's `up` is -1."""
+    rows: list[dict] = []
+
+    def visit(node, up: int, arg: int, weight: float) -> tuple[int, int]:
+        at = len(rows)
+        row = {"id": at, "up": up, "up_height": -1, "arg": arg, "distance": 0, "args": 0, "weight": weight, "field": "", "term": "", "model": model}
+        rows.append(row)
+        if isinstance(node, Term):
+            row |= {"height": 0, "op": "TERM", "field": node.field, "term": node.term}
+            return at, 0
+        weights = (1.0,) * len(node.args)
+        if isinstance(node, Scored) and node.op == "WSUM":
+            total = sum(node.weights)
+            weights = tuple(w / total if total > 0 else 0.0 for w in node.weights)
+        below = [visit(a, at, i, w) for i, (a, w) in enumerate(zip(node.args, weights))]
+        height = 0 if node.op == "SCORE" else 1 + max(h for _, h in below)
+        row |= {"height": height, "op": node.op, "args": len(node.args), "distance": getattr(node, "distance", 0), "field": node.field if isinstance(node, Positions) else ""}
+        for child, _ in below:
+            rows[child]["up_height"] = height
+        return at, height
+
+    visit(tree, -1, 0, 1.0)
+    return rows
+
+
+def rank_set(queries: DataFrame, index: Index, model, n: int = 1000, boolean: bool = False) -> DataFrame:
+    """(qid, rank, eid, score) of every query of (qid, qstring), whatever its structure, in one plan.
+
+    The trees of all queries become rows. Terms meet the postings in two joins, one for those that are scored as they are and one, with positions, for those within
+    positional operators; then each height of the trees is one aggregation by query, node and document. So the number of scans depends neither on the number of
+    queries nor on their size, and the number of aggregations only on the deepest tree. A malformed query raises, and so does an operator without a score in the model;
+    with `boolean`, queries that are an #AND or #OR are ranked by ranked Boolean where the model is BM25. Queries without a text or of stopwords alone rank nothing.
     """
-    analyzer = index.analyzer
+    name, default_op = type(model).__name__, model.default_op
 
-    @F.pandas_udf("struct<kind:string,distance:int,args:array<struct<field:string,term:string>>>")
-    def shape(texts: pd.Series) -> pd.DataFrame:
-        def one(t):
-            node = get_query(t, model.default_op, analyzer)
-            inner = node.args[0] if isinstance(node, Scored) and node.op == "SCORE" else node
-            if flat_terms(node) is not None:
-                return "FLAT", 0, []
-            if isinstance(inner, Positions) and inner.op in ("NEAR", "WINDOW") and all(isinstance(a, Term) for a in inner.args):
-                return inner.op, inner.distance, [{"field": a.field, "term": a.term} for a in inner.args]
-            if node.op == "AND" and all(isinstance(a, Scored) and a.op == "SCORE" and isinstance(a.args[0], Term) for a in node.args):
-                return "AND", 0, [{"field": f, "term": t} for f, t in dict.fromkeys((a.args[0].field, a.args[0].term) for a in node.args)]
-            return "OTHER", 0, []
-
-        return pd.DataFrame([one(t) for t in texts], columns=["kind", "distance", "args"])
-
-    @F.pandas_udf("int")
-    def matches(kind: pd.Series, distance: pd.Series, lists: pd.Series) -> pd.Series:
-        walk = {"NEAR": near_walk, "WINDOW": window_walk}
-        return pd.Series([len(walk[k]([list(y) for y in x], d)) for k, d, x in zip(kind, distance, lists)], dtype="int32")
-
-    shaped = materialise(queries.filter(F.col("qstring").isNotNull()).select("qid", "qstring", shape("qstring").alias("s")).select("qid", "qstring", "s.*"))
-    parts = [rank_batch(query_terms(shaped.filter("kind = 'FLAT'"), index, model.default_op), index, model, n)]
-    args = shaped.select("qid", "kind", "distance", F.size("args").alias("k"), F.posexplode("args").alias("i", "a")).select("qid", "kind", "distance", "k", "i", "a.*")
-    terms = args.filter("kind = 'AND'")
-    met = index.postings.select("field", "term", "eid", "tf").join(F.broadcast(terms), ["field", "term"])
-    found = met.groupBy("qid", "eid", "k").agg(F.min("tf").cast("double").alias("score"), F.count(F.lit(1)).alias("met")).filter("met = k")
-    parts.append(top_by_score(found.select("qid", "eid", "score"), "qid", "eid", "score", n))
-    # the positions of all arguments of a query in one page
-    met = index.postings.select("field", "term", "eid", "len", "positions").join(F.broadcast(args.filter("kind IN ('NEAR', 'WINDOW')")), ["field", "term"])
-    lists = F.sort_array(F.collect_list(F.struct("i", "field", "len", "positions")))
-    near = met.groupBy("qid", "eid", "kind", "distance", "k").agg(lists.alias("x")).filter(F.size("x") == F.col("k"))
-    near = near.select("qid", "eid", F.col("x")[0]["field"].alias("field"), F.col("x")[0]["len"].alias("len"), matches("kind", "distance", F.col("x.positions")).alias("tf")).filter("tf > 0")
-    near = materialise(near)
-    stats = index.field_stats.select("field", "num_docs", (F.col("sum_len") / F.col("doc_count")).alias("avg_len"))
-    near = near.join(near.groupBy("qid").agg(F.count(F.lit(1)).alias("df")), "qid").join(F.broadcast(stats), "field")
-    score = F.round(bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("num_docs"), F.col("avg_len"), model.k1, model.b), 9)
-    parts.append(top_by_score(near.select("qid", "eid", score.alias("score")), "qid", "eid", "score", n))
-    for r in shaped.filter("kind = 'OTHER'").collect():
-        node = get_query(r["qstring"], model.default_op, analyzer)
-        own = RankedBoolean() if isinstance(node, Scored) and node.op in ("AND", "OR") else model
-        parts.append(rank_query(r["qstring"], index, own, n, r["qid"]))
-    return reduce(DataFrame.unionByName, [p.select("qid", "rank", "eid", "score") for p in parts])
+    @F.pandas_udf(f"array<struct<{NODE}>>")
+    def trees(qids: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(q, t):
+            tree = _parsed(t, q, default_op, analyzer)
+            if tree is None:
+                return []
+            own = RankedBoolean() if boolean and name == "BM25" and isinstance(tree, Scored) and tree.op in ("AND", "OR") else model
+            try:
+                check(tree, own)
+            except QuerySyntaxError as e:
+                raise QuerySyntaxError(f"{e} in query {q}") from None
+            return tree_rows(tree if isinstance(tree, Scored) else Scored("SCORE", (tree,)), type(own).__name__)
+
+        return pd.Series([one(q, t) for q, t in zip(qids, texts)], dtype=object)
+
+    analyzer = index.analyzer
+    nodes = materialise(queries.filter(F.col("qstring").isNotNull()).select("qid", F.explode(trees("qid", "qstring")).alias("t")).select("qid", "t.*"))
+    shape = nodes.agg(F.max(F.when(F.col("op").isin(*POSITIONAL), F.col("height"))).alias("inner"), F.max(F.when(~F.col("op").isin(*POSITIONAL), F.col("height"))).alias("outer"), F.count(F.lit(1)).alias("n")).first()
+    few = (lambda d: F.broadcast(d)) if shape["n"] <= BROADCAST_TERMS else (lambda d: d)
+    ups = nodes.select("qid", F.col("id").alias("up"), F.col("op").alias("up_op"))
+    terms = nodes.filter("op = 'TERM'").join(ups, ["qid", "up"]).select("qid", "up", "up_height", "arg", "field", "term", "up_op", "model")
+    postings = index.postings
+    if shape["n"] <= LISTED_TERMS:  # so few that they are filters of the scan
+        listed = [r["term"] for r in terms.select("term").distinct().collect()]
+        postings = postings.filter(F.col("term").isin(listed)) if listed else postings.limit(0)
+    score_of = nodes.filter(F.col("op") == "SCORE").select("qid", F.col("id").alias("node"), F.col("up").alias("to"), F.col("up_height").alias("to_height"), "weight", "model")
+    bare = terms.filter("up_op = 'SCORE'").select("qid", F.col("up").alias("node"), "field", "term").join(index.term_stats, ["field", "term"])
+    bare = postings.select("field", "term", "eid", "tf", "len").join(few(bare.select("qid", "node", "field", "term", "df")), ["field", "term"]).select("qid", "node", "eid", "field", "tf", "len", "df")
+    found = [bare]
+    inner = terms.filter("up_op <> 'SCORE'")
+    lists = [postings.select("field", "term", "eid", "len", "positions").join(few(inner.select("qid", "up", "up_height", "arg", "field", "term")), ["field", "term"]).select("qid", "up", "up_height", "arg", "eid", "field", "len", "positions")]
+    for height in range(1, (shape["inner"] or 0) + 1):
+        ops = nodes.filter(F.col("op").isin("SYN", "NEAR", "WINDOW") & (F.col("height") == height))
+        ops = ops.join(ups, ["qid", "up"]).select("qid", F.col("id").alias("node"), F.col("up").alias("to"), F.col("up_height").alias("to_height"), F.col("arg").alias("to_arg"), "op", "distance", "args", "up_op")
+        mine = reduce(DataFrame.unionByName, lists).filter(F.col("up_height") == height).withColumnRenamed("up", "node").drop("up_height")
+        mine = mine.groupBy("qid", "node", "eid", "field", "len").agg(F.sort_array(F.collect_list(F.struct("arg", "positions"))).alias("x")).join(few(ops), ["qid", "node"])
+        mine = mine.filter((F.col("op") == "SYN") | (F.size("x") == F.col("args")))  # existence first
+        near = proximity(F.col("op"), F.col("distance"), F.col("x.positions"))
+        # matched once, then read for the scores, the document counts and the heights above
+        met = materialise(mine.withColumn("near", near).withColumn("positions", F.when(F.col("op") == "SYN", merged(F.col("x.positions"))).otherwise(F.col("near"))).filter(F.size("positions") > 0).select("qid", "node", "to", "to_height", "to_arg", "up_op", "eid", "field", "len", "positions"))
+        lists.append(met.filter("up_op <> 'SCORE'").select("qid", F.col("to").alias("up"), F.col("to_height").alias("up_height"), F.col("to_arg").alias("arg"), "eid", "field", "len", "positions"))
+        scored = met.filter("up_op = 'SCORE'").select("qid", F.col("to").alias("node"), "eid", "field", F.size("positions").alias("tf"), "len")
+        found.append(scored.join(scored.groupBy("qid", "node").agg(F.count(F.lit(1)).alias("df")), ["qid", "node"]))
+    stats = F.broadcast(index.field_stats.select("field", "num_docs", (F.col("sum_len") / F.col("doc_count")).alias("avg_len")))
+    k1, b = (model.k1, model.b) if isinstance(model, BM25) else (0.0, 0.0)
+    by_model = F.when(F.col("model") == "BM25", bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("num_docs"), F.col("avg_len"), k1, b)).when(F.col("model") == "RankedBoolean", F.col("tf").cast("double")).otherwise(1.0)
+    leaf = reduce(DataFrame.unionByName, found).join(few(score_of), ["qid", "node"]).join(stats, "field").select("qid", "to", "to_height", "eid", "weight", by_model.alias("score"))
+    pending = [leaf]
+    for height in range(1, (shape["outer"] or 0) + 1):
+        ops = nodes.filter(~F.col("op").isin(*POSITIONAL) & (F.col("op") != "SCORE") & (F.col("height") == height)).select("qid", F.col("id").alias("node"), F.col("up").alias("above"), F.col("up_height").alias("above_height"), F.col("weight").alias("own_weight"), "op", "args")
+        mine = reduce(DataFrame.unionByName, pending).filter(F.col("to_height") == height).withColumnRenamed("to", "node")
+        mine = mine.groupBy("qid", "node", "eid").agg(F.min("score").alias("least"), F.max("score").alias("most"), F.sum(F.col("weight") * F.col("score")).alias("total"), F.count(F.lit(1)).alias("met")).join(few(ops), ["qid", "node"])
+        score = F.when(F.col("op") == "AND", F.col("least")).when(F.col("op") == "OR", F.greatest("most", F.lit(0.0))).otherwise(F.col("total"))
+        pending.append(mine.filter((F.col("op") != "AND") | (F.col("met") == F.col("args"))).select("qid", F.col("above").alias("to"), F.col("above_height").alias("to_height"), "eid", F.col("own_weight").alias("weight"), score.alias("score")))
+    best = reduce(DataFrame.unionByName, pending).filter(F.col("to") == -1)
+    score = F.lit(1.0) if isinstance(model, UnrankedBoolean) else F.round("score", 9)
+    return top_by_score(best.select("qid", "eid", score.alias("score")), "qid", "eid", "score", n).select("qid", "rank", "eid", "score")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from gleanery.functions.text import plain_query
 from gleanery.operators import answers, dense, feedback, ltr, passages
 from gleanery.operators.scale import checkpoint
-from gleanery.plans.compile import query_terms, rank_batch, rank_queries
-from gleanery.plans.models import BM25, model_of
+from gleanery.plans.compile import query_leaves, rank_set
+from gleanery.plans.models import model_of
 from gleanery.sources import files, sinks
 from gleanery.sources.index import Index, open_index
 
@@ -58,7 +58,7 @@ class Batch:
 def rank(batch: Batch, index: Index, p: dict, models: Models) -> Batch:
     kind, n = str(p.get("type")), int(p.get("outputLength", 1000))
     if kind == "inRankFile":
-        run = files.read_run(index.docs.sparkSession, p["inRankFile:Path"], n).drop("runid")
+        run = files.read_run(index.docs.sparkSession, p["inRankFile:Path"]).drop("runid")  # as it is, however long
         return replace(batch, rankings=run.join(batch.queries.select("qid"), "qid", "left_semi"))
     if kind.lower() == "dense":
         if models.encoder is None:
@@ -66,26 +66,17 @@ def rank(batch: Batch, index: Index, p: dict, models: Models) -> Batch:
         vectors = files.read_vectors(index.docs.sparkSession, p["dense:indexPath"])
         asked = batch.queries.select("qid", models.encoder(plain_query(F.coalesce("original_qstring", "qstring"))).alias("query_vector"))
         return replace(batch, rankings=dense.dense_topk(asked, vectors, n, int(p.get("dense:dim", 768))))
-    model = model_of(kind, p)
-    texts = {r["qid"]: r["qstring"] for r in batch.queries.filter(F.col("qstring").rlike(r"(?i)#(?!w?sum\b)")).collect()} if isinstance(model, BM25) else {r["qid"]: r["qstring"] for r in batch.queries.filter(F.col("qstring").isNotNull()).collect()}
-    parts = [rank_queries(texts, index, model, n)] if texts else []
-    if isinstance(model, BM25):  # all sums of terms at once
-        rest = batch.queries.filter(~F.col("qid").isin(list(texts))) if texts else batch.queries
-        parts.append(rank_batch(query_terms(rest, index), index, model, n))
-    out = parts[0]
-    for other in parts[1:]:
-        out = out.unionByName(other)
-    return replace(batch, rankings=out)
+    return replace(batch, rankings=rank_set(batch.queries, index, model_of(kind, p), n))
 
 
 def rewrite(batch: Batch, index: Index, p: dict) -> Batch:
     how = feedback.Feedback.of(p)
     if batch.rankings is None:
         return batch
-    new = feedback.expanded_queries(feedback.expansion_terms(batch.rankings, index, how), batch.queries, how)
+    terms = checkpoint(feedback.expansion_terms(batch.rankings, index, how))  # read twice
     if path := p.get("prf:expansionQueryFile"):
-        sinks.write_expanded(new, path)
-    return replace(batch, queries=new)
+        sinks.write_expanded(feedback.learned_queries(terms, how).join(batch.queries.select("qid"), "qid", "left_semi").withColumnRenamed("learned", "qstring"), path)
+    return replace(batch, queries=feedback.expanded_queries(terms, batch.queries, how))
 
 
 def rerank(batch: Batch, index: Index, p: dict, models: Models, training: tuple[DataFrame, DataFrame] | None = None) -> Batch:
@@ -100,23 +91,49 @@ def rerank(batch: Batch, index: Index, p: dict, models: Models, training: tuple[
             sinks.write_lines(sinks.passage_lines(head).select("value"), path)
         return replace(batch, rankings=passages.merge_head(batch.rankings, head, depth))
     if kind == "ltr":
-        off = frozenset(int(x) for x in str(p.get("ltr:featureDisable", "")).split(",") if x.strip())
-        how = ltr.Features(float(p.get("ltr:BM25:k_1", 1.2)), float(p.get("ltr:BM25:b", 0.75)), float(p.get("ltr:QL:mu", 2500)), off)
-        svm = str(p.get("ltr:toolkit", "RankLib")).lower() == "svmrank"
-        spark = index.docs.sparkSession
-        known = files.read_queries(spark, p["ltr:trainingQueryFile"]) if training is None else training[0]
-        judged = files.read_qrels(spark, p["ltr:trainingQrelsFile"]) if training is None else training[1]
-        terms = lambda q: query_terms(q, index).select("qid", "term")
-        train = ltr.extract(ltr.training_pairs(known, judged, index), terms(known), index, how)
-        train = ltr.min_max(train, how.ids) if svm else train
-        model = ltr.fit_pairwise(train, how.ids, float(p.get("ltr:svmRankParamC", 0.001))) if svm else ltr.fit_coordinate_ascent(train, how.ids)
-        head = batch.rankings.filter(F.col("rank") <= depth).select("qid", "eid")
-        feats = ltr.extract(head, terms(batch.queries), index, how)
-        feats = ltr.min_max(feats, how.ids) if svm else feats
-        return replace(batch, rankings=ltr.rerank(batch.rankings, feats, model, depth))
+        return replace(batch, rankings=learn_and_rerank(batch, index, p, training))
     raise ValueError(f"unknown reranker {p.get('type')}")
 
 
+#: The settings without which no learning to rank starts.
+LTR_SETTINGS = ("ltr:trainingQueryFile", "ltr:trainingQrelsFile", "ltr:trainingFeatureVectorsFile", "ltr:testingFeatureVectorsFile", "ltr:testingDocumentScores", "ltr:modelFile", "ltr:toolkit")
+
+
+def learn_and_rerank(batch: Batch, index: Index, p: dict, training: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """Train on the judged pages of the training queries, write features, model and scores where the settings say, and re-rank the head.
+
+    The toolkits' trainers are this package's own: coordinate ascent on average precision for RankLib's ranker 4 with MAP, pairwise hinge loss on scaled features
+    for SVMrank. Other rankers and metrics are refused. A query's terms are those of its leaves, as often as it has them.
+    """
+    spark = index.docs.sparkSession
+    missing = [k for k in LTR_SETTINGS if p.get(k) is None]
+    if missing:
+        raise ValueError(f"missing settings {missing}")
+    toolkit, svm = str(p["ltr:toolkit"]).lower(), str(p["ltr:toolkit"]).lower() == "svmrank"
+    if toolkit not in ("ranklib", "svmrank"):
+        raise ValueError(f"unknown toolkit {p['ltr:toolkit']}")
+    if not svm and (int(p.get("ltr:RankLib:model", 4)) != 4 or str(p.get("ltr:RankLib:metric2t", "MAP")) != "MAP"):
+        raise ValueError("of RankLib's rankers only 4, coordinate ascent, is there, with the metric MAP")
+    off = frozenset(int(x) for x in str(p.get("ltr:featureDisable", "")).split(",") if x.strip())
+    how = ltr.Features(float(p.get("ltr:BM25:k_1", 1.2)), float(p.get("ltr:BM25:b", 0.75)), float(p.get("ltr:QL:mu", 2500)), off)
+    known = files.read_queries(spark, p["ltr:trainingQueryFile"]) if training is None else training[0]
+    judged = files.read_qrels(spark, p["ltr:trainingQrelsFile"]) if training is None else training[1]
+    scaled = lambda f: ltr.min_max(f, how.ids) if svm else f
+    depth = int(p.get("rerankDepth", 1000))
+
+    train = checkpoint(scaled(ltr.extract(ltr.training_pairs(known, judged, index), query_leaves(known, index), index, how)))
+    sinks.write_features(ltr.feature_lines(train, how.ids), p["ltr:trainingFeatureVectorsFile"])
+    model = ltr.fit_pairwise(train, how.ids, float(p.get("ltr:svmRankParamC", 0.001))) if svm else ltr.fit_coordinate_ascent(train, how.ids)
+    sinks.write_lines(spark.createDataFrame([(model.to_json(),)], "value string"), p["ltr:modelFile"])
+
+    head = batch.rankings.filter(F.col("rank") <= depth).select("qid", "eid", F.lit(0).alias("label"))
+    feats = checkpoint(scaled(ltr.extract(head, query_leaves(batch.queries, index), index, how)))
+    sinks.write_features(ltr.feature_lines(feats, how.ids), p["ltr:testingFeatureVectorsFile"])
+    saved = ltr.LinearRanker.from_json(files.read_lines(spark, p["ltr:modelFile"]).first()["value"])
+    sinks.write_lines(feats.orderBy(*sinks.qid_order(), "eid").select(F.concat_ws("\t", "qid", "eid", saved.score().cast("string")).alias("value")), p["ltr:testingDocumentScores"])
+    return ltr.rerank(batch.rankings, feats, saved, depth)
+
+
 def agent(batch: Batch, index: Index, p: dict, models: Models) -> Batch:
     if str(p.get("type")).lower() != "rag":
         raise ValueError(f"unknown agent {p.get('type')}")
@@ -125,13 +142,21 @@ def agent(batch: Batch, index: Index, p: dict, models: Models) -> Batch:
         raise ValueError("agentDepth, rag:psgLen and rag:psgCnt must be positive")
     psgs = passages.passages(index.docs, "eid", "body_string", "title_string", length, int(p.get("rag:psgStride", length)), count, int(p.get("rag:maxTitleLength", 0)))
     asked = batch.queries.select("qid", plain_query(F.coalesce("original_qstring", "qstring")).alias("qstring"))
-    pairs = batch.rankings.filter(F.col("rank") <= depth).select("qid", "eid", "rank").join(psgs, "eid").join(asked, "qid")
-    if models.encoder:
-        score = dense.dot(models.encoder(F.col("qstring")), models.encoder(F.col("text")))
+    head = batch.rankings.filter(F.col("rank") <= depth).select("qid", "eid", "rank")
+    if models.encoder:  # each query and each passage of a ranked page is encoded once
+        psgs = psgs.join(head.select("eid").distinct(), "eid", "left_semi").withColumn("text_vector", models.encoder(F.col("text")))
+        pairs = head.join(checkpoint(psgs), "eid").join(checkpoint(asked.withColumn("query_vector", models.encoder(F.col("qstring")))), "qid")
+        score = dense.dot(F.col("query_vector"), F.col("text_vector"))
     else:
+        pairs = head.join(psgs, "eid").join(asked, "qid")
         score = passages.overlap_score(F.col("qstring"), F.col("text"), index.analyzer)
     best = answers.best_passages(pairs.withColumn("score", score))
-    out = answers.answers(asked, answers.contexts(best), int(p.get("rag:prompt", 1)), models.answerer, p.get("rag:email", ""), p.get("rag:code", ""))
+    # a given model comes first, then a server named in the settings
+    answerer = models.answerer
+    if answerer is None and p.get("rag:modelServer"):
+        address = str(p["rag:modelServer"])
+        answerer = answers.ask_model(lambda: answers.socket_client(address))
+    out = answers.answers(asked, answers.contexts(best), int(p.get("rag:prompt", 1)), answerer, p.get("rag:email", ""), p.get("rag:code", ""))
     return replace(batch, answers=out)
 
 

@@ -15,7 +15,7 @@ from gleanery.functions import text as T
 from gleanery.operators import answers, dense, feedback, inspection, ltr, passages
 from gleanery.operators.scale import latest
 from gleanery.operators.topn import top_by_score
-from gleanery.plans.compile import positions, query_terms, rank_batch, rank_queries, rank_query, rank_set
+from gleanery.plans.compile import positions, query_leaves, query_terms, rank_batch, rank_query, rank_set
 from gleanery.plans.models import BM25, RankedBoolean, UnrankedBoolean
 from gleanery.plans.query import get_query
 from gleanery.sources import files, sinks
@@ -408,14 +408,14 @@ def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def bm25_query_set(spark: SparkSession, sf: str) -> DataFrame:
     """The best 100 pages of every query of the query set, whatever its structure."""
-    return _shown(rank_set(query_set(spark, sf), stored(spark, sf), BM25(), 100))
+    return _shown(rank_set(query_set(spark, sf), stored(spark, sf), BM25(), 100, boolean=True))
 
 
 @query()
 def bm25_structured_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Three structured queries, each its own plan, with nested and positional operators."""
     texts = {"s1": "#WSUM(0.6 #NEAR/5(compass meadow) 0.4 #SUM(ranking catalogue))", "s2": "#SUM(#WINDOW/6(compass meadow ranking) #SYN(lighthouse falcon))", "s3": "the of and"}
-    return _shown(rank_queries(texts, stored(spark, sf, "body"), BM25(), 50))
+    return _shown(rank_set(spark.createDataFrame([*texts.items()], "qid string, qstring string"), stored(spark, sf, "body"), BM25(), 50))
 
 
 # feedback

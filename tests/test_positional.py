@@ -2,7 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gleanery.operators.positional import near_pair, near_walk, proximity, window_pair, window_walk
+from gleanery.operators.positional import near_walk, proximity, walk, window_walk
 
 positions = st.lists(st.integers(0, 30), max_size=8, unique=True).map(sorted)
 
@@ -26,14 +26,43 @@ def test_a_match_exists_exactly_if_the_walk_finds_one(lists, n):
     assert bool(window_walk(lists, n)) == any(spans(1, p, p) for p in lists[0])
 
 
-def test_folds_equal_the_walks(spark):
+def stepwise(kind, lists, n):
+    """The same, a document at a time, one pointer step after the other."""
+    at, out, k = [0] * len(lists), [], len(lists)
+    while all(a < len(x) for a, x in zip(at, lists)):
+        here = [x[a] for a, x in zip(at, lists)]
+        move = None
+        if kind == "NEAR":
+            for i in range(1, k):
+                if not 0 < here[i] - here[i - 1] <= n:
+                    move = i if here[i] <= here[i - 1] else i - 1
+                    break
+        elif max(here) - min(here) >= n:
+            move = here.index(min(here))
+        if move is None:
+            out.append(here[-1] if kind == "NEAR" else max(here))
+            at = [a + 1 for a in at]
+        else:
+            at[move] += 1
+    return out
+
+
+def test_documents_together_equal_each_alone(spark):
     import random
 
     rng = random.Random(1)
-    rows = [(sorted(rng.sample(range(25), rng.randint(0, 7))), sorted(rng.sample(range(25), rng.randint(0, 7)))) for _ in range(400)]
-    df = spark.createDataFrame(rows, "a array<int>, b array<int>")
-    for n in (1, 3, 8):
-        got = df.select("a", "b", near_pair(F.col("a"), F.col("b"), n).alias("x"), window_pair(F.col("a"), F.col("b"), n).alias("y"), proximity("NEAR", n)(F.array("a", "b")).alias("z")).collect()
-        for r in got:
-            assert r.x == near_walk([r.a, r.b], n) == r.z
-            assert len(r.y) == len(window_walk([r.a, r.b], n))
+    some = lambda: sorted(rng.sample(range(25), rng.randint(0, 7)))
+    rows = [(rng.choice(["NEAR", "WINDOW"]), rng.randint(1, 9), [some() for _ in range(rng.randint(1, 4))]) for _ in range(600)] + [("SYN", 1, [[1], [2]]), ("NEAR", 1, [])]
+    got = spark.createDataFrame(rows, "k string, n int, x array<array<int>>").select("k", "n", "x", proximity(F.col("k"), F.col("n"), F.col("x")).alias("z")).collect()
+    assert len(got) == len(rows) and all(r.z == (stepwise(r.k, r.x, r.n) if r.k != "SYN" and r.x else []) for r in got)
+    for kind in ("NEAR", "WINDOW"):
+        documents = [[some() for _ in range(3)] for _ in range(50)]
+        assert walk(kind, 5, documents) == [stepwise(kind, d, 5) for d in documents]
+
+
+def test_a_very_long_document_takes_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert len(near_walk([list(range(0, 200_000, 2)), list(range(1, 200_000, 2))], 1)) == 100_000
+    assert time.perf_counter() - start < 60

@@ -7,7 +7,7 @@ import pytest
 
 from gleanery import queries as core
 from gleanery.plans.compile import rank_query, rank_set
-from gleanery.plans.models import BM25, RankedBoolean
+from gleanery.plans.models import BM25, RankedBoolean, UnrankedBoolean
 from gleanery.sources.index import build_index
 
 SF = "/root/testdata/sf0.001"
@@ -18,12 +18,33 @@ def test_every_structure_is_ranked_like_its_single_query(spark):
     rows = [(f"d{i}", " ".join(words[i % 5 :] + words[: i % 3]), " ".join(words[i % 4 : i % 4 + 2])) for i in range(12)]
     ix = build_index(spark.createDataFrame(rows, "eid string, body_string string, title_string string"), {"body": "body_string", "title": "title_string"}).stored()
     texts = {"p": "sun moon", "t": "#SUM(sun.title moon)", "w": "#WSUM(0.3 sun 0.7 rain)", "n": "#NEAR/2(sun star)", "3": "#NEAR/3(sun moon star)", "u": "#WINDOW/4(rain moon)", "a": "#AND(sun.title moon star)", "o": "#OR(sun cloud)", "x": "#SUM(#NEAR/2(sun moon) rain)", "s": "the of"}
-    got = rank_set(spark.createDataFrame([*texts.items(), ("z", None)], "qid string, qstring string"), ix, BM25(), 5).collect()
+    got = rank_set(spark.createDataFrame([*texts.items(), ("z", None)], "qid string, qstring string"), ix, BM25(), 5, boolean=True).collect()
     want = [r for q, t in texts.items() for r in rank_query(t, ix, RankedBoolean() if q in "ao" else BM25(), 5, q).collect()]
     key = lambda rows: sorted((r.qid, r.rank, r.eid, round(r.score, 8)) for r in rows)
     assert key(got) == key(want) and {r.qid for r in got} == set("ptwn3uaox")
 
 
+NESTED = {
+    "BM25": {
+        "1": "#SUM(#NEAR/2(#SYN(sun rain) star) #WSUM(0.2 moon 0.8 #SUM(cloud cloud sun)))", "2": "#WSUM(0 sun 0 moon)", "3": "#WINDOW/5(#NEAR/2(sun moon) star)", "4": "#SUM(#SYN(sun #NEAR/2(moon star)) #WINDOW/3(star sun rain) none)",
+        "5": "#WSUM(0.5 #WSUM(2 sun 1 moon) 1.5 #SUM(star #SYN(cloud rain)))", "6": "none", "7": "#NEAR/1(sun none)",
+    },
+    "RankedBoolean": {"1": "#AND(#OR(sun cloud) #NEAR/3(moon star))", "2": "sun moon", "3": "#OR(#AND(sun rain) #AND(cloud #OR(star moon)))", "4": "#AND(sun.title #SYN(moon rain))", "5": "#OR(none sun)"},
+    "UnrankedBoolean": {"1": "#AND(#OR(sun cloud) moon)", "2": "#OR(#NEAR/2(sun moon) rain)", "3": "#AND(#SUM(sun cloud) moon)", "4": "#AND(none sun)"},
+}
+
+
+@pytest.mark.parametrize("model", [BM25(), RankedBoolean(), UnrankedBoolean()])
+def test_nested_queries_together_equal_each_alone(spark, model):
+    words = "sun moon star sun rain moon star cloud".split()
+    rows = [(f"d{i}", " ".join(words[i % 5 :] + words[: i % 3]), " ".join(words[i % 4 : i % 4 + 2])) for i in range(12)]
+    ix = build_index(spark.createDataFrame(rows, "eid string, body_string string, title_string string"), {"body": "body_string", "title": "title_string"}).stored()
+    texts = NESTED[type(model).__name__]
+    key = lambda rows: sorted((r.qid, r.rank, r.eid, round(r.score, 8)) for r in rows)
+    want = [r for q, t in texts.items() for r in rank_query(t, ix, model, 6, q).collect()]
+    assert want and key(rank_set(spark.createDataFrame([*texts.items()], "qid string, qstring string"), ix, model, 6).collect()) == key(want)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_prompts_and_rankings_for_structured_queries(spark):
     texts = {r.qid for r in core.query_set(spark, SF).filter("qstring IS NOT NULL").collect()}

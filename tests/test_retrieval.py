@@ -2,7 +2,7 @@ import pytest
 
 from gleanery.functions.text import Analyzer
 from gleanery.operators import feedback, inspection
-from gleanery.plans.compile import positions, query_terms, rank_batch, rank_queries, rank_query
+from gleanery.plans.compile import positions, query_leaves, query_terms, rank_batch, rank_query, rank_set
 from gleanery.plans.models import BM25, RankedBoolean, UnrankedBoolean, model_of
 from gleanery.plans.query import QuerySyntaxError, parse
 from gleanery.sources.index import build_index, open_index
@@ -75,12 +75,26 @@ def test_operators_without_a_score_raise(index):
 
 def test_batch_equals_single_queries(spark, index):
     texts = {"a": "apple pie", "b": "apple apple pie", "c": "with", "d": "#WSUM(0.7 apple 0.3 pie)"}
-    rows = spark.createDataFrame([*texts.items(), ("e", "#NEAR/1(apple pie)"), ("f", "#SUM(apple"), ("g", None)], "qid string, qstring string")
+    rows = spark.createDataFrame([*texts.items(), ("e", "#NEAR/1(apple pie)"), ("g", None)], "qid string, qstring string")
     batch = {(r.qid, r.eid): (r.rank, round(r.score, 6)) for r in rank_batch(query_terms(rows, index), index, BM25()).collect()}
-    single = {(r.qid, r.eid): (r.rank, round(r.score, 6)) for r in rank_queries(texts, index, BM25()).collect()}
+    single = {(q, r.eid): (r.rank, round(r.score, 6)) for q, t in texts.items() for r in rank_query(t, index, BM25()).collect()}
     assert batch == single
 
 
+@pytest.mark.parametrize("bad", ["#SUM(apple", "apple (pie)", "what is the u.s. apple", "#FOO(apple)", "#NEAR(apple pie)"])
+def test_a_malformed_query_raises_with_its_qid(spark, index, bad):
+    rows = spark.createDataFrame([("good", "apple"), ("bad7", bad)], "qid string, qstring string")
+    for plan in (lambda: rank_set(rows, index, BM25()), lambda: query_terms(rows, index), lambda: query_leaves(rows, index)):
+        with pytest.raises(Exception, match="in query bad7"):
+            plan().collect()
+
+
+def test_leaves_keep_repeats_in_any_structure(spark, index):
+    rows = spark.createDataFrame([("a", "apple apple pie"), ("b", "#WSUM(2 #NEAR/2(apple pie) 1 #SUM(apple with))"), ("c", "with"), ("d", None)], "qid string, qstring string")
+    got = sorted((r.qid, r.term) for r in query_leaves(rows, index).collect())
+    assert got == [("a", "apple"), ("a", "apple"), ("a", "pie"), ("b", "apple"), ("b", "apple"), ("b", "pie")]
+
+
 def test_feedback(spark, index):
     run = spark.createDataFrame([("q", 1, "1", 0.4), ("q", 2, "12", 0.2)], "qid string, rank int, eid string, score double")
     okapi = feedback.expansion_terms(run, index, feedback.Feedback("okapi"))

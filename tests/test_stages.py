@@ -78,6 +78,46 @@ def test_learning_orders_by_the_useful_feature(spark):
     assert ltr.fit_pairwise(df.limit(0), [1, 2]).weights == (0.0, 0.0)
 
 
+def test_the_tail_of_a_learned_ranking_stays_below_its_head(spark):
+    run = run_of(spark, [("q", 1, "a", 9.0), ("q", 2, "b", 8.0), ("q", 3, "c", 7.0), ("q", 4, "d", 6.5)])
+    feats = spark.createDataFrame([("q", "a", 0.2), ("q", "b", 0.5)], "qid string, eid string, f1 double")
+    got = ltr.rerank(run, feats, ltr.LinearRanker((1,), (1.0,)), 3).orderBy("rank").collect()
+    assert [(r.eid, round(r.score, 6)) for r in got] == [("b", 0.5), ("a", 0.2), ("c", 0.1), ("d", -0.4)]
+    low = run.withColumn("score", F.col("score") - 100)
+    assert [r.score for r in ltr.rerank(low, feats, ltr.LinearRanker((1,), (1.0,)), 2).orderBy("rank").collect()][2:] == [-93.0, -93.5]
+
+
+def test_pairwise_gradient_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    s, y, x = rng.normal(size=40), rng.integers(0, 4, 40), rng.normal(size=(40, 3))
+    want = sum((x[i] - x[j] for i in range(40) for j in range(40) if y[i] > y[j] and s[i] - s[j] < 1), np.zeros(3))
+    assert np.allclose(ltr._lost_pairs(s, y, x), want)
+
+
+def test_features_of_a_query_without_terms_are_zero(spark):
+    ix = build_index(spark.createDataFrame([("a", "apple pie", None)], "eid string, body string, title string"), {"body": "body", "title": "title"})
+    pairs = spark.createDataFrame([("q", "a", 1)], "qid string, eid string, label int")
+    r = ltr.extract(pairs, spark.createDataFrame([], "qid string, term string"), ix).first()
+    assert [r[f"f{i}"] for i in (5, 6, 7, 17, 18, 20)] == [0.0] * 6 and r.f8 is None and r.f19 is None
+
+
+def test_a_given_run_is_not_cut(spark, tmp_path):
+    ix = build_index(spark.createDataFrame([("a", "apple")], "eid string, body string"), {"body": "body"})
+    lines = "".join(f"1 Q0 d{i} {i} {2000 - i} r\n" for i in range(1, 1501))
+    batch = pipeline.Batch(spark.createDataFrame([("1", "apple", None)], "qid string, qstring string, original_qstring string"))
+    got = pipeline.rank(batch, ix, {"type": "inRankFile", "inRankFile:Path": write(tmp_path / "r", lines)}, pipeline.Models())
+    assert got.rankings.count() == 1500
+
+
+def test_the_expansion_file_holds_what_was_learned(spark, tmp_path):
+    ix = build_index(spark.createDataFrame([("1", "apple pie tart"), ("2", "plum cake"), ("3", "pear")], "eid string, body string"), {"body": "body"})
+    batch = pipeline.Batch(spark.createDataFrame([("1", "apple", None)], "qid string, qstring string, original_qstring string"), run_of(spark, [("1", 1, "1", 2.0)]))
+    path = str(tmp_path / "x")
+    got = pipeline.rewrite(batch, ix, {"type": "prf", "prf:algorithm": "rm3", "prf:rm3:origWeight": 0.4, "prf:expansionQueryFile": path})
+    line = spark.read.text(path).first().value
+    assert line.startswith("1: #WSUM( ") and "#SUM" not in line and "#SUM(apple)" in got.queries.first().qstring
+
+
 def test_dense_search_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     v, q = rng.normal(size=(200, 8)).astype("float32"), rng.normal(size=(7, 8)).astype("float32")
@@ -88,6 +128,8 @@ def test_dense_search_equals_brute_force(spark):
         for i, x in enumerate(q):
             s = v.astype(float) @ x.astype(float)
             assert [got[(str(i), k + 1)] for k in range(5)] == [f"d{j}" for j in np.argsort(-s)[:5]]
+    same = spark.createDataFrame([(f"d{i:03d}", [1.0] * 8) for i in range(300)], "eid string, embedding array<float>").coalesce(1)
+    assert [r.eid for r in dense.dense_topk(asked.filter("qid = '0'"), same, 5, 8).orderBy("rank").collect()] == [f"d{i:03d}" for i in range(5)]
     assert dense.dense_topk(asked.limit(0), vectors, 5, 8).count() == 0
     assert dense.dense_topk(asked, vectors.limit(0), 5, 8).count() == 0
 
@@ -153,13 +195,14 @@ def test_a_whole_run(spark, tmp_path):
     ix = build_index(docs, {"body": "body_string", "title": "title_string"}, attributes=["body_string", "title_string"])
     ix.persist()
     qrels = write(tmp_path / "t.qrels", "1 0 1 1\n1 0 2 0\n1 0 3 -1\n")
+    ltr_files = {k: str(tmp_path / k[4:]) for k in ("ltr:trainingFeatureVectorsFile", "ltr:testingFeatureVectorsFile", "ltr:testingDocumentScores", "ltr:modelFile")}
     p = {
         "queryFilePath": write(tmp_path / "q.qry", "1: apple pie\n2: zebra\n10: #NEAR/1(apple pie)\n"),
         "task_1:ranker": {"type": "BM25", "outputLength": 10},
         "task_2:rewriter": {"type": "PRF", "prf:algorithm": "rm3", "prf:numTerms": 3, "prf:rm3:origWeight": 0.5},
         "task_3:ranker": {"type": "BM25"},
         "task_4:reranker": {"type": "bertrr", "rerankDepth": 2, "bertrr:psgLen": 3, "bertrr:scoreAggregation": "maxp"},
-        "task_5:reranker": {"type": "ltr", "rerankDepth": 2, "ltr:trainingQueryFile": str(tmp_path / "q.qry"), "ltr:trainingQrelsFile": qrels, "ltr:toolkit": "SVMrank"},
+        "task_5:reranker": {"type": "ltr", "rerankDepth": 2, "ltr:trainingQueryFile": str(tmp_path / "q.qry"), "ltr:trainingQrelsFile": qrels, "ltr:toolkit": "SVMrank", **ltr_files},
         "task_6:agent": {"type": "rag", "agentDepth": 2, "rag:psgLen": 4, "rag:psgCnt": 2},
         "task_7:output": {"type": "trec_eval", "outputPath": str(tmp_path / "out"), "outputLength": 2},
         "task_8:output": {"type": "triviaqa_evaluation", "outputPath": str(tmp_path / "a.json"), "promptPath": str(tmp_path / "prompts")},
@@ -170,6 +213,14 @@ def test_a_whole_run(spark, tmp_path):
     assert "2 Q0 Nonexistent_Docid 1 0.000000000000 reference" in lines
     assert json.load(open(tmp_path / "a.json"))["1"]
     assert len(open(tmp_path / "prompts").read().splitlines()) == 3
+    assert [r.value.split()[:2] for r in spark.read.text(ltr_files["ltr:trainingFeatureVectorsFile"]).collect()] == [["0", "qid:1"], ["0", "qid:1"], ["1", "qid:1"]]
+    assert {"ids", "weights"} == set(json.loads(spark.read.text(ltr_files["ltr:modelFile"]).first().value))
+    assert spark.read.text(ltr_files["ltr:testingDocumentScores"]).count() == spark.read.text(ltr_files["ltr:testingFeatureVectorsFile"]).count() > 0
+    learn = p["task_5:reranker"]
+    start = {"queryFilePath": p["queryFilePath"], "task_1:ranker": {"type": "BM25"}}
+    for wrong in ({k: v for k, v in learn.items() if k != "ltr:modelFile"}, {**learn, "ltr:toolkit": "x"}, {**learn, "ltr:toolkit": "RankLib", "ltr:RankLib:model": 6}, {**learn, "ltr:toolkit": "RankLib", "ltr:RankLib:metric2t": "NDCG@5"}):
+        with pytest.raises(ValueError):
+            pipeline.run(spark, {**start, "task_2:reranker": wrong}, index=ix)
     for bad in ({"task_1:x": {}}, {"task_1:ranker": {"type": "bm25"}}, {"task_1:output": {"type": "x"}}, {"task_1:rewriter": {"type": "x"}, "task_0:ranker": {"type": "BM25"}}):
         bad = dict(sorted(bad.items()))
         with pytest.raises(ValueError):
