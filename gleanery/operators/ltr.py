@@ -99,8 +99,9 @@ def min_max(features: DataFrame, ids: list[int]) -> DataFrame:
 
 
 def feature_lines(features: DataFrame, ids: list[int], fill_missing: bool = True) -> DataFrame:
-    """(qid, value): lines `label qid:q i:v .. # eid`; missing features are 0.0 or left out."""
-    cells = [F.concat(F.lit(f"{i}:"), (F.coalesce(F.col(f"f{i}"), F.lit(0.0)) if fill_missing else F.col(f"f{i}")).cast("string")) for i in ids]
+    """(qid, value): lines `label qid:q i:v .. # eid`, values with nine decimals; missing features are 0.0 or left out."""
+    value = lambda i: F.coalesce(F.col(f"f{i}"), F.lit(0.0)) if fill_missing else F.col(f"f{i}")
+    cells = [F.when(value(i).isNotNull(), F.format_string(f"{i}:%.9f", value(i))) for i in ids]
     return features.select("qid", F.concat_ws(" ", F.col("label").cast("string"), F.concat(F.lit("qid:"), "qid"), *cells, F.lit("#"), "eid").alias("value"))
 
 

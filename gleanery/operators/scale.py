@@ -115,10 +115,16 @@ def latest(df: DataFrame, key: str, when: str, others: list[str]) -> DataFrame:
     )
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the shared folder, which release() deletes."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df once as Parquet beside the checkpoints and read it back: for a large table that several branches need."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    _WRITTEN.append((df.sparkSession, path))
+    path = new_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

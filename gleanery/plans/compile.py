@@ -14,7 +14,7 @@ from gleanery.operators.positional import merged, proximity, synonym, together
 from gleanery.operators.scale import HEAVY_ROWS, hot_cold_join, materialise
 from gleanery.operators.topn import top_by_score
 from gleanery.plans.models import BM25, RankedBoolean, UnrankedBoolean
-from gleanery.plans.query import Positions, QuerySyntaxError, Scored, Term, flat_terms, get_query, leaves, parse
+from gleanery.plans.query import Positions, QuerySyntaxError, Scored, Term, bow, flat_terms, get_query, leaves, parse
 from gleanery.sources.index import Index
 
 #: Most rows of a batch's distinct query terms that are broadcast; beyond it they meet the postings by shuffle.
@@ -123,6 +123,16 @@ def query_terms(queries: DataFrame, index: Index, default_op: str = "#SUM") -> D
     return queries.filter(F.col("qstring").isNotNull()).select("qid", F.explode(flat("qid", "qstring")).alias("t")).select("qid", "t.*")
 
 
+def bag_words(query: Column) -> Column:
+    """The words of plain queries and of single flat sums; other structures raise."""
+
+    @F.pandas_udf("string")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(bow, na_action="ignore")
+
+    return words(query)
+
+
 def query_leaves(queries: DataFrame, index: Index, default_op: str = "#SUM") -> DataFrame:
     """(qid, field, term): a row for every term of every query of (qid, qstring) as often as the query has it, whatever the structure."""
 

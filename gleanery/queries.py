@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.operators import answers, dense, feedback, inspection, ltr, passages
-from gleanery.operators.scale import latest
+from gleanery.operators.scale import latest, new_path
 from gleanery.operators.topn import top_by_score
-from gleanery.plans.compile import positions, query_leaves, query_terms, rank_batch, rank_query, rank_set
+from gleanery.plans.compile import bag_words, positions, query_leaves, rank_batch, rank_query, rank_set
 from gleanery.plans.models import BM25, RankedBoolean, UnrankedBoolean
 from gleanery.plans.query import get_query
 from gleanery.sources import files, sinks
-from gleanery.sources.index import Index, build_index
+from gleanery.sources.index import Index, build_index, open_index
 
 COLUMNS = {"body": "body_string", "title": "title_string", "url": "raw_url", "keywords": "keywords", "inlink": "inlink"}
+#: Added before scores of nine places are rounded to six, so that a last 500 goes up in both engines.
+TIE = 1e-10
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -54,6 +56,11 @@ def stored(spark: SparkSession, sf: str, *fields: str) -> Index:
     return index(spark, sf, *fields).stored()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder for a file that is written and read again; release() deletes it."""
+    return new_path(spark, "file")
+
+
 def query_set(spark: SparkSession, sf: str) -> DataFrame:
     """(qid, qstring): of a repeated qid the later row holds."""
     rows = table(spark, sf, "queries").select("qid", "qstring", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
@@ -92,12 +99,12 @@ def _bm25_sql(tf: str = "tf", length: str = "len", df: str = "df") -> str:
 
 def _top_sql(scores: str, n: int, qid: str = "'q'") -> str:
     """scores: SELECT of qid, eid, score."""
-    return f"""SELECT qid, rank::INT AS rank, eid, round(score, 6) AS score FROM (
+    return f"""SELECT qid, rank::INT AS rank, eid, round(score + {TIE}, 6) AS score FROM (
   SELECT qid, eid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, eid) AS rank FROM (SELECT qid, eid, round(score, 9) AS score FROM ({scores}))) WHERE rank <= {n}"""
 
 
 def _shown(ranking: DataFrame) -> DataFrame:
-    return ranking.select("qid", "rank", "eid", F.round("score", 6).alias("score"))
+    return ranking.select("qid", "rank", "eid", F.round(F.col("score") + TIE, 6).alias("score"))
 
 
 # index and inspection
@@ -264,17 +271,21 @@ def bool_nested(spark: SparkSession, sf: str) -> DataFrame:
 # positional operators
 
 
-def _pairs_sql(a: str, b: str) -> str:
-    return f"pa AS (SELECT eid, len, positions AS x FROM post WHERE field = 'body' AND term = '{a}'), pb AS (SELECT eid, positions AS y FROM post WHERE field = 'body' AND term = '{b}'), both_ AS (SELECT eid, len, x, y FROM pa JOIN pb USING (eid))"
+#: The pointer walk over any number of position lists as a recursive query: lists_(qid, eid, len, kind, n, x) to found(qid, eid, len, tf).
+_WALK = """walk AS (
+  SELECT qid, eid, len, kind, n, x, list_transform(x, lambda l: 1) AS pt, 0 AS m FROM lists_
+  UNION ALL SELECT qid, eid, len, kind, n, x, CASE WHEN move = 0 THEN list_transform(pt, lambda a: a + 1) ELSE list_transform(range(1, len(pt) + 1), lambda j: pt[j] + (j = move)::INT) END, m + (move = 0)::INT FROM (
+    SELECT *, CASE WHEN kind = 'WINDOW' THEN CASE WHEN list_max(here) - list_min(here) < n THEN 0 ELSE list_position(here, list_min(here)) END
+      WHEN wrong = 0 THEN 0 WHEN here[wrong + 1] <= here[wrong] THEN wrong + 1 ELSE wrong END AS move FROM (
+      SELECT *, coalesce(list_min(list_filter(range(1, len(here)), lambda j: NOT (here[j + 1] - here[j] BETWEEN 1 AND n))), 0) AS wrong FROM (
+        SELECT *, list_transform(range(1, len(pt) + 1), lambda j: x[j][pt[j]]) AS here FROM walk WHERE len(list_filter(range(1, len(pt) + 1), lambda j: pt[j] > len(x[j]))) = 0)))),
+found AS (SELECT qid, eid, max(len) AS len, max(m) AS tf FROM walk GROUP BY qid, eid HAVING max(m) > 0)"""
 
 
-def _walk_sql(kind: str, n: int) -> str:
-    """The pointer walk as a recursive query: (eid, tf)."""
-    if kind == "NEAR":
-        step = f"SELECT eid, x, y, CASE WHEN y[j] <= x[i] THEN i ELSE i + 1 END, CASE WHEN y[j] <= x[i] THEN j + 1 WHEN y[j] - x[i] > {n} THEN j ELSE j + 1 END, CASE WHEN y[j] > x[i] AND y[j] - x[i] <= {n} THEN m + 1 ELSE m END"
-    else:
-        step = f"SELECT eid, x, y, CASE WHEN abs(x[i] - y[j]) < {n} OR x[i] < y[j] THEN i + 1 ELSE i END, CASE WHEN abs(x[i] - y[j]) < {n} OR x[i] > y[j] THEN j + 1 ELSE j END, CASE WHEN abs(x[i] - y[j]) < {n} THEN m + 1 ELSE m END"
-    return f"walk AS (SELECT eid, x, y, 1 AS i, 1 AS j, 0 AS m FROM both_ UNION ALL {step} FROM walk WHERE i <= len(x) AND j <= len(y)), found AS (SELECT eid, max(m) AS tf FROM walk GROUP BY eid HAVING max(m) > 0)"
+def _lists_sql(kind: str, n: int, *terms: str, field: str = "body") -> str:
+    """lists_ of one operator over terms of a field."""
+    joins = " ".join(f"JOIN post p{i} ON p{i}.eid = p0.eid AND p{i}.field = '{field}' AND p{i}.term = '{t}'" for i, t in enumerate(terms) if i)
+    return f"lists_ AS (SELECT 'q' AS qid, p0.eid, p0.len, '{kind}' AS kind, {n} AS n, [{', '.join(f'p{i}.positions' for i in range(len(terms)))}] AS x FROM post p0 {joins} WHERE p0.field = '{field}' AND p0.term = '{terms[0]}')"
 
 
 @query(index_sql("body") + " SELECT eid, string_agg(DISTINCT pos::VARCHAR, ' ' ORDER BY pos::VARCHAR) AS positions, count(DISTINCT pos) AS tf FROM pos WHERE term IN ('compass', 'meadow') GROUP BY eid")
@@ -297,12 +308,12 @@ def window_match(spark: SparkSession, sf: str) -> DataFrame:
     return _match(spark, sf, "#WINDOW/8(compass meadow)").select("eid")
 
 
-@query(index_sql("body") + f", {_pairs_sql('compass', 'meadow')}, {_walk_sql('NEAR', 8)} SELECT eid, tf FROM found")
+@query(index_sql("body") + f", {_lists_sql('NEAR', 8, 'compass', 'meadow')}, {_WALK} SELECT eid, tf FROM found")
 def near_tf(spark: SparkSession, sf: str) -> DataFrame:
     return _match(spark, sf, "#NEAR/8(compass meadow)").select("eid", F.size("positions").alias("tf"))
 
 
-@query(index_sql("body") + f", {_pairs_sql('compass', 'meadow')}, {_walk_sql('WINDOW', 8)} SELECT eid, tf FROM found")
+@query(index_sql("body") + f", {_lists_sql('WINDOW', 8, 'compass', 'meadow')}, {_WALK} SELECT eid, tf FROM found")
 def window_tf(spark: SparkSession, sf: str) -> DataFrame:
     return _match(spark, sf, "#WINDOW/8(compass meadow)").select("eid", F.size("positions").alias("tf"))
 
@@ -324,13 +335,23 @@ def window_three(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    index_sql("body") + f", {_pairs_sql('compass', 'meadow')}, {_walk_sql('NEAR', 8)}, c AS (SELECT count(*) AS df FROM found) "
-    + _top_sql(f"SELECT 'q' AS qid, found.eid, {_bm25_sql('found.tf', 'both_.len', 'c.df')} AS score FROM found JOIN both_ USING (eid), c, fs", 100)
+    index_sql("body") + f", {_lists_sql('NEAR', 8, 'compass', 'meadow')}, {_WALK}, c AS (SELECT count(*) AS df FROM found) "
+    + _top_sql(f"SELECT 'q' AS qid, found.eid, {_bm25_sql('found.tf', 'found.len', 'c.df')} AS score FROM found, c, fs", 100)
 )
 def near_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return one(spark, sf, "#NEAR/8(compass meadow)", BM25(), 100)
 
 
+@query(index_sql("body") + f", {_lists_sql('NEAR', 12, 'compass', 'meadow', 'ranking')}, {_WALK} SELECT eid, tf FROM found")
+def near_three_tf(spark: SparkSession, sf: str) -> DataFrame:
+    return _match(spark, sf, "#NEAR/12(compass meadow ranking)").select("eid", F.size("positions").alias("tf"))
+
+
+@query(index_sql("body") + f", {_lists_sql('WINDOW', 12, 'compass', 'meadow', 'ranking')}, {_WALK} SELECT eid, tf FROM found")
+def window_three_tf(spark: SparkSession, sf: str) -> DataFrame:
+    return _match(spark, sf, "#WINDOW/12(compass meadow ranking)").select("eid", F.size("positions").alias("tf"))
+
+
 @query(index_sql("body") + " SELECT DISTINCT a.eid FROM pos a JOIN pos b ON a.eid = b.eid AND a.term IN ('compass', 'ranking') AND b.term = 'meadow' AND b.pos > a.pos AND b.pos - a.pos <= 5")
 def near_syn_nested(spark: SparkSession, sf: str) -> DataFrame:
     return _match(spark, sf, "#NEAR/5(#SYN(compass ranking) meadow)").select("eid")
@@ -380,14 +401,23 @@ def bm25_title_field(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _QUERIES = "qs AS (SELECT qid, qstring FROM (SELECT *, row_number() OVER () AS seq FROM queries) WHERE qid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY seq DESC) = 1)"
-_PLAIN = f"""{_QUERIES}, plain AS (SELECT * FROM qs WHERE qstring IS NOT NULL AND NOT regexp_matches(qstring, '[#().]')),
-qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(regexp_extract_all(lower(qstring), {_TOKEN})) AS term FROM plain) WHERE term NOT IN ({_STOP}) GROUP BY qid, term),
-qw AS (SELECT qid, term, times / CASE WHEN max(times) OVER (PARTITION BY qid) > 1 AND count(*) OVER (PARTITION BY qid) > 1 THEN sum(times) OVER (PARTITION BY qid) WHEN max(times) OVER (PARTITION BY qid) > 1 THEN times ELSE 1 END AS weight FROM qt)"""
+#: tk: every analysed term of every query with its operator, distance, place and weight; qw: those of sums of terms with their factors.
+_ASKED = f"""{_QUERIES},
+form AS (SELECT qid, s, upper(regexp_extract(s, '^#([A-Za-z]+)', 1)) AS op, try_cast(regexp_extract(s, '^#[A-Za-z]+/(\\d+)', 1) AS INT) AS n FROM (SELECT qid, trim(qstring, ' \t\r\n') AS s FROM qs WHERE qstring IS NOT NULL)),
+args AS (SELECT qid, CASE op WHEN '' THEN 'SUM' ELSE op END AS op, n, list_filter(string_split_regex(CASE op WHEN '' THEN s ELSE regexp_extract(s, '\\((.*)\\)', 1) END, '\\s+'), lambda x: x <> '') AS w FROM form),
+word AS (SELECT qid, op, n, i, CASE op WHEN 'WSUM' THEN w[2 * i + 1]::DOUBLE ELSE 1.0 END AS weight, CASE op WHEN 'WSUM' THEN w[2 * i + 2] ELSE w[i + 1] END AS word
+  FROM (SELECT *, unnest(range(CASE op WHEN 'WSUM' THEN len(w) // 2 ELSE len(w) END)) AS i FROM args)),
+token AS (SELECT qid, op, n, i, weight, CASE WHEN contains(word, '.') THEN lower(split_part(word, '.', 2)) ELSE 'body' END AS field, regexp_extract_all(lower(split_part(word, '.', 1)), {_TOKEN}) AS ts FROM word),
+tk AS (SELECT * FROM (SELECT qid, op, n, i, weight, field, unnest(ts) AS term, unnest(range(len(ts))) AS j FROM token) WHERE term NOT IN ({_STOP})),
+size AS (SELECT qid, count(*) AS k FROM tk GROUP BY qid),
+flat AS (SELECT tk.*, k FROM tk JOIN size USING (qid) WHERE k = 1 OR op IN ('SUM', 'WSUM')),
+times AS (SELECT qid, op, k, field, term, count(*) AS times, sum(weight) AS weight FROM flat GROUP BY ALL),
+qw AS (SELECT qid, field, term, CASE WHEN op = 'WSUM' AND k > 1 THEN weight / sum(weight) OVER q WHEN max(times) OVER q > 1 AND count(*) OVER q > 1 THEN times / k WHEN max(times) OVER q > 1 THEN 1.0 ELSE times END AS factor FROM times WINDOW q AS (PARTITION BY qid))"""
 
 
-def plain_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """The queries that the SQL can express; what runs over them has a `_query_set` form over all of them."""
-    return query_set(spark, sf).filter(F.col("qstring").isNotNull() & ~F.col("qstring").rlike(r"[#().]"))
+def asked_words(spark: SparkSession, sf: str, ix: Index) -> DataFrame:
+    """(qid, term): the terms of every query, whatever its structure, as often as it has them."""
+    return query_leaves(query_set(spark, sf), ix).select("qid", "term")
 
 
 def bare_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -395,29 +425,49 @@ def bare_queries(spark: SparkSession, sf: str) -> DataFrame:
     return query_set(spark, sf).filter(F.col("qstring").isNotNull()).select("qid", T.plain_query(F.col("qstring")).alias("qstring"))
 
 
-@query(
-    index_sql("body") + f", {_PLAIN} "
-    + _top_sql(f"SELECT qid, eid, sum(weight * {_bm25_sql()}) AS score FROM qw JOIN post USING (term) JOIN ts USING (field, term) JOIN fs USING (field) GROUP BY qid, eid", 100)
+_BATCH = (
+    index_sql() + f""", {_ASKED},
+both_ AS (SELECT qid, n, k, op, field, term, row_number() OVER (PARTITION BY qid ORDER BY i, j) AS a FROM tk JOIN size USING (qid) WHERE k > 1 AND op IN ('NEAR', 'WINDOW', 'AND')),
+lists_ AS (SELECT qid, eid, any_value(len) AS len, op AS kind, n, list(positions ORDER BY a) AS x FROM both_ JOIN post USING (field, term) WHERE op <> 'AND' GROUP BY qid, eid, op, n, k HAVING count(*) = k),
+{_WALK}, near_df AS (SELECT qid, count(*) AS df FROM found GROUP BY qid), near_field AS (SELECT DISTINCT qid, field FROM both_ WHERE op <> 'AND'),
+scored AS (
+  SELECT qid, eid, sum(factor * {_bm25_sql()}) AS score FROM qw JOIN post USING (field, term) JOIN ts USING (field, term) JOIN fs USING (field) GROUP BY qid, eid
+  UNION ALL SELECT qid, eid, min(tf)::DOUBLE FROM both_ JOIN post USING (field, term) WHERE op = 'AND' GROUP BY qid, eid, k HAVING count(*) = k
+  UNION ALL SELECT qid, eid, {_bm25_sql('found.tf', 'found.len', 'near_df.df')} FROM found JOIN near_df USING (qid) JOIN near_field USING (qid) JOIN fs USING (field)) """
 )
-def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """The best 100 pages of every plain query of the query set, in one plan."""
-    ix = stored(spark, sf, "body")
-    return _shown(rank_batch(query_terms(plain_queries(spark, sf), ix), ix, BM25(), 100))
 
 
-@query()
-def bm25_query_set(spark: SparkSession, sf: str) -> DataFrame:
-    """The best 100 pages of every query of the query set, whatever its structure."""
+@query(_BATCH + _top_sql("SELECT qid, eid, score FROM scored", 100))
+def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The best 100 pages of every query of the query set, whatever its structure, in one plan."""
     return _shown(rank_set(query_set(spark, sf), stored(spark, sf), BM25(), 100, boolean=True))
 
 
-@query()
+@query(
+    index_sql("body")
+    + f""", lists_ AS (
+  SELECT 's1' AS qid, a.eid, a.len, 'NEAR' AS kind, 5 AS n, [a.positions, b.positions] AS x FROM post a JOIN post b USING (eid) WHERE a.term = 'compass' AND b.term = 'meadow'
+  UNION ALL SELECT 's2', a.eid, a.len, 'WINDOW', 6, [a.positions, b.positions, c.positions] FROM post a JOIN post b USING (eid) JOIN post c USING (eid) WHERE a.term = 'compass' AND b.term = 'meadow' AND c.term = 'ranking'),
+{_WALK}, d AS (SELECT qid, count(*) AS df FROM found GROUP BY qid),
+syn AS (SELECT eid, len, count(DISTINCT pos) AS tf FROM pos WHERE term IN ('lighthouse', 'falcon') GROUP BY eid, len), c AS (SELECT count(*) AS df FROM syn),
+part AS (
+  SELECT qid, eid, CASE qid WHEN 's1' THEN 0.6 ELSE 1.0 END * {_bm25_sql('found.tf', 'found.len', 'd.df')} AS score FROM found JOIN d USING (qid), fs
+  UNION ALL SELECT 's1', eid, 0.4 * sum({_bm25_sql()}) FROM post JOIN ts USING (field, term) JOIN fs USING (field) WHERE term IN ('ranking', 'catalogue') GROUP BY eid
+  UNION ALL SELECT 's2', eid, {_bm25_sql('syn.tf', 'syn.len', 'c.df')} FROM syn, c, fs) """
+    + _top_sql("SELECT qid, eid, sum(score) AS score FROM part GROUP BY qid, eid", 50)
+)
 def bm25_structured_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Three structured queries, each its own plan, with nested and positional operators."""
+    """Three queries with nested and positional operators in one plan."""
     texts = {"s1": "#WSUM(0.6 #NEAR/5(compass meadow) 0.4 #SUM(ranking catalogue))", "s2": "#SUM(#WINDOW/6(compass meadow ranking) #SYN(lighthouse falcon))", "s3": "the of and"}
     return _shown(rank_set(spark.createDataFrame([*texts.items()], "qid string, qstring string"), stored(spark, sf, "body"), BM25(), 50))
 
 
+@query(index_sql("title") + f", {_ASKED} SELECT qid, field, term, count(*) AS times FROM tk GROUP BY qid, field, term")
+def query_terms_of_set(spark: SparkSession, sf: str) -> DataFrame:
+    """The terms of every query with their fields."""
+    return query_leaves(query_set(spark, sf), index(spark, sf, "title")).groupBy("qid", "field", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
 # feedback
 
 _RUN20 = "run AS (SELECT qid, eid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, eid) AS rank FROM (SELECT qid, eid, max(score) AS score FROM rankings WHERE runid = 'bm25' AND qid IS NOT NULL AND eid IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY qid, eid) QUALIFY rank <= 20)"
@@ -455,7 +505,11 @@ def prf_expanded_rank(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(rank_batch(learned, ix, BM25(), 10))
 
 
-@query()
+_LEARNED = """, best AS (SELECT qid, term, weight, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, term) AS place FROM (SELECT qid, term, round(weight, 9) AS weight FROM raw) WHERE weight > 0 QUALIFY place <= 10),
+learned AS (SELECT qid, '#WSUM( ' || string_agg(printf('%.12f', weight) || ' ' || term, ' ' ORDER BY place DESC) || ' )' AS learned FROM best GROUP BY qid)"""
+
+
+@query(index_sql("body") + f", {_QUERIES}, {_RUN20}" + _RM3 + _LEARNED + " SELECT qid, coalesce('#WSUM( 0.5 #SUM(' || qstring || ') 0.5 ' || learned || ' )', qstring) AS qstring, qstring AS original_qstring FROM qs LEFT JOIN learned USING (qid)")
 def prf_expanded_queries(spark: SparkSession, sf: str) -> DataFrame:
     """The query strings after feedback with half of the weight on the original."""
     how = feedback.Feedback("rm3", orig_weight=0.5)
@@ -463,29 +517,37 @@ def prf_expanded_queries(spark: SparkSession, sf: str) -> DataFrame:
     return feedback.expanded_queries(terms, query_set(spark, sf), how)
 
 
+@query(index_sql("body") + f", {_RUN20}" + _RM3 + _LEARNED + " SELECT qid || ': ' || learned AS value FROM learned")
+def prf_query_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of the file of learned queries."""
+    how = feedback.Feedback("rm3")
+    learned = feedback.learned_queries(feedback.expansion_terms(run_ranking(spark, sf), stored(spark, sf, "body"), how), how)
+    path = scratch(spark)
+    sinks.write_expanded(learned.withColumnRenamed("learned", "qstring"), path)
+    return files.read_lines(spark, path)
+
+
 # learning to rank
 
-_PAIRS = f"""{_PLAIN}, labels AS (SELECT qid, eid, max(greatest(0, try_cast(rel AS INT)))::INT AS label FROM qrels WHERE try_cast(rel AS INT) IS NOT NULL AND eid IN (SELECT eid FROM recs) AND qid IN (SELECT qid FROM plain) GROUP BY qid, eid)"""
+_PAIRS = f"""{_ASKED}, qt AS (SELECT qid, term, count(*) AS times FROM tk GROUP BY qid, term), labels AS (SELECT qid, eid, max(greatest(0, try_cast(rel AS INT)))::INT AS label FROM qrels WHERE try_cast(rel AS INT) IS NOT NULL AND eid IN (SELECT eid FROM recs) AND qid IN (SELECT qid FROM qs WHERE qstring IS NOT NULL) GROUP BY qid, eid)"""
 
 
-def _features(spark: SparkSession, sf: str, choose: Callable = plain_queries) -> DataFrame:
+def _features(spark: SparkSession, sf: str) -> DataFrame:
     ix = stored(spark, sf, "body", "title", "url", "inlink")
-    asked = choose(spark, sf)
-    words = asked.select("qid", F.explode(ix.analyzer.terms(F.col("qstring"))).alias("term"))
-    return ltr.extract(ltr.training_pairs(asked, table(spark, sf, "qrels"), ix), words, ix)
+    return ltr.extract(ltr.training_pairs(bare_queries(spark, sf), table(spark, sf, "qrels"), ix), asked_words(spark, sf, ix), ix)
 
 
 _FIELDS = [("body", 5), ("title", 8), ("url", 11), ("inlink", 14)]
 _FEATURES = (
     index_sql("body", "title", "url", "inlink") + f", {_PAIRS}, tot AS (SELECT qid, sum(times) AS tokens, count(*) AS stems FROM qt GROUP BY qid), "
     """cell AS (
-  SELECT p.qid, p.eid, l.field, l.len, l.poslen, q.term, q.times, tokens, stems, coalesce(post.tf, 0) AS tf, df, coalesce(ctf, 0) AS ctf, sum_len, num_docs, avg_len
-  FROM labels p JOIN lengths l ON l.eid = p.eid AND l.poslen > 0 JOIN fs ON fs.field = l.field JOIN qt q ON q.qid = p.qid JOIN tot ON tot.qid = p.qid
+  SELECT p.qid, p.eid, l.field, l.len, l.poslen, q.term, coalesce(q.times, 0) AS times, coalesce(tokens, 0) AS tokens, coalesce(stems, 0) AS stems, coalesce(post.tf, 0) AS tf, df, coalesce(ctf, 0) AS ctf, sum_len, num_docs, avg_len
+  FROM labels p JOIN lengths l ON l.eid = p.eid AND l.poslen > 0 JOIN fs ON fs.field = l.field LEFT JOIN qt q ON q.qid = p.qid LEFT JOIN tot ON tot.qid = p.qid
   LEFT JOIN ts ON ts.field = l.field AND ts.term = q.term LEFT JOIN post ON post.field = l.field AND post.term = q.term AND post.eid = p.eid),
 agg AS (
   SELECT qid, eid, field, sum(CASE WHEN tf > 0 THEN times * """ + _bm25_sql() + """ ELSE 0 END) AS bm25, sum((tf > 0)::INT)::DOUBLE AS overlap,
-    min((tf + 2500.0 * ctf / sum_len) / (len + 2500.0)) AS least, sum(CASE WHEN tf + ctf > 0 THEN times * ln((tf + 2500.0 * ctf / sum_len) / (len + 2500.0)) END) / max(tokens) AS logs,
-    sum(tf * times) / max(poslen) AS density, max(CASE WHEN tf > 0 THEN ln((num_docs + 1) / (df + 0.5)) ELSE 0 END) AS max_idf, sum((tf > 0)::INT) / max(stems) AS coverage,
+    min((tf + 2500.0 * ctf / sum_len) / (len + 2500.0)) AS least, sum(CASE WHEN tf + ctf > 0 THEN times * ln((tf + 2500.0 * ctf / sum_len) / (len + 2500.0)) END) / nullif(max(tokens), 0) AS logs,
+    sum(tf * times) / max(poslen) AS density, max(CASE WHEN tf > 0 THEN ln((num_docs + 1) / (df + 0.5)) ELSE 0 END) AS max_idf, CASE WHEN max(stems) > 0 THEN sum((tf > 0)::INT) / max(stems) ELSE 0.0 END AS coverage,
     sum(CASE WHEN tf > 0 THEN tf * times * ln((num_docs + 1) / (df + 0.5)) ELSE 0 END) AS tfidf
   FROM cell GROUP BY qid, eid, field),
 wide AS (SELECT qid, eid, """
@@ -503,99 +565,98 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(_FEATURES + f" SELECT l.qid, l.eid, l.label, {_DOC_FEATURES}, {_ALL} FROM labels l JOIN recs USING (eid) LEFT JOIN wide ON wide.qid = l.qid AND wide.eid = l.eid")
 def ltr_features(spark: SparkSession, sf: str) -> DataFrame:
-    """The 20 features of every judged page of a plain query."""
+    """The 20 features of every judged page of any query."""
     return _rounded(_features(spark, sf))
 
 
 @query(
     _FEATURES + f", f AS (SELECT l.qid, l.eid, l.label, {_DOC_FEATURES}, {_ALL} FROM labels l JOIN recs USING (eid) LEFT JOIN wide ON wide.qid = l.qid AND wide.eid = l.eid) SELECT qid, eid, label, "
-    + ", ".join(f"CASE WHEN f{i} IS NULL THEN NULL WHEN max(f{i}) OVER q > min(f{i}) OVER q THEN round((f{i} - min(f{i}) OVER q) / (max(f{i}) OVER q - min(f{i}) OVER q), 4) ELSE 0.0 END AS f{i}" for i in (1, 4, 7, 17))
+    + ", ".join(f"CASE WHEN f{i} IS NULL THEN NULL WHEN max(f{i}) OVER q > min(f{i}) OVER q THEN round((f{i} - min(f{i}) OVER q) / (max(f{i}) OVER q - min(f{i}) OVER q), 4) ELSE 0.0 END AS f{i}" for i in range(1, 21))
     + " FROM f WINDOW q AS (PARTITION BY qid)"
 )
 def ltr_minmax(spark: SparkSession, sf: str) -> DataFrame:
-    """Four of the features scaled within their query."""
-    scaled = ltr.min_max(_rounded(_features(spark, sf)), [1, 4, 7, 17])
-    return scaled.select("qid", "eid", "label", *[F.round(f"f{i}", 4).alias(f"f{i}") for i in (1, 4, 7, 17)])
+    """The features scaled within their query."""
+    scaled = ltr.min_max(_rounded(_features(spark, sf)), ltr.Features().ids)
+    return scaled.select("qid", "eid", "label", *[F.round(f"f{i}", 4).alias(f"f{i}") for i in range(1, 21)])
 
 
 @query(f"WITH {_RECS}, {_PAIRS} SELECT qid, eid, label FROM labels")
 def ltr_train_join(spark: SparkSession, sf: str) -> DataFrame:
-    return ltr.training_pairs(plain_queries(spark, sf), table(spark, sf, "qrels"), index(spark, sf, "title"))
-
-
-@query()
-def ltr_features_query_set(spark: SparkSession, sf: str) -> DataFrame:
-    """The 20 features of every judged page of any query."""
-    return _rounded(_features(spark, sf, bare_queries))
+    return ltr.training_pairs(bare_queries(spark, sf), table(spark, sf, "qrels"), index(spark, sf, "title"))
 
 
-@query()
-def ltr_minmax_query_set(spark: SparkSession, sf: str) -> DataFrame:
-    scaled = ltr.min_max(_rounded(_features(spark, sf, bare_queries)), [1, 4, 7, 17])
-    return scaled.select("qid", "eid", "label", *[F.round(f"f{i}", 4).alias(f"f{i}") for i in (1, 4, 7, 17)])
+#: A linear ranker with fixed weights, so that the SQL knows it; ltr_trained trains one.
+FIXED_RANKER = ltr.LinearRanker((5, 6, 8, 10, 17, 18), (0.5, 0.25, 0.75, 0.125, 1.5, 0.0625))
+_HEAD_FEATURES = _FEATURES.replace(_PAIRS, f"{_PAIRS.replace('labels AS', 'judged AS')}, {_RUN20}, labels AS (SELECT qid, eid FROM run WHERE rank <= 10)")
 
 
-@query()
-def ltr_train_join_query_set(spark: SparkSession, sf: str) -> DataFrame:
-    return ltr.training_pairs(bare_queries(spark, sf), table(spark, sf, "qrels"), index(spark, sf, "title"))
+def _head_features(spark: SparkSession, sf: str, run: DataFrame) -> DataFrame:
+    ix = stored(spark, sf, "body", "title", "url", "inlink")
+    return ltr.extract(run.filter(F.col("rank") <= 10).select("qid", "eid"), asked_words(spark, sf, ix), ix)
 
 
-@query()
+@query(
+    _HEAD_FEATURES + f""", new AS (SELECT run.qid, run.eid, rank, score, round({' + '.join(f'coalesce(round(f{i}, 6), 0.0) * {w!r}' for i, w in zip(FIXED_RANKER.ids, FIXED_RANKER.weights))}, 9) AS new, rank <= 10 AS head FROM run LEFT JOIN wide USING (qid, eid)),
+low AS (SELECT qid, min(CASE WHEN head THEN new END) AS low, max(CASE WHEN NOT head THEN score END) AS high FROM new GROUP BY qid)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY head DESC, CASE WHEN head THEN new END DESC, rank)::INT AS rank, eid, round(CASE WHEN head THEN new ELSE score - greatest(0.0, coalesce(high + 0.1 - low, 0.0)) END + {TIE}, 6) AS score FROM new JOIN low USING (qid)"""
+)
 def ltr_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    """A run's first ten pages in the order of a model trained on the judgements."""
-    ix = stored(spark, sf, "body", "title", "url", "inlink")
-    how = ltr.Features()
-    model = ltr.fit_pairwise(ltr.min_max(_features(spark, sf, bare_queries), how.ids), how.ids)
+    """A run with its first ten pages in the order of a ranker with fixed weights."""
     run = run_ranking(spark, sf)
-    words = bare_queries(spark, sf).select("qid", F.explode(ix.analyzer.terms(F.col("qstring"))).alias("term"))
-    feats = ltr.min_max(ltr.extract(run.filter(F.col("rank") <= 10).select("qid", "eid"), words, ix, how), how.ids)
-    return _shown(ltr.rerank(run, feats, model, 10))
+    feats = _head_features(spark, sf, run)
+    feats = feats.select("qid", "eid", *[F.round(f"f{i}", 6).alias(f"f{i}") for i in FIXED_RANKER.ids])
+    return _shown(ltr.rerank(run, feats, FIXED_RANKER, 10))
 
 
 @query()
+def ltr_trained(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a model trained on the judgements."""
+    how, run = ltr.Features(), run_ranking(spark, sf)
+    model = ltr.fit_pairwise(ltr.min_max(_features(spark, sf), how.ids), how.ids)
+    return _shown(ltr.rerank(run, ltr.min_max(_head_features(spark, sf, run), how.ids), model, 10))
+
+
+@query(
+    _FEATURES + f""", f AS (SELECT l.qid, l.eid, l.label, {_DOC_FEATURES}, {_ALL} FROM labels l JOIN recs USING (eid) LEFT JOIN wide ON wide.qid = l.qid AND wide.eid = l.eid)
+SELECT label || ' qid:' || qid || ' ' || {" || ' ' || ".join(f"'{i}:' || printf('%.9f', coalesce(round(f{i}, 6), 0.0))" for i in range(1, 21))} || ' # ' || eid AS value FROM f"""
+)
 def ltr_feature_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return ltr.feature_lines(_rounded(_features(spark, sf, bare_queries)), ltr.Features().ids)
+    """The lines of the file of feature vectors."""
+    path = scratch(spark)
+    sinks.write_features(ltr.feature_lines(_rounded(_features(spark, sf)), ltr.Features().ids), path)
+    return files.read_lines(spark, path)
 
 
 # passages
 
 _WORDS = "list_filter(string_split_regex(coalesce({c}, ''), '[\\s\\x{{0b}}\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '')"
 _PSG = f"""w AS (SELECT eid, {_WORDS.format(c='body_string')} AS w, array_to_string({_WORDS.format(c='title_string')}[1:6], ' ') AS t FROM recs),
-n AS (SELECT *, CASE WHEN len(w) > 0 THEN least(1 + ceil(greatest(len(w) - 60, 0) / 30), ceil(len(w) / 30), 5)::INT ELSE 0 END AS k FROM w),
+n AS (SELECT *, CASE WHEN len(w) > 0 THEN least(1 + ceil(greatest(len(w) - 60, 0) / 30), ceil(len(w) / 30))::INT ELSE 0 END AS k FROM w),
 psg AS (
   SELECT eid, i AS psg_no, trim(concat_ws(' ', t, array_to_string(w[i * 30 + 1 : i * 30 + 60], ' ')), ' ') AS text FROM (SELECT *, unnest(range(k)) AS i FROM n)
   UNION ALL SELECT eid, 0, t FROM n WHERE k = 0 AND t <> '')"""
 
 
-def _passages(spark: SparkSession, sf: str, count: int | None = 5) -> DataFrame:
-    return passages.passages(docs(spark, sf), "eid", "body_string", "title_string", 60, 30, count, 6)
+def _passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.passages(docs(spark, sf), "eid", "body_string", "title_string", 60, 30, None, 6)
 
 
 @query(f"WITH {_RECS}, {_PSG} SELECT eid, psg_no::INT AS psg_no, text FROM psg")
 def passage_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """The first five windows of each body; passage_windows_whole has all."""
+    """All windows of each body."""
     return _passages(spark, sf)
 
 
-#: The passages of whole bodies.
-_PSG_WHOLE = _PSG.replace("ceil(len(w) / 30), 5)", "ceil(len(w) / 30))")
-
-
-@query(f"WITH {_RECS}, {_PSG_WHOLE} SELECT eid, psg_no::INT AS psg_no, text FROM psg")
-def passage_windows_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _passages(spark, sf, None)
-
-
-_SCORED = f"""{_PSG}, {_QUERIES}, {_RUN20}, pq AS (SELECT qid, list_distinct(list_filter(regexp_extract_all(lower(qstring), {_TOKEN}), lambda x: x NOT IN ({_STOP}))) AS q FROM qs WHERE qstring IS NOT NULL AND NOT regexp_matches(qstring, '[#().]')),
+_SCORED = f"""{_PSG}, {_ASKED}, {_RUN20}, pq AS (SELECT qs.qid, coalesce(list_distinct(list(term) FILTER (WHERE term IS NOT NULL)), []) AS q FROM qs LEFT JOIN tk ON tk.qid = qs.qid WHERE qstring IS NOT NULL GROUP BY qs.qid),
 head AS (SELECT qid, eid, rank FROM run SEMI JOIN pq USING (qid) WHERE rank <= 10),
 scored AS (SELECT qid, eid, rank, psg_no, text, CASE WHEN len(q) > 0 THEN len(list_intersect(q, regexp_extract_all(lower(text), {_TOKEN}))) / len(q) ELSE 0.0 END AS score FROM head JOIN psg USING (eid) JOIN pq USING (qid))"""
 
 
-def _head(spark: SparkSession, sf: str, aggregation: str, choose: Callable = plain_queries) -> tuple[DataFrame, DataFrame]:
-    """Over plain queries the passages are those of the SQL, else whole bodies."""
-    asked, a = choose(spark, sf), T.Analyzer()
+def _head(spark: SparkSession, sf: str, aggregation: str) -> tuple[DataFrame, DataFrame]:
+    """The runs of all queries and their heads, scored over whole bodies."""
+    asked, a = bare_queries(spark, sf), T.Analyzer()
     run = run_ranking(spark, sf).join(asked.select("qid"), "qid", "left_semi")
-    return run, passages.score_head(run, asked, _passages(spark, sf, 5 if choose is plain_queries else None), lambda q, t: passages.overlap_score(q, t, a), 10, aggregation)
+    return run, passages.score_head(run, asked, _passages(spark, sf), lambda q, t: passages.overlap_score(q, t, a), 10, aggregation)
 
 
 def _scores_only(head: DataFrame) -> DataFrame:
@@ -622,30 +683,16 @@ def top_passage(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.passage_lines(_head(spark, sf, "maxp")[1])
 
 
-@query()
-def rerank_firstp_query_set(spark: SparkSession, sf: str) -> DataFrame:
-    return _scores_only(_head(spark, sf, "firstp", bare_queries)[1])
-
-
-@query()
-def rerank_avgp_query_set(spark: SparkSession, sf: str) -> DataFrame:
-    return _scores_only(_head(spark, sf, "avgp", bare_queries)[1])
-
-
-@query()
-def rerank_maxp_query_set(spark: SparkSession, sf: str) -> DataFrame:
-    return _scores_only(_head(spark, sf, "maxp", bare_queries)[1])
-
-
-@query()
-def top_passage_query_set(spark: SparkSession, sf: str) -> DataFrame:
-    return sinks.passage_lines(_head(spark, sf, "maxp", bare_queries)[1])
-
-
-@query()
+@query(
+    f"""WITH {_RECS}, {_SCORED}, best AS (SELECT qid, eid, max(score) AS score FROM scored GROUP BY qid, eid),
+mine AS (SELECT run.*, coalesce(best.score, '-infinity'::DOUBLE) AS new FROM run SEMI JOIN pq USING (qid) LEFT JOIN best USING (qid, eid)),
+low AS (SELECT qid, min(CASE WHEN rank <= 10 AND new > '-infinity'::DOUBLE THEN new END) AS low, max(CASE WHEN rank = 11 THEN score END) AS high FROM mine GROUP BY qid)
+SELECT qid, CASE WHEN rank <= 10 THEN row_number() OVER (PARTITION BY qid, rank <= 10 ORDER BY new DESC, eid) ELSE rank END::INT AS rank, eid,
+  round(CASE WHEN rank <= 10 THEN new ELSE score - greatest(0.0, coalesce(high + 0.1 - low, 0.0)) END + {TIE}, 6) AS score FROM mine JOIN low USING (qid)"""
+)
 def rerank_merge(spark: SparkSession, sf: str) -> DataFrame:
     """A run with its first ten pages re-ranked by their best passage."""
-    run, head = _head(spark, sf, "maxp", bare_queries)
+    run, head = _head(spark, sf, "maxp")
     return _shown(passages.merge_head(run, head, 10))
 
 
@@ -655,7 +702,7 @@ def rerank_merge(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """WITH good AS (SELECT vec_id::VARCHAR AS qid, list_transform(query_vector, lambda x: x::DOUBLE) AS v FROM query_vectors WHERE vec_id % 100 = 0 AND len(query_vector) = 64 AND len(list_filter(query_vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
 pages AS (SELECT eid, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)
-SELECT qid, rank::INT AS rank, eid, round(score, 6) AS score FROM (SELECT qid, eid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, eid) AS rank FROM (SELECT qid, eid, round(list_dot_product(v, e), 9) AS score FROM good, pages)) WHERE rank <= 10"""
+SELECT qid, rank::INT AS rank, eid, round(score + 1e-10, 6) AS score FROM (SELECT qid, eid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, eid) AS rank FROM (SELECT qid, eid, round(list_dot_product(v, e), 9) AS score FROM good, pages)) WHERE rank <= 10"""
 )
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best pages for every query vector whose id is divisible by 100."""
@@ -663,9 +710,9 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(dense.dense_topk(asked, table(spark, sf, "vectors"), 10, 64))
 
 
-def _best(spark: SparkSession, sf: str, choose: Callable = plain_queries) -> DataFrame:
-    asked, a = choose(spark, sf), T.Analyzer()
-    pairs = run_ranking(spark, sf).filter(F.col("rank") <= 3).select("qid", "eid", "rank").join(_passages(spark, sf, 5 if choose is plain_queries else None), "eid").join(asked, "qid")
+def _best(spark: SparkSession, sf: str) -> DataFrame:
+    asked, a = bare_queries(spark, sf), T.Analyzer()
+    pairs = run_ranking(spark, sf).filter(F.col("rank") <= 3).select("qid", "eid", "rank").join(_passages(spark, sf), "eid").join(asked, "qid")
     return answers.best_passages(pairs.withColumn("score", passages.overlap_score(F.col("qstring"), F.col("text"), a)))
 
 
@@ -682,31 +729,88 @@ def rag_context(spark: SparkSession, sf: str) -> DataFrame:
     return answers.contexts(_best(spark, sf))
 
 
-@query()
-def rag_best_passage_query_set(spark: SparkSession, sf: str) -> DataFrame:
-    return _best(spark, sf, bare_queries)
-
-
-@query()
-def rag_context_query_set(spark: SparkSession, sf: str) -> DataFrame:
-    return answers.contexts(_best(spark, sf, bare_queries))
+#: bare: every query as plain words; told: with its context.
+_TOLD = _BEST + """, bare AS (SELECT qs.qid, CASE WHEN regexp_matches(qstring, '[#()]') THEN coalesce(string_agg(CASE WHEN regexp_matches(word, '(?i).\\.(body|title|url|keywords|inlink)$') THEN regexp_replace(word, '\\.[^.]*$', '') ELSE word END, ' ' ORDER BY i), '')
+  ELSE array_to_string(list_filter(string_split_regex(qstring, '\\s+'), lambda x: x <> ''), ' ') END AS q FROM qs LEFT JOIN word ON word.qid = qs.qid WHERE qstring IS NOT NULL GROUP BY qs.qid, qstring),
+told AS (SELECT bare.qid, q, coalesce(string_agg(trim(text, ' '), ' ' ORDER BY rank) FILTER (WHERE trim(text, ' ') <> ''), '') AS context FROM bare LEFT JOIN best ON best.qid = bare.qid GROUP BY bare.qid, q)"""
 
 
-@query()
+@query(
+    _TOLD + """ SELECT qid, '[{"role":"authorize","email":"","code":""}, ' || to_json({'role': 'system', 'content': '""" + answers.PROMPTS[2][0].replace("'", "''")
+    + """'}) || ', ' || to_json({'role': 'user', 'content': 'Question: ' || trim(q, ' ') || chr(10) || 'Context: ' || trim(context, ' ') || chr(10) || '""" + answers.PROMPTS[2][2] + """' || chr(10) || 'Answer: '}) || ']' AS prompt FROM told"""
+)
 def rag_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    return answers.answers(bare_queries(spark, sf), answers.contexts(_best(spark, sf, bare_queries)), 2).select("qid", "prompt")
+    return answers.answers(bare_queries(spark, sf), answers.contexts(_best(spark, sf)), 2).select("qid", "prompt")
 
 
-@query()
+@query(
+    _TOLD + """ SELECT qid, trim(array_to_string(list_filter(string_split(CASE WHEN regexp_matches(c, '[.!?]\\s') THEN regexp_extract(c, '^(.*?[.!?])\\s', 1) ELSE c END, ' '), lambda x: x <> '')[1:8], ' '), ' ,;:.') AS answer
+FROM (SELECT qid, trim(regexp_replace(context, '\\s+', ' ', 'g')) AS c FROM told)"""
+)
 def rag_fallback_answer(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers without a model: taken from the passages."""
-    return answers.answers(bare_queries(spark, sf), answers.contexts(_best(spark, sf, bare_queries))).select("qid", "answer")
+    """Answers without a model: taken from the passages. None of the queries asks what a pattern answers."""
+    return answers.answers(bare_queries(spark, sf), answers.contexts(_best(spark, sf))).select("qid", "answer")
+
+
+# text functions of the query and answer stages
+
+
+@query(_TOLD + " SELECT qid, q FROM bare")
+def plain_query_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every query as plain words."""
+    return bare_queries(spark, sf).withColumnRenamed("qstring", "q")
+
+
+@query(f"WITH {_QUERIES} SELECT qid, CASE WHEN starts_with(qstring, '#') THEN regexp_replace(qstring, '(\\w+)\\.\\w+', '\\1', 'g') ELSE qstring END AS q FROM qs WHERE qstring IS NOT NULL")
+def field_suffix_strip(spark: SparkSession, sf: str) -> DataFrame:
+    return query_set(spark, sf).filter("qstring IS NOT NULL").select("qid", T.strip_any_suffix(F.col("qstring")).alias("q"))
+
+
+@query(
+    f"WITH {_ASKED} SELECT form.qid, array_to_string(list_transform(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> ''), "
+    "lambda x: CASE WHEN regexp_matches(x, '(?i).\\.(body|title|url|keywords|inlink)$') THEN regexp_replace(x, '\\.[^.]*$', '') ELSE x END), ' ') AS q FROM form"
+)
+def known_suffix_strip(spark: SparkSession, sf: str) -> DataFrame:
+    return query_set(spark, sf).filter("qstring IS NOT NULL").select("qid", T.strip_field_suffix(F.col("qstring")).alias("q"))
+
+
+@query(
+    f"WITH {_QUERIES}, s AS (SELECT qid, trim(qstring, ' \t\r\n') AS s FROM qs WHERE qstring IS NOT NULL AND regexp_matches(qstring, '(?i)^\\s*(#w?sum\\s*\\([^#()]*\\)|[^#()]*)\\s*$')), "
+    "w AS (SELECT qid, s, list_filter(string_split_regex(regexp_extract(s, '\\((.*)\\)', 1), '\\s+'), lambda x: x <> '') AS w FROM s) "
+    "SELECT qid, CASE WHEN NOT starts_with(s, '#') THEN s WHEN starts_with(lower(s), '#wsum') THEN array_to_string(list_transform(range(2, len(w) + 1, 2), lambda i: w[i]), ' ') ELSE array_to_string(w, ' ') END AS q FROM w"
+)
+def bag_of_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of plain queries and of single sums; other structures are no bag of words."""
+    rows = query_set(spark, sf).filter(F.col("qstring").rlike(r"(?i)^\s*(#w?sum\s*\([^#()]*\)|[^#()]*)\s*$"))
+    return rows.select("qid", bag_words(F.btrim("qstring", F.lit(" \t\r\n"))).alias("q"))
+
+
+@query("SELECT eid, replace(replace(trim(regexp_replace(body_string, '[ \\t\\n\\r\\x{0b}\\f\\x{85}\\p{Z}]+', ' ', 'g'), ' '), chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) AS body FROM docs")
+def response_escaping(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "docs").select("eid", T.escape_response(F.col("body_string")).alias("body"))
+
+
+@query("SELECT doc_id, trim(coalesce(text, ''), ' \t\r\n') = '' OR regexp_matches(lower(trim(coalesce(text, ''), ' \t\r\n')), '^(authorization failed|exception::)') AS needed FROM documents")
+def fallback_needed(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.needs_fallback(F.col("text")).alias("needed"))
+
+
+_STOPPED = "|".join(T.CANDIDATE_STOPS)
+
+
+@query(
+    "WITH c AS (SELECT eid, trim(regexp_replace(regexp_extract(title_string, '^[^.;,()\\[\\]\\n]*'), '[ \\t\\n\\r\\x{0b}\\f\\x{85}\\p{Z}]+', ' ', 'g'), ' ') AS c FROM docs WHERE title_string IS NOT NULL) "
+    f"SELECT eid, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(c, '(?i)^(?:(?:{_STOPPED})(?:\\s+|$))+', ''), '(?i)(?:(?:^|\\s+)(?:{_STOPPED}))+$', ''), ' '), lambda x: x <> '')[1:6], ' ') AS candidate FROM c"
+)
+def clean_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles as answer candidates."""
+    return table(spark, sf, "docs").filter("title_string IS NOT NULL").select("eid", T.clean_candidate(F.col("title_string")).alias("candidate"))
 
 
 # files
 
 
-@query(f"WITH {_QUERIES}, {_RUN20} SELECT qs.qid, coalesce(rank, 1)::INT AS rank, coalesce(eid, 'Nonexistent_Docid') AS eid, round(coalesce(score, 0.0), 6) AS score FROM qs LEFT JOIN (SELECT * FROM run WHERE rank <= 5) r ON r.qid = qs.qid")
+@query(f"WITH {_QUERIES}, {_RUN20} SELECT qs.qid, coalesce(rank, 1)::INT AS rank, coalesce(eid, 'Nonexistent_Docid') AS eid, round(coalesce(score, 0.0) + {TIE}, 6) AS score FROM qs LEFT JOIN (SELECT * FROM run WHERE rank <= 5) r ON r.qid = qs.qid")
 def trec_run(spark: SparkSession, sf: str) -> DataFrame:
     """Run rows of five pages a query, with a row for queries without any."""
     return _shown(sinks.run_rows(query_set(spark, sf), run_ranking(spark, sf), 5))
@@ -718,17 +822,6 @@ def qa_answers(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.qa_answers(asked, asked.filter("qstring IS NOT NULL").select("qid", F.col("qstring").alias("answer")))
 
 
-@query(
-    "WITH m AS (SELECT runid, qid, count(*)::VARCHAR AS value FROM rankings WHERE qid IS NOT NULL GROUP BY runid, qid) SELECT 'rows' AS metric, qid, "
-    + ", ".join(f"max(CASE WHEN runid = '{r}' THEN value END) AS {r}" for r in ("bm25", "dense", "ltr"))
-    + " FROM m GROUP BY qid"
-)
-def te2csv_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluator-like values of three runs side by side."""
-    rows = table(spark, sf, "rankings").filter("qid IS NOT NULL").groupBy(F.col("runid").alias("file"), "qid").agg(F.count(F.lit(1)).cast("string").alias("value"))
-    return sinks.evaluation_table(rows.withColumn("metric", F.lit("rows")), ["bm25", "dense", "ltr"])
-
-
 RUNS = ("bm25", "dense", "ltr", "rankedboolean")
 
 
@@ -737,8 +830,8 @@ RUNS = ("bm25", "dense", "ltr", "rankedboolean")
     + ", ".join(f"max(CASE WHEN runid = '{r}' THEN value END) AS {r}" for r in RUNS)
     + " FROM m GROUP BY qid"
 )
-def te2csv_pivot_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """The same of all four runs; the SQL of te2csv_pivot has three."""
+def te2csv_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluator-like values of all runs side by side."""
     rows = table(spark, sf, "rankings").filter("qid IS NOT NULL").groupBy(F.col("runid").alias("file"), "qid").agg(F.count(F.lit(1)).cast("string").alias("value"))
     return sinks.evaluation_table(rows.withColumn("metric", F.lit("rows")), list(RUNS))
 
@@ -750,6 +843,94 @@ def run_file_rank(spark: SparkSession, sf: str) -> DataFrame:
     return files.ranked_from_run(rows, 50).select("qid", "rank", "eid")
 
 
+#: Finite scores of all runs, in the order of a file: of each query one stretch.
+_RUN_LINES = "run AS (SELECT qid, eid, score, runid, row_number() OVER (PARTITION BY qid ORDER BY runid, rank, eid, score)::INT AS rank FROM rankings WHERE qid IS NOT NULL AND eid IS NOT NULL AND rank IS NOT NULL AND score IS NOT NULL AND isfinite(score))"
+
+
+def _written(lines: DataFrame, *order: str) -> str:
+    """The path of a text file of the lines (column value) in order."""
+    path = scratch(lines.sparkSession)
+    lines.orderBy(*order).select("value").coalesce(1).write.text(path)
+    return path
+
+
+@query(f"WITH {_RUN_LINES} SELECT qid, rank, eid, score, runid FROM run")
+def run_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A run file written and read again."""
+    rows = table(spark, sf, "rankings").filter("qid IS NOT NULL AND eid IS NOT NULL AND rank IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
+    return files.read_run(spark, _written(rows.withColumn("value", F.concat_ws(" ", "qid", F.lit("Q0"), "eid", "rank", "score", "runid")), "qid", "runid", "rank", "eid", "score"))
+
+
+@query(f"WITH {_QUERIES} SELECT qid, trim(coalesce(qstring, ''), ' ') AS qstring FROM qs")
+def query_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A query file written and read again; of a repeated qid the later line holds."""
+    rows = table(spark, sf, "queries").filter("qid IS NOT NULL").withColumns({"at": F.col("_metadata.row_index"), "value": F.concat("qid", F.lit(": "), F.coalesce("qstring", F.lit("")))})
+    return files.read_queries(spark, _written(rows, "at"))
+
+
+@query("SELECT qid, coalesce(nullif(ignored, ''), '0') AS ignored, eid, trim(rel) AS rel FROM qrels WHERE qid IS NOT NULL AND eid IS NOT NULL AND trim(coalesce(rel, '')) <> ''")
+def qrels_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A judgement file written and read again; lines without a label are skipped."""
+    rows = table(spark, sf, "qrels").filter("qid IS NOT NULL AND eid IS NOT NULL").withColumn("value", F.concat_ws(" ", "qid", F.coalesce(F.nullif("ignored", F.lit("")), F.lit("0")), "eid", "rel"))
+    return files.read_qrels(spark, _written(rows, "qid", "eid"))
+
+
+@query(f"WITH {_RUN_LINES} SELECT score FROM run")
+def prediction_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores as a learner's predictions: the last word of each line."""
+    rows = table(spark, sf, "rankings").filter("qid IS NOT NULL AND eid IS NOT NULL AND rank IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
+    return files.read_predictions(spark, _written(rows.withColumn("value", F.concat_ws("\t", "qid", "rank", "score")), "qid", "rank")).select("score")
+
+
+@query("SELECT runid || '.teOut' AS file, 'rows' AS metric, qid, count(*)::VARCHAR AS value FROM rankings WHERE qid IS NOT NULL AND runid IS NOT NULL GROUP BY runid, qid")
+def evaluation_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluator outputs of all runs, a file each, read together."""
+    counts = table(spark, sf, "rankings").filter("qid IS NOT NULL AND runid IS NOT NULL").groupBy("runid", "qid").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch(spark)
+    counts.select(F.concat("runid", F.lit(".teOut")).alias("name"), F.concat_ws(" ", F.lit("rows"), "qid", "n").alias("value")).write.partitionBy("name").text(path)
+    read = files.read_evaluation(spark, [f"{path}/name={r}.teOut" for r in RUNS])
+    return read.withColumn("file", F.regexp_extract("path", r"name=([^/]+)/", 1)).select("file", "metric", "qid", "value")
+
+
+@query(f"WITH {_QUERIES}, {_RUN20} SELECT qs.qid || ' Q0 ' || coalesce(eid, 'Nonexistent_Docid') || ' ' || coalesce(rank, 1) || ' ' || printf('%.12f', coalesce(score, 0.0)) || ' reference' AS value FROM qs LEFT JOIN (SELECT * FROM run WHERE rank <= 5) r ON r.qid = qs.qid")
+def trec_run_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of a written run."""
+    path = scratch(spark)
+    sinks.write_run(query_set(spark, sf), run_ranking(spark, sf), 5, path)
+    return files.read_lines(spark, path)
+
+
+@query(f"WITH {_QUERIES} SELECT qid, row_number() OVER (ORDER BY try_cast(qid AS BIGINT) NULLS LAST, try_cast(qid AS DOUBLE) NULLS LAST, qid) AS place FROM qs")
+def qid_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of the qids in written files."""
+    return query_set(spark, sf).select("qid", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*sinks.qid_order())).alias("place"))
+
+
+@query(index_sql() + " SELECT field, num_docs, doc_count, sum_len, round(avg_len, 6) AS avg_len FROM fs")
+def opened_index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of an index that was written and opened."""
+    return inspection.list_stats(_opened(spark, sf)).withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query(_sum_sql({"compass": 1.0, "meadow": 1.0}, 1.0, 1000))
+def opened_index_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    """A ranking over an index that was written and opened."""
+    return _shown(rank_query("#SUM(compass meadow)", _opened(spark, sf, "body"), BM25()))
+
+
+def _opened(spark: SparkSession, sf: str, *fields: str) -> Index:
+    path = scratch(spark)
+    index(spark, sf, *fields).write(path)
+    return open_index(spark, path)
+
+
+@query(f"WITH {_RECS} SELECT iid, eid FROM (SELECT row_number() OVER (ORDER BY eid) - 1 AS iid, eid FROM recs) WHERE iid IN (0, 7)")
+def docid_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """An internal id of an external one and back."""
+    ix = index(spark, sf, "title")
+    return inspection.to_iid(ix, _first_eid(spark, sf)).unionByName(inspection.to_eid(ix, 7))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 

@@ -68,10 +68,10 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_evaluation(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, metric, qid, value) of evaluator outputs."""
+    """(path, file, metric, qid, value) of evaluator outputs."""
     p = F.split(F.btrim("value"), r"\s+")
-    rows = spark.read.text(paths).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), p.alias("p")).filter(F.size("p") >= 3)
-    return rows.select("file", *[F.col("p")[i].alias(n) for i, n in enumerate(("metric", "qid", "value"))])
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), p.alias("p")).filter(F.size("p") >= 3)
+    return rows.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), *[F.col("p")[i].alias(n) for i, n in enumerate(("metric", "qid", "value"))])
 
 
 def read_parameters(path: str) -> dict:

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from gleanery import queries as core
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["index_postings", "bool_nested", "near_tf", "window_tf", "bm25_batch", "prf_rm3_terms", "ltr_features", "passage_windows", "rerank_maxp", "dense_topk", "trec_run"]
+NAMES = ["index_postings", "bool_nested", "near_tf", "window_tf", "bm25_batch", "prf_rm3_terms", "ltr_features", "ltr_rerank", "ltr_feature_lines", "rerank_merge", "rag_prompt", "run_file", "trec_run_lines", "passage_windows", "rerank_maxp", "dense_topk", "trec_run"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 

@@ -50,8 +50,8 @@ def test_prompts_and_rankings_for_structured_queries(spark):
     texts = {r.qid for r in core.query_set(spark, SF).filter("qstring IS NOT NULL").collect()}
     prompts = {r.qid: r.prompt for r in core.rag_prompt(spark, SF).collect()}
     assert set(prompts) == texts and not any("#" in p.split("Context")[0] for p in prompts.values())
-    ranked = {r.qid for r in core.bm25_query_set(spark, SF).select("qid").distinct().collect()}
-    plain = {r.qid for r in core.plain_queries(spark, SF).collect()}
+    ranked = {r.qid for r in core.bm25_batch(spark, SF).select("qid").distinct().collect()}
+    plain = {r.qid for r in core.query_set(spark, SF).filter("qstring NOT LIKE '%#%'").collect()}
     assert ranked <= texts and ranked - plain
 
 
@@ -59,8 +59,8 @@ def test_prompts_and_rankings_for_structured_queries(spark):
 def test_passages_reach_the_end_of_each_body(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW docs AS SELECT * FROM '{SF}/docs.parquet'")
-    want = con.execute(core.oracle_sql()["passage_windows_whole"]).fetchall()
-    got = [tuple(r) for r in core.queries()["passage_windows_whole"](spark, SF).select("eid", "psg_no", "text").collect()]
+    want = con.execute(core.oracle_sql()["passage_windows"]).fetchall()
+    got = [tuple(r) for r in core.queries()["passage_windows"](spark, SF).select("eid", "psg_no", "text").collect()]
     assert sorted(got) == sorted(want) and max(r[1] for r in got) > 4
 
 
@@ -73,17 +73,17 @@ def test_the_head_is_scored_by_words_beyond_the_fifth_window(spark, tmp_path):
     }
     for name, df in tables.items():
         df.write.parquet(f"{tmp_path}/{name}.parquet")
-    assert [r.score for r in core.rerank_maxp_query_set(spark, str(tmp_path)).collect()] == [1.0]
-    assert "compass meadow" in core.rag_context_query_set(spark, str(tmp_path)).first().context
+    assert [r.score for r in core.rerank_maxp(spark, str(tmp_path)).collect()] == [1.0]
+    assert "compass meadow" in core.rag_context(spark, str(tmp_path)).first().context
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_the_pivot_has_every_run(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW rankings AS SELECT * FROM '{SF}/rankings.parquet'")
-    res = con.execute(core.oracle_sql()["te2csv_pivot_runs"])
+    res = con.execute(core.oracle_sql()["te2csv_pivot"])
     cols = [d[0] for d in res.description]
-    got = core.queries()["te2csv_pivot_runs"](spark, SF).select(*cols).collect()
+    got = core.queries()["te2csv_pivot"](spark, SF).select(*cols).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(res.fetchall(), key=repr)
     runs = {r for (r,) in con.execute("SELECT DISTINCT runid FROM rankings WHERE qid IS NOT NULL AND runid IS NOT NULL").fetchall()}
     assert runs <= set(cols)
