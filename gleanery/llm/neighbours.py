@@ -235,8 +235,8 @@ def _sent(dim: int, k: int, plan: Plan, large: np.ndarray, blocks: np.ndarray, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 4000):
-                batch = whole.slice(start, 4000)
+            for start in range(0, whole.num_rows, 10_000):
+                batch = whole.slice(start, 10_000)
                 x, cls = _vectors(batch.column(1), dim), batch.column(0).to_numpy()
                 codes = np.concatenate([t * plan.buckets + probes(x, t, list(plan.widths), plan.extra) for t in range(plan.tables)], axis=1)
                 per = codes.shape[1] // plan.tables
@@ -248,10 +248,13 @@ def _sent(dim: int, k: int, plan: Plan, large: np.ndarray, blocks: np.ndarray, p
                 first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(part) != 0)])
                 at = pa.array(row[first])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(code))
-                m, s = min(k, len(x) - 1), x @ x.T
-                np.fill_diagonal(s, -2)
-                best = np.argpartition(s, len(x) - max(1, m), axis=1)[:, len(x) - m :] if m else np.zeros((len(x), 0), np.int64)
-                cos = np.take_along_axis(s, best, axis=1)
+                m = min(k, len(x) - 1)
+                best, cos = np.zeros((len(x), m), np.int64), np.zeros((len(x), m), np.float32)
+                for i in range(0, len(x) if m else 0, 1000):
+                    s = x[i : i + 1000] @ x.T
+                    s[np.arange(len(s)), i + np.arange(len(s))] = -2
+                    best[i : i + 1000] = np.argpartition(s, len(x) - m, axis=1)[:, len(x) - m :]
+                    cos[i : i + 1000] = np.take_along_axis(s, best[i : i + 1000], axis=1)
                 floor = cos.min(axis=1) if m == k else np.full(len(x), -2, np.float32)
                 told = np.r_[True, np.diff(row[first]) != 0]
                 ends = pa.array(np.r_[0, np.cumsum(np.where(told, m, 0))].astype(np.int32))
@@ -306,11 +309,22 @@ class Best:
         old = self.other[known] >= 0
         row = np.concatenate([row, np.repeat(known, old.sum(axis=1))])
         other, cos = np.concatenate([other, self.other[known][old]]), np.concatenate([cos, self.cos[known][old]])
-        order = np.argsort(row.astype(np.int64) * len(self.cls) + other, kind="stable")
-        row, other, cos = row[order], other[order], cos[order]
-        once = np.r_[True, (np.diff(row) != 0) | (np.diff(other) != 0)]
-        row, other, cos = row[once], other[once], cos[once]
-        order = np.lexsort((self.cls[other], -cos, row))
+        # one sort by row and falling cosine, whose bits are made to sort like whole numbers; a pair may be there more than once, so more than k stay at first
+        bits = cos.astype(np.float32).view(np.uint32)
+        rising = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
+        key = (row.astype(np.uint64) << np.uint64(32)) | (~rising).astype(np.uint64)
+        order = np.argsort(key)
+        row = row[order]
+        start = np.flatnonzero(np.r_[True, np.diff(row) != 0])
+        nth = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+        last = key[order[np.minimum(start + 4 * self.k, np.r_[start[1:], len(row)]) - 1]]
+        some = (nth < 4 * self.k) | (key[order] == np.repeat(last, np.diff(np.r_[start, len(row)])))  # with what ties with the last
+        row, order = row[some], order[some]
+        other, cos, key = other[order], cos[order], key[order]
+        pair = row.astype(np.int64) * len(self.cls) + other
+        _, once = np.unique(pair, return_index=True)
+        row, other, cos, key = row[once], other[once], cos[once], key[once]
+        order = np.lexsort((self.cls[other], key))
         row, other, cos = row[order], other[order], cos[order]
         start = np.flatnonzero(np.r_[True, np.diff(row) != 0])
         nth = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
