@@ -30,6 +30,12 @@ def main(args: list[str]) -> int:
         return 0
     if len(args) >= 3 and args[0] == "inspect" and args[2] in COMMANDS:
         index = open_index(SparkSession.builder.getOrCreate(), args[1])
+        if args[2] == "eid":
+            try:
+                inspection.check_docid(index, int(args[3]))
+            except ValueError as e:
+                print(f"Error: {e}")
+                return 1
         for row in COMMANDS[args[2]](index, *args[3:]).toLocalIterator():
             print(*row, sep="\t")
         return 0

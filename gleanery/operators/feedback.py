@@ -39,8 +39,8 @@ def expansion_terms(rankings: DataFrame, index: Index, p: Feedback) -> DataFrame
     ln(C / ctf), C being the field's total length. Terms with a period, a comma or letters beyond ASCII and weights of 0 drop out.
     """
     top = rankings.filter(F.col("rank") <= p.num_docs).select("qid", "eid", "score")
-    postings = index.postings.filter((F.col("field") == p.field_in) & valid_expansion_term(F.col("term"))).select("term", "eid", "tf")
-    found = postings.join(F.broadcast(top) if _small(top) else top, "eid")
+    postings = index.of_documents(top).filter((F.col("field") == p.field_in) & valid_expansion_term(F.col("term"))).select("term", "eid", "tf")
+    found = postings.join(top, "eid")
     if p.algorithm == "rm3":
         lengths = index.lengths.filter((F.col("field") == p.field_in) & (F.col("poslen") > 0)).select("eid", "poslen")
         found = found.join(lengths, "eid")
@@ -59,11 +59,6 @@ def expansion_terms(rankings: DataFrame, index: Index, p: Feedback) -> DataFrame
     return weighed.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= p.num_terms).select("qid", "place", "term", "weight")
 
 
-def _small(top: DataFrame, most: int = 1_000_000) -> bool:
-    """Whether the documents to read are few enough to be broadcast, by counting them up to the limit."""
-    return top.limit(most + 1).count() <= most
-
-
 def learned_queries(terms: DataFrame, p: Feedback) -> DataFrame:
     """(qid, learned): the terms of each query as a query of their own, in ascending weight."""
     suffix = "" if p.field_out == "body" else f".{p.field_out}"

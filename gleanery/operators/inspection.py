@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.sources.index import Index
+from gleanery.operators.scale import numbered
+from gleanery.sources.index import Index, bucket_of
 
 
 def list_attribute(index: Index, eid: str, name: str) -> DataFrame:
@@ -18,9 +19,9 @@ def list_doc(index: Index, eid: str) -> DataFrame:
 
 
 def list_docids(index: Index) -> DataFrame:
-    """(iid, eid): internal ids are a dense numbering in eid order by a range sort, computed on demand."""
-    from gleanery.operators.scale import numbered
-
+    """(iid, eid): internal ids are a dense numbering in eid order; a written index has it, of another it comes from a range sort."""
+    if index.docids is not None:
+        return index.docids
     one = index.docs.select(F.lit(1).alias("one"), "eid")
     return numbered(one, ["one"], [F.asc("eid")], "iid").select((F.col("iid") - 1).alias("iid"), "eid")
 
@@ -47,7 +48,9 @@ def list_terms(index: Index, field: str) -> DataFrame:
 
 
 def list_termvector(index: Index, eid: str, field: str | None = None) -> DataFrame:
-    found = index.postings.filter(F.col("eid") == eid)
+    """Terms of a document; of a written index one bucket is read."""
+    found = index.postings if index.vectors is None else index.vectors.filter(F.col("bucket") == bucket_of(F.lit(eid), index.buckets))
+    found = found.filter(F.col("eid") == eid)
     found = found.filter(F.col("field") == field) if field else found
     return found.select("field", "term", "tf", "positions")
 
@@ -58,6 +61,13 @@ def list_metadata(index: Index, eid: str, names: list[str]) -> DataFrame:
     return index.docs.filter(F.col("eid") == eid).select(pairs).select("x.name", "x.value").filter(F.col("value").isNotNull())
 
 
+def check_docid(index: Index, iid: int) -> None:
+    """Raises for a number that is no document's."""
+    many = index.docs.count()
+    if not 0 <= iid < many:
+        raise ValueError(f"no document {iid}, there are {many}, from 0")
+
+
 def to_iid(index: Index, eid: str) -> DataFrame:
     return list_docids(index).filter(F.col("eid") == eid)
 

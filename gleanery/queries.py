@@ -918,6 +918,19 @@ def opened_index_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(rank_query("#SUM(compass meadow)", _opened(spark, sf, "body"), BM25()))
 
 
+@query(index_sql("body") + f", {_RUN20}" + _RM3 + _BEST_TERMS)
+def opened_index_prf(spark: SparkSession, sf: str) -> DataFrame:
+    """Expansion terms from an opened index: the buckets of the runs' documents are read."""
+    return feedback.expansion_terms(run_ranking(spark, sf), _opened(spark, sf, "body"), feedback.Feedback("rm3")).withColumn("weight", F.round("weight", 6))
+
+
+@query(index_sql() + " SELECT field, term, tf, array_to_string(positions, ' ') AS positions FROM post WHERE eid = (SELECT min(eid) FROM docs)")
+def opened_index_termvector(spark: SparkSession, sf: str) -> DataFrame:
+    """A term vector from one bucket of an opened index."""
+    found = inspection.list_termvector(_opened(spark, sf), _first_eid(spark, sf))
+    return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
+
+
 def _opened(spark: SparkSession, sf: str, *fields: str) -> Index:
     path = scratch(spark)
     index(spark, sf, *fields).write(path)
@@ -927,7 +940,7 @@ def _opened(spark: SparkSession, sf: str, *fields: str) -> Index:
 @query(f"WITH {_RECS} SELECT iid, eid FROM (SELECT row_number() OVER (ORDER BY eid) - 1 AS iid, eid FROM recs) WHERE iid IN (0, 7)")
 def docid_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """An internal id of an external one and back."""
-    ix = index(spark, sf, "title")
+    ix = _opened(spark, sf, "title")
     return inspection.to_iid(ix, _first_eid(spark, sf)).unionByName(inspection.to_eid(ix, 7))
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import Analyzer
-from gleanery.operators.scale import materialise
+from gleanery.operators.scale import materialise, numbered
 
 TABLES = ("docs", "postings", "lengths", "term_stats", "field_stats")
 
@@ -28,9 +28,25 @@ class Index:
     term_stats: DataFrame
     field_stats: DataFrame
     analyzer: Analyzer = Analyzer()
-
-    def write(self, path: str) -> None:
-        """Postings are laid out by field and sorted by term, so that a term's scan touches few row groups."""
+    #: Of a written index: the postings once more, by document, with the bucket of each eid; and the numbering (iid, eid).
+    vectors: DataFrame | None = None
+    docids: DataFrame | None = None
+    buckets: int = 0
+
+    def of_documents(self, eids: DataFrame, most: int = 1_000_000) -> DataFrame:
+        """The postings of the documents of (eid): of a written index only their buckets are read, and up to `most` ids are broadcast."""
+        eids = eids.select("eid").distinct()
+        if self.vectors is not None:
+            eids = eids.withColumn("bucket", bucket_of("eid", self.buckets))
+        few = eids.limit(most + 1).count() <= most
+        source = self.postings if self.vectors is None else self.vectors
+        return source.join(F.broadcast(eids) if few else eids, eids.columns, "left_semi").drop("bucket")
+
+    def write(self, path: str, buckets: int = 64) -> None:
+        """Postings are laid out by field and sorted by term, so that a term's scan touches few row groups; and once more in `buckets` of documents, for their vectors.
+
+        The documents' numbering by eid is written as well, sorted, so that a lookup either way touches few row groups.
+        """
         for name in TABLES:
             df = getattr(self, name)
             if name == "postings":
@@ -38,6 +54,12 @@ class Index:
             else:
                 df.write.mode("overwrite").parquet(f"{path}/{name}")
 
+        spark, rows = self.docs.sparkSession, self.postings.select(bucket_of("eid", buckets).alias("bucket"), "eid", "field", "term", "tf", "len", "positions")
+        rows.repartition("bucket").sortWithinPartitions("bucket", "eid", "field", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/vectors")
+        ids = numbered(self.docs.select(F.lit(1).alias("one"), "eid"), ["one"], [F.asc("eid")], "iid").select((F.col("iid") - 1).alias("iid"), "eid")
+        ids.sortWithinPartitions("iid").write.mode("overwrite").parquet(f"{path}/docids")
+        spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/layout")
+
     def stored(self) -> Index:
         """The same index with its postings and lengths written once beside the checkpoints, terms sorted within files.
 
@@ -58,7 +80,12 @@ class Index:
 
 def open_index(spark: SparkSession, path: str, analyzer: Analyzer | None = None) -> Index:
     """Read a written index; a missing table raises."""
-    return Index(*[spark.read.parquet(f"{path}/{name}") for name in TABLES], analyzer=analyzer or Analyzer())
+    tables = [spark.read.parquet(f"{path}/{name}") for name in (*TABLES, "vectors", "docids")]
+    return Index(*tables[:5], analyzer or Analyzer(), *tables[5:], spark.read.parquet(f"{path}/layout").first()["buckets"])
+
+
+def bucket_of(eid: str | Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(eid), F.lit(buckets)).cast("int")
 
 
 def build_index(docs: DataFrame, fields: dict[str, str], id_col: str = "eid", attributes: list[str] | None = None, analyzer: Analyzer | None = None) -> Index:

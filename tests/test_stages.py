@@ -246,6 +246,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["inspect", str(tmp_path / "ix"), "terms", "body"]) == 0
     assert main(["inspect", str(tmp_path / "ix"), "eid", "1"]) == 0
     assert capsys.readouterr().out.splitlines() == ["apple\t1\t1", "pie\t2\t2", "1\tb"]
+    assert main(["inspect", str(tmp_path / "ix"), "eid", "2"]) == 1 and main(["inspect", str(tmp_path / "ix"), "termvector", "b"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["Error: no document 2, there are 2, from 0", "body\tpie\t1\t[0]"]
     p = {"indexPath": str(tmp_path / "ix"), "queryFilePath": write(tmp_path / "q.qry", "1: apple\n"), "task_1:ranker": {"type": "BM25"}, "task_2:output": {"type": "trec_eval", "outputPath": str(tmp_path / "o"), "outputLength": "5"}}
     write(tmp_path / "x.param", json.dumps(p))
     assert main(["run", str(tmp_path / "x.param")]) == 0
