@@ -477,15 +477,15 @@ def nearest_vectors(
     classes = materialise(first.groupBy("dir").agg(F.min("id").alias("cls"), F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("u", "id").alias("u")))
     rows = classes.count()
     plan = plan or plan_for(classes, rows, dim, k, recall, sample)
-    shuffle_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limit = max(largest_block or min(16_384, max(1000, rows * plan.tables // (8 * shuffle_parts))), rows * plan.tables // MOST_LARGE)
+    cores = max(2, spark.sparkContext.defaultParallelism)  # no more parts than keep all busy: a vector has a copy in each it visits
+    limit = max(largest_block or min(16_384, max(1000, rows * plan.tables // (8 * cores))), rows * plan.tables // MOST_LARGE)
     sizes = classes.select("u").mapInArrow(_own(dim, plan), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     cut = sizes.filter(F.col("n") > limit).orderBy("bucket").collect()  # at most MOST_LARGE rows
     large = np.array([r["bucket"] for r in cut], np.int64)
     blocks = np.array([min(4096, -(-r["n"] // limit)) for r in cut], np.int64)
     visits = rows * plan.tables * (plan.extra + 1)
-    visits += sum(2 * limit * int(b) * min(int(b), shuffle_parts) for b in blocks)
-    parts = max(shuffle_parts, visits // task_vectors + 1)
+    visits += sum(2 * limit * int(b) * min(int(b), cores) for b in blocks)
+    parts = max(cores, visits // task_vectors + 1)
     sent = classes.select("cls", "u").mapInArrow(_sent(dim, k, plan, large, blocks, parts), "part int, cls long, u binary, codes array<long>, floor float, others array<long>, cos array<float>")
     met = sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_compare(dim, k), "cls long, others array<long>, cos array<float>")
     # a pair may be met in several tasks; the best k classes of each class stay
