@@ -1,15 +1,17 @@
-"""python -m gleanery run FILE.param | python -m gleanery inspect INDEX_DIR COMMAND [ARG..]"""
+"""python -m gleanery run FILE.param | inspect INDEX_DIR COMMAND [ARG..] | te2csv OUT_DIR FILE.."""
 
 from __future__ import annotations
 
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
 from gleanery.operators import inspection
 from gleanery.plans.pipeline import Timer, run
-from gleanery.sources.files import read_parameters
+from gleanery.sources.files import read_evaluation, read_parameters
 from gleanery.sources.index import open_index
+from gleanery.sources.sinks import write_evaluation_table
 
 COMMANDS = {
     "attribute": inspection.list_attribute, "doc": inspection.list_doc, "docids": inspection.list_docids, "iid": inspection.to_iid,
@@ -28,6 +30,14 @@ def main(args: list[str]) -> int:
         timer.stop()
         print(timer)
         return 0
+    if len(args) >= 3 and args[0] == "te2csv":
+        values = read_evaluation(SparkSession.builder.getOrCreate(), args[2:])
+        sizes = {r["count"] for r in values.groupBy("path").count().collect()}
+        if len(sizes) != 1:
+            print("Error: the files must be of the same length")
+            return 1
+        write_evaluation_table(values, [os.path.basename(f) for f in args[2:]], args[1])
+        return 0
     if len(args) >= 3 and args[0] == "inspect" and args[2] in COMMANDS:
         index = open_index(SparkSession.builder.getOrCreate(), args[1])
         if args[2] == "eid":

@@ -40,8 +40,14 @@ def overlap_score(query: Column, text: Column, analyzer: Analyzer) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, analyzer.terms(text))) / F.size(q)).otherwise(0.0)
 
 
-def model_score(load: Callable[[], Callable[[list[str], list[str]], list[float]]], batch: int = 16) -> Callable[[Column, Column], Column]:
-    """A pair scorer from a model: load() is called once a worker task and gives a function of (queries, texts)."""
+def model_score(load: Callable[[], Callable[[list[str], list[str]], list[float]]], batch: int = 16, most_words: int = 512) -> Callable[[Column, Column], Column]:
+    """A pair scorer from a model: load() is called once a worker task and gives a function of (queries, texts).
+
+    Texts are cut so that query, text and three marks have at most `most_words` words.
+    """
+
+    def cut(q: str, t: str) -> str:
+        return " ".join(t.split()[: max(0, most_words - len(q.split()) - 3)])
 
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -49,7 +55,8 @@ def model_score(load: Callable[[], Callable[[list[str], list[str]], list[float]]
         for q, t in parts:
             out: list[float] = []
             for at in range(0, len(q), batch):
-                out += model(list(q[at : at + batch]), list(t[at : at + batch]))
+                asked = list(q[at : at + batch])
+                out += list(model(asked, [cut(a, b) for a, b in zip(asked, t[at : at + batch])]))
             yield pd.Series(out, dtype="float64")
 
     return run

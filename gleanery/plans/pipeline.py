@@ -41,11 +41,37 @@ class Timer:
 
 @dataclass(frozen=True)
 class Models:
-    """What a run takes from outside: a pair scorer, text encoders and an answering model, none of them by default."""
+    """What a run takes from outside: a pair scorer, text encoders and an answering model, none of them by default.
+
+    A loader makes a scorer or an encoder of the model path in the settings, once a worker task.
+    """
 
     pair_scorer: Callable[[Column, Column], Column] | None = None
     encoder: Callable[[Column], Column] | None = None
     answerer: Callable[[Column], Column] | None = None
+    pair_loader: Callable[[str], Callable] | None = None
+    encoder_loader: Callable[[str], Callable] | None = None
+
+    def pairs(self, p: dict, default: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+        if self.pair_scorer or not self.pair_loader:
+            return self.pair_scorer or default
+        path, batch, most = _required(p, "bertrr:modelPath"), int(p.get("bertrr:batchSize", 16)), int(p.get("bertrr:maxSeqLength", 512))
+        if min(batch, most) <= 0:
+            raise ValueError("bertrr:batchSize and bertrr:maxSeqLength must be positive")
+        load = self.pair_loader
+        return passages.model_score(lambda: load(path), batch, most)
+
+    def encodes(self, p: dict, key: str) -> Callable[[Column], Column] | None:
+        if self.encoder or not self.encoder_loader:
+            return self.encoder
+        path, load = _required(p, key), self.encoder_loader
+        return dense.encode(lambda: load(path))
+
+
+def _required(p: dict, key: str):
+    if not p.get(key):
+        raise ValueError(f"missing settings ['{key}']")
+    return p[key]
 
 
 @dataclass(frozen=True)
@@ -61,10 +87,11 @@ def rank(batch: Batch, index: Index, p: dict, models: Models) -> Batch:
         run = files.read_run(index.docs.sparkSession, p["inRankFile:Path"]).drop("runid")  # as it is, however long
         return replace(batch, rankings=run.join(batch.queries.select("qid"), "qid", "left_semi"))
     if kind.lower() == "dense":
-        if models.encoder is None:
+        encoder = models.encodes(p, "dense:modelPath")
+        if encoder is None:
             raise ValueError("a dense ranker needs an encoder")
         vectors = files.read_vectors(index.docs.sparkSession, p["dense:indexPath"])
-        asked = batch.queries.select("qid", models.encoder(plain_query(F.coalesce("original_qstring", "qstring"))).alias("query_vector"))
+        asked = batch.queries.select("qid", encoder(plain_query(F.coalesce("original_qstring", "qstring"))).alias("query_vector"))
         return replace(batch, rankings=dense.dense_topk(asked, vectors, n, int(p.get("dense:dim", 768))))
     return replace(batch, rankings=rank_set(batch.queries, index, model_of(kind, p), n))
 
@@ -84,7 +111,7 @@ def rerank(batch: Batch, index: Index, p: dict, models: Models, training: tuple[
     if kind == "bertrr":
         length = int(p.get("bertrr:psgLen", 0))
         psgs = passages.passages(index.docs, "eid", "body_string", "title_string", length, int(p.get("bertrr:psgStride", length)), int(p.get("bertrr:psgCnt", 1)) or None, int(p.get("bertrr:maxTitleLength", 0)))
-        scorer = models.pair_scorer or (lambda q, t: passages.overlap_score(q, t, index.analyzer))
+        scorer = models.pairs(p, lambda q, t: passages.overlap_score(q, t, index.analyzer))
         asked = batch.queries.select("qid", plain_query(F.col("qstring")).alias("qstring"))
         head = passages.score_head(batch.rankings, asked, psgs, scorer, depth, p.get("bertrr:scoreAggregation", "firstp"))
         if path := p.get("bertrr:topPsgPath"):
@@ -143,9 +170,10 @@ def agent(batch: Batch, index: Index, p: dict, models: Models) -> Batch:
     psgs = passages.passages(index.docs, "eid", "body_string", "title_string", length, int(p.get("rag:psgStride", length)), count, int(p.get("rag:maxTitleLength", 0)))
     asked = batch.queries.select("qid", plain_query(F.coalesce("original_qstring", "qstring")).alias("qstring"))
     head = batch.rankings.filter(F.col("rank") <= depth).select("qid", "eid", "rank")
-    if models.encoder:  # each query and each passage of a ranked page is encoded once
-        psgs = psgs.join(head.select("eid").distinct(), "eid", "left_semi").withColumn("text_vector", models.encoder(F.col("text")))
-        pairs = head.join(checkpoint(psgs), "eid").join(checkpoint(asked.withColumn("query_vector", models.encoder(F.col("qstring")))), "qid")
+    encoder = models.encodes(p, "rag:encoderPath")
+    if encoder:  # each query and each passage of a ranked page is encoded once
+        psgs = psgs.join(head.select("eid").distinct(), "eid", "left_semi").withColumn("text_vector", encoder(F.col("text")))
+        pairs = head.join(checkpoint(psgs), "eid").join(checkpoint(asked.withColumn("query_vector", encoder(F.col("qstring")))), "qid")
         score = dense.dot(F.col("query_vector"), F.col("text_vector"))
     else:
         pairs = head.join(psgs, "eid").join(asked, "qid")

@@ -73,8 +73,3 @@ def evaluation_table(values: DataFrame, files: list[str]) -> DataFrame:
 
 def write_evaluation_table(values: DataFrame, files: list[str], path: str) -> None:
     evaluation_table(values, files).orderBy("metric", *qid_order()).coalesce(1).write.mode("overwrite").csv(path, header=True)
-
-
-def renumbered(rankings: DataFrame) -> DataFrame:
-    """Ranks without gaps."""
-    return rankings.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))

@@ -227,6 +227,26 @@ def test_a_whole_run(spark, tmp_path):
             pipeline.run(spark, {"queryFilePath": p["queryFilePath"], **bad}, index=ix)
 
 
+def test_models_are_loaded_by_their_path(spark):
+    rows = [("1", "apple pie apple tart", "A"), ("2", "pie crust", "B")]
+    ix = build_index(spark.createDataFrame(rows, "eid string, body_string string, title_string string"), {"body": "body_string"}, attributes=["body_string", "title_string"])
+    batch = pipeline.Batch(spark.createDataFrame([("q", "apple", None)], "qid string, qstring string, original_qstring string"), run_of(spark, [("q", 1, "1", 2.0), ("q", 2, "2", 1.0)]))
+
+    def pairs(path):
+        return lambda asked, texts: [float(len(t.split())) if path == "m" else -1.0 for t in texts]
+
+    def encoder(path):
+        return lambda texts: np.array([[float("apple" in t), 1.0] for t in texts])
+
+    p = {"type": "bertrr", "rerankDepth": 2, "bertrr:psgLen": 4, "bertrr:modelPath": "m", "bertrr:batchSize": 1, "bertrr:maxSeqLength": 7}
+    got = pipeline.rerank(batch, ix, p, pipeline.Models(pair_loader=pairs)).rankings.collect()
+    assert {r.eid: r.score for r in got} == {"1": 3.0, "2": 2.0}
+    with pytest.raises(ValueError):
+        pipeline.rerank(batch, ix, {k: v for k, v in p.items() if k != "bertrr:modelPath"}, pipeline.Models(pair_loader=pairs))
+    rag = {"type": "rag", "agentDepth": 2, "rag:psgLen": 2, "rag:psgCnt": 2, "rag:encoderPath": "e"}
+    assert pipeline.agent(batch, ix, rag, pipeline.Models(encoder_loader=encoder)).answers.first().answer
+
+
 def test_timer():
     t = pipeline.Timer()
     t.start()
@@ -253,3 +273,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["run", str(tmp_path / "x.param")]) == 0
     assert spark.read.text(str(tmp_path / "o")).first().value.startswith("1 Q0 a 1 ")
     assert main([]) == 1
+    for name, text in (("a", "map all 1\n"), ("b", "map all 2\n"), ("c", "")):
+        write(tmp_path / f"{name}.teOut", text)
+    assert main(["te2csv", str(tmp_path / "csv"), str(tmp_path / "a.teOut"), str(tmp_path / "b.teOut")]) == 0
+    assert [r.value for r in spark.read.text(str(tmp_path / "csv")).collect()] == ["metric,qid,a.teOut,b.teOut", "map,all,1,2"]
