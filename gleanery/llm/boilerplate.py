@@ -22,7 +22,6 @@ SENTENCE_END = re.compile(r"[.!?…][\"'»”)\]]*(?:\s*[\[(][^\])]*[\])])?$")
 SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+")
 WORD = re.compile(r"[^\W\d_]+|\d+|[§¤]")
 NUMBER = re.compile(r"\d+")
-PUNCTUATION = re.compile(r"[.,;:!?]")
 SITE = re.compile(r"(?:[a-zA-Z][\w+.-]*://)?(?:www\.)?([^/:?#\s.]+)")
 TITLE_TAIL = re.compile(r"\s+(?:\||::|-|–|»|·)\s+")
 
@@ -56,7 +55,7 @@ def form_of(line: str) -> int:
     if line[0] == "#":
         return QUERY
     if SENTENCE_END.search(line):
-        return SENTENCE_FORM if len(WORD.findall(line)) >= 6 else SHORT
+        return SENTENCE_FORM if line.count(" ") >= 16 or len(WORD.findall(line)) >= 6 else SHORT
     if len([x for x in PARTS.split(line) if x]) >= 3:
         return ROW
     if BULLET.match(line) or line[0].islower():
@@ -125,26 +124,26 @@ def _signed(key: int) -> int:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page as the paths of its lines: the text is read and matched once."""
-    known: dict[str, tuple] = {}
-    keys: dict[str, int] = {}
-
-    def key(path: str) -> int:
-        k = keys.get(path)
-        if k is None:
-            if len(keys) > 200_000:  # content never ends
-                keys.clear()
-            k = keys[path] = _signed(key_of(path))
-        return k
+    """Each page as the paths of its lines: the text is read and matched once, and a line that comes again is known."""
+    shapes: dict[str, tuple] = {}
+    memory: dict[str, tuple] = {}
 
     def shape(line: str) -> tuple:
-        s = known.get(line)
-        if s is None:
-            if len(known) > 100_000:
-                known.clear()
-            low = " ".join(line.lower().split())
-            s = known[line] = (form_of(line), low, NUMBER.search(low) is not None, len(low) + MARK * len(PUNCTUATION.findall(low)))
-        return s
+        if len(shapes) > 100_000:  # content never ends
+            shapes.clear()
+        low = " ".join(line.lower().split())
+        marks = low.count(".") + low.count(",") + low.count(";") + low.count(":") + low.count("!") + low.count("?")
+        shapes[line] = found = (form_of(line), low, NUMBER.search(low) is not None, len(low) + MARK * marks)
+        return found
+
+    def paths_of(known: str, m: str, form: int) -> tuple:
+        if len(memory) > 100_000:
+            memory.clear()
+        kinds, leaves = zip(*leaf_paths(m, form))
+        nodes = [_signed(key_of(p)) for p in node_paths(m, form)] if form in LINKS else []
+        counted = [k < HEADING for k in kinds]
+        memory[known] = found = (kinds, [_signed(key_of(p)) for p in leaves], [len(p) for p in leaves], counted, nodes + [0] * (NODES - len(nodes)))
+        return found
 
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
@@ -152,27 +151,33 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             numbers, forms, owns, weights, nodes, ats, kinds, chars, fresh, paths = out
             for eid, url, title, body in zip(*(c.to_pylist() for c in batch.slice(start, 1000).columns)):
                 site, title, seen, n = site_of(url), title_of(title), set(), 0
+                near = 8 + len(site)
                 for no, raw in enumerate(body.split("\n")):
                     line = raw.strip()
                     if not line:
                         continue
-                    form, low, digits, weight = shape(line)
+                    form, low, digits, weight = shapes.get(line) or shape(line)
                     m = masked(low, digits, site, title)
+                    known = f"{form}{m}"
+                    mine, keys, sizes, counted, inner = memory.get(known) or paths_of(known, m, form)
                     numbers.append(no)
                     forms.append(form)
-                    owns.append(2 if m.strip(" .") == "¤" else 1 if m[0] == "¤" and len(m) < 8 + len(site) else 0)  # the page's own title, or it with the site's name
+                    owns.append(0 if m[0] != "¤" and m[0] not in " ." else 2 if m.strip(" .") == "¤" else 1 if m[0] == "¤" and len(m) < near else 0)  # the page's own title, or it with the site's name
                     weights.append(weight)
-                    for kind, path in leaf_paths(m, form):
-                        k = key(path)
+                    nodes += inner
+                    kinds += mine
+                    chars += sizes
+                    paths += keys
+                    if len(keys) == 1:
                         ats.append(n)
-                        kinds.append(kind)
-                        chars.append(len(path))
-                        fresh.append(kind < HEADING and k not in seen)
-                        paths.append(k)
-                        if kind < HEADING:
-                            seen.add(k)
-                    inner = [key(p) for p in node_paths(m, form)] if form in LINKS else []
-                    nodes += inner + [0] * (NODES - len(inner))
+                        fresh.append(keys[0] not in seen)
+                        seen.add(keys[0])
+                    else:
+                        ats += [n] * len(keys)
+                        for k, c in zip(keys, counted):
+                            fresh.append(c and k not in seen)
+                            if c:
+                                seen.add(k)
                     n += 1
                 eids.append(eid)
                 sites.append(_signed(key_of(site)))
