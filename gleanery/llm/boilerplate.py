@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections.abc import Iterator
@@ -124,7 +125,16 @@ def _signed(key: int) -> int:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page as the paths of its lines: the text is read and matched once, and a line that comes again is known."""
+    """Each page as the paths of its lines. What is kept in memory holds no cycles, so the collector need not walk through it."""
+    gc.disable()
+    try:
+        yield from _parsed(batches)
+    finally:
+        gc.enable()
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text is read and matched once, and a line that comes again is known."""
     shapes: dict[str, tuple] = {}
     memory: dict[str, tuple] = {}
 
