@@ -19,7 +19,8 @@ from gleanery.operators.scale import hot_cold_join, materialise
 COPY_DECIMALS = 5
 #: Seconds that one more copy of a vector and one more comparison cost; only their ratio matters for the choice of a plan.
 COPY_COST, PAIR_COST = 4e-6, 2e-9
-MOST_TABLES, MOST_PROBES = 32, 16
+#: Most tables, and the numbers of probes that are tried.
+MOST_TABLES, PROBES = 32, (1, 2, 3, 4, 5, 6, 8, 10, 12, 14, 16)
 #: Most vectors a bucket on average.
 FULL = 4096
 #: At most so many buckets are ever cut into blocks: the sizes from which they are follow from it.
@@ -122,7 +123,7 @@ def choose(x: np.ndarray, near: np.ndarray, asker: np.ndarray, rows: int, recall
     while rows / buckets >= 64 or buckets == 2:
         widths = tuple(hash_widths(rows, x.shape[1], max(1, rows / buckets)))
         count = math.prod(2 * a for a in widths)
-        steps = sorted({min(count, 1 << e) for e in range(MOST_PROBES.bit_length())})
+        steps = sorted({min(count, p) for p in PROBES})
         met = {p: np.zeros(len(near), bool) for p in steps}
         open_steps = list(steps)
         for table in range(MOST_TABLES):
