@@ -1,4 +1,4 @@
-"""python -m gleanery run FILE.param | inspect INDEX_DIR COMMAND [ARG..] | te2csv OUT_DIR FILE.."""
+"""python -m gleanery run FILE.param | inspect INDEX_DIR COMMAND [ARG..] | te2csv OUT_DIR FILE.. | demo"""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from gleanery.demo import tour
 from gleanery.operators import inspection
 from gleanery.plans.pipeline import Timer, run
 from gleanery.sources.files import read_evaluation, read_parameters
@@ -30,6 +31,10 @@ def main(args: list[str]) -> int:
         timer.stop()
         print(timer)
         return 0
+    if args == ["demo"]:
+        for what, value in tour(SparkSession.builder.getOrCreate()):
+            print(f"{what}: {value}")
+        return 0
     if len(args) >= 3 and args[0] == "te2csv":
         values = read_evaluation(SparkSession.builder.getOrCreate(), args[2:])
         sizes = {r["count"] for r in values.groupBy("path").count().collect()}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import safe_double
+from gleanery.operators.scale import materialise
 from gleanery.plans.compile import bm25
 from gleanery.sources.index import Index
 
@@ -18,6 +19,10 @@ from gleanery.sources.index import Index
 FIELD_FEATURES = {"body": 5, "title": 8, "url": 11, "inlink": 14}
 
 
+#: Most query terms, and queries, whose rows are broadcast.
+MOST_TERMS = 500_000
+
+
 @dataclass(frozen=True)
 class Features:
     k1: float = 1.2
@@ -48,11 +53,13 @@ def extract(pairs: DataFrame, terms: DataFrame, index: Index, p: Features = Feat
     stats = index.field_stats.filter(F.col("field").isin(*FIELD_FEATURES))
     names = index.docs.columns
     asked = terms.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
+    few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS  # then one query with very many pages is no matter
+    small = F.broadcast if few else (lambda d: d)
     total = asked.groupBy("qid").agg(F.sum("times").alias("tokens"), F.count(F.lit(1)).alias("stems"))
-    fields = pairs.select("qid", "eid").distinct().join(index.lengths.filter((F.col("poslen") > 0) & F.col("field").isin(*FIELD_FEATURES)), "eid").join(F.broadcast(stats), "field").join(total, "qid", "left")
+    fields = pairs.select("qid", "eid").distinct().join(index.lengths.filter((F.col("poslen") > 0) & F.col("field").isin(*FIELD_FEATURES)), "eid").join(F.broadcast(stats), "field").join(small(total), "qid", "left")
     # every query term with every field of the pair: a bounded product, as a query has few terms
     # every page with the field, also for a query without terms, has values: its counts are 0
-    wanted = fields.join(asked, "qid", "left").withColumns({"times": F.coalesce("times", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0)), "stems": F.coalesce("stems", F.lit(0))}).join(index.term_stats.select("field", "term", "df", "ctf"), ["field", "term"], "left")
+    wanted = fields.join(small(asked), "qid", "left").withColumns({"times": F.coalesce("times", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0)), "stems": F.coalesce("stems", F.lit(0))}).join(index.term_stats.select("field", "term", "df", "ctf"), ["field", "term"], "left")
     hits = index.of_documents(pairs).select("field", "term", "eid", "tf")  # of these pages alone
     full = wanted.join(hits, ["field", "term", "eid"], "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
     avg = F.col("sum_len") / F.col("doc_count")
@@ -89,13 +96,19 @@ def extract(pairs: DataFrame, terms: DataFrame, index: Index, p: Features = Feat
 
 
 def min_max(features: DataFrame, ids: list[int]) -> DataFrame:
-    """Each feature scaled to 0..1 within its query; a constant one becomes 0, null stays null."""
-    w = Window.partitionBy("qid")
+    """Each feature scaled to 0..1 within its query; a constant one becomes 0, null stays null.
+
+    Least and largest values are aggregated, so a query with very many documents is no group of one task.
+    """
+    features = materialise(features)
+    ends = features.groupBy(F.col("qid").alias("_q")).agg(*[f(f"f{i}").alias(f"_{n}{i}") for i in ids for n, f in (("lo", F.min), ("hi", F.max))])
+    ends = F.broadcast(ends) if ends.limit(MOST_TERMS + 1).count() <= MOST_TERMS else ends
+    met = features.join(ends, F.col("qid").eqNullSafe(F.col("_q")))
     out = []
     for i in ids:
-        c, lo, hi = F.col(f"f{i}"), F.min(f"f{i}").over(w), F.max(f"f{i}").over(w)
+        c, lo, hi = F.col(f"f{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
         out.append(F.when(c.isNull(), None).when(hi > lo, (c - lo) / (hi - lo)).otherwise(0.0).alias(f"f{i}"))
-    return features.select(*[c for c in features.columns if c not in {f"f{i}" for i in ids}], *out)
+    return met.select(*[c for c in features.columns if c not in {f"f{i}" for i in ids}], *out)
 
 
 def feature_lines(features: DataFrame, ids: list[int], fill_missing: bool = True) -> DataFrame:

@@ -707,7 +707,7 @@ SELECT qid, rank::INT AS rank, eid, round(score + 1e-10, 6) AS score FROM (SELEC
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best pages for every query vector whose id is divisible by 100."""
     asked = table(spark, sf, "query_vectors").filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), "query_vector")
-    return _shown(dense.dense_topk(asked, table(spark, sf, "vectors"), 10, 64))
+    return _shown(dense.dense_topk(asked, files.read_vectors(spark, f"{sf}/vectors.parquet"), 10, 64))
 
 
 def _best(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import coerce_numbers
+from gleanery.operators.scale import numbered
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -43,8 +44,7 @@ def read_run(spark: SparkSession, path: str, max_rank: int | None = None) -> Dat
     p = F.split(F.btrim("value"), r"\s+")
     rows = _lines(spark, path).select("file", "at", p.alias("p")).filter(F.size("p") == 6)
     rows = rows.select("file", "at", F.col("p")[0].alias("qid"), F.col("p")[2].alias("eid"), F.col("p")[3].try_cast("int").alias("given"), F.col("p")[4].try_cast("double").alias("score"), F.col("p")[5].alias("runid"))
-    whole = Window.partitionBy("file").orderBy("at")
-    rows = rows.withColumn("n", F.row_number().over(whole))
+    rows = numbered(rows, ["file"], [F.asc("at")], "n")  # over all tasks, however long the file
     mine = Window.partitionBy("file", "qid").orderBy("at")
     rows = rows.withColumn("stretch", F.col("n") - F.row_number().over(mine))
     rows = rows.withColumn("last", F.max("stretch").over(Window.partitionBy("file", "qid"))).filter(F.col("stretch") == F.col("last"))

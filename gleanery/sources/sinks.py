@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
+from itertools import chain
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the run format.
@@ -35,17 +37,28 @@ def qa_answers(queries: DataFrame, answers: DataFrame) -> DataFrame:
     return queries.select("qid").distinct().join(answers.select("qid", "answer"), "qid", "left").select("qid", F.coalesce("answer", F.lit("")).alias("answer"))
 
 
+def write_file(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
+    """One text file on whatever file system the path names, written piece by piece."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        for part in parts:
+            out.write(bytearray(part.encode()))
+    finally:
+        out.close()
+
+
 def write_answers(queries: DataFrame, answers: DataFrame, path: str) -> None:
-    """One JSON object qid -> answer; one answer a query reaches the driver."""
-    with open(path, "w") as f:
-        json.dump({r["qid"]: r["answer"] for r in qa_answers(queries, answers).orderBy(*qid_order()).toLocalIterator()}, f)
+    """One JSON object qid -> answer; one answer a query passes the driver."""
+    rows = qa_answers(queries, answers).orderBy(*qid_order()).toLocalIterator()
+    entries = ((", " if i else "") + f"{json.dumps(r['qid'])}: {json.dumps(r['answer'])}" for i, r in enumerate(rows))
+    write_file(queries.sparkSession, path, chain(["{"], entries, ["}"]))
 
 
 def write_prompts(prompts: DataFrame, path: str) -> None:
     """Lines `qid: [messages]` in ASCII."""
-    with open(path, "w") as f:
-        for r in prompts.orderBy(*qid_order()).toLocalIterator():
-            f.write(f"{r['qid']}: {json.dumps(json.loads(r['prompt']))}\n")
+    rows = prompts.orderBy(*qid_order()).toLocalIterator()
+    write_file(prompts.sparkSession, path, (f"{r['qid']}: {json.dumps(json.loads(r['prompt']))}\n" for r in rows))
 
 
 def write_expanded(queries: DataFrame, path: str) -> None:

@@ -227,6 +227,14 @@ def test_a_whole_run(spark, tmp_path):
             pipeline.run(spark, {"queryFilePath": p["queryFilePath"], **bad}, index=ix)
 
 
+def test_the_tour(spark, capsys):
+    from gleanery.__main__ import main
+
+    assert main(["demo"]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "ranking: p1 p2" and out[2] == "answer: Lighthouses A lighthouse warns ships of rocks"
+
+
 def test_models_are_loaded_by_their_path(spark):
     rows = [("1", "apple pie apple tart", "A"), ("2", "pie crust", "B")]
     ix = build_index(spark.createDataFrame(rows, "eid string, body_string string, title_string string"), {"body": "body_string"}, attributes=["body_string", "title_string"])
