@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -14,6 +18,16 @@ from gleanery.operators.scale import materialise
 from gleanery.operators.topn import top_by_score
 
 
+@cache
+def one_thread() -> None:
+    """Gives the linear algebra of this worker one thread: the tasks share the cores already, and waiting threads burn them."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two arrays as doubles, in order."""
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -33,6 +47,7 @@ def encode(load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 1
 
 def _search(ids: list, matrix: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         names = np.array(ids, object)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
