@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators.dense import one_thread
 from gleanery.operators.scale import hot_cold_join, materialise
 
 #: Directions that agree to so many decimals in every coordinate count as copies of each other.
@@ -153,6 +154,7 @@ def _sampled(sample: np.ndarray, names: np.ndarray, dim: int, k: int):
     """The k best of the sampled vectors' partners in each batch: (asker, cls, cos, u)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             x, cls = _vectors(batch.column(1), dim), batch.column(0).to_numpy()
             s = sample @ x.T
@@ -183,6 +185,7 @@ def _own(dim: int, plan: Plan):
     """(bucket, n): sizes of the buckets, summed within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             x = _vectors(batch.column(0), dim)
             own = np.concatenate([t * plan.buckets + probes(x, t, list(plan.widths), 0)[:, 0] for t in range(plan.tables)])
@@ -235,6 +238,7 @@ def _sent(dim: int, k: int, plan: Plan, large: np.ndarray, blocks: np.ndarray, p
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for whole in batches:
             for start in range(0, whole.num_rows, 10_000):
                 batch = whole.slice(start, 10_000)
@@ -367,6 +371,7 @@ def _compare(dim: int, k: int, chunk: int = 2048):
         yield pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.ListArray.from_arrays(ends, pa.array(cls[best.other[found]])), pa.ListArray.from_arrays(ends, pa.array(best.cos[found]))], names=["cls", "others", "cos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         held: dict[int, list] = {}
 
         def close(part: int) -> Iterator[pa.RecordBatch]:
