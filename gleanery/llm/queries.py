@@ -101,11 +101,12 @@ def p2_net_flow(spark: SparkSession, sf: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates among the best three by each of the five scores.
 
-    Others are preferred to such a candidate with a strength of at most two in all by any score, and few candidates come so far; their places decide.
+    Others are preferred to such a candidate with a strength of at most two in all by any score (half a point more leaves room for
+    the rounding of long sums), and few candidates come so far; their places decide.
     """
     best = flows(spark, sf, ranked=False)
     for i in range(1, len(CRITERIA) + 1):
-        best = best.filter((F.col(f"minus_{i}") <= 2 + 1e-6) & (F.col(f"place_{i}") <= 3))
+        best = best.filter((F.col(f"minus_{i}") <= 2.5) & (F.col(f"place_{i}") <= 3))
     return best.select("qid", "eid")
 
 
