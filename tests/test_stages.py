@@ -1,11 +1,12 @@
 import json
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.operators import answers, dense, ltr, passages
+from gleanery.operators import answers, dense, ltr, passages, scale
 from gleanery.operators.scale import heavy_keys, hot_cold_join, latest, numbered, split_by
 from gleanery.plans import pipeline
 from gleanery.sources import files, sinks
@@ -160,6 +161,21 @@ def test_heavy_groups(spark):
         assert hot_cold_join(df, right, "k", "w", limit).count() == 51
 
 
+def test_written_tables_are_released(spark, monkeypatch):
+    monkeypatch.setattr(scale, "_WRITTEN", [])
+    table = scale.materialise(spark.range(5))
+    path = scale._WRITTEN[0][1].removeprefix("file:")
+    assert table.count() == 5 and os.path.isdir(path)
+    scale.release()
+    assert not os.path.exists(path) and scale._WRITTEN == []
+
+
+def test_few_groups_can_be_heavy(spark):
+    assert scale.heavy_limit(100, spark) == scale.LEAST_HEAVY
+    rows, parts = 10**9, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows // scale.heavy_limit(rows, spark) <= scale.SHARE * parts + 1
+
+
 def test_latest(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "y"), ("b", None, None), (None, 1, "z")], "k string, t int, v string")
     assert {(r.k, r.v) for r in latest(df, "k", "t", ["v"]).collect()} == {("a", "y"), ("b", None)}
