@@ -241,9 +241,15 @@ def rank_set(queries: DataFrame, index: Index, model, n: int = 1000, boolean: bo
         listed = [r["term"] for r in terms.select("term").distinct().collect()]
         postings = postings.filter(F.col("term").isin(listed)) if listed else postings.limit(0)
     score_of = nodes.filter(F.col("op") == "SCORE").select("qid", F.col("id").alias("node"), F.col("up").alias("to"), F.col("up_height").alias("to_height"), "weight", "model")
-    bare = terms.filter("up_op = 'SCORE'").select("qid", F.col("up").alias("node"), "field", "term").join(index.term_stats, ["field", "term"])
-    bare = postings.select("field", "term", "eid", "tf", "len").join(few(bare.select("qid", "node", "field", "term", "df")), ["field", "term"]).select("qid", "node", "eid", "field", "tf", "len", "df")
-    found = [bare]
+    bare = terms.filter("up_op = 'SCORE'").select("qid", F.col("up").alias("node"), "field", "term").join(index.term_stats, ["field", "term"]).select("qid", "node", "field", "term", "df")
+
+    def met_by(asked: DataFrame) -> DataFrame:
+        """Postings laid out by document meet the terms: what is grouped by query, node and document afterwards stays where it is."""
+        return postings.select("field", "term", "eid", "tf", "len").repartition("eid").join(few(asked), ["field", "term"]).select("qid", "node", "eid", "field", "tf", "len", "df")
+
+    # queries with positional operators are apart, as their matches were written and read again
+    placed = few(nodes.filter(F.col("op").isin("SYN", "NEAR", "WINDOW")).select("qid").distinct())
+    found = [met_by(bare.join(placed, "qid", "left_semi"))]
     inner = terms.filter("up_op <> 'SCORE'")
     lists = [postings.select("field", "term", "eid", "len", "positions").join(few(inner.select("qid", "up", "up_height", "arg", "field", "term")), ["field", "term"]).select("qid", "up", "up_height", "arg", "eid", "field", "len", "positions")]
     for height in range(1, (shape["inner"] or 0) + 1):
@@ -261,14 +267,19 @@ def rank_set(queries: DataFrame, index: Index, model, n: int = 1000, boolean: bo
     stats = F.broadcast(index.field_stats.select("field", "num_docs", (F.col("sum_len") / F.col("doc_count")).alias("avg_len")))
     k1, b = (model.k1, model.b) if isinstance(model, BM25) else (0.0, 0.0)
     by_model = F.when(F.col("model") == "BM25", bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("num_docs"), F.col("avg_len"), k1, b)).when(F.col("model") == "RankedBoolean", F.col("tf").cast("double")).otherwise(1.0)
-    leaf = reduce(DataFrame.unionByName, found).join(few(score_of), ["qid", "node"]).join(stats, "field").select("qid", "to", "to_height", "eid", "weight", by_model.alias("score"))
-    pending = [leaf]
-    for height in range(1, (shape["outer"] or 0) + 1):
-        ops = nodes.filter(~F.col("op").isin(*POSITIONAL) & (F.col("op") != "SCORE") & (F.col("height") == height)).select("qid", F.col("id").alias("node"), F.col("up").alias("above"), F.col("up_height").alias("above_height"), F.col("weight").alias("own_weight"), "op", "args")
-        mine = reduce(DataFrame.unionByName, pending).filter(F.col("to_height") == height).withColumnRenamed("to", "node")
-        mine = mine.groupBy("qid", "node", "eid").agg(F.min("score").alias("least"), F.max("score").alias("most"), F.sum(F.col("weight") * F.col("score")).alias("total"), F.count(F.lit(1)).alias("met")).join(few(ops), ["qid", "node"])
-        score = F.when(F.col("op") == "AND", F.col("least")).when(F.col("op") == "OR", F.greatest("most", F.lit(0.0))).otherwise(F.col("total"))
-        pending.append(mine.filter((F.col("op") != "AND") | (F.col("met") == F.col("args"))).select("qid", F.col("above").alias("to"), F.col("above_height").alias("to_height"), "eid", F.col("own_weight").alias("weight"), score.alias("score")))
-    best = reduce(DataFrame.unionByName, pending).filter(F.col("to") == -1)
+
+    def evaluated(found: DataFrame) -> DataFrame:
+        """(qid, eid, score) of the trees' roots, from the matches of their #SCORE nodes."""
+        leaf = found.join(few(score_of), ["qid", "node"]).join(stats, "field").select("qid", "to", "to_height", "eid", "weight", by_model.alias("score"))
+        pending = [leaf]
+        for height in range(1, (shape["outer"] or 0) + 1):
+            ops = nodes.filter(~F.col("op").isin(*POSITIONAL) & (F.col("op") != "SCORE") & (F.col("height") == height)).select("qid", F.col("id").alias("node"), F.col("up").alias("above"), F.col("up_height").alias("above_height"), F.col("weight").alias("own_weight"), "op", "args")
+            mine = reduce(DataFrame.unionByName, pending).filter(F.col("to_height") == height).withColumnRenamed("to", "node")
+            mine = mine.groupBy("qid", "node", "eid").agg(F.min("score").alias("least"), F.max("score").alias("most"), F.sum(F.col("weight") * F.col("score")).alias("total"), F.count(F.lit(1)).alias("met")).join(few(ops), ["qid", "node"])
+            score = F.when(F.col("op") == "AND", F.col("least")).when(F.col("op") == "OR", F.greatest("most", F.lit(0.0))).otherwise(F.col("total"))
+            pending.append(mine.filter((F.col("op") != "AND") | (F.col("met") == F.col("args"))).select("qid", F.col("above").alias("to"), F.col("above_height").alias("to_height"), "eid", F.col("own_weight").alias("weight"), score.alias("score")))
+        return reduce(DataFrame.unionByName, pending).filter(F.col("to") == -1).select("qid", "eid", "score")
+
+    best = evaluated(met_by(bare.join(placed, "qid", "left_anti"))).unionByName(evaluated(reduce(DataFrame.unionByName, found)))
     score = F.lit(1.0) if isinstance(model, UnrankedBoolean) else F.round("score", 9)
     return top_by_score(best.select("qid", "eid", score.alias("score")), "qid", "eid", "score", n).select("qid", "rank", "eid", "score")
