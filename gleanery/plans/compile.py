@@ -251,7 +251,7 @@ def rank_set(queries: DataFrame, index: Index, model, n: int = 1000, boolean: bo
     placed = few(nodes.filter(F.col("op").isin("SYN", "NEAR", "WINDOW")).select("qid").distinct())
     found = [met_by(bare.join(placed, "qid", "left_semi"))]
     inner = terms.filter("up_op <> 'SCORE'")
-    lists = [postings.select("field", "term", "eid", "len", "positions").join(few(inner.select("qid", "up", "up_height", "arg", "field", "term")), ["field", "term"]).select("qid", "up", "up_height", "arg", "eid", "field", "len", "positions")]
+    lists = [postings.select("field", "term", "eid", "len", "positions").repartition("eid").join(few(inner.select("qid", "up", "up_height", "arg", "field", "term")), ["field", "term"]).select("qid", "up", "up_height", "arg", "eid", "field", "len", "positions")]
     for height in range(1, (shape["inner"] or 0) + 1):
         ops = nodes.filter(F.col("op").isin("SYN", "NEAR", "WINDOW") & (F.col("height") == height))
         ops = ops.join(ups, ["qid", "up"]).select("qid", F.col("id").alias("node"), F.col("up").alias("to"), F.col("up_height").alias("to_height"), F.col("arg").alias("to_arg"), "op", "distance", "args", "up_op")
