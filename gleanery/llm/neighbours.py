@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.operators.dense import one_thread
-from gleanery.operators.scale import hot_cold_join, materialise
+from gleanery.operators.scale import discard, hot_cold_join, settle
 
 #: Directions that agree to so many decimals in every coordinate count as copies of each other.
 COPY_DECIMALS = 5
@@ -26,6 +26,8 @@ MOST_TABLES, PROBES = 32, (1, 2, 3, 4, 5, 6, 8, 10, 12, 14, 16)
 FULL = 4096
 #: At most so many buckets are ever cut into blocks: the sizes from which they are follow from it.
 MOST_LARGE = 100_000
+#: Bytes of disk that the copies of a round's vectors and the lists they bring may take: so many, and so many for each byte of the vectors.
+LEAST_ROOM, ROOM = 200_000_000, 1.5
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -181,15 +183,19 @@ def plan_for(classes: DataFrame, rows: int, dim: int, k: int, recall: float, sam
     return choose(x, near, np.array([r["asker"] for r in true], np.int64), rows, recall)
 
 
-def _own(dim: int, plan: Plan):
-    """(bucket, n): sizes of the buckets, summed within a task."""
+def _counted(dim: int, plan: Plan, among: np.ndarray | None = None):
+    """(bucket, n): sizes of the buckets, or how many ask in those of `among`, summed within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         for batch in batches:
             x = _vectors(batch.column(0), dim)
-            own = np.concatenate([t * plan.buckets + probes(x, t, list(plan.widths), 0)[:, 0] for t in range(plan.tables)])
-            bucket, n = np.unique(own, return_counts=True)
+            if among is None:
+                codes = np.concatenate([t * plan.buckets + probes(x, t, list(plan.widths), 0)[:, 0] for t in range(plan.tables)])
+            else:
+                codes = np.concatenate([(t * plan.buckets + probes(x, t, list(plan.widths), plan.extra)[:, 1:]).ravel() for t in np.unique(among // plan.buckets).tolist()])
+                codes = codes[np.isin(codes, among)]
+            bucket, n = np.unique(codes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], names=["bucket", "n"])
 
     return run
@@ -205,6 +211,8 @@ def _mixed(a: np.ndarray) -> np.ndarray:
 
 #: What a vector does in a cell: it is compared with all that ask and with its fellows, or it asks, or it is compared with those that ask only.
 MEMBER, ASKS, LISTED = 0, 1, 2
+#: Columns of a vector's list: its partners and their cosines.
+LISTS = ["others", "cos"]
 
 
 def _cells(own: np.ndarray, bucket: np.ndarray, row: np.ndarray, cls: np.ndarray, large: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,10 +239,55 @@ def _cells(own: np.ndarray, bucket: np.ndarray, row: np.ndarray, cls: np.ndarray
     return np.concatenate(out_row), np.concatenate(out_code)
 
 
-def _sent(dim: int, k: int, plan: Plan, large: np.ndarray, blocks: np.ndarray, parts: int):
-    """(part, cls, u, codes, floor, others, cos): each vector once for each task that holds one of its buckets.
+@dataclass(frozen=True)
+class Round:
+    """Tables first to last - 1; of the `of` parts that their cells are hashed to, the `parts` from number `at` on."""
+
+    first: int
+    last: int
+    at: int
+    parts: int
+    of: int
+
+
+def _parts(rows: int, visits: float, cores: int, task_vectors: int) -> int:
+    """The least number of parts, as many as cores at least, of which none holds over about `task_vectors` vectors, or 16 visits for each of these."""
+    parts = max(cores, math.ceil(visits / (16 * task_vectors)))
+    if rows > task_vectors and visits:
+        parts = max(parts, math.ceil(-1 / math.expm1(math.log1p(-task_vectors / rows) * rows / visits)))
+    return parts
+
 
-    Its k best among its neighbours in the input are candidates as well, listed in its first row; the least of them is the floor under which no other needs to be kept.
+def rounds_for(rows: int, visits: list[int], cores: int, task_vectors: int, vector: int, partners: int, room: float) -> list[Round]:
+    """Rounds over all cells of all tables, so that each writes `room` bytes at most.
+
+    visits: by table, in how many cells its vectors are; vector, partners: bytes of a vector, and of the list that a copy of it brings. The copies of
+    vectors whose visits are unequal are fewer than is counted here.
+    """
+
+    def written(v: float) -> float:
+        parts = _parts(rows, v, cores, task_vectors)
+        return rows * parts * -math.expm1(math.log1p(-1 / parts) * v / rows) * (vector + partners + 56) + 8 * v
+
+    out: list[Round] = []
+    first = 0
+    while first < len(visits) and rows:
+        last = first + 1
+        while last < len(visits) and written(sum(visits[first : last + 1])) <= room:
+            last += 1
+        mine, pieces = sum(visits[first:last]), 1
+        while written(mine / pieces) > room and mine / pieces > 1:
+            pieces += max(1, pieces // 16)
+        parts = _parts(rows, mine / pieces, cores, task_vectors)
+        out += [Round(first, last, i * parts, parts, pieces * parts) for i in range(pieces)]
+        first = last
+    return out
+
+
+def _start(dim: int, k: int):
+    """(cls, ids, u) to (cls, ids, u, floor, others, cos): the k best among a vector's neighbours in the input are its first candidates.
+
+    The least of them is the floor under which no other needs to be kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,17 +295,7 @@ def _sent(dim: int, k: int, plan: Plan, large: np.ndarray, blocks: np.ndarray, p
         for whole in batches:
             for start in range(0, whole.num_rows, 10_000):
                 batch = whole.slice(start, 10_000)
-                x, cls = _vectors(batch.column(1), dim), batch.column(0).to_numpy()
-                codes = np.concatenate([t * plan.buckets + probes(x, t, list(plan.widths), plan.extra) for t in range(plan.tables)], axis=1)
-                per = codes.shape[1] // plan.tables
-                own = np.tile(np.arange(codes.shape[1]) % per == 0, (len(x), 1))
-                row, code = _cells(own.ravel(), codes.ravel(), np.repeat(np.arange(len(x)), codes.shape[1]), cls, large, blocks)
-                part = _mixed(code >> 2) % parts
-                order = np.lexsort((part, row))
-                row, code, part = row[order], code[order], part[order]
-                first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(part) != 0)])
-                at = pa.array(row[first])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(code))
+                x, cls = _vectors(batch.column(2), dim), batch.column(0).to_numpy()
                 m = min(k, len(x) - 1)
                 best, cos = np.zeros((len(x), m), np.int64), np.zeros((len(x), m), np.float32)
                 for i in range(0, len(x) if m else 0, 1000):
@@ -261,12 +304,38 @@ def _sent(dim: int, k: int, plan: Plan, large: np.ndarray, blocks: np.ndarray, p
                     best[i : i + 1000] = np.argpartition(s, len(x) - m, axis=1)[:, len(x) - m :]
                     cos[i : i + 1000] = np.take_along_axis(s, best[i : i + 1000], axis=1)
                 floor = cos.min(axis=1) if m == k else np.full(len(x), -2, np.float32)
-                told = np.r_[True, np.diff(row[first]) != 0]
-                ends = pa.array(np.r_[0, np.cumsum(np.where(told, m, 0))].astype(np.int32))
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * m)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(cls[best].ravel())), pa.ListArray.from_arrays(ends, pa.array(cos.ravel()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor), *lists], names=["cls", "ids", "u", "floor", "others", "cos"])
+
+    return run
+
+
+def _sent(dim: int, plan: Plan, now: Round, large: np.ndarray, blocks: np.ndarray):
+    """(cls, u, floor) to (part, cls, u, codes, floor): each vector once for each task that holds one of its buckets in this round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 10_000):
+                batch = whole.slice(start, 10_000)
+                x, cls = _vectors(batch.column(1), dim), batch.column(0).to_numpy()
+                codes = np.concatenate([t * plan.buckets + probes(x, t, list(plan.widths), plan.extra) for t in range(now.first, now.last)], axis=1)
+                per = codes.shape[1] // (now.last - now.first)
+                own = np.tile(np.arange(codes.shape[1]) % per == 0, (len(x), 1))
+                row, code = _cells(own.ravel(), codes.ravel(), np.repeat(np.arange(len(x)), codes.shape[1]), cls, large, blocks)
+                part = _mixed(code >> 2) % now.of - now.at
+                if now.parts < now.of:
+                    some = (part >= 0) & (part < now.parts)
+                    row, code, part = row[some], code[some], part[some]
+                order = np.lexsort((part, row))
+                row, code, part = row[order], code[order], part[order]
+                first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(part) != 0)]) if len(row) else np.zeros(0, int)
+                at = pa.array(row[first])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(code))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[first].astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), lists, pa.array(floor[row[first]]),
-                     pa.ListArray.from_arrays(ends, pa.array(cls[best].ravel())), pa.ListArray.from_arrays(ends, pa.array(cos.ravel()))],
-                    names=["part", "cls", "u", "codes", "floor", "others", "cos"],
+                    [pa.array(part[first].astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), lists, batch.column(2).take(at)],
+                    names=["part", "cls", "u", "codes", "floor"],
                 )
 
     return run
@@ -340,7 +409,7 @@ class Best:
 
 
 def _compare(dim: int, k: int, chunk: int = 2048):
-    """Rows of one part after the other: (part, cls, u, codes, floor, ..) to (cls, others, cos), the k best each vector met in the part."""
+    """Rows of one part after the other: (part, cls, u, codes, floor) to (cls, others, cos), the k best each vector met in the part."""
 
     def answers(cls: np.ndarray, x: np.ndarray, floor: np.ndarray, row: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
         best = Best(floor, k, cls)
@@ -380,8 +449,6 @@ def _compare(dim: int, k: int, chunk: int = 2048):
 
         for batch in batches:
             parts = batch.column(0).to_numpy()
-            told = batch.filter(pc.greater(pc.list_value_length(batch.column(5)), 0))
-            yield pa.RecordBatch.from_arrays([told.column(1), told.column(5), told.column(6)], names=["cls", "others", "cos"])
             cuts = np.flatnonzero(np.r_[True, np.diff(parts) != 0, True])
             for a, b in zip(cuts, cuts[1:]):
                 rows = batch.slice(a, b - a)
@@ -396,7 +463,7 @@ def _compare(dim: int, k: int, chunk: int = 2048):
 
 
 def _merge(k: int):
-    """Rows come sorted by cls; the k best distinct partners of each cls go out as (cls, other, cos)."""
+    """Rows come sorted by cls; the k best distinct partners of each cls go out as (cls, others, cos), the best first."""
 
     def best(cls: np.ndarray, other: np.ndarray, cos: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((-cos, other, cls))
@@ -407,7 +474,10 @@ def _merge(k: int):
         cls, other, cos = cls[order], other[order], cos[order]
         start = np.flatnonzero(np.r_[True, np.diff(cls) != 0]) if len(cls) else np.zeros(0, int)
         nth = np.arange(len(cls)) - np.repeat(start, np.diff(np.r_[start, len(cls)]))
-        return pa.RecordBatch.from_arrays([pa.array(x[nth < k]) for x in (cls, other, np.minimum(cos.astype(np.float64), 1.0))], names=["cls", "other", "cos"])
+        cls, other, cos, nth = (x[nth < k] for x in (cls, other, cos, nth))
+        start = np.flatnonzero(nth == 0)
+        ends = pa.array(np.r_[start, len(cls)].astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(cls[start]), pa.ListArray.from_arrays(ends, pa.array(other)), pa.ListArray.from_arrays(ends, pa.array(cos))], names=["cls", "others", "cos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
@@ -474,33 +544,59 @@ def nearest_vectors(
 
     A vector travels once to each task that holds one of its buckets, however many of its buckets are there. Buckets over `largest_block` members (by default a
     part of a task's share, between 1,000 and 16,384) are cut into squares of blocks, so that a task holds about `task_vectors` vectors however large a
-    bucket is, and none is ever skipped.
+    bucket is, and none is ever skipped. Where the copies of all vectors would take more disk than LEAST_ROOM and ROOM allow, the tables, or parts of a table, are gone
+    through in rounds, each deletes its shuffles and hands on the lists as they are and, now and then, their floors: the same pairs are met.
     """
     spark = df.sparkSession
-    unit = materialise(nearest_units(df, id_col, vector_col, dim, False))
+    unit, unit_at = settle(nearest_units(df, id_col, vector_col, dim, False))
     # a class of copies: its least id, its first k + 1 ids (enough for any list of k), its vector
     first = unit.withColumn("nth", F.row_number().over(Window.partitionBy("dir").orderBy("id"))).filter(F.col("nth") <= k + 1)
-    classes = materialise(first.groupBy("dir").agg(F.min("id").alias("cls"), F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("u", "id").alias("u")))
+    classes = first.groupBy("dir").agg(F.min("id").alias("cls"), F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("u", "id").alias("u"))
+    lists = "others array<long>, cos array<float>"
+    classes, classes_at = settle(classes.select("cls", "ids", "u").mapInArrow(_start(dim, k), f"cls long, ids array<long>, u binary, floor float, {lists}"))
     rows = classes.count()
     plan = plan or plan_for(classes, rows, dim, k, recall, sample)
     cores = max(2, spark.sparkContext.defaultParallelism)  # no more parts than keep all busy: a vector has a copy in each it visits
     limit = max(largest_block or min(16_384, max(1000, rows * plan.tables // (8 * cores))), rows * plan.tables // MOST_LARGE)
-    sizes = classes.select("u").mapInArrow(_own(dim, plan), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    cut = sizes.filter(F.col("n") > limit).orderBy("bucket").collect()  # at most MOST_LARGE rows
+
+    def counted(among: np.ndarray | None = None) -> DataFrame:
+        return classes.select("u").mapInArrow(_counted(dim, plan, among), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+    cut = counted().filter(F.col("n") > limit).orderBy("bucket").collect()  # at most MOST_LARGE rows
     large = np.array([r["bucket"] for r in cut], np.int64)
     blocks = np.array([min(4096, -(-r["n"] // limit)) for r in cut], np.int64)
-    visits = rows * plan.tables * (plan.extra + 1)
-    visits += sum(2 * limit * int(b) * min(int(b), cores) for b in blocks)
-    parts = max(cores, visits // task_vectors + 1)
-    sent = classes.select("cls", "u").mapInArrow(_sent(dim, k, plan, large, blocks, parts), "part int, cls long, u binary, codes array<long>, floor float, others array<long>, cos array<float>")
-    met = sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_compare(dim, k), "cls long, others array<long>, cos array<float>")
-    # a pair may be met in several tasks; the best k classes of each class stay
-    pairs = met.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merge(k), "cls long, other long, cos double")
+    visits = [rows * min(plan.extra + 1, plan.buckets)] * plan.tables
+    asked = {r["bucket"]: r["n"] for r in counted(large).collect()} if cut and plan.extra else {}
+    for r, b in zip(cut, blocks.tolist()):
+        visits[r["bucket"] // plan.buckets] += r["n"] * (b - 1) + r["n"] * (b - 1) // 2 + asked.get(r["bucket"], 0) * (b - 1)
+    rounds = rounds_for(rows, visits, cores, task_vectors, 4 * dim, 12 * k, LEAST_ROOM + ROOM * 4 * dim * rows)
+    members, pairs, pairs_at, base, base_at = classes.filter(F.size("ids") > 1).select("cls", "ids"), classes.select("cls", *LISTS), "", classes, classes_at
+    if len(rounds) > 1:
+        members, narrow = settle(members)[0], settle(unit.select("id", "dir"))[0]
+        discard(unit_at)
+        unit = narrow
+    for n, now in enumerate(rounds, 1):
+        sent = base.select("cls", "u", "floor").mapInArrow(_sent(dim, plan, now, large, blocks), "part int, cls long, u binary, codes array<long>, floor float")
+        met = sent.repartitionById(now.parts, "part").sortWithinPartitions("part").mapInArrow(_compare(dim, k), f"cls long, {lists}")
+        # a pair may be met in several tasks; the best k classes of each class stay
+        pairs = pairs.unionByName(met).repartition("cls").sortWithinPartitions("cls").mapInArrow(_merge(k), f"cls long, {lists}")
+        if len(rounds) == 1:
+            break
+        old, (pairs, pairs_at) = pairs_at, settle(pairs)
+        if old:
+            discard(old)
+        if n == len(rounds):
+            discard(base_at)
+        elif n & (n - 1) == 0:  # the floors rise most in the first rounds
+            last = pairs.filter(F.size("cos") == k).select("cls", F.element_at("cos", -1).alias("last"))
+            higher = base.select("cls", "u", "floor").join(last, "cls", "left").select("cls", "u", F.greatest("floor", F.least("last", F.lit(1.0).cast("float"))).alias("floor"))
+            old, (base, base_at) = base_at, settle(higher)
+            discard(old)
     # back from classes to ids: the copies of a class, then its neighbours' copies
-    members = classes.select("cls", "ids")
-    many = members.filter(F.size("ids") > 1).select(F.col("cls").alias("other"), F.col("ids").alias("others"))
+    pairs = pairs.select("cls", F.explode(F.arrays_zip(*LISTS)).alias("p")).select("cls", F.col("p.others").alias("other"), F.least(F.col("p.cos").cast("double"), F.lit(1.0)).alias("cos"))
+    many = members.select(F.col("cls").alias("other"), F.col("ids").alias("others"))
     lists = pairs.join(many, "other", "left").select("cls", F.explode(F.coalesce("others", F.array("other"))).alias("other_id"), "cos")
-    own = members.filter(F.size("ids") > 1).select("cls", F.explode("ids").alias("other_id"), F.lit(1.0).alias("cos"))
+    own = members.select("cls", F.explode("ids").alias("other_id"), F.lit(1.0).alias("cos"))
     nth = Window.partitionBy("cls").orderBy(F.desc("cos"), "other_id")
     best = lists.unionByName(own).withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= k + 1)
     best = best.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("far"), "other_id"))).alias("near"))

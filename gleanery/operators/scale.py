@@ -16,7 +16,7 @@ HEAVY_ROWS = 250_000
 MOST_HEAVY = 10_000
 #: A group is heavy from a SHARE-th of a task's fair share of all rows on, but not below LEAST_HEAVY rows.
 SHARE, LEAST_HEAVY = 4, 10_000
-#: Tables written by materialise() and not yet released: (session, path).
+#: Tables written by materialise() and settle() and not yet released: (session, path).
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -129,6 +129,26 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame) -> tuple[DataFrame, str]:
+    """materialise(), and the path for discard(). The shuffles that made the table are deleted at once, not when the driver happens to collect its garbage."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, was = new_path(spark, "table"), spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, was)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(path: str) -> None:
+    """Delete a table of settle() that nothing reads any more."""
+    for entry in [x for x in _WRITTEN if x[1] == path]:
+        _WRITTEN.remove(entry)
+        at = entry[0]._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(entry[0]._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release() -> None:
     """Delete the tables of materialise(), for when results are written; DataFrames that still read them fail from then on."""
     while _WRITTEN:

@@ -1,6 +1,11 @@
+import gc
+import os
+import threading
+
 import numpy as np
 import pytest
 
+from gleanery.llm import neighbours
 from gleanery.llm.neighbours import Plan, choose, hadamard, hash_widths, nearest_vectors, probes, rotate
 
 NAN = float("nan")
@@ -117,3 +122,77 @@ def test_one_bucket_with_most_vectors_is_compared_whole(spark, largest_block):
     got = nearest_vectors(frame(spark, rows), "vec_id", "v", 16, 5, plan=Plan(1, 31, (16,), 1.0), largest_block=largest_block, task_vectors=500).collect()
     want = brute(list(range(len(x))), x.astype(np.float32).astype(float), 5)
     assert len(got) == 5 * len(x) and sum(r.other_id in want[r.id] for r in got) / len(got) > 0.999
+
+
+class Disk:
+    """The most bytes that shuffles and the shared folder held at once."""
+
+    def __init__(self, spark):
+        env = spark._jvm.org.apache.spark.SparkEnv.get()
+        self.at = [d.getPath() for d in env.blockManager().diskBlockManager().localDirs()] + [spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")]
+        self.most, self.over, self.thread = 0, threading.Event(), threading.Thread(target=self.watch)
+
+    def used(self):
+        total = 0
+        for top in self.at:
+            for folder, _, names in os.walk(top):
+                for name in names:
+                    try:
+                        total += os.path.getsize(os.path.join(folder, name))
+                    except OSError:
+                        pass
+        return total
+
+    def watch(self):
+        while not self.over.wait(0.05):
+            self.most = max(self.most, self.used() - self.before)
+
+    def __enter__(self):
+        self.before = self.used()
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_):
+        self.over.set()
+        self.thread.join()
+
+
+def test_the_disk_does_not_grow_with_the_number_of_visits(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(6000, 64))
+    df = frame(spark, [(i, v.tolist(), "x", 1, 0.0) for i, v in enumerate(x)]).repartition(2)
+    plan, got = Plan(4, 3, tuple(hash_widths(6000, 64, 200)), 0.0), {}
+    for room in (3_000_000, 1_000_000_000):
+        monkeypatch.setattr(neighbours, "LEAST_ROOM", room, raising=False)
+        gc.collect()
+        spark._jvm.System.gc()
+        with Disk(spark) as disk:
+            got[room] = {(r.id, r.place): (r.other_id, round(r.cosine, 5)) for r in nearest_vectors(df, "vec_id", "v", 64, 10, plan=plan, task_vectors=3000).collect()}
+        if room == 3_000_000:
+            assert disk.most < 8 * 4 * x.size
+    few, all_at_once = got.values()
+    assert len(few) == 60_000 and sum(few[k] == all_at_once.get(k) for k in few) > 59_900
+
+
+@pytest.mark.parametrize("rows, visits, room", [(1000, [4000] * 3, 10**9), (1_000_000, [16_000_000] * 5, 6 * 10**8), (1_000_000, [2_000_000, 900_000_000, 2_000_000], 6 * 10**8)])
+def test_rounds_hold_every_cell_once_and_keep_to_their_room(rows, visits, room):
+    rounds = neighbours.rounds_for(rows, visits, 6, 250_000, 256, 120, room)
+    seen = [(t, p) for r in rounds for t in range(r.first, r.last) for p in range(r.at, r.at + r.parts)]
+    assert len(seen) == len(set(seen)) == sum(r.of for t in range(len(visits)) for r in rounds if r.first <= t < r.last and r.at == 0)
+    for r in rounds:
+        v = sum(visits[r.first : r.last]) * r.parts / r.of
+        assert rows * r.parts * (1 - (1 - 1 / r.parts) ** (v / rows)) * (256 + 120) <= room
+        assert min(rows, rows * (1 - (1 - 1 / r.parts) ** (v / rows))) <= 250_000 * 1.01
+
+
+def test_a_bucket_cut_into_blocks_is_compared_whole_over_several_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.eye(16)[0] + 0.05 * rng.normal(size=(300, 16)), rng.normal(size=(60, 16))])
+    rows = [(i, v.tolist(), "x", 1, 0.0) for i, v in enumerate(x)] + [(1000 + i, x[i].tolist(), "x", 1, 0.0) for i in range(0, 300, 100)]
+    monkeypatch.setattr(neighbours, "LEAST_ROOM", 180_000)
+    rounds = []
+    monkeypatch.setattr(neighbours, "rounds_for", lambda *a, f=neighbours.rounds_for: rounds.extend(f(*a)) or rounds)
+    got = nearest_vectors(frame(spark, rows), "vec_id", "v", 16, 5, plan=Plan(1, 31, (16,), 1.0), largest_block=50, task_vectors=500).collect()
+    assert len(rounds) > 2
+    ids = [r[0] for r in rows]
+    want = brute(ids, np.concatenate([x, x[[0, 100, 200]]]).astype(np.float32).astype(float), 5)
+    assert len(got) == 5 * len(rows) and sum(r.other_id in want[r.id] for r in got) / len(got) > 0.995
