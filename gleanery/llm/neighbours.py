@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.operators.dense import one_thread
-from gleanery.operators.scale import discard, hot_cold_join, settle
+from gleanery.operators.scale import discard, hot_cold_join, settle, taken
 
 #: Directions that agree to so many decimals in every coordinate count as copies of each other.
 COPY_DECIMALS = 5
@@ -27,7 +27,9 @@ FULL = 4096
 #: At most so many buckets are ever cut into blocks: the sizes from which they are follow from it.
 MOST_LARGE = 100_000
 #: Bytes of disk that the copies of a round's vectors and the lists they bring may take: so many, and so many for each byte of the vectors.
-LEAST_ROOM, ROOM = 200_000_000, 1.5
+LEAST_ROOM, ROOM = 200_000_000, 2.0
+#: Lists that rounds brought are merged once they take so many bytes for each byte of the vectors, or sooner.
+WAITING = 0.25
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -570,24 +572,34 @@ def nearest_vectors(
     for r, b in zip(cut, blocks.tolist()):
         visits[r["bucket"] // plan.buckets] += r["n"] * (b - 1) + r["n"] * (b - 1) // 2 + asked.get(r["bucket"], 0) * (b - 1)
     rounds = rounds_for(rows, visits, cores, task_vectors, 4 * dim, 12 * k, LEAST_ROOM + ROOM * 4 * dim * rows)
-    members, pairs, pairs_at, base, base_at = classes.filter(F.size("ids") > 1).select("cls", "ids"), classes.select("cls", *LISTS), "", classes, classes_at
+    members, pairs, base, base_at = classes.filter(F.size("ids") > 1).select("cls", "ids"), classes.select("cls", *LISTS), classes, classes_at
     if len(rounds) > 1:
         members, narrow = settle(members)[0], settle(unit.select("id", "dir"))[0]
         discard(unit_at)
         unit = narrow
+    pairs_at: list[str] = []
+    waiting: list[str] = []  # lists of the rounds since the last merge
     for n, now in enumerate(rounds, 1):
         sent = base.select("cls", "u", "floor").mapInArrow(_sent(dim, plan, now, large, blocks), "part int, cls long, u binary, codes array<long>, floor float")
         met = sent.repartitionById(now.parts, "part").sortWithinPartitions("part").mapInArrow(_compare(dim, k), f"cls long, {lists}")
-        # a pair may be met in several tasks; the best k classes of each class stay
+        doubled = n & (n - 1) == 0
+        if len(rounds) > 1:
+            met, at = settle(met)
+            waiting.append(at)
+            if n < len(rounds) and not doubled and sum(taken(spark, at) for at in waiting) <= WAITING * 4 * dim * rows:
+                continue
+            met = spark.read.schema(met.schema).parquet(*waiting)
+        # a pair may be met in several tasks and rounds; the best k classes of each class stay
         pairs = pairs.unionByName(met).repartition("cls").sortWithinPartitions("cls").mapInArrow(_merge(k), f"cls long, {lists}")
         if len(rounds) == 1:
             break
-        old, (pairs, pairs_at) = pairs_at, settle(pairs)
-        if old:
+        pairs, at = settle(pairs)
+        for old in waiting + pairs_at:
             discard(old)
+        waiting, pairs_at = [], [at]
         if n == len(rounds):
             discard(base_at)
-        elif n & (n - 1) == 0:  # the floors rise most in the first rounds
+        elif doubled:  # the floors rise most in the first rounds
             last = pairs.filter(F.size("cos") == k).select("cls", F.element_at("cos", -1).alias("last"))
             higher = base.select("cls", "u", "floor").join(last, "cls", "left").select("cls", "u", F.greatest("floor", F.least("last", F.lit(1.0).cast("float"))).alias("floor"))
             old, (base, base_at) = base_at, settle(higher)

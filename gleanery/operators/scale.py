@@ -141,6 +141,12 @@ def settle(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def taken(spark: SparkSession, path: str) -> int:
+    """Bytes of a table of settle()."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def discard(path: str) -> None:
     """Delete a table of settle() that nothing reads any more."""
     for entry in [x for x in _WRITTEN if x[1] == path]:
