@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,15 +160,117 @@ def _lost_pairs(s: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_pairwise(features: DataFrame, ids: list[int], c: float = 0.001, steps: int = 300, most_rows: int = 100_000) -> LinearRanker:
-    """Hinge loss over pairs of differently judged documents of a query, at most `most_rows` judged rows of whole queries picked by a hash."""
-    qid, y, x = _matrix(features, ids, most_rows)
-    groups = [m for q in np.unique(qid) if len(np.unique(y[m := np.flatnonzero(qid == q)])) > 1]
-    pairs = sum(int((y[m] == lab).sum()) * int((y[m] < lab).sum()) for m in groups for lab in np.unique(y[m])[1:])
-    w = np.zeros(len(ids))
+#: Rows of a query from which its pairs are counted from sorted scores and not listed, and rows of a block of whole queries.
+LISTED_ROWS, BLOCK_ROWS = 32, 50_000
+#: Most bytes of blocks that the driver trains on itself; beyond them each step is a job over all of them.
+HELD_BYTES = 96_000_000
+
+
+def _packed(qid: np.ndarray, y: np.ndarray, x: np.ndarray) -> dict[str, bytes] | None:
+    """Whole queries, sorted by qid: their features and labels, the listed (better, worse) pairs of small queries and the (start, end) of large ones. Queries of one label have no pair."""
+    cut = np.r_[0, np.flatnonzero(qid[1:] != qid[:-1]) + 1, len(qid)] if len(qid) else np.zeros(1, np.int64)
+    hi, lo, large, keep, at = [], [], [], [], 0
+    for start, end in zip(cut[:-1], cut[1:]):
+        own = y[start:end]
+        if own.min() == own.max():
+            continue
+        if end - start <= LISTED_ROWS:
+            i, j = np.nonzero(own[:, None] > own[None, :])
+            hi.append(i + at)
+            lo.append(j + at)
+        else:
+            large.append((at, at + end - start))
+        keep.append(np.arange(start, end))
+        at += end - start
+    if not keep:
+        return None
+    rows, none = np.concatenate(keep), [np.zeros(0, np.int64)]
+    parts = {"x": x[rows].astype(np.float64), "y": y[rows].astype(np.float64), "hi": np.concatenate(hi or none).astype(np.int32), "lo": np.concatenate(lo or none).astype(np.int32), "large": np.array(large, np.int32)}
+    return {k: v.tobytes() for k, v in parts.items()}
+
+
+def _unpacked(row: dict, width: int) -> tuple[np.ndarray, ...]:
+    of = lambda k, kind: np.frombuffer(row[k], kind)
+    return of("x", np.float64).reshape(-1, width), of("y", np.float64), of("hi", np.int32), of("lo", np.int32), of("large", np.int32).reshape(-1, 2)
+
+
+def _pairs(y: np.ndarray, hi: np.ndarray, large: np.ndarray) -> int:
+    """Pairs of a block."""
+    return len(hi) + sum(int(n * below) for a, b in large for n, below in _steps(np.unique(y[a:b], return_counts=True)[1]))
+
+
+def _steps(counts: np.ndarray) -> zip:
+    """Of labels in ascending order: how many rows have each and how many a lower one."""
+    return zip(counts, np.cumsum(counts) - counts)
+
+
+def _lost(w: np.ndarray, x: np.ndarray, y: np.ndarray, hi: np.ndarray, lo: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Sum of (better - worse) features over a block's pairs that the weights order by less than 1."""
+    s = x @ w
+    near = s[lo] > s[hi] - 1
+    counts = np.bincount(hi[near], minlength=len(s)) - np.bincount(lo[near], minlength=len(s))
+    return counts @ x + sum((_lost_pairs(s[a:b], y[a:b], x[a:b]) for a, b in large), np.zeros(len(w)))
+
+
+def _blocks(features: DataFrame, ids: list[int]) -> DataFrame:
+    """All judged rows, packed into blocks of whole queries."""
+    names = [f"f{i}" for i in ids]
+
+    def pack(batches):
+        held, rows = [], 0
+
+        def out(table: pa.Table):
+            qid = table["qid"].to_pandas().to_numpy()
+            block = _packed(qid, table["label"].to_numpy().astype(float), np.column_stack([table[n].to_numpy() for n in names]))
+            if block:
+                yield pa.RecordBatch.from_pylist([block], pa.schema([(k, pa.binary()) for k in BLOCK]))
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BLOCK_ROWS:
+                table = pa.Table.from_batches(held)
+                whole = pc.index(table["qid"], table["qid"][-1]).as_py()  # the last query may go on
+                if whole:
+                    yield from out(table.slice(0, whole))
+                    table = table.slice(whole)
+                held, rows = table.to_batches(), table.num_rows
+        if rows:
+            yield from out(pa.Table.from_batches(held))
+
+    judged = features.filter(F.col("qid").isNotNull() & F.col("label").isNotNull()).select("qid", "eid", F.col("label").cast("double").alias("label"), *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names])
+    return judged.repartition("qid").sortWithinPartitions("qid", "eid").mapInArrow(pack, ", ".join(f"{k} binary" for k in BLOCK))
+
+
+BLOCK = ("x", "y", "hi", "lo", "large")
+
+
+def fit_pairwise(features: DataFrame, ids: list[int], c: float = 0.001, steps: int = 300, held: int = HELD_BYTES) -> LinearRanker:
+    """Hinge loss over all pairs of differently judged documents of a query, over every judged row.
+
+    The rows become blocks of whole queries. Up to `held` bytes of blocks come to the driver; more stay where they are written and each step is a job that sums over them.
+    """
+    blocks, width = materialise(_blocks(features, ids)), len(ids)
+    size = blocks.agg(F.sum(sum((F.length(k) for k in BLOCK), F.lit(0)))).first()[0] or 0
+    mine = [_unpacked(r.asDict(), width) for r in blocks.toLocalIterator()] if size <= held else None
+
+    def over(f: Callable[..., np.ndarray]) -> np.ndarray:
+        """The sum of f over all blocks."""
+        if mine is not None:
+            return sum((f(*b) for b in mine), np.zeros(1))
+
+        def partial(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield pa.RecordBatch.from_pydict({"v": pa.array([np.atleast_1d(f(*_unpacked(row, width))).astype(float).tolist()], pa.list_(pa.float64()))})
+
+        got = [r["v"] for r in blocks.mapInArrow(partial, "v array<double>").collect()]
+        return np.array([math.fsum(v) for v in zip(*got)])  # in any order of blocks the same
+
+    pairs = over(lambda x, y, hi, lo, large: np.array([_pairs(y, hi, large)], float))[0] if size else 0
+    w = np.zeros(width)
     for t in range(steps if pairs else 0):
-        s = x @ w
-        w -= (0.5 / (1 + 0.05 * t)) * (c * w - sum((_lost_pairs(s[m], y[m], x[m]) for m in groups), np.zeros(len(ids))) / pairs)
+        w = w - (0.5 / (1 + 0.05 * t)) * (c * w - over(lambda *b, w=w: _lost(w, *b)) / pairs)
     return LinearRanker(tuple(ids), tuple(map(float, w)))
 
 
