@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import Analyzer
+from gleanery.operators.blocks import best_of_set
 from gleanery.operators.positional import merged, proximity, synonym, together
-from gleanery.operators.scale import HEAVY_ROWS, hot_cold_join, materialise
+from gleanery.operators.scale import materialise
 from gleanery.operators.topn import top_by_score
 from gleanery.plans.models import BM25, RankedBoolean, UnrankedBoolean
 from gleanery.plans.query import Positions, QuerySyntaxError, Scored, Term, bow, flat_terms, get_query, leaves, parse
 from gleanery.sources.index import Index
 
-#: Most rows of a batch's distinct query terms that are broadcast; beyond it they meet the postings by shuffle.
+#: Most nodes of a batch's trees that are broadcast; beyond it they meet the postings by shuffle.
 BROADCAST_TERMS = 500_000
 #: Most nodes of a batch whose terms are listed as a filter of the postings' scan.
 LISTED_TERMS = 200
@@ -153,22 +154,18 @@ def query_leaves(queries: DataFrame, index: Index, default_op: str = "#SUM") ->
 def rank_batch(terms: DataFrame, index: Index, model: BM25, n: int = 1000, listed: list[tuple[str, str]] | None = None) -> DataFrame:
     """(qid, rank, eid, score) of all flat queries in one plan.
 
-    Query terms are matched with their statistics, then with the postings: broadcast up to BROADCAST_TERMS rows, by a
-    hot-cold join beyond. Each posting is scored once a query; a query's scores add up before its best n are taken. The (field, term) pairs
-    may be `listed` where they are known and few; then they are filters of the scan.
+    Query terms are matched with their statistics, then scored in blocks of documents (`best_of_set`). The (field, term) pairs may be `listed` where they are known and few;
+    then they are filters of the scan, each posting is scored once a query, and a query's scores add up before its best n are taken.
     """
     if listed:
         wanted = F.col("field").isin(*{f for f, _ in listed}) & F.col("term").isin(*{t for _, t in listed})
         index = replace(index, postings=index.postings.filter(wanted), term_stats=index.term_stats.filter(wanted))
     stats = index.field_stats.select("field", "num_docs", (F.col("sum_len") / F.col("doc_count")).alias("avg_len"))
     known = terms.join(index.term_stats, ["field", "term"]).join(F.broadcast(stats), "field")
-    count = len(listed) if listed else terms.count()
-    slim = index.postings.select("field", "term", "eid", "tf", "len")
-    if count <= BROADCAST_TERMS:
-        met = slim.join(F.broadcast(known), ["field", "term"])
-    else:
-        keyed = known.groupBy(F.concat_ws("\x1f", "field", "term").alias("key")).agg(F.first("df").alias("df"), F.first("num_docs").alias("num_docs"), F.first("avg_len").alias("avg_len"), F.collect_list(F.struct("qid", "weight")).alias("asks"))
-        met = hot_cold_join(slim.withColumn("key", F.concat_ws("\x1f", "field", "term")), keyed, "key", "df", HEAVY_ROWS).withColumn("ask", F.explode("asks")).select("*", "ask.*")
+    if not listed:
+        asks = known.select("qid", F.lit("SUM").alias("op"), F.lit(1).alias("args"), F.lit(0).alias("distance"), F.lit(0).alias("arg"), "field", "term", F.col("weight").cast("double").alias("weight"), F.lit("BM25").alias("model"), "df", "num_docs", "avg_len")
+        return best_of_set(asks, index, model.k1, model.b, n)
+    met = index.postings.select("field", "term", "eid", "tf", "len").join(F.broadcast(known), ["field", "term"])
     score = F.col("weight") * bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("num_docs"), F.col("avg_len"), model.k1, model.b)
     found = met.groupBy("qid", "eid").agg(F.round(F.sum(score), 9).alias("score"))
     return top_by_score(found, "qid", "eid", "score", n).select("qid", "rank", "eid", "score")
@@ -205,12 +202,33 @@ def tree_rows(tree, model: str) -> list[dict]:
     return rows
 
 
+def _one_operator(nodes: DataFrame, index: Index, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of best_of_set for the queries that are one operator over terms, nodes of all other queries)."""
+    root, near = F.col("up") == -1, F.col("op").isin("NEAR", "WINDOW")
+    per = nodes.groupBy("qid").agg(
+        F.count(F.when(F.col("op").isin("SYN", "NEAR", "WINDOW"), 1)).alias("placed"), F.max(F.when(root, F.col("op"))).alias("root"), F.max(F.when(root, F.col("height"))).alias("root_height"),
+        F.max(F.when(root, F.col("args"))).alias("root_args"), F.max(F.when(near, F.struct("op", "distance", "args", "height"))).alias("near"), F.max("model").alias("by"),
+    )
+    plain = (F.col("placed") == 0) & (F.col("root_height") <= 1)
+    proximity = (F.col("placed") == 1) & (F.col("root") == "SCORE") & (F.col("near.height") == 1) & (F.col("by") == "BM25")
+    per = materialise(per.withColumn("kind", F.when(plain, "plain").when(proximity, "near").otherwise("rest")))
+    ups = nodes.select("qid", F.col("id").alias("up"), F.col("weight").alias("up_weight"), F.col("arg").alias("up_arg"))
+    met = nodes.filter("op = 'TERM'").select("qid", "up", "arg", "field", "term", "model").join(ups, ["qid", "up"]).join(per.filter("kind <> 'rest'"), "qid").join(index.term_stats, ["field", "term"]).join(stats, "field")
+    is_near = F.col("kind") == "near"
+    op = F.when(is_near, F.col("near.op")).when(F.col("root").isin("SCORE", "WSUM"), "SUM").otherwise(F.col("root"))
+    asks = met.select(
+        "qid", op.alias("op"), F.when(is_near, F.col("near.args")).otherwise(F.col("root_args")).alias("args"), F.when(is_near, F.col("near.distance")).otherwise(0).alias("distance"),
+        F.when(is_near, F.col("arg")).otherwise(F.col("up_arg")).alias("arg"), "field", "term", F.when(is_near, 1.0).otherwise(F.col("up_weight")).alias("weight"), "model", "df", "num_docs", "avg_len",
+    )
+    return asks, nodes.join(per.filter("kind = 'rest'"), "qid", "left_semi")
+
+
 def rank_set(queries: DataFrame, index: Index, model, n: int = 1000, boolean: bool = False) -> DataFrame:
     """(qid, rank, eid, score) of every query of (qid, qstring), whatever its structure, in one plan.
 
-    The trees of all queries become rows. Terms meet the postings in two joins, one for those that are scored as they are and one, with positions, for those within
-    positional operators; then each height of the trees is one aggregation by query, node and document. So the number of scans depends neither on the number of
-    queries nor on their size, and the number of aggregations only on the deepest tree. A malformed query raises, and so does an operator without a score in the model;
+    The trees of all queries become rows. Those of one operator over terms are scored in blocks of documents (`best_of_set`). Terms of all others meet the postings in two joins, one for
+    those that are scored as they are and one, with positions, for those within positional operators; then each height of the trees is one aggregation by query, node and
+    document. So the number of scans depends neither on the number of queries nor on their size, and the number of aggregations only on the deepest tree. A malformed query raises, and so does an operator without a score in the model;
     with `boolean`, queries that are an #AND or #OR are ranked by ranked Boolean where the model is BM25. Queries without a text or of stopwords alone rank nothing.
     """
     name, default_op = type(model).__name__, model.default_op
@@ -232,7 +250,13 @@ def rank_set(queries: DataFrame, index: Index, model, n: int = 1000, boolean: bo
 
     analyzer = index.analyzer
     nodes = materialise(queries.filter(F.col("qstring").isNotNull()).select("qid", F.explode(trees("qid", "qstring")).alias("t")).select("qid", "t.*"))
+    stats = F.broadcast(index.field_stats.select("field", "num_docs", (F.col("sum_len") / F.col("doc_count")).alias("avg_len")))
+    k1, b = (model.k1, model.b) if isinstance(model, BM25) else (0.0, 0.0)
+    flat, nodes = _one_operator(nodes, index, stats)
+    ranked = best_of_set(flat, index, k1, b, n)
     shape = nodes.agg(F.max(F.when(F.col("op").isin(*POSITIONAL), F.col("height"))).alias("inner"), F.max(F.when(~F.col("op").isin(*POSITIONAL), F.col("height"))).alias("outer"), F.count(F.lit(1)).alias("n")).first()
+    if not shape["n"]:
+        return ranked
     few = (lambda d: F.broadcast(d)) if shape["n"] <= BROADCAST_TERMS else (lambda d: d)
     ups = nodes.select("qid", F.col("id").alias("up"), F.col("op").alias("up_op"))
     terms = nodes.filter("op = 'TERM'").join(ups, ["qid", "up"]).select("qid", "up", "up_height", "arg", "field", "term", "up_op", "model")
@@ -264,8 +288,6 @@ def rank_set(queries: DataFrame, index: Index, model, n: int = 1000, boolean: bo
         lists.append(met.filter("up_op <> 'SCORE'").select("qid", F.col("to").alias("up"), F.col("to_height").alias("up_height"), F.col("to_arg").alias("arg"), "eid", "field", "len", "positions"))
         scored = met.filter("up_op = 'SCORE'").select("qid", F.col("to").alias("node"), "eid", "field", F.size("positions").alias("tf"), "len")
         found.append(scored.join(scored.groupBy("qid", "node").agg(F.count(F.lit(1)).alias("df")), ["qid", "node"]))
-    stats = F.broadcast(index.field_stats.select("field", "num_docs", (F.col("sum_len") / F.col("doc_count")).alias("avg_len")))
-    k1, b = (model.k1, model.b) if isinstance(model, BM25) else (0.0, 0.0)
     by_model = F.when(F.col("model") == "BM25", bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("num_docs"), F.col("avg_len"), k1, b)).when(F.col("model") == "RankedBoolean", F.col("tf").cast("double")).otherwise(1.0)
 
     def evaluated(found: DataFrame) -> DataFrame:
@@ -282,4 +304,4 @@ def rank_set(queries: DataFrame, index: Index, model, n: int = 1000, boolean: bo
 
     best = evaluated(met_by(bare.join(placed, "qid", "left_anti"))).unionByName(evaluated(reduce(DataFrame.unionByName, found)))
     score = F.lit(1.0) if isinstance(model, UnrankedBoolean) else F.round("score", 9)
-    return top_by_score(best.select("qid", "eid", score.alias("score")), "qid", "eid", "score", n).select("qid", "rank", "eid", "score")
+    return top_by_score(best.select("qid", "eid", score.alias("score")), "qid", "eid", "score", n).select("qid", "rank", "eid", "score").unionByName(ranked)
