@@ -11,6 +11,10 @@ from gleanery.functions.text import valid_expansion_term
 from gleanery.sources.index import Index
 
 
+#: Most terms of a field whose counts are broadcast.
+MOST_TERMS = 500_000
+
+
 @dataclass(frozen=True)
 class Feedback:
     algorithm: str = "rm3"
@@ -40,14 +44,19 @@ def expansion_terms(rankings: DataFrame, index: Index, p: Feedback) -> DataFrame
     """
     top = rankings.filter(F.col("rank") <= p.num_docs).select("qid", "eid", "score")
     postings = index.of_documents(top).filter((F.col("field") == p.field_in) & valid_expansion_term(F.col("term"))).select("term", "eid", "tf")
-    found = postings.join(top, "eid")
+    # a document's terms, which hold no space, travel to its queries in one row, and nothing moves again before a query's best terms are taken
+    packed = postings.groupBy("eid").agg(F.collect_list(F.struct("term", "tf")).alias("x")).select("eid", F.array_join("x.term", " ").alias("terms"), F.col("x.tf").alias("tfs"))
+    met = packed.join(top, "eid")
     if p.algorithm == "rm3":
         lengths = index.lengths.filter((F.col("field") == p.field_in) & (F.col("poslen") > 0)).select("eid", "poslen")
-        found = found.join(lengths, "eid")
+        met = met.join(lengths, "eid").select("qid", "terms", "tfs", "poslen", "score")
+    found = met.repartition("qid").select("*", F.posexplode(F.split("terms", " ")).alias("at", "term")).withColumn("tf", F.get("tfs", F.col("at")))
+    if p.algorithm == "rm3":
         raw = found.groupBy("qid", "term").agg(F.sum(F.col("tf") / F.col("poslen") * F.col("score")).alias("raw"))
     else:
         raw = found.groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("raw"))
     terms = index.term_stats.filter(F.col("field") == p.field_in).select("term", "df", "ctf")
+    terms = F.broadcast(terms) if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS else terms
     whole = F.broadcast(index.field_stats.filter(F.col("field") == p.field_in).select(F.lit(1).alias("one"), "num_docs", "sum_len"))  # one row
     raw = raw.join(terms, "term").withColumn("one", F.lit(1)).join(whole, "one")
     if p.algorithm == "rm3":

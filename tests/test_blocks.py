@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from gleanery.operators import blocks
+from gleanery.operators import blocks, feedback
 from gleanery.plans.compile import query_terms, rank_batch, rank_query, rank_set
 from gleanery.plans.models import BM25, RankedBoolean
 from gleanery.sources.index import build_index
@@ -40,3 +40,10 @@ def test_no_row_is_made_for_a_query_and_a_document_it_meets(spark, ix):
     for plan in (rank_set(asked, ix, BM25(), 3, boolean=True), rank_batch(flat, ix, BM25(), 3)):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"keys=\[qid#\d+, (node#\d+, )?eid#\d+", text) and "MapInArrow" in text
+
+
+def test_feedback_shuffles_documents_and_not_their_terms(spark, ix):
+    run = spark.createDataFrame([(f"q{i % 4}", f"d{i:03}", i // 4 + 1, 9.0 - i) for i in range(40)], "qid string, eid string, rank int, score double")
+    for how in ("rm3", "okapi"):
+        text = feedback.expansion_terms(run, ix, feedback.Feedback(how))._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(qid#\d+, term#", text) and not re.search(r"hashpartitioning\(term#", text)
