@@ -63,7 +63,8 @@ def extract(pairs: DataFrame, terms: DataFrame, index: Index, p: Features = Feat
     # every query term with every field of the pair: a bounded product, as a query has few terms
     # every page with the field, also for a query without terms, has values: its counts are 0
     wanted = fields.join(small(asked), "qid", "left").withColumns({"times": F.coalesce("times", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0)), "stems": F.coalesce("stems", F.lit(0))}).join(index.term_stats.select("field", "term", "df", "ctf"), ["field", "term"], "left")
-    hits = index.of_documents(pairs).select("field", "term", "eid", "tf")  # of these pages alone
+    words = asked.select("term").distinct()
+    hits = index.of_documents(pairs).select("field", "term", "eid", "tf").join(small(words), "term", "left_semi")  # of these pages and the queries' terms alone
     full = wanted.join(hits, ["field", "term", "eid"], "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
     avg = F.col("sum_len") / F.col("doc_count")
     idf = F.log((F.col("num_docs") + 1) / (F.col("df") + 0.5))

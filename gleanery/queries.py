@@ -532,8 +532,8 @@ def prf_query_file(spark: SparkSession, sf: str) -> DataFrame:
 _PAIRS = f"""{_ASKED}, qt AS (SELECT qid, term, count(*) AS times FROM tk GROUP BY qid, term), labels AS (SELECT qid, eid, max(greatest(0, try_cast(rel AS INT)))::INT AS label FROM qrels WHERE try_cast(rel AS INT) IS NOT NULL AND eid IN (SELECT eid FROM recs) AND qid IN (SELECT qid FROM qs WHERE qstring IS NOT NULL) GROUP BY qid, eid)"""
 
 
-def _features(spark: SparkSession, sf: str) -> DataFrame:
-    ix = stored(spark, sf, "body", "title", "url", "inlink")
+def _features(spark: SparkSession, sf: str, ix: Index | None = None) -> DataFrame:
+    ix = ix or stored(spark, sf, "body", "title", "url", "inlink")
     return ltr.extract(ltr.training_pairs(bare_queries(spark, sf), table(spark, sf, "qrels"), ix), asked_words(spark, sf, ix), ix)
 
 
@@ -590,8 +590,8 @@ FIXED_RANKER = ltr.LinearRanker((5, 6, 8, 10, 17, 18), (0.5, 0.25, 0.75, 0.125,
 _HEAD_FEATURES = _FEATURES.replace(_PAIRS, f"{_PAIRS.replace('labels AS', 'judged AS')}, {_RUN20}, labels AS (SELECT qid, eid FROM run WHERE rank <= 10)")
 
 
-def _head_features(spark: SparkSession, sf: str, run: DataFrame) -> DataFrame:
-    ix = stored(spark, sf, "body", "title", "url", "inlink")
+def _head_features(spark: SparkSession, sf: str, run: DataFrame, ix: Index | None = None) -> DataFrame:
+    ix = ix or stored(spark, sf, "body", "title", "url", "inlink")
     return ltr.extract(run.filter(F.col("rank") <= 10).select("qid", "eid"), asked_words(spark, sf, ix), ix)
 
 
@@ -611,9 +611,9 @@ def ltr_rerank(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def ltr_trained(spark: SparkSession, sf: str) -> DataFrame:
     """The same with a model trained on the judgements."""
-    how, run = ltr.Features(), run_ranking(spark, sf)
-    model = ltr.fit_pairwise(ltr.min_max(_features(spark, sf), how.ids), how.ids)
-    return _shown(ltr.rerank(run, ltr.min_max(_head_features(spark, sf, run), how.ids), model, 10))
+    how, run, ix = ltr.Features(), run_ranking(spark, sf), stored(spark, sf, "body", "title", "url", "inlink")
+    model = ltr.fit_pairwise(ltr.min_max(_features(spark, sf, ix), how.ids), how.ids)
+    return _shown(ltr.rerank(run, ltr.min_max(_head_features(spark, sf, run, ix), how.ids), model, 10))
 
 
 @query(

@@ -1,15 +1,18 @@
 """Flat queries scored in blocks of documents."""
 
+import os
 import random
 import re
 
 import pytest
 
+from gleanery import queries as core
 from gleanery.operators import blocks, feedback
 from gleanery.plans.compile import query_terms, rank_batch, rank_query, rank_set
 from gleanery.plans.models import BM25, RankedBoolean
 from gleanery.sources.index import build_index
 
+SF = "/root/testdata/sf0.001"
 TEXTS = {
     "a": "#AND(sun.title moon)", "b": "sun moon star rain cloud", "c": "#WSUM(0.3 sun 0.7 rain)", "d": "#WSUM(0 sun 0 moon)", "e": "#NEAR/3(sun star)", "f": "#WINDOW/5(rain moon sun)", "g": "#OR(sun cloud.title)",
     "h": "rare", "i": "#SUM(sun sun moon)", "j": "#AND(sun none)", "k": "#NEAR/2(sun none)", "l": "none", "m": "#SUM(sun.title none)", "n": "#AND(sun moon star)", "o": "#NEAR/2(sun moon)",
@@ -47,3 +50,10 @@ def test_feedback_shuffles_documents_and_not_their_terms(spark, ix):
     for how in ("rm3", "okapi"):
         text = feedback.expansion_terms(run, ix, feedback.Feedback(how))._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"hashpartitioning\(qid#\d+, term#", text) and not re.search(r"hashpartitioning\(term#", text)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_the_trained_ranker_builds_one_index(spark, monkeypatch):
+    built, stored = [], core.stored
+    monkeypatch.setattr(core, "stored", lambda *a: built.append(a) or stored(*a))
+    assert core.ltr_trained(spark, SF).count() and len(built) == 1
