@@ -55,7 +55,7 @@ def extract(pairs: DataFrame, terms: DataFrame, index: Index, p: Features = Feat
     """
     stats = index.field_stats.filter(F.col("field").isin(*FIELD_FEATURES))
     names = index.docs.columns
-    asked = terms.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
+    pairs, asked = materialise(pairs), materialise(terms.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times")))  # read several times each
     few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS  # then one query with very many pages is no matter
     small = F.broadcast if few else (lambda d: d)
     total = asked.groupBy("qid").agg(F.sum("times").alias("tokens"), F.count(F.lit(1)).alias("stems"))

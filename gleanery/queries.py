@@ -51,9 +51,10 @@ def index(spark: SparkSession, sf: str, *fields: str) -> Index:
     return build_index(docs(spark, sf), wanted, attributes=["raw_url", "title_string", "body_string", "spam_score", "page_rank"])
 
 
-def stored(spark: SparkSession, sf: str, *fields: str) -> Index:
-    """An index for plans that read its postings more than once."""
-    return index(spark, sf, *fields).stored()
+def stored(spark: SparkSession, sf: str, *fields: str, positions: bool = True) -> Index:
+    """An index for plans that read its postings more than once; its documents are written too, without their texts."""
+    wanted = {f: c for f, c in COLUMNS.items() if not fields or f in fields}
+    return build_index(docs(spark, sf), wanted, attributes=["raw_url", "spam_score", "page_rank"], positions=positions).stored()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -498,7 +499,7 @@ def prf_rm3_terms(spark: SparkSession, sf: str) -> DataFrame:
 )
 def prf_expanded_rank(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best pages by the learned queries."""
-    ix = stored(spark, sf, "body")
+    ix = stored(spark, sf, "body", positions=False)
     terms = feedback.expansion_terms(run_ranking(spark, sf), ix, feedback.Feedback("rm3"))
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy("qid"))
     learned = terms.select("qid", F.lit("body").alias("field"), "term", share.alias("weight"))
@@ -533,7 +534,7 @@ _PAIRS = f"""{_ASKED}, qt AS (SELECT qid, term, count(*) AS times FROM tk GROUP
 
 
 def _features(spark: SparkSession, sf: str, ix: Index | None = None) -> DataFrame:
-    ix = ix or stored(spark, sf, "body", "title", "url", "inlink")
+    ix = ix or stored(spark, sf, "body", "title", "url", "inlink", positions=False)
     return ltr.extract(ltr.training_pairs(bare_queries(spark, sf), table(spark, sf, "qrels"), ix), asked_words(spark, sf, ix), ix)
 
 
@@ -591,7 +592,7 @@ _HEAD_FEATURES = _FEATURES.replace(_PAIRS, f"{_PAIRS.replace('labels AS', 'judge
 
 
 def _head_features(spark: SparkSession, sf: str, run: DataFrame, ix: Index | None = None) -> DataFrame:
-    ix = ix or stored(spark, sf, "body", "title", "url", "inlink")
+    ix = ix or stored(spark, sf, "body", "title", "url", "inlink", positions=False)
     return ltr.extract(run.filter(F.col("rank") <= 10).select("qid", "eid"), asked_words(spark, sf, ix), ix)
 
 
@@ -611,7 +612,7 @@ def ltr_rerank(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def ltr_trained(spark: SparkSession, sf: str) -> DataFrame:
     """The same with a model trained on the judgements."""
-    how, run, ix = ltr.Features(), run_ranking(spark, sf), stored(spark, sf, "body", "title", "url", "inlink")
+    how, run, ix = ltr.Features(), run_ranking(spark, sf), stored(spark, sf, "body", "title", "url", "inlink", positions=False)
     model = ltr.fit_pairwise(ltr.min_max(_features(spark, sf, ix), how.ids), how.ids)
     return _shown(ltr.rerank(run, ltr.min_max(_head_features(spark, sf, run, ix), how.ids), model, 10))
 

@@ -61,12 +61,12 @@ class Index:
         spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/layout")
 
     def stored(self) -> Index:
-        """The same index with its postings and lengths written once beside the checkpoints, terms sorted within files.
+        """The same index with its documents, postings and lengths written once beside the checkpoints, terms sorted within files.
 
         What several branches of a plan read is then analysed once, and a term's filter skips row groups.
         """
         postings = materialise(self.postings.sortWithinPartitions("field", "term"))
-        return derive_stats(self.docs, postings, materialise(self.lengths), self.analyzer)
+        return derive_stats(materialise(self.docs), postings, materialise(self.lengths), self.analyzer)
 
     def persist(self) -> Index:
         for name in TABLES:
@@ -88,10 +88,10 @@ def bucket_of(eid: str | Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(eid), F.lit(buckets)).cast("int")
 
 
-def build_index(docs: DataFrame, fields: dict[str, str], id_col: str = "eid", attributes: list[str] | None = None, analyzer: Analyzer | None = None) -> Index:
+def build_index(docs: DataFrame, fields: dict[str, str], id_col: str = "eid", attributes: list[str] | None = None, analyzer: Analyzer | None = None, positions: bool = True) -> Index:
     """Index the text columns `fields` (field -> column) of docs, one row a document; documents without id are left out.
 
-    Null texts give no length and no posting; empty ones a length of 0.
+    Null texts give no length and no posting; empty ones a length of 0. Without `positions`, for plans that never match them, these are null.
     """
     analyzer = analyzer or Analyzer()
     src = docs.filter(F.col(id_col).isNotNull())
@@ -103,8 +103,11 @@ def build_index(docs: DataFrame, fields: dict[str, str], id_col: str = "eid", at
     kept = F.col("token").isNotNull() & analyzer.kept(F.col("token"))
     lengths = each.groupBy("eid", "field", "len").agg(F.coalesce(F.max(F.when(kept, F.col("pos") + 1)), F.lit(0)).alias("poslen"))
     each = each.filter(kept).select("field", analyzer.stem(F.col("token")).alias("term"), "eid", "len", "pos")
-    postings = each.groupBy("field", "term", "eid", "len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    postings = postings.select("field", "term", "eid", F.size("positions").alias("tf"), "len", "positions")
+    grouped = each.groupBy("field", "term", "eid", "len")
+    if positions:
+        postings = grouped.agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("field", "term", "eid", F.size("positions").alias("tf"), "len", "positions")
+    else:
+        postings = grouped.agg(F.count(F.lit(1)).cast("int").alias("tf")).select("field", "term", "eid", "tf", "len", F.lit(None).cast("array<int>").alias("positions"))
     return derive_stats(stored, postings, lengths, analyzer)
 
 

@@ -55,5 +55,17 @@ def test_feedback_shuffles_documents_and_not_their_terms(spark, ix):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_the_trained_ranker_builds_one_index(spark, monkeypatch):
     built, stored = [], core.stored
-    monkeypatch.setattr(core, "stored", lambda *a: built.append(a) or stored(*a))
+    monkeypatch.setattr(core, "stored", lambda *a, **k: built.append(a) or stored(*a, **k))
     assert core.ltr_trained(spark, SF).count() and len(built) == 1
+
+
+def test_a_stored_index_does_not_read_its_documents_again(spark, tmp_path):
+    rows = [("a", "apple pie apple", None), ("b", "pie the tart", "x"), ("c", None, "y")]
+    spark.createDataFrame(rows, "eid string, body string, page_rank string").write.parquet(str(tmp_path / "docs"))
+    source = spark.read.parquet(str(tmp_path / "docs"))
+    whole, slim = (build_index(source, {"body": "body"}, attributes=["page_rank"], positions=p).stored() for p in (True, False))
+    for ix in (whole, slim):
+        assert not any(str(tmp_path / "docs") in f for name in ("docs", "postings", "lengths", "field_stats") for f in getattr(ix, name).inputFiles())
+    of = lambda ix: sorted(ix.postings.select("field", "term", "eid", "tf", "len").collect())
+    assert of(whole) == of(slim) and sorted(slim.term_stats.collect()) == sorted(whole.term_stats.collect())
+    assert slim.field_stats.collect() == whole.field_stats.collect() and slim.field_stats.first()["num_docs"] == 3
